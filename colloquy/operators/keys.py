@@ -43,6 +43,7 @@ def lookup(
     how: str = "left",
     rows_per_task: int = ROWS_PER_TASK,
     spread: Sequence[str] | None = None,
+    rows: str | None = None,
 ) -> DataFrame:
     """Join ``left`` with ``right``, which has at most one row per key.
 
@@ -50,26 +51,35 @@ def lookup(
     and their single right row is copied once per slice. Rows with a null key are
     spread too; they match nothing. Catalyst still picks a broadcast join by itself
     when the right side is small enough.
+
+    The heavy keys come from a count of the left keys, or, when the right side already
+    knows how many rows each key has, from its column ``rows``.
     """
     keys = list(keys)
     by = spread or [c for c in left.columns if c not in keys] or keys
-    heavy = heavy_keys(left.select(*keys), keys, rows_per_task).select(
-        *keys, F.ceil(F.col("_rows") / rows_per_task).cast("int").alias("_slices")
-    )
+    needed = F.ceil(F.col("_rows") / rows_per_task).cast("int")
+    if rows is None:
+        heavy = heavy_keys(left.select(*keys), keys, rows_per_task)
+        heavy = heavy.select(*keys, needed.alias("_slices"))
+        copied = right.join(F.broadcast(heavy), keys, "left")
+    else:
+        counted = right.withColumn("_rows", F.col(rows))
+        heavy = counted.filter(F.col("_rows") > rows_per_task).select(*keys, needed.alias("_slices"))
+        copied = counted.withColumn("_slices", F.greatest(needed, F.lit(1))).drop("_rows")
     some_null = F.lit(False)
     for k in keys:
         some_null = some_null | F.col(k).isNull()
-    slices = F.when(some_null, F.lit(_NULL_KEY_SLICES)).otherwise(F.coalesce("_slices", F.lit(1)))
+    one = F.lit(1)
+    slices = F.when(some_null, F.lit(_NULL_KEY_SLICES)).otherwise(F.coalesce("_slices", one))
     sliced = left.join(F.broadcast(heavy), keys, "left").withColumn(
         "_slice", F.pmod(F.xxhash64(*[F.col(c) for c in by]), slices).cast("int")
     )
-    copied = right.join(F.broadcast(heavy), keys, "left").withColumn(
-        "_slice", F.explode(F.sequence(F.lit(0), F.coalesce("_slices", F.lit(1)) - 1))
+    copied = copied.withColumn(
+        "_slice", F.explode(F.sequence(F.lit(0), F.coalesce("_slices", one) - 1))
     )
     joined = sliced.drop("_slices").join(copied.drop("_slices"), [*keys, "_slice"], how)
-    extra = [c for c in right.columns if c not in keys]
-    if how in ("left_semi", "left_anti", "semi", "anti"):
-        extra = []
+    semi = how in ("left_semi", "left_anti")
+    extra = [] if semi else [c for c in right.columns if c not in keys]
     return joined.select(*left.columns, *extra)
 
 

@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .keys import LIST_LIMIT, bounded_lists
 from .people import author_name, leaders
-from .threads import rebuild
 from .tickets import mentioned
 
 # Fixed value: replies from which a thread counts as highly engaged.
@@ -17,29 +14,25 @@ HIGH_ENGAGEMENT = 5
 
 
 def view_metrics(
-    messages: DataFrame,
+    rebuilt: DataFrame,
     view: list[str],
     stakeholders: DataFrame,
     threshold: int = HIGH_ENGAGEMENT,
-    scope: Sequence[str] = (),
 ) -> DataFrame:
     """Per view: messages, threads, replies, participants, depth, engagement, leadership.
 
-    Rows are first reduced to one per view and author name, so neither the distinct
-    count nor the stakeholder join sees raw messages.
+    ``rebuilt`` has the columns of ``threads.rebuild``. Rows are first reduced to one per
+    view and author name, so neither the distinct count nor the stakeholder join sees raw
+    messages.
     """
     top = F.col("depth") == 0
     threaded = F.col("present_replies") > 0
-    per_author = (
-        rebuild(messages, scope)
-        .groupBy(*view, author_name().alias("author"))
-        .agg(
-            F.count("*").alias("all_rows"),
-            F.count_if(top).alias("tops"),
-            F.count_if(threaded).alias("threads"),
-            F.sum("present_replies").alias("replies"),
-            F.count_if(F.col("present_replies") >= threshold).alias("engaged"),
-        )
+    per_author = rebuilt.groupBy(*view, author_name().alias("author")).agg(
+        F.count("*").alias("all_rows"),
+        F.count_if(top).alias("tops"),
+        F.count_if(threaded).alias("threads"),
+        F.sum("present_replies").alias("replies"),
+        F.count_if(F.col("present_replies") >= threshold).alias("engaged"),
     )
     lead = leaders(stakeholders).select("lower_name", F.lit(True).alias("leads"))
     weighed = per_author.join(lead, F.lower("author") == F.col("lower_name"), "left")
@@ -59,18 +52,12 @@ def view_metrics(
     )
 
 
-def view_footer(
-    messages: DataFrame, view: list[str], scope: Sequence[str] = ()
-) -> DataFrame:
+def view_footer(rebuilt: DataFrame, view: list[str]) -> DataFrame:
     """Per view: top-level messages, nested replies, threads with a reply."""
-    return (
-        rebuild(messages, scope)
-        .groupBy(*view)
-        .agg(
-            F.count_if(F.col("depth") == 0).alias("messages"),
-            F.sum("present_replies").alias("thread_replies"),
-            F.count_if(F.col("present_replies") > 0).alias("active_threads"),
-        )
+    return rebuilt.groupBy(*view).agg(
+        F.count_if(F.col("depth") == 0).alias("messages"),
+        F.sum("present_replies").alias("thread_replies"),
+        F.count_if(F.col("present_replies") > 0).alias("active_threads"),
     )
 
 

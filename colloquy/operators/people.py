@@ -50,23 +50,32 @@ def has_mention(text: Column) -> Column:
     return or_empty(text).rlike(MENTION_PATTERN)
 
 
+def mention_names(messages: DataFrame, names: DataFrame, text: str = "text") -> DataFrame:
+    """(channel, message_id, mention_names): known mentioned ids of a message with their names."""
+    some = messages.filter(has_mention(F.col(text)))
+    ids = some.select(
+        *MESSAGE_KEY, F.explode(F.array_distinct(mention_ids(F.col(text)))).alias("user_id")
+    )
+    found = lookup(ids, names.select("user_id", "name"), ["user_id"], "inner", spread=MESSAGE_KEY)
+    return found.groupBy(*MESSAGE_KEY).agg(
+        F.map_from_entries(F.collect_list(F.struct("user_id", "name"))).alias("mention_names")
+    )
+
+
+def with_names(text: Column) -> Column:
+    """The text with ``<@ID>`` replaced by ``@name`` for the ids in ``mention_names``."""
+    names = F.col("mention_names")
+    return F.when(names.isNull(), text).otherwise(resolve_mentions(text, names))
+
+
 def resolved(messages: DataFrame, names: DataFrame, text: str = "text") -> DataFrame:
     """Adds ``resolved_text`` with ``<@ID>`` replaced by ``@name`` where the name is known.
 
     Only messages with a mention are shuffled.
     """
     some = messages.filter(has_mention(F.col(text)))
-    ids = some.select(
-        *MESSAGE_KEY, F.explode(F.array_distinct(mention_ids(F.col(text)))).alias("user_id")
-    )
-    found = lookup(ids, names, ["user_id"], "inner", spread=MESSAGE_KEY)
-    maps = found.groupBy(*MESSAGE_KEY).agg(
-        F.map_from_entries(F.collect_list(F.struct("user_id", "name"))).alias("_names")
-    )
-    done = F.when(F.col("_names").isNull(), F.col(text)).otherwise(
-        resolve_mentions(F.col(text), F.col("_names"))
-    )
-    some = some.join(maps, MESSAGE_KEY, "left").withColumn("resolved_text", done).drop("_names")
+    some = some.join(mention_names(messages, names, text), MESSAGE_KEY, "left")
+    some = some.withColumn("resolved_text", with_names(F.col(text))).drop("mention_names")
     plain = messages.filter(~has_mention(F.col(text))).withColumn("resolved_text", F.col(text))
     return some.select(*plain.columns).unionByName(plain)
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.instants import bucket_start
 from ..functions.text import blank_to_null, display_name
+from ..session import shared_folder
 from .keys import LIST_LIMIT, ROWS_PER_TASK, bounded_lists, lookup
 from .numbering import HOUR, number_rows
 
@@ -48,6 +49,7 @@ def thread_facts(messages: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
         .agg(
             F.max(parent).alias("parent"),
             F.count_if(reply).alias("present"),
+            F.count("*").alias("thread_rows"),
             F.max(F.when(reply, F.col("event_ts"))).alias("last_reply_ts"),
         )
     )
@@ -77,8 +79,10 @@ def rebuild(
             "is_orphaned_reply": no,
         }
     )
-    facts = thread_facts(messages, scope).select(*key, "parent", "present")
-    rows = lookup(messages.filter(in_thread()), facts, key, "inner", rows_per_task, MESSAGE_KEY)
+    facts = thread_facts(messages, scope).select(*key, "parent", "present", "thread_rows")
+    rows = lookup(
+        messages.filter(in_thread()), facts, key, "inner", rows_per_task, MESSAGE_KEY, "thread_rows"
+    )
     is_parent = _flag("is_thread_parent")
     has_parent = F.col("parent").isNotNull()
     kept = ~is_parent | (F.col("message_id") == F.col("parent.message_id"))
@@ -97,34 +101,45 @@ def rebuild(
             "is_orphaned_reply": orphan,
         }
     )
-    return standalone.unionByName(threaded.drop("parent", "present"))
+    return standalone.unionByName(threaded.drop("parent", "present", "thread_rows"))
 
 
 def orphans(messages: DataFrame) -> DataFrame:
     """Replies whose thread has no flagged parent in the set."""
-    facts = thread_facts(messages).filter(F.col("parent").isNull()).select(*THREAD_KEY)
+    facts = thread_facts(messages).filter(F.col("parent").isNull())
     replies = messages.filter(in_thread() & _flag("is_thread_reply"))
-    return lookup(replies, facts, THREAD_KEY, "left_semi", spread=MESSAGE_KEY)
+    return lookup(
+        replies, facts.select(*THREAD_KEY, "thread_rows"), THREAD_KEY, "left_semi",
+        spread=MESSAGE_KEY, rows="thread_rows",
+    )
 
 
-def numbered(
+def structure(
     messages: DataFrame,
     view: Sequence[str],
     scope: Sequence[str] = (),
     bucket: str | None = None,
 ) -> DataFrame:
-    """Rebuilt rows with ``message_no`` per view and ``reply_no`` per thread (0 for roots).
+    """The rebuilt rows' keys, authors and thread columns with their numbers, made durable.
 
+    Adds ``message_no`` per view and ``reply_no`` per thread (0 for top-level rows).
     ``view`` names the columns that identify a view and ``scope`` those of them that
     threads do not cross. With ``bucket`` the rows also get the ``bucket`` of their root,
     and messages are numbered per bucket and channel.
+
+    Texts and other wide columns stay out: this narrow table is read several times, and
+    the wide rows are joined to it once (``with_columns_of``).
     """
-    flat = rebuild(messages, scope)
+    shared_folder(messages.sparkSession)
+    base = [*MESSAGE_KEY, "event_ts", "thread_ts", "is_thread_parent", "is_thread_reply"]
+    narrow = [*base, "reply_count", "user_name", "user_real_name"]
+    flat = rebuild(messages.select(*dict.fromkeys([*view, *scope, *narrow])), scope)
     group = list(view)
     if bucket:
         flat = flat.withColumn("bucket", bucket_start(F.col("root_ts"), bucket))
         flat = flat.filter(F.col("bucket").isNotNull())
         group = list(dict.fromkeys([*view, "bucket", "channel"]))
+    flat = flat.checkpoint()
     tops = number_rows(
         flat.filter(F.col("depth") == 0), group, "event_ts", MESSAGE_KEY, "message_no"
     ).withColumn("reply_no", F.lit(0).cast("bigint"))
@@ -132,9 +147,22 @@ def numbered(
     replies = number_rows(
         flat.filter(F.col("depth") == 1), root, "event_ts", ["message_id"], "reply_no", HOUR
     )
-    roots = tops.filter(F.col("present_replies") > 0).select(*root, "message_no")
-    replies = lookup(replies, roots, root, "inner", spread=["message_id"])
-    return tops.unionByName(replies)
+    roots = tops.filter(F.col("present_replies") > 0).select(
+        *root, "message_no", F.col("present_replies").alias("_present")
+    )
+    replies = lookup(replies, roots, root, "inner", spread=["message_id"], rows="_present")
+    return tops.unionByName(replies.drop("_present")).checkpoint()
+
+
+def with_columns_of(rows: DataFrame, *sides: DataFrame) -> DataFrame:
+    """Left-join further columns by message key; every side has one row per message.
+
+    All joins share one key, so the rows are shuffled once.
+    """
+    for side in sides:
+        extra = [c for c in side.columns if c in MESSAGE_KEY or c not in rows.columns]
+        rows = rows.join(side.select(*extra), MESSAGE_KEY, "left")
+    return rows
 
 
 def nested(messages: DataFrame, page: int = 1_000) -> DataFrame:
@@ -143,7 +171,7 @@ def nested(messages: DataFrame, page: int = 1_000) -> DataFrame:
     One row per root and page, ``page_no`` from 0; a thread of normal length is one row
     whose ``replies`` are in time order.
     """
-    rows = numbered(messages, ["channel"])
+    rows = with_columns_of(structure(messages, ["channel"]), messages)
     tops = rows.filter(F.col("depth") == 0).drop("reply_no")
     reply = F.struct("reply_no", "message_id", "event_ts", "user_id", "user_real_name", "text")
     pages = (
@@ -152,13 +180,17 @@ def nested(messages: DataFrame, page: int = 1_000) -> DataFrame:
         .groupBy("channel", "root_id", "page_no")
         .agg(F.sort_array(F.collect_list(reply)).alias("replies"))
     )
+    threaded = tops.filter(F.col("present_replies") > 0).withColumn(
+        "_pages", F.ceil(F.col("present_replies") / page)
+    )
     joined = lookup(
         pages,
-        tops,
+        threaded,
         ["channel", "root_id"],
         "inner",
         max(1, ROWS_PER_TASK // page),
         ["page_no"],
+        "_pages",
     )
     alone = tops.filter(F.col("present_replies") == 0).withColumns(
         {

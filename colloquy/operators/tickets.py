@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas
@@ -27,24 +27,26 @@ def with_tickets(messages: DataFrame) -> DataFrame:
     return messages.filter(list_size(F.col("jira_tickets")) > 0)
 
 
-def enrich(messages: DataFrame, tickets: DataFrame) -> DataFrame:
-    """Adds ``jira_metadata``: one entry per mentioned ticket, in mention order.
-
-    Unknown tickets keep their id with null fields; a message without tickets gets an
-    empty list. Only messages that mention tickets are shuffled.
-    """
-    kind = schemas.array(schemas.TICKET_META)
+def ticket_metadata(messages: DataFrame, tickets: DataFrame) -> DataFrame:
+    """(channel, message_id, jira_metadata) of messages that mention tickets: one entry per
+    ticket in mention order, unknown tickets with null fields."""
     newest = latest_tickets(tickets.select(*META_FIELDS, "cached_at", "dt")).select(*META_FIELDS)
     entries = lookup(mentioned(messages), newest, ["ticket_id"], spread=MESSAGE_KEY)
     entry = F.struct("pos", F.struct(*META_FIELDS).alias("meta"))
     lists = entries.groupBy(*MESSAGE_KEY).agg(F.sort_array(F.collect_list(entry)).alias("_meta"))
-    lists = lists.select(
-        *MESSAGE_KEY, F.transform("_meta", lambda e: e["meta"]).cast(kind).alias("jira_metadata")
-    )
+    metas = F.transform("_meta", lambda e: e["meta"]).cast(schemas.array(schemas.TICKET_META))
+    return lists.select(*MESSAGE_KEY, metas.alias("jira_metadata"))
+
+
+def enrich(messages: DataFrame, tickets: DataFrame) -> DataFrame:
+    """Adds ``jira_metadata``; a message without tickets gets an empty list.
+
+    Only messages that mention tickets are shuffled.
+    """
     plain = messages.filter(list_size(F.col("jira_tickets")) == 0).withColumn(
-        "jira_metadata", F.array().cast(kind)
+        "jira_metadata", F.array().cast(schemas.array(schemas.TICKET_META))
     )
-    rich = with_tickets(messages).join(lists, MESSAGE_KEY)
+    rich = with_tickets(messages).join(ticket_metadata(messages, tickets), MESSAGE_KEY)
     return rich.select(*plain.columns).unionByName(plain)
 
 
@@ -115,21 +117,28 @@ def ticket_rollup(messages: DataFrame, limit: int = LIST_LIMIT) -> DataFrame:
     return totals.join(lists, "ticket_id")
 
 
-def annotate(messages: DataFrame, tickets: DataFrame, text: str = "text") -> DataFrame:
-    """Adds ``annotated_text``: each known ticket id followed by its bracketed details."""
+def ticket_notes(messages: DataFrame, tickets: DataFrame) -> DataFrame:
+    """(channel, message_id, ticket_notes): known ticket ids of a message with their details."""
     newest = latest_tickets(tickets)
     details = newest.select(
         "ticket_id", ticket_details(F.struct(*[F.col(c) for c in newest.columns])).alias("details")
     )
     found = lookup(mentioned(messages), details, ["ticket_id"], "inner", spread=MESSAGE_KEY)
-    maps = found.groupBy(*MESSAGE_KEY).agg(
-        F.map_from_entries(F.collect_list(F.struct("ticket_id", "details"))).alias("_details")
+    return found.groupBy(*MESSAGE_KEY).agg(
+        F.map_from_entries(F.collect_list(F.struct("ticket_id", "details"))).alias("ticket_notes")
     )
-    rich = with_tickets(messages).join(maps, MESSAGE_KEY, "left")
-    done = F.when(F.col("_details").isNull(), F.col(text)).otherwise(
-        annotate_tickets(F.col(text), F.col("_details"))
-    )
-    rich = rich.withColumn("annotated_text", done).drop("_details")
+
+
+def annotated(text: Column) -> Column:
+    """The text with each known ticket id followed by its bracketed details."""
+    notes = F.col("ticket_notes")
+    return F.when(notes.isNull(), text).otherwise(annotate_tickets(text, notes))
+
+
+def annotate(messages: DataFrame, tickets: DataFrame, text: str = "text") -> DataFrame:
+    """Adds ``annotated_text``. Only messages that mention tickets are shuffled."""
+    rich = with_tickets(messages).join(ticket_notes(messages, tickets), MESSAGE_KEY, "left")
+    rich = rich.withColumn("annotated_text", annotated(F.col(text))).drop("ticket_notes")
     plain = messages.filter(list_size(F.col("jira_tickets")) == 0).withColumn(
         "annotated_text", F.col(text)
     )

@@ -36,9 +36,7 @@ def some(condition: Column, *texts: Column) -> list[Column]:
     return [F.when(condition, t) for t in texts]
 
 
-def emit(df: DataFrame, lines: Sequence[Column] | Column, **order: Column) -> DataFrame:
-    """One row per non-null line; ``order`` sets ORDER columns that differ from the default."""
-    listed = lines if isinstance(lines, Column) else F.array(*lines)
+def _places(order: dict[str, Column], skip: Sequence[str]) -> list[Column]:
     defaults = {
         "section": F.lit(1),
         "bucket": F.lit(""),
@@ -51,15 +49,39 @@ def emit(df: DataFrame, lines: Sequence[Column] | Column, **order: Column) -> Da
     }
     places = {**defaults, **order}
     kinds = {"bucket": "string", "channel_group": "string", "item_no": "bigint", "reply_no": "bigint"}
-    keys = [places[c].cast(kinds.get(c, "int")).alias(c) for c in ORDER if c != "line_no"]
+    return [
+        places[c].cast(kinds.get(c, "int")).alias(c) for c in ORDER if c != "line_no" and c not in skip
+    ]
+
+
+def emit(df: DataFrame, lines: Sequence[Column] | Column, **order: Column) -> DataFrame:
+    """One row per non-null line; ``order`` sets ORDER columns that differ from the default."""
+    listed = lines if isinstance(lines, Column) else F.array(*lines)
     filled = F.filter(listed, lambda x: x.isNotNull())
-    return df.select("view_id", *keys, F.posexplode(filled).alias("line_no", "line"))
+    return df.select("view_id", *_places(order, ()), F.posexplode(filled).alias("line_no", "line"))
+
+
+def emit_parts(
+    df: DataFrame, parts: Sequence[tuple[Column, int, Column]], **order: Column
+) -> DataFrame:
+    """Lines of several (condition, part, lines) in one pass over the rows."""
+
+    def block(condition: Column, part: int, lines: Column) -> Column:
+        filled = F.filter(lines, lambda x: x.isNotNull())
+        rows = F.transform(
+            filled, lambda x, i: F.struct(F.lit(part).alias("part"), i.alias("line_no"), x.alias("line"))
+        )
+        return F.when(condition, rows).otherwise(F.filter(rows, lambda r: F.lit(False)))
+
+    rows = F.concat(*[block(*p) for p in parts])
+    made = df.select("view_id", *_places(order, ("part",)), F.inline(rows))
+    return made.select("view_id", *ORDER, "line")
 
 
 def stack(*tables: DataFrame) -> DataFrame:
     whole = tables[0]
     for table in tables[1:]:
-        whole = whole.unionByName(table)
+        whole = whole.unionByName(table, allowMissingColumns=True)
     return whole
 
 

@@ -9,10 +9,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.instants import relative_short
-from ..functions.text import blank_to_null, list_size, or_empty, reaction_text, shorten
+from ..functions.text import (
+    MENTION_PATTERN,
+    blank_to_null,
+    list_size,
+    or_empty,
+    reaction_text,
+    rewrite_tokens,
+    shorten,
+)
 from ..operators.keys import lookup
 from ..operators.numbering import HOUR, number_rows
-from ..operators.people import reaction_lines, resolved
+from ..operators.people import mention_names, reaction_lines
 from ..operators.threads import (
     MESSAGE_KEY,
     THREAD_KEY,
@@ -21,15 +29,30 @@ from ..operators.threads import (
     thread_facts,
     thread_members,
     thread_table,
+    with_columns_of,
 )
-from ..operators.tickets import annotate
+from ..operators.tickets import annotated, ticket_notes
+from ..session import shared_folder
 from ..sources.tables import latest_tickets
-from .lines import emit, some, stack
+from .lines import emit, emit_parts, some, stack
 from .views import text_of, who
 
 RULE = "=" * 60
 
 
+def _numbered_replies(messages: DataFrame) -> DataFrame:
+    """Keys of all flagged replies with their number ``no`` within the thread."""
+    replies = messages.filter(in_thread() & F.col("is_thread_reply"))
+    return number_rows(
+        replies.select(*THREAD_KEY, "message_id", "event_ts"),
+        THREAD_KEY,
+        "event_ts",
+        ["message_id"],
+        "no",
+        HOUR,
+    )
+
+
 def thread_reports(messages: DataFrame, tickets: DataFrame) -> DataFrame:
     """One report per thread with a parent: summary, parent, numbered replies, tickets.
 
@@ -58,15 +81,18 @@ def thread_reports(messages: DataFrame, tickets: DataFrame) -> DataFrame:
         F.lit(""),
         *some(F.col("reply_count") > 0, F.lit("REPLIES:")),
     ]
-    known = thread_facts(messages).filter(F.col("parent").isNotNull()).select(*THREAD_KEY)
+    listing = some(F.col("ticket_count") > 0, F.lit(""), F.lit("JIRA TICKETS MENTIONED:"))
+    known = thread_facts(messages).filter(F.col("parent").isNotNull())
+    known = known.select(*THREAD_KEY, "thread_rows")
     replies = lookup(
-        messages.filter(in_thread() & F.col("is_thread_reply")),
+        _numbered_replies(messages),
         known,
         THREAD_KEY,
         "left_semi",
         spread=["message_id"],
+        rows="thread_rows",
     )
-    replies = number_rows(replies, THREAD_KEY, "event_ts", ["message_id"], "no", HOUR)
+    replies = with_columns_of(replies, messages.select(*MESSAGE_KEY, "user_real_name", "text"))
     name = F.coalesce(blank_to_null(F.col("user_real_name")), F.lit("Unknown"))
     reply = text_of(
         "  ", F.col("no").cast("string"), ". (", F.date_format("event_ts", "HH:mm:ss"), ") ",
@@ -74,19 +100,21 @@ def thread_reports(messages: DataFrame, tickets: DataFrame) -> DataFrame:
     )
     newest = latest_tickets(tickets.select("ticket_id", "summary", "status", "cached_at", "dt"))
     pairs = thread_members(messages, F.explode("jira_tickets"), "ticket_id")
-    pairs = lookup(pairs, known, THREAD_KEY, "left_semi", spread=["ticket_id"])
+    pairs = lookup(
+        pairs, known, THREAD_KEY, "left_semi", spread=["ticket_id"], rows="thread_rows"
+    )
     details = newest.select(
-        "ticket_id", text_of(": ", or_empty(F.col("summary")), " [", or_empty(F.col("status")), "]").alias("d")
+        "ticket_id",
+        text_of(": ", or_empty(F.col("summary")), " [", or_empty(F.col("status")), "]").alias("d"),
     )
     listed = lookup(pairs, details, ["ticket_id"], spread=THREAD_KEY)
     ticket = text_of(
         "  • ", F.col("ticket_id"), F.coalesce("d", F.lit(": (Could not fetch details)"))
     )
-    with_any = heads.filter(F.col("ticket_count") > 0)
+    always = F.lit(True)
     return stack(
-        emit(heads, head),
+        emit_parts(heads, [(always, 0, F.array(*head)), (always, 2, F.array(*listing))]),
         emit(replies.select("*", view), [reply], part=F.lit(1), reply_no=F.col("no")),
-        emit(with_any, [F.lit(""), F.lit("JIRA TICKETS MENTIONED:")], part=F.lit(2)),
         # The ticket id itself is the order inside the block, so no list has to be built.
         emit(
             listed.select("*", view),
@@ -98,6 +126,13 @@ def thread_reports(messages: DataFrame, tickets: DataFrame) -> DataFrame:
     )
 
 
+def _plain_names(text: Column) -> Column:
+    """Mentions as bare names, the older form; unknown ids stay as they are."""
+    names = F.col("mention_names")
+    plain = rewrite_tokens(text, MENTION_PATTERN, 1, lambda key: F.try_element_at(names, key))
+    return F.when(names.isNull(), text).otherwise(plain)
+
+
 def _digest_text(indent: str) -> Column:
     """Message text with attachments; later lines keep the digest's fixed indent."""
     files = text_of(
@@ -142,114 +177,99 @@ def window_digests(
     Roots are all non-replies of the window, each with all replies of its thread even from
     outside the window. Replies whose root is not in the window follow at the end.
     """
-    plain = names.select("user_id", F.col("name"))
+    shared_folder(messages.sparkSession)
     view = F.col("channel").alias("view_id")
     is_reply = F.coalesce(blank_to_null(F.col("thread_ts")) != F.col("message_id"), F.lit(False))
-
-    def texts(rows: DataFrame) -> DataFrame:
-        named = resolved(rows, plain)
-        named = named.withColumn("text", F.col("resolved_text")).drop("resolved_text")
-        return annotate(named, tickets)
-
+    narrow = ["channel", "message_id", "thread_ts", "event_ts"]
+    inside = window.select(*narrow)
     roots = number_rows(
-        window.filter(~is_reply), ["channel"], "event_ts", ["message_id"], "no"
-    )
+        inside.filter(~is_reply), ["channel"], "event_ts", ["message_id"], "no"
+    ).checkpoint()
     keys = roots.select("channel", F.col("message_id").alias("thread_ts"), "no")
-    replies = messages.filter(is_reply)
-    nested_rows = number_rows(
-        lookup(replies, keys, THREAD_KEY, "inner", spread=["message_id"]),
-        THREAD_KEY,
-        "event_ts",
-        ["message_id"],
-        "reply_no",
-        HOUR,
+    replies = messages.filter(is_reply).select(*narrow)
+    replies = number_rows(replies, THREAD_KEY, "event_ts", ["message_id"], "reply_no", HOUR)
+    nested = lookup(replies, keys, THREAD_KEY, "inner", spread=["message_id"]).checkpoint()
+    threaded = nested.filter(F.col("reply_no") == 1).select(
+        "channel", F.col("thread_ts").alias("message_id"), F.lit(True).alias("threaded")
     )
-    late = window.filter(is_reply)
-    orphan = lookup(late, keys.drop("no"), THREAD_KEY, "left_anti", spread=["message_id"])
-    orphan = number_rows(orphan, ["channel"], "event_ts", ["message_id"], "late_no")
-    counts = window.groupBy(view).agg(
+    late = inside.filter(is_reply)
+    orphans = lookup(late, keys.drop("no"), THREAD_KEY, "left_anti", spread=["message_id"])
+    orphans = number_rows(orphans, ["channel"], "event_ts", ["message_id"], "late_no")
+    counts = inside.groupBy(view).agg(
         F.count_if(~is_reply).alias("roots"), F.count_if(is_reply).alias("replies")
     )
-    active = (
-        late.select("channel", "thread_ts").distinct().groupBy(view).agg(F.count("*").alias("active"))
-    )
+    per_thread = late.groupBy("channel", "thread_ts").agg(F.count("*").alias("n"))
+    active = per_thread.groupBy(view).agg(F.count("*").alias("active"))
     totals = counts.join(active, "view_id", "left").withColumn(
         "active", F.coalesce("active", F.lit(0))
     )
-    has_replies = nested_rows.select(*THREAD_KEY).distinct().select(
-        "channel", F.col("thread_ts").alias("message_id"), F.lit(True).alias("threaded")
+    placed = stack(
+        with_columns_of(roots, threaded).withColumn("kind", F.lit("root")),
+        nested.withColumn("kind", F.lit("reply")),
+        orphans.withColumn("kind", F.lit("late")),
+    )
+    shown = messages.select(*MESSAGE_KEY, "text", "user_real_name", "reactions", "files")
+    rows = with_columns_of(
+        placed, shown, mention_names(messages, names), ticket_notes(messages, tickets)
     )
-    root_rows = lookup(texts(roots), has_replies, MESSAGE_KEY).select("*", view)
-    reply_rows = texts(nested_rows).select("*", view)
-    orphan_rows = texts(orphan).select("*", view).join(
-        counts.select("view_id", "roots"), "view_id"
+    rows = rows.select("*", view).join(
+        counts.select("view_id", F.col("roots").alias("_roots")), "view_id"
     )
+    rows = rows.withColumn("annotated_text", annotated(_plain_names(F.col("text"))))
+    kind = F.col("kind")
+    late_number = F.col("_roots") + F.col("late_no")
     label = F.when(F.col("thread_ts").isNotNull(), "  🧵 THREAD REPLIES:").otherwise(
         "  🧵 THREAD REPLIES (within time window):"
     )
     rule = [F.lit(""), F.lit("-" * 60), F.lit("")]
-    threaded = F.coalesce("threaded", F.lit(False))
-    number = F.col("no")
-    late_number = F.col("roots") + F.col("late_no")
-    return stack(
-        emit(
-            totals,
-            [
-                F.lit("=" * 80),
-                text_of("📱 SLACK CHANNEL: ", F.col("view_id")),
-                F.lit(f"⏰ TIME WINDOW: {window_text}"),
-                F.lit("=" * 80),
-                F.lit(""),
-            ],
-            section=F.lit(0),
-        ),
-        emit(
-            root_rows,
-            [
-                text_of("💬 MESSAGE #", number.cast("string")),
-                text_of("👤 ", _digest_head(as_of)),
-                _digest_text(""),
-                *some(threaded, F.lit(""), label),
-            ],
-            item_no=number,
-        ),
-        emit(
-            reply_rows,
-            [
-                text_of("    ↳ REPLY #", F.col("reply_no").cast("string"), ":     👤 ", _digest_head(as_of)),
-                _digest_text("    "),
-            ],
-            item_no=number,
-            part=F.lit(1),
-            reply_no=F.col("reply_no"),
-        ),
-        emit(root_rows, rule, item_no=number, part=F.lit(2)),
-        emit(
-            orphan_rows.filter(F.col("late_no") == 1),
-            [F.lit("🔗 ORPHANED THREAD REPLIES (parent messages outside time window):"), F.lit("")],
-            bucket_part=F.lit(2),
-        ),
-        emit(
-            orphan_rows,
-            [
-                text_of("💬 MESSAGE #", late_number.cast("string"), " (📎 Reply to older thread)"),
-                text_of("👤 ", _digest_head(as_of)),
-                _digest_text(""),
-                *rule,
-            ],
-            bucket_part=F.lit(2),
-            item_no=late_number,
-        ),
-        emit(
-            totals,
-            [
-                F.lit("📊 CONVERSATION SUMMARY:"),
-                text_of("   • Total Messages: ", F.col("roots").cast("string")),
-                text_of("   • Total Thread Replies: ", F.col("replies").cast("string")),
-                text_of("   • Active Threads: ", F.col("active").cast("string")),
-            ],
-            section=F.lit(2),
+    root_lines = [
+        text_of("💬 MESSAGE #", F.col("no").cast("string")),
+        text_of("👤 ", _digest_head(as_of)),
+        _digest_text(""),
+        *some(F.coalesce("threaded", F.lit(False)), F.lit(""), label),
+    ]
+    reply_lines = [
+        text_of("    ↳ REPLY #", F.col("reply_no").cast("string"), ":     👤 ", _digest_head(as_of)),
+        _digest_text("    "),
+    ]
+    late_lines = [
+        *some(
+            F.col("late_no") == 1,
+            F.lit("🔗 ORPHANED THREAD REPLIES (parent messages outside time window):"),
+            F.lit(""),
         ),
+        text_of("💬 MESSAGE #", late_number.cast("string"), " (📎 Reply to older thread)"),
+        text_of("👤 ", _digest_head(as_of)),
+        _digest_text(""),
+        *rule,
+    ]
+    body = emit_parts(
+        rows,
+        [
+            (kind == "root", 0, F.array(*root_lines)),
+            (kind == "reply", 1, F.array(*reply_lines)),
+            (kind == "root", 2, F.array(*rule)),
+            (kind == "late", 3, F.array(*late_lines)),
+        ],
+        bucket_part=F.when(kind == "late", 2).otherwise(1),
+        item_no=F.coalesce("no", late_number),
+        reply_no=F.coalesce("reply_no", F.lit(0)),
+    )
+    head = [
+        F.lit("=" * 80),
+        text_of("📱 SLACK CHANNEL: ", F.col("view_id")),
+        F.lit(f"⏰ TIME WINDOW: {window_text}"),
+        F.lit("=" * 80),
+        F.lit(""),
+    ]
+    foot = [
+        F.lit("📊 CONVERSATION SUMMARY:"),
+        text_of("   • Total Messages: ", F.col("roots").cast("string")),
+        text_of("   • Total Thread Replies: ", F.col("replies").cast("string")),
+        text_of("   • Active Threads: ", F.col("active").cast("string")),
+    ]
+    return stack(
+        emit(totals, head, section=F.lit(0)), body, emit(totals, foot, section=F.lit(2))
     )
 
 
@@ -260,30 +280,48 @@ def message_texts(
 
     A thread's replies stand once, under its root, not again under every reply.
     """
-    named = resolved(messages, names).join(reaction_lines(messages, users), MESSAGE_KEY, "left")
-    reactions = F.when(
-        or_empty(F.col("reaction_lines")) != "", F.concat(F.lit("\nReactions: "), "reaction_lines")
-    ).otherwise("")
     facts = thread_facts(messages).filter(F.col("parent").isNotNull())
+    facts = facts.select(*THREAD_KEY, "present", "thread_rows")
     opened = facts.select(
         "channel", F.col("thread_ts").alias("message_id"), F.col("present").alias("replies")
     )
-    roots = lookup(named, opened, MESSAGE_KEY)
-    roots = roots.withColumn("replies", F.when(F.col("is_thread_parent"), F.col("replies")))
+    placed = lookup(
+        _numbered_replies(messages),
+        facts,
+        THREAD_KEY,
+        "inner",
+        spread=["message_id"],
+        rows="thread_rows",
+    ).select(*MESSAGE_KEY, "no", "present")
+    shown = messages.select(
+        *MESSAGE_KEY, "thread_ts", "event_ts", "user_real_name", "text", "files", "is_thread_parent"
+    )
+    rows = with_columns_of(
+        shown, opened, placed, mention_names(messages, names), reaction_lines(messages, users)
+    )
+    rows = rows.withColumns(
+        {
+            "replies": F.when(F.col("is_thread_parent"), F.col("replies")),
+            "resolved_text": _plain_names(F.col("text")),
+            "view_id": F.concat_ws("/", *MESSAGE_KEY),
+        }
+    )
+    reactions = F.when(
+        or_empty(F.col("reaction_lines")) != "", F.concat(F.lit("\nReactions: "), "reaction_lines")
+    ).otherwise("")
     urls = F.filter(F.transform("files", lambda f: f["url"]), lambda u: u.isNotNull())
     attached = F.when(
         F.size(urls) > 0, F.concat(F.lit("\nFile URLs:\n"), F.array_join(urls, "\n"))
     ).otherwise("")
-    opening = F.col("replies").isNotNull()
-    own = text_of(
-        "\n", F.date_format("event_ts", "yyyy-MM-dd HH:mm:ss"), " - ", who(), ": ",
+    said = text_of(
+        F.date_format("event_ts", "yyyy-MM-dd HH:mm:ss"), " - ", who(), ": ",
         or_empty(F.col("resolved_text")), reactions,
     )
+    end = F.lit(" << REPLIES_END MESS_END")
     closing = F.when(
-        opening,
+        F.col("replies").isNotNull(),
         F.concat(
-            F.lit(" >> REPLIES_START : "), own,
-            F.when(F.col("replies") == 0, " << REPLIES_END MESS_END").otherwise(""),
+            F.lit(" >> REPLIES_START : \n"), said, F.when(F.col("replies") == 0, end).otherwise("")
         ),
     ).otherwise(" MESS_END")
     minute = F.date_trunc("minute", "event_ts")
@@ -292,25 +330,17 @@ def message_texts(
         relative_short(minute, as_of), " - ", who(), ": ", or_empty(F.col("resolved_text")),
         attached, reactions, closing,
     )
-    replies = lookup(
-        named.filter(in_thread() & F.col("is_thread_reply")),
-        facts.select(*THREAD_KEY, "present"),
-        THREAD_KEY,
-        "inner",
-        spread=["message_id"],
-    )
-    replies = number_rows(replies, THREAD_KEY, "event_ts", ["message_id"], "no", HOUR)
-    last = F.when(F.col("no") == F.col("present"), " << REPLIES_END MESS_END").otherwise("")
-    line = text_of(
-        F.date_format("event_ts", "yyyy-MM-dd HH:mm:ss"), " - ", who(), ": ",
-        or_empty(F.col("resolved_text")), reactions, last,
+    # The one pass over the wide rows gives a message its own text and, for a reply, its
+    # line below the root.
+    in_root = F.struct(
+        F.concat_ws("/", *THREAD_KEY).alias("view_id"), F.lit(1).alias("part"),
+        F.col("no").alias("reply_no"),
+        F.concat(said, F.when(F.col("no") == F.col("present"), end).otherwise("")).alias("line"),
     )
-    return stack(
-        emit(roots.withColumn("view_id", F.concat_ws("/", *MESSAGE_KEY)), [text]),
-        emit(
-            replies.withColumn("view_id", F.concat_ws("/", *THREAD_KEY)),
-            [line],
-            part=F.lit(1),
-            reply_no=F.col("no"),
-        ),
+    own = F.struct(
+        F.col("view_id"), F.lit(0).alias("part"), F.lit(0).cast("bigint").alias("reply_no"),
+        text.alias("line"),
     )
+    entries = F.when(F.col("no").isNotNull(), F.array(own, in_root)).otherwise(F.array(own))
+    flat = rows.select(F.inline(entries))
+    return emit(flat, [F.col("line")], part=F.col("part"), reply_no=F.col("reply_no"))

@@ -24,10 +24,11 @@ from ..functions.text import (
     without_prefix,
 )
 from ..operators.metrics import view_footer, view_metrics
-from ..operators.people import first_stakeholders, resolved
-from ..operators.threads import numbered
-from ..operators.tickets import enrich
-from .lines import emit, some, stack
+from ..operators.people import first_stakeholders, mention_names, with_names
+from ..operators.threads import MESSAGE_KEY, structure, with_columns_of
+from ..operators.tickets import ticket_metadata
+from ..session import shared_folder
+from .lines import emit, emit_parts, some, stack
 
 THICK, THIN, MEDIUM = "=" * 80, "-" * 60, "-" * 50
 TICKETS_LABEL, REACTIONS_LABEL, FILES_LABEL = "🎫 JIRA", "😊 Reactions: ", "📎 Files: "
@@ -103,18 +104,30 @@ def _block(lines: Sequence[Column], indent: str) -> Column:
     )
 
 
-def prepared(
-    messages: DataFrame, tickets: DataFrame, names: DataFrame | None
-) -> DataFrame:
-    """Messages with ticket metadata and, unless ``names`` is None, resolved mentions."""
-    rich = enrich(messages, tickets)
-    if names is None:
-        return rich.withColumn("resolved_text", F.col("text"))
-    return resolved(rich, names)
+def view_rows(
+    messages: DataFrame,
+    tickets: DataFrame,
+    names: DataFrame | None,
+    bucket: str | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """The views' thread structure, and the same rows with everything a line shows.
+
+    ``messages`` carry the ``view_id`` they belong to, one view per message. Mentions stay
+    unresolved when ``names`` is None.
+    """
+    layout = structure(messages, ["view_id"], ["view_id"], bucket)
+    shown = messages.select(
+        *MESSAGE_KEY, "text", "timestamp", "reactions", "files", "jira_tickets"
+    )
+    sides = [shown, ticket_metadata(messages, tickets)]
+    if names is not None:
+        sides.append(mention_names(messages, names))
+    rows = with_columns_of(layout, *sides)
+    text = F.col("text") if names is None else with_names(F.col("text"))
+    return layout, rows.withColumn("resolved_text", text)
 
 
-def _replies(rows: DataFrame, as_of: Column, **order: Column) -> DataFrame:
-    replies = rows.filter(F.col("depth") == 1)
+def _reply_block(as_of: Column) -> Column:
     lines = [
         text_of(
             "    ↳ REPLY #", F.col("reply_no").cast("string"), ": ", who(), " at ",
@@ -123,14 +136,7 @@ def _replies(rows: DataFrame, as_of: Column, **order: Column) -> DataFrame:
         text_of("       ", or_empty(F.col("resolved_text"))),
         *_extras("       ", types=False),
     ]
-    return emit(
-        replies,
-        _block(lines, "       "),
-        item_no=F.col("message_no"),
-        part=F.lit(1),
-        reply_no=F.col("reply_no"),
-        **order,
-    )
+    return _block(lines, "       ")
 
 
 def _some_missing() -> Column:
@@ -139,8 +145,8 @@ def _some_missing() -> Column:
 
 
 def message_blocks(rows: DataFrame, as_of: Column, show_channel: bool = False) -> DataFrame:
-    """Body lines of numbered, prepared rows: messages, nested replies, clip hints, rules."""
-    tops = rows.filter(F.col("depth") == 0)
+    """Body lines of view rows: messages, nested replies, clip hints, rules."""
+    top = F.col("depth") == 0
     clipped = F.col("is_clipped_thread") | F.col("is_orphaned_reply")
     threaded = F.col("present_replies") > 0
     count = text_of(
@@ -167,11 +173,15 @@ def message_blocks(rows: DataFrame, as_of: Column, show_channel: bool = False) -
     )
     hint = F.lit("  💡 Thread may have additional replies outside this time range")
     tail = [*some(threaded & _some_missing(), F.lit(""), hint), F.lit(""), F.lit(THIN), F.lit("")]
-    number = F.col("message_no")
-    return stack(
-        emit(tops, F.concat(_block(lines, "   "), after), item_no=number),
-        _replies(rows, as_of),
-        emit(tops, tail, item_no=number, part=F.lit(2)),
+    return emit_parts(
+        rows,
+        [
+            (top, 0, F.concat(_block(lines, "   "), after)),
+            (~top, 1, _reply_block(as_of)),
+            (top, 2, F.array(*tail)),
+        ],
+        item_no=F.col("message_no"),
+        reply_no=F.col("reply_no"),
     )
 
 
@@ -324,20 +334,16 @@ def split_empty(views: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame
 
 
 def _framed(
-    views: DataFrame,
-    rows: DataFrame,
-    body: DataFrame,
-    scope: Sequence[str],
-    org: Organisation,
+    views: DataFrame, layout: DataFrame, body: DataFrame, org: Organisation
 ) -> DataFrame:
-    filled, empty = split_empty(views, rows)
+    filled, empty = split_empty(views, layout)
     metrics = None
     if org.stakeholders is not None:
-        metrics = view_metrics(rows, ["view_id"], org.stakeholders, scope=scope)
+        metrics = view_metrics(layout, ["view_id"], org.stakeholders)
     return stack(
         header_lines(filled, metrics, org),
         body,
-        footer_lines(view_footer(rows, ["view_id"], scope)),
+        footer_lines(view_footer(layout, ["view_id"])),
         empty_lines(empty),
     )
 
@@ -350,22 +356,27 @@ def channel_view(
     as_of: Column,
     org: Organisation = Organisation(),
 ) -> DataFrame:
-    """Single-channel views; ``messages`` carry the ``view_id`` they belong to."""
-    rows = numbered(prepared(messages, tickets, names), ["view_id"], ["view_id"])
-    return _framed(views, messages, message_blocks(rows, as_of), ["view_id"], org)
+    """Single-channel views of messages that carry their ``view_id``."""
+    layout, rows = view_rows(messages, tickets, names)
+    return _framed(views, layout, message_blocks(rows, as_of), org)
 
 
 def user_view(
     views: DataFrame,
     timeline: DataFrame,
+    tickets: DataFrame,
     names: DataFrame | None,
     as_of: Column,
     org: Organisation = Organisation(),
 ) -> DataFrame:
-    """One user's enriched timeline over several channels; every message names its channel."""
-    text = timeline.withColumn("resolved_text", F.col("text")) if names is None else resolved(timeline, names)
-    rows = numbered(text, ["view_id"], ["view_id"])
-    return _framed(views, timeline, message_blocks(rows, as_of, True), ["view_id"], org)
+    """A user's timeline over several channels; every message names its channel.
+
+    The timeline is a small part of the messages and is made durable, because it is read
+    several times.
+    """
+    shared_folder(timeline.sparkSession)
+    layout, rows = view_rows(timeline.checkpoint(), tickets, names)
+    return _framed(views, layout, message_blocks(rows, as_of, True), org)
 
 
 def bucketed_view(
@@ -378,9 +389,9 @@ def bucketed_view(
     org: Organisation = Organisation(),
 ) -> DataFrame:
     """Multi-channel views in hour or day buckets, by channel inside a bucket."""
-    rows = numbered(prepared(messages, tickets, names), ["view_id"], ["view_id"], bucket)
+    layout, rows = view_rows(messages, tickets, names, bucket)
     at = F.date_format("bucket", "yyyy-MM-dd'T'HH:mm:ss")
-    tops = rows.filter(F.col("depth") == 0)
+    top = F.col("depth") == 0
     threaded = F.col("present_replies") > 0
     lines = [
         text_of("  💬 ", who(), " at ", stamp_short(F.col("timestamp")), ":"),
@@ -389,8 +400,9 @@ def bucketed_view(
     ]
     after = F.array(*some(threaded, F.lit(""), F.lit("  🧵 THREAD REPLIES:")))
     inside = {"bucket": at, "channel_group": F.col("channel")}
-    number = F.col("message_no")
-    per_channel = tops.groupBy("view_id", "bucket", "channel").agg(F.count("*").alias("n"))
+    per_channel = layout.filter(top).groupBy("view_id", "bucket", "channel").agg(
+        F.count("*").alias("n")
+    )
     per_bucket = per_channel.groupBy("view_id", "bucket").agg(
         F.sum("n").alias("n"), F.count("*").alias("channels")
     )
@@ -408,13 +420,22 @@ def bucketed_view(
         text_of("📱 #", F.col("channel"), " (", F.col("n").cast("string"), " messages)"),
         F.lit(""),
     ]
+    messages_body = emit_parts(
+        rows,
+        [
+            (top, 0, F.concat(_block(lines, "     "), after)),
+            (~top, 1, _reply_block(as_of)),
+            (top, 2, F.array(F.lit(""))),
+        ],
+        item_no=F.col("message_no"),
+        reply_no=F.col("reply_no"),
+        **inside,
+    )
     body = stack(
         emit(per_bucket, bucket_head, bucket=at, bucket_part=F.lit(0)),
         emit(per_channel, channel_head, channel_part=F.lit(0), **inside),
-        emit(tops, F.concat(_block(lines, "     "), after), item_no=number, **inside),
-        _replies(rows, as_of, **inside),
-        emit(tops, [F.lit("")], item_no=number, part=F.lit(2), **inside),
+        messages_body,
         emit(per_channel, [F.lit(MEDIUM), F.lit("")], channel_part=F.lit(2), **inside),
         emit(per_bucket, [F.lit(THICK), F.lit("")], bucket=at, bucket_part=F.lit(2)),
     )
-    return _framed(views, messages, body, ["view_id"], org)
+    return _framed(views, layout, body, org)
