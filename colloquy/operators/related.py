@@ -94,10 +94,11 @@ def nearest_to(vectors: DataFrame, vec_id: int, k: int = 10) -> DataFrame:
     """The ``k`` nearest vectors of a stored one, itself included."""
     query = vectors.filter(F.col("vec_id") == vec_id).select(F.max("embedding")).scalar()
     return (
-        vectors.withColumn("score", cosine(F.col("embedding"), query))
+        vectors.withColumn("_query", query)
+        .withColumn("score", cosine(F.col("embedding"), F.col("_query")))
         .orderBy(F.desc("score"), "vec_id")
         .limit(k)
-        .drop("embedding")
+        .drop("embedding", "_query")
     )
 
 

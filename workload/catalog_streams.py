@@ -1,0 +1,195 @@
+"""Streaming jobs over file sources, and relations between messages, people and tickets."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from colloquy import schemas
+from colloquy.functions import instants
+from colloquy.operators import related
+from colloquy.operators.tickets import mentioned
+from colloquy.session import fresh_folder
+from colloquy.sources import tables
+from colloquy.streaming import jobs
+
+from .adapter import Chat
+from .registry import query
+
+
+def _landed(c: Chat, copies: int = 1) -> str:
+    """A landing folder with every stored message ``copies`` times."""
+    folder = fresh_folder(c.spark, "landing")
+    rows = c.messages.select(*schemas.MESSAGES_STORED.fieldNames())
+    for _ in range(copies):
+        rows.write.mode("append").parquet(folder)
+    return folder
+
+
+@query("X1 K1", "SELECT dt, channel, message_id, text FROM messages")
+def streamed_upsert(c: Chat) -> DataFrame:
+    """Two copies of every message arrive in micro-batches and are stored once."""
+    root = fresh_folder(c.spark, "streamed-store")
+    stream = jobs.message_stream(c.spark, _landed(c, 2))
+    jobs.upsert_stream(stream, root, fresh_folder(c.spark, "progress")).awaitTermination()
+    return tables.read_messages(c.spark, root).select("dt", "channel", "message_id", "text")
+
+
+@query("X2", "SELECT channel, message_id FROM messages")
+def streamed_without_repeats(c: Chat) -> DataFrame:
+    stream = jobs.message_stream(c.spark, _landed(c, 2))
+    unique = jobs.without_repeats(stream).select("channel", "message_id")
+    path = fresh_folder(c.spark, "unique")
+    jobs.append_rows(unique, path, fresh_folder(c.spark, "progress")).awaitTermination()
+    return c.spark.read.schema("channel string, message_id string").parquet(path)
+
+
+@query(
+    "X3 B1",
+    """SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS bucket_start, channel,
+  count(*) AS messages FROM messages GROUP BY ALL""",
+)
+def streamed_hour_counts(c: Chat) -> DataFrame:
+    counts = jobs.windowed_counts(jobs.message_stream(c.spark, _landed(c)))
+    path = fresh_folder(c.spark, "counts")
+    jobs.changed_rows(counts, path, fresh_folder(c.spark, "progress")).awaitTermination()
+    rows = jobs.latest_changes(c.spark, path, ["bucket_start", "channel"])
+    return rows.withColumn("bucket_start", F.date_format("bucket_start", "yyyy-MM-dd HH:mm:ss"))
+
+
+@query(
+    "X4",
+    """, gaps AS (
+  SELECT channel, ts, CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w >= INTERVAL 30 MINUTE
+    THEN 1 ELSE 0 END AS opens FROM messages WINDOW w AS (PARTITION BY channel ORDER BY ts)
+), numbered AS (
+  SELECT channel, ts, sum(opens) OVER (PARTITION BY channel ORDER BY ts) AS no FROM gaps
+)
+SELECT channel, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS session_start,
+  strftime(max(ts) + INTERVAL 30 MINUTE, '%Y-%m-%d %H:%M:%S.%f') AS session_end, count(*) AS messages
+FROM numbered GROUP BY channel, no
+HAVING max(ts) + INTERVAL 30 MINUTE <= (SELECT max(ts) - INTERVAL 1 DAY FROM messages)""",
+)
+def streamed_sessions(c: Chat) -> DataFrame:
+    """Sessions that no late message can reopen any more."""
+    sessions = jobs.conversation_sessions(jobs.message_stream(c.spark, _landed(c)))
+    path = fresh_folder(c.spark, "sessions")
+    jobs.append_rows(sessions, path, fresh_folder(c.spark, "progress")).awaitTermination()
+    rows = c.spark.read.schema(
+        "session_start timestamp, session_end timestamp, channel string, messages bigint"
+    ).parquet(path)
+    form = "yyyy-MM-dd HH:mm:ss.SSSSSS"
+    return rows.withColumn("session_start", F.date_format("session_start", form)).withColumn(
+        "session_end", F.date_format("session_end", form)
+    )
+
+
+@query(
+    "G1",
+    """SELECT 'user:' || user_id AS source, 'msg:' || channel || '/' || message_id AS target,
+  'posted' AS edge_type FROM messages
+UNION ALL SELECT 'msg:' || channel || '/' || message_id, 'msg:' || channel || '/' || thread_ts, 'replied_to'
+  FROM messages WHERE is_thread_reply
+UNION ALL SELECT 'msg:' || channel || '/' || message_id, 'thread:' || channel || '/' || thread_ts, 'part_of'
+  FROM messages WHERE is_thread_reply OR is_thread_parent
+UNION ALL SELECT 'msg:' || channel || '/' || message_id, 'jira:' || ticket_id, 'references' FROM mt
+UNION ALL SELECT DISTINCT 'user:' || user_id, 'msg:' || channel || '/' || message_id, 'mentioned' FROM mm
+UNION ALL SELECT DISTINCT 'user:' || user_id, 'channel:' || channel, 'active_in' FROM messages""",
+)
+def edge_list(c: Chat) -> DataFrame:
+    return related.edge_list(c.messages)
+
+
+@query(
+    "G2",
+    """SELECT ticket_id, user_id, count(DISTINCT channel) AS channels FROM mt GROUP BY ALL
+HAVING count(DISTINCT channel) > 1""",
+)
+def users_across_channels(c: Chat) -> DataFrame:
+    return related.users_across_channels(c.messages)
+
+
+_SCORES = """, scored AS (
+  SELECT e.vec_id, e.label, list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS s
+  FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q
+), near AS (SELECT vec_id, label, round(s, 6) AS score FROM scored ORDER BY s DESC, vec_id LIMIT 10)"""
+
+
+@query("G3", _SCORES + " SELECT vec_id, label, score FROM near")
+def nearest_vectors(c: Chat) -> DataFrame:
+    return related.nearest_to(c.vectors, 0).withColumn("score", F.round("score", 6))
+
+
+@query("G3", _SCORES + " SELECT vec_id, label, score FROM near WHERE score > 0.85 AND vec_id <> 0")
+def near_duplicate_vectors(c: Chat) -> DataFrame:
+    return related.near_duplicates(c.vectors, 0).withColumn("score", F.round("score", 6))
+
+
+def similar_messages(c: Chat) -> DataFrame:
+    """Edges between a message and the one before it in the same hour on the same ticket,
+    scored by how close in time they are."""
+    hour = F.date_trunc("hour", "event_ts")
+    rows = mentioned(c.messages, "event_ts").select(
+        "ticket_id", "event_ts", hour.alias("hour"),
+        F.concat_ws("/", "channel", "message_id").alias("a"),
+    )
+    order = W.partitionBy("ticket_id", "hour").orderBy("event_ts", "a")
+    gap = (F.unix_micros("event_ts") - F.unix_micros(F.lag("event_ts").over(order))) / 3_600_000_000
+    return (
+        rows.withColumn("b", F.lag("a").over(order))
+        .withColumn("score", 1.0 - gap)
+        .filter(F.col("b").isNotNull())
+        .select("a", "b", "score")
+    )
+
+
+@query(
+    "G4",
+    """, pairs AS (
+  SELECT channel || '/' || message_id AS a, lag(channel || '/' || message_id) OVER w AS b,
+    1.0 - (us - lag(us) OVER w) / 3600000000.0 AS score
+  FROM (SELECT mt.*, epoch_us(ts) AS us FROM mt)
+  WINDOW w AS (PARTITION BY ticket_id, date_trunc('hour', ts) ORDER BY ts, channel || '/' || message_id)
+), sim AS (SELECT a, b FROM pairs WHERE score > 0.7 AND a <> b),
+both_ways AS (SELECT a, b FROM sim UNION SELECT b, a FROM sim)
+SELECT node, min(seen) AS cluster FROM (
+  WITH RECURSIVE reach(node, seen) AS (
+    SELECT a, a FROM both_ways UNION SELECT b, b FROM both_ways
+    UNION SELECT r.node, e.b FROM reach r JOIN both_ways e ON e.a = r.seen
+  ) SELECT * FROM reach) GROUP BY node""",
+)
+def message_clusters(c: Chat) -> DataFrame:
+    return related.clusters(similar_messages(c))
+
+
+@query(
+    "G5",
+    """SELECT label AS topic_id, count(*) AS messages, count(DISTINCT channel) AS channel_count,
+  string_agg(DISTINCT channel, '|' ORDER BY channel) AS channels
+FROM (SELECT label, CASE WHEN vec_id // 15 % 3 = 0 THEN 'ch0' ELSE 'ch' || (vec_id // 15 % 7) END AS channel
+      FROM embeddings) GROUP BY label HAVING count(*) > 1""",
+)
+def topics_across_channels(c: Chat) -> DataFrame:
+    h = F.floor(F.col("vec_id") / 15).cast("bigint")
+    rows = c.vectors.select(
+        F.col("label").alias("topic_id"),
+        F.when(h % 3 == 0, "ch0").otherwise(F.concat(F.lit("ch"), h % 7)).alias("channel"),
+        F.col("vec_id").cast("string").alias("message_id"),
+    )
+    return related.topics(rows).withColumn("channels", F.array_join("channels", "|"))
+
+
+@query(
+    "G6",
+    """, aged AS (
+  SELECT ticket_id, (epoch_us(TIMESTAMP '2024-01-31 00:00:00') - epoch_us(ts)) // 86400000000 AS age FROM mt
+), counted AS (
+  SELECT ticket_id, count_if(age < 7) AS current_mentions, count_if(age >= 7) AS earlier_mentions
+  FROM aged WHERE age BETWEEN 0 AND 27 GROUP BY ticket_id
+)
+SELECT *, CASE WHEN earlier_mentions = 0 THEN 'appearing' WHEN current_mentions = 0 THEN 'fading'
+  ELSE 'persisting' END AS state FROM counted""",
+)
+def topic_states(c: Chat) -> DataFrame:
+    return related.topic_states(c.messages, instants.instant("2024-01-31T00:00:00Z"))
