@@ -22,29 +22,19 @@ def number_rows(
     """Number rows 1, 2, 3 … per group in order of ``ts``, then ``ties``.
 
     The group is cut into time slices of ``grain`` seconds. Rows are numbered inside
-    their slice, and each slice gets the count of all earlier slices from a small
-    table (first within the day, then over days). A busy group is so spread over as
-    many tasks as it has slices; no task sees the whole group.
+    their slice, and each slice gets the count of all earlier slices of its group. A busy
+    group is so spread over as many tasks as it has slices; the only table that one task
+    sees whole per group has one small row per slice, so it grows with the time span and
+    not with the rows.
     """
     group = list(group)
     slice_no = F.coalesce(F.floor(F.unix_seconds(F.col(ts)) / grain), F.lit(-1)).cast("bigint")
-    per_day = max(1, 86_400 // grain)
     cut = df.withColumn("_slice", slice_no)
-    counts = cut.groupBy(*group, "_slice").agg(F.count("*").alias("_n"))
-    counts = counts.withColumn("_day", F.floor(F.col("_slice") / per_day).cast("bigint"))
-    before = (W.unboundedPreceding, -1)
-    in_day = W.partitionBy(*group, "_day").orderBy("_slice").rowsBetween(*before)
-    over_days = W.partitionBy(*group).orderBy("_day").rowsBetween(*before)
-    days = (
-        counts.groupBy(*group, "_day")
-        .agg(F.sum("_n").alias("_day_n"))
-        .withColumn("_day_base", F.coalesce(F.sum("_day_n").over(over_days), F.lit(0)))
-        .drop("_day_n")
-    )
+    earlier = W.partitionBy(*group).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
     bases = (
-        counts.withColumn("_slice_base", F.coalesce(F.sum("_n").over(in_day), F.lit(0)))
-        .join(days, [*group, "_day"])
-        .select(*group, "_slice", (F.col("_day_base") + F.col("_slice_base")).alias("_base"))
+        cut.groupBy(*group, "_slice")
+        .agg(F.count("*").alias("_n"))
+        .select(*group, "_slice", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_base"))
     )
     inside = W.partitionBy(*group, "_slice").orderBy(ts, *ties)
     numbered = cut.withColumn("_inside", F.row_number().over(inside))

@@ -24,7 +24,7 @@ USERS_CACHED_AT = "2024-01-15T00:00:00"
 RUN_DAY = "2024-01-31"
 PAYLOAD_REPLIES = 200
 
-_roots: dict[tuple[str, str], str] = {}
+_chats: dict[tuple[str, str], Chat] = {}
 
 
 def _text(*parts: Column | str) -> Column:
@@ -282,22 +282,19 @@ class Chat:
 
     @cached_property
     def root(self) -> str:
-        key = (self.spark.sparkContext.applicationId, self.sf_dir)
-        if key not in _roots:
-            root = fresh_folder(self.spark, "chat-store")
-            build_store(self.spark, self.sf_dir, root)
-            _roots[key] = root
-        return _roots[key]
+        root = fresh_folder(self.spark, "chat-store")
+        build_store(self.spark, self.sf_dir, root)
+        return root
 
-    @property
+    @cached_property
     def messages(self) -> DataFrame:
         return tables.read_messages(self.spark, self.root)
 
-    @property
+    @cached_property
     def tickets(self) -> DataFrame:
         return tables.read_tickets(self.spark, self.root)
 
-    @property
+    @cached_property
     def users(self) -> DataFrame:
         return tables.read_users(self.spark, self.root)
 
@@ -316,3 +313,12 @@ class Chat:
     @property
     def vectors(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/embeddings.parquet")
+
+
+def chat(spark: SparkSession, sf_dir: str) -> Chat:
+    """The chat tables of a folder, built once per application."""
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
+    if key not in _chats:
+        _chats[key] = Chat(spark, sf_dir)
+    pin_utc(spark)
+    return _chats[key]

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .adapter import Chat
+from .adapter import Chat, chat
 from .oracle import PREFIX
 
 
@@ -20,7 +20,7 @@ class Query:
     sql: str | None
 
     def run(self, spark: SparkSession, sf_dir: str) -> DataFrame:
-        return self.build(Chat(spark, sf_dir))
+        return self.build(chat(spark, sf_dir))
 
     @property
     def oracle(self) -> str | None:
