@@ -44,8 +44,8 @@ def user_engagement(messages: DataFrame, k: int = 20) -> DataFrame:
             F.sum("replies").alias("thread_replies"),
             F.count_distinct("channel").alias("channels_active"),
             F.count_distinct("dt").alias("active_days"),
-            F.min("dt").alias("first_message"),
-            F.max("dt").alias("last_message"),
+            F.min(F.to_date("dt")).cast("string").alias("first_message"),
+            F.max(F.to_date("dt")).cast("string").alias("last_message"),
         )
         .orderBy(F.desc("total_messages"), "user_real_name")
         .limit(k)
@@ -146,8 +146,8 @@ def message_totals(messages: DataFrame) -> DataFrame:
         F.coalesce(F.sum("n"), F.lit(0)).alias("messages"),
         F.count_distinct("user_id").alias("users"),
         F.count_distinct("dt").alias("days"),
-        F.min("dt").alias("first_day"),
-        F.max("dt").alias("last_day"),
+        F.min(F.to_date("dt")).cast("string").alias("first_day"),
+        F.max(F.to_date("dt")).cast("string").alias("last_day"),
     )
 
 

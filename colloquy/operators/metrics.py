@@ -63,14 +63,15 @@ def view_footer(rebuilt: DataFrame, view: list[str]) -> DataFrame:
 
 def channel_analytics(messages: DataFrame, limit: int = LIST_LIMIT) -> DataFrame:
     """Per channel: messages, active users and distinct tickets, with their lists."""
-    per_user = messages.groupBy("channel", "user_id").agg(
-        F.count("*").alias("n"), F.max("user_name").alias("user_name")
+    per_name = messages.groupBy("channel", "user_id", "user_name").agg(F.count("*").alias("n"))
+    totals = per_name.groupBy("channel").agg(F.sum("n").alias("messages_count"))
+    per_user = (
+        per_name.filter(F.col("user_id").isNotNull())
+        .groupBy("channel", "user_id")
+        .agg(F.coalesce(F.max("user_name"), F.lit("")).alias("u"))
     )
-    totals = per_user.groupBy("channel").agg(F.sum("n").alias("messages_count"))
     users = bounded_lists(
-        per_user.select("channel", F.coalesce("user_name", F.lit("")).alias("u"), "user_id")
-        .filter(F.col("user_id").isNotNull())
-        .select("channel", "u"),
+        per_user.select("channel", "u"),
         ["channel"],
         "u",
         "active_users_count",

@@ -21,26 +21,23 @@ LEADERSHIP_WEIGHT = 7
 
 
 def name_map(messages: DataFrame, users: DataFrame) -> DataFrame:
-    """(user_id, name): cached profiles, overridden by what messages say last."""
-    authors = (
+    """(user_id, name): cached profiles, overridden by what messages say last.
+
+    Messages are first reduced to one row per spelling of an author, which a hash
+    aggregate does without sorting them.
+    """
+    spellings = (
         messages.filter(blank_to_null(F.col("user_id")).isNotNull())
-        .groupBy("user_id")
-        .agg(
-            F.max_by(
-                F.struct("user_real_name", "user_name"), F.struct("event_ts", "message_id")
-            ).alias("last")
-        )
-        .select(
-            "user_id",
-            display_name(
-                F.col("last.user_real_name"), F.col("last.user_name"), F.col("user_id")
-            ).alias("author"),
-        )
+        .groupBy("user_id", "user_real_name", "user_name")
+        .agg(F.max("event_ts").alias("last_ts"))
     )
-    cached = users.select(
-        "user_id",
-        display_name(F.col("user_real_name"), F.col("user_name"), F.col("user_id")).alias("cached"),
+    name = display_name(F.col("user_real_name"), F.col("user_name"), F.col("user_id"))
+    authors = (
+        spellings.withColumn("author", name)
+        .groupBy("user_id")
+        .agg(F.max_by("author", F.struct("last_ts", "author")).alias("author"))
     )
+    cached = users.select("user_id", name.alias("cached"))
     return authors.join(cached, "user_id", "full").select(
         "user_id", F.coalesce("author", "cached").alias("name")
     )

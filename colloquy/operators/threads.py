@@ -38,21 +38,20 @@ def thread_facts(messages: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
 
     ``scope`` adds columns to the thread key, for views that each see only some rows.
     """
-    parent = F.when(
-        _flag("is_thread_parent"),
-        F.struct("event_ts", "message_id", "reply_count", "user_real_name"),
-    )
+    key = [*scope, *THREAD_KEY]
+    rows = messages.filter(in_thread())
     reply = _flag("is_thread_reply")
-    return (
-        messages.filter(in_thread())
-        .groupBy(*scope, *THREAD_KEY)
-        .agg(
-            F.max(parent).alias("parent"),
-            F.count_if(reply).alias("present"),
-            F.count("*").alias("thread_rows"),
-            F.max(F.when(reply, F.col("event_ts"))).alias("last_reply_ts"),
-        )
+    # Counts and instants keep the aggregate over all rows a hash aggregate; the parents,
+    # about one row per thread, are picked apart from it. Both sides are partitioned by the
+    # thread key already, so their join moves nothing.
+    extent = rows.groupBy(*key).agg(
+        F.count_if(reply).alias("present"),
+        F.count("*").alias("thread_rows"),
+        F.max(F.when(reply, F.col("event_ts"))).alias("last_reply_ts"),
     )
+    parent = F.struct("event_ts", "message_id", "reply_count", "user_real_name")
+    parents = rows.filter("is_thread_parent").groupBy(*key).agg(F.max(parent).alias("parent"))
+    return extent.join(parents, key, "left")
 
 
 def rebuild(

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import blank_to_null, mentions_user
+from ..session import shared_folder
 from .keys import lookup
 from .threads import MESSAGE_KEY, THREAD_KEY
 from .tickets import enrich
@@ -37,4 +38,10 @@ def user_timeline(
 def user_timeline_enriched(
     messages: DataFrame, tickets: DataFrame, user_name: str, mentioned_id: str | None = None
 ) -> DataFrame:
-    return enrich(user_timeline(messages, user_name, mentioned_id), tickets)
+    """The timeline with ticket metadata.
+
+    The timeline is made durable first: it is a small part of the messages, and enriching
+    reads it several times.
+    """
+    shared_folder(messages.sparkSession)
+    return enrich(user_timeline(messages, user_name, mentioned_id).checkpoint(), tickets)

@@ -53,12 +53,13 @@ def text_of(*parts: Column | str) -> Column:
     return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
 
 
-def ticket_lines(tickets: Column, metadata: Column, indent: str) -> Column:
+def ticket_lines(tickets: Column, metadata: Column, indent: Column | str) -> Column:
     """The lines of a message's ticket block; no lines without tickets.
 
     With metadata each ticket takes three lines, or one when its entry is missing.
     Without any metadata the ids share one line.
     """
+    indent = F.lit(indent) if isinstance(indent, str) else indent
     by_id = F.map_from_entries(F.transform(metadata, lambda m: F.struct(m["ticket_id"], m)))
 
     def block(ticket: Column) -> Column:
@@ -68,19 +69,19 @@ def ticket_lines(tickets: Column, metadata: Column, indent: str) -> Column:
             return display_name(meta[name], F.lit(None).cast("string"), F.lit(default))
 
         first = text_of(
-            f"{indent}   • ", ticket, " [", field("priority", "Unknown"), "] ",
+            indent, "   • ", ticket, " [", field("priority", "Unknown"), "] ",
             field("status", "Unknown"),
         )
-        second = text_of(f'{indent}     "', shorten(field("summary", "No summary"), 50, 47), '"')
-        third = text_of(f"{indent}     Assignee: ", field("assignee", "Unassigned"))
-        alone = text_of(f"{indent}   • ", ticket)
+        second = text_of(indent, '     "', shorten(field("summary", "No summary"), 50, 47), '"')
+        third = text_of(indent, "     Assignee: ", field("assignee", "Unassigned"))
+        alone = text_of(indent, "   • ", ticket)
         return F.when(meta.isNull(), F.array(alone)).otherwise(F.array(first, second, third))
 
     listed = F.concat(
-        F.array(F.lit(f"{indent}{TICKETS_LABEL} Tickets:")),
+        F.array(text_of(indent, f"{TICKETS_LABEL} Tickets:")),
         F.flatten(F.transform(tickets, block)),
     )
-    ids = F.array(text_of(f"{indent}{TICKETS_LABEL}: ", F.array_join(tickets, ", ")))
+    ids = F.array(text_of(indent, f"{TICKETS_LABEL}: ", F.array_join(tickets, ", ")))
     return (
         F.when(list_size(tickets) == 0, F.array().cast("array<string>"))
         .when(list_size(metadata) == 0, ids)
@@ -88,26 +89,34 @@ def ticket_lines(tickets: Column, metadata: Column, indent: str) -> Column:
     )
 
 
-def _extras(indent: str, compact: bool = False, types: bool = True) -> list[Column]:
-    reactions, files = F.col("reactions"), F.col("files")
-    mark_r, mark_f = ("😊 ", "📎 ") if compact else (REACTIONS_LABEL, FILES_LABEL)
-    listed = file_text(files, types and not compact, "file" if compact else "unknown")
-    return [
-        *some(list_size(reactions) > 0, text_of(indent + mark_r, reaction_text(reactions))),
-        *some(list_size(files) > 0, text_of(indent + mark_f, listed)),
-    ]
+def attachments(indent: Column, compact: Column) -> Column:
+    """Reaction, file and ticket lines of a row; ``compact`` leaves out their labels.
 
-
-def _block(lines: Sequence[Column], indent: str) -> Column:
-    return F.concat(
-        F.array(*lines), ticket_lines(F.col("jira_tickets"), F.col("jira_metadata"), indent)
+    File types are shown under top-level messages only.
+    """
+    reactions, files = F.col("reactions"), F.col("files")
+    typed = (F.col("depth") == 0) & ~compact
+    names = F.when(typed, file_text(files)).otherwise(file_text(files, False))
+    lines = F.array(
+        *some(
+            list_size(reactions) > 0,
+            text_of(
+                indent, F.when(compact, "😊 ").otherwise(REACTIONS_LABEL), reaction_text(reactions)
+            ),
+        ),
+        *some(
+            list_size(files) > 0,
+            text_of(indent, F.when(compact, "📎 ").otherwise(FILES_LABEL), names),
+        ),
     )
+    return F.concat(lines, ticket_lines(F.col("jira_tickets"), F.col("jira_metadata"), indent))
 
 
 def view_rows(
     messages: DataFrame,
     tickets: DataFrame,
     names: DataFrame | None,
+    as_of: Column,
     bucket: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """The views' thread structure, and the same rows with everything a line shows.
@@ -124,19 +133,44 @@ def view_rows(
         sides.append(mention_names(messages, names))
     rows = with_columns_of(layout, *sides)
     text = F.col("text") if names is None else with_names(F.col("text"))
-    return layout, rows.withColumn("resolved_text", text)
+    return layout, rows.withColumns(
+        {
+            "resolved_text": or_empty(text),
+            "stamp": stamp(F.col("timestamp"), as_of),
+            "shown_name": who(),
+        }
+    )
 
 
-def _reply_block(as_of: Column) -> Column:
-    lines = [
+def _reply_head() -> list[Column]:
+    return [
         text_of(
-            "    ↳ REPLY #", F.col("reply_no").cast("string"), ": ", who(), " at ",
-            stamp(F.col("timestamp"), as_of), ":",
+            "    ↳ REPLY #", F.col("reply_no").cast("string"), ": ", F.col("shown_name"), " at ",
+            F.col("stamp"), ":",
         ),
-        text_of("       ", or_empty(F.col("resolved_text"))),
-        *_extras("       ", types=False),
+        text_of("       ", F.col("resolved_text")),
     ]
-    return _block(lines, "       ")
+
+
+def _blocks(
+    rows: DataFrame, head: list[Column], indent: str, compact: bool, after: Column, tail: Column,
+    **order: Column,
+) -> DataFrame:
+    """Message, reply and closing lines in one pass over the rows."""
+    top = F.col("depth") == 0
+    depth_indent = F.when(top, indent).otherwise("       ")
+    rows = rows.withColumn("_extra", attachments(depth_indent, top & F.lit(compact)))
+    return emit_parts(
+        rows,
+        [
+            (top, 0, F.concat(F.array(*head), F.col("_extra"), after)),
+            (~top, 1, F.concat(F.array(*_reply_head()), F.col("_extra"))),
+            (top, 2, tail),
+        ],
+        item_no=F.col("message_no"),
+        reply_no=F.col("reply_no"),
+        **order,
+    )
 
 
 def _some_missing() -> Column:
@@ -144,24 +178,22 @@ def _some_missing() -> Column:
     return F.col("has_clipped_replies") & (expected > F.col("present_replies"))
 
 
-def message_blocks(rows: DataFrame, as_of: Column, show_channel: bool = False) -> DataFrame:
+def message_blocks(rows: DataFrame, show_channel: bool = False) -> DataFrame:
     """Body lines of view rows: messages, nested replies, clip hints, rules."""
-    top = F.col("depth") == 0
     clipped = F.col("is_clipped_thread") | F.col("is_orphaned_reply")
     threaded = F.col("present_replies") > 0
     count = text_of(
         "  🧵 THREAD REPLIES (showing ", F.col("present_replies").cast("string"), " of ",
         F.col("reply_count").cast("string"), "+ replies):",
     )
-    lines = [
+    head = [
         text_of(
             "💬 MESSAGE #", F.col("message_no").cast("string"),
             F.when(clipped, " (🔗 Thread clipped)").otherwise(""),
         ),
         *some(F.lit(show_channel), text_of("📍 Channel: #", F.coalesce("channel", F.lit("unknown")))),
-        text_of("👤 ", who(), " at ", stamp(F.col("timestamp"), as_of), ":"),
-        text_of("   ", or_empty(F.col("resolved_text"))),
-        *_extras("   "),
+        text_of("👤 ", F.col("shown_name"), " at ", F.col("stamp"), ":"),
+        text_of("   ", F.col("resolved_text")),
     ]
     after = F.array(
         *some(threaded, F.lit(""), F.when(_some_missing(), count).otherwise("  🧵 THREAD REPLIES:")),
@@ -173,16 +205,7 @@ def message_blocks(rows: DataFrame, as_of: Column, show_channel: bool = False) -
     )
     hint = F.lit("  💡 Thread may have additional replies outside this time range")
     tail = [*some(threaded & _some_missing(), F.lit(""), hint), F.lit(""), F.lit(THIN), F.lit("")]
-    return emit_parts(
-        rows,
-        [
-            (top, 0, F.concat(_block(lines, "   "), after)),
-            (~top, 1, _reply_block(as_of)),
-            (top, 2, F.array(*tail)),
-        ],
-        item_no=F.col("message_no"),
-        reply_no=F.col("reply_no"),
-    )
+    return _blocks(rows, head, "   ", False, after, F.array(*tail))
 
 
 def footer_lines(footer: DataFrame) -> DataFrame:
@@ -357,8 +380,8 @@ def channel_view(
     org: Organisation = Organisation(),
 ) -> DataFrame:
     """Single-channel views of messages that carry their ``view_id``."""
-    layout, rows = view_rows(messages, tickets, names)
-    return _framed(views, layout, message_blocks(rows, as_of), org)
+    layout, rows = view_rows(messages, tickets, names, as_of)
+    return _framed(views, layout, message_blocks(rows), org)
 
 
 def user_view(
@@ -375,8 +398,8 @@ def user_view(
     several times.
     """
     shared_folder(timeline.sparkSession)
-    layout, rows = view_rows(timeline.checkpoint(), tickets, names)
-    return _framed(views, layout, message_blocks(rows, as_of, True), org)
+    layout, rows = view_rows(timeline.checkpoint(), tickets, names, as_of)
+    return _framed(views, layout, message_blocks(rows, True), org)
 
 
 def bucketed_view(
@@ -389,14 +412,13 @@ def bucketed_view(
     org: Organisation = Organisation(),
 ) -> DataFrame:
     """Multi-channel views in hour or day buckets, by channel inside a bucket."""
-    layout, rows = view_rows(messages, tickets, names, bucket)
+    layout, rows = view_rows(messages, tickets, names, as_of, bucket)
     at = F.date_format("bucket", "yyyy-MM-dd'T'HH:mm:ss")
     top = F.col("depth") == 0
     threaded = F.col("present_replies") > 0
-    lines = [
-        text_of("  💬 ", who(), " at ", stamp_short(F.col("timestamp")), ":"),
-        text_of("     ", or_empty(F.col("resolved_text"))),
-        *_extras("     ", compact=True),
+    head = [
+        text_of("  💬 ", F.col("shown_name"), " at ", stamp_short(F.col("timestamp")), ":"),
+        text_of("     ", F.col("resolved_text")),
     ]
     after = F.array(*some(threaded, F.lit(""), F.lit("  🧵 THREAD REPLIES:")))
     inside = {"bucket": at, "channel_group": F.col("channel")}
@@ -420,17 +442,7 @@ def bucketed_view(
         text_of("📱 #", F.col("channel"), " (", F.col("n").cast("string"), " messages)"),
         F.lit(""),
     ]
-    messages_body = emit_parts(
-        rows,
-        [
-            (top, 0, F.concat(_block(lines, "     "), after)),
-            (~top, 1, _reply_block(as_of)),
-            (top, 2, F.array(F.lit(""))),
-        ],
-        item_no=F.col("message_no"),
-        reply_no=F.col("reply_no"),
-        **inside,
-    )
+    messages_body = _blocks(rows, head, "     ", True, after, F.array(F.lit("")), **inside)
     body = stack(
         emit(per_bucket, bucket_head, bucket=at, bucket_part=F.lit(0)),
         emit(per_channel, channel_head, channel_part=F.lit(0), **inside),
