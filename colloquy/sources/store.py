@@ -18,6 +18,7 @@ from ..session import fresh_folder, shared_folder
 from .tables import messages_path, read_typed, tickets_path, users_path
 
 DAY_PATTERN = r"^\d{4}-\d{2}-\d{2}$"
+ROWS_PER_FILE = 1_000_000
 
 
 def check_day(day: str) -> str:
@@ -48,18 +49,42 @@ def merge_rows(
     return latest_per_key(both, keys, [F.col("_new"), F.col("_seq")]).select(*columns)
 
 
-def _write_partitions(df: DataFrame, path: str, by: list[str], key: str) -> None:
-    # REBALANCE lets AQE split a heavy partition over several files and pack small
-    # ones, so neither one task nor many tiny files carry a busy channel day.
+def _write_partitions(
+    df: DataFrame, sizes: DataFrame, path: str, by: list[str], key: str, rows_per_file: int
+) -> int:
+    """Swap in the partitions of ``df``; gives the number of files planned.
+
+    ``sizes`` bounds the rows of each partition. A partition over ``rows_per_file`` is cut
+    into slices, and each (partition, slice) is sorted and written by one task as one file,
+    so a busy channel day neither stays in one task nor breaks into many small files.
+    """
+    needed = F.ceil(F.col("_rows") / rows_per_file).cast("int")
+    total = sizes.agg(
+        F.coalesce(F.sum(needed), F.lit(0)).alias("files"), F.coalesce(F.sum("_rows"), F.lit(0)).alias("n")
+    ).first()
+    if total.files == 0:
+        return 0
+    spread = max(df.sparkSession.sparkContext.defaultParallelism, -(-total.n // rows_per_file))
+    # At most rows / rows_per_file partitions are heavy, which bounds the broadcast.
+    heavy = sizes.filter(F.col("_rows") > rows_per_file).select(*by, needed.alias("_slices"))
+    sliced = df.join(F.broadcast(heavy), by, "left").withColumn(
+        "_slice", F.pmod(F.xxhash64(key), F.coalesce("_slices", F.lit(1)))
+    )
     (
-        df.hint("rebalance", *by)
+        sliced.repartition(min(total.files, spread), *by, "_slice")
         .sortWithinPartitions(*by, key)
+        .drop("_slices", "_slice")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .option("compression", "snappy")
         .partitionBy(*by)
         .parquet(path)
     )
+    return total.files
+
+
+def _sizes(df: DataFrame, by: list[str]) -> DataFrame:
+    return df.groupBy(*by).agg(F.count("*").alias("_rows"))
 
 
 def _upsert_partitions(
@@ -70,22 +95,28 @@ def _upsert_partitions(
     by: list[str],
     key: str,
     sequence: str | None,
+    rows_per_file: int,
 ) -> None:
-    # The batch is cut off from its source first: it is read twice below, and a
+    # The batch is cut off from its source first: it is read several times below, and a
     # batch derived from the stored table must not see the table change.
     shared_folder(spark)
     batch = batch.withColumn("dt", checked_day(F.col("dt"))).checkpoint()
-    stored = read_typed(spark, path, schema)
-    touched = batch.select(*by).distinct()
-    stored = stored.join(touched, by, "left_semi").select(*schema.fieldNames())
+    new = _sizes(batch, by)
+    stored = read_typed(spark, path, schema).join(new.select(*by), by, "left_semi")
+    stored = stored.select(*schema.fieldNames())
+    sizes = new.unionByName(_sizes(stored, by)).groupBy(*by).agg(F.sum("_rows").alias("_rows"))
     merged = merge_rows(stored, batch, [*by, key], sequence)
     # Dynamic overwrite stages all output and swaps partitions at job commit, after
     # the last read of the old ones.
-    _write_partitions(merged, path, by, key)
+    _write_partitions(merged, sizes, path, by, key, rows_per_file)
 
 
 def upsert_messages(
-    spark: SparkSession, batch: DataFrame, root: str, sequence: str | None = None
+    spark: SparkSession,
+    batch: DataFrame,
+    root: str,
+    sequence: str | None = None,
+    rows_per_file: int = ROWS_PER_FILE,
 ) -> None:
     """Merge a batch into its (dt, channel) partitions by ``message_id``."""
     _upsert_partitions(
@@ -96,6 +127,7 @@ def upsert_messages(
         ["dt", "channel"],
         "message_id",
         sequence,
+        rows_per_file,
     )
 
 
@@ -113,7 +145,14 @@ def upsert_tickets(
         "cached_at", F.current_timestamp() if cached_at is None else cached_at
     )
     _upsert_partitions(
-        spark, stamped, tickets_path(root), schemas.TICKETS_STORED, ["dt"], "ticket_id", sequence
+        spark,
+        stamped,
+        tickets_path(root),
+        schemas.TICKETS_STORED,
+        ["dt"],
+        "ticket_id",
+        sequence,
+        ROWS_PER_FILE,
     )
 
 
@@ -130,14 +169,17 @@ def upsert_users(
     durable.write.mode("overwrite").option("compression", "snappy").parquet(users_path(root))
 
 
-def overwrite_messages(batch: DataFrame, root: str) -> None:
+def overwrite_messages(
+    batch: DataFrame, root: str, rows_per_file: int = ROWS_PER_FILE
+) -> None:
     """Replace the partitions of a batch without merging; an empty batch is an error."""
-    if batch.isEmpty():
+    shared_folder(batch.sparkSession)
+    by = ["dt", "channel"]
+    rows = batch.select(*schemas.MESSAGES_STORED.fieldNames())
+    rows = rows.withColumn("dt", checked_day(F.col("dt"))).checkpoint()
+    path = messages_path(root)
+    if not _write_partitions(rows, _sizes(rows, by), path, by, "message_id", rows_per_file):
         raise ValueError("no messages to save")
-    day_checked = batch.select(*schemas.MESSAGES_STORED.fieldNames()).withColumn(
-        "dt", checked_day(F.col("dt"))
-    )
-    _write_partitions(day_checked, messages_path(root), ["dt", "channel"], "message_id")
 
 
 def inventory(spark: SparkSession, root: str) -> DataFrame:
