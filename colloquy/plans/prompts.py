@@ -16,6 +16,7 @@ from ..functions.text import (
 from .lines import ORDER, emit, sizes, stack
 from .views import text_of
 
+_ROSTER_SLICES = 64
 VIEW_TYPES = ("single_channel", "multi_channel", "user_timeline")
 
 # Our own wording; callers may replace the instructions.
@@ -63,16 +64,24 @@ def organisation_lines(
         head = [F.lit(""), F.lit("Key Stakeholders (for attention ranking):")]
         tables.append(emit(views, head, part=F.lit(1), section=F.lit(0)))
         roster = stakeholders.filter(level.isNotNull()).select(
+            F.pmod(F.xxhash64("name"), F.lit(_ROSTER_SLICES)).cast("int").alias("_slice"),
             "name",
-            text_of("  • ", F.col("name"), " (", or_empty(F.col("role")), ") - ", level, " level").alias("t"),
+            text_of("  • ", F.col("name"), " (", or_empty(F.col("role")), ") - ", level, " level").alias(
+                "leader"
+            ),
         )
-        lines = roster.agg(F.sort_array(F.collect_list(F.struct("name", "t"))).alias("s")).scalar()
+        # Every prompt names every leader, so views times leaders lines come out by
+        # definition. The slices spread them; the leader's name is the order in the block.
+        slices = F.sequence(F.lit(0), F.lit(_ROSTER_SLICES - 1))
+        each = views.select("view_id", F.explode(slices).alias("_slice"))
         tables.append(
             emit(
-                views.withColumn("_s", lines),
-                F.transform("_s", lambda e: e["t"]),
-                part=F.lit(2),
+                each.join(roster, "_slice"),
+                [F.col("leader")],
                 section=F.lit(0),
+                channel_group=F.col("name"),
+                part=F.lit(2),
+                bucket_part=F.lit(2),
             )
         )
     if channels is not None and view_type in ("single_channel", "multi_channel"):
@@ -81,13 +90,26 @@ def organisation_lines(
         found = each.join(config, without_prefix(F.col("channel")) == F.col("name"))
         found = found.filter(or_empty(F.col("description")) != "")
         tables.append(
-            emit(views, [F.lit(""), F.lit("Channel Context:")], part=F.lit(3), section=F.lit(0))
+            emit(
+                views,
+                [F.lit(""), F.lit("Channel Context:")],
+                part=F.lit(3),
+                section=F.lit(0),
+                bucket_part=F.lit(3),
+            )
         )
         note = text_of(
             "  • #", F.col("name"), " (", signal_mark(F.col("signal_type")), "): ", F.col("description")
         )
         tables.append(
-            emit(found, [note], part=F.lit(4), section=F.lit(0), reply_no=F.col("pos"))
+            emit(
+                found,
+                [note],
+                part=F.lit(4),
+                section=F.lit(0),
+                bucket_part=F.lit(3),
+                reply_no=F.col("pos"),
+            )
         )
     return stack(*tables) if tables else emit(views.limit(0), [F.lit("")])
 
