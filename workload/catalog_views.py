@@ -12,7 +12,7 @@ from colloquy.session import fresh_folder
 from colloquy.sources import tables
 
 from .adapter import Chat
-from .catalog_scans import AS_OF, LONG
+from .catalog_scans import AS_OF, LONG, SHORT
 from .registry import query
 
 LINE = ["view_id", *lines.ORDER, "line"]
@@ -380,7 +380,75 @@ def thread_reports(c: Chat) -> DataFrame:
     return reports.thread_reports(c.messages, c.tickets).select(*LINE)
 
 
-@query("V8 H17")
+_SPOKEN = """, found AS (
+  SELECT DISTINCT m.channel, m.message_id, m.user_id, n.name FROM mm m JOIN names n ON n.user_id = m.user_id
+), swaps AS (
+  SELECT channel, message_id, list('<@' || user_id || '>=>' || name) AS pairs FROM found GROUP BY ALL
+), spoken AS (
+  SELECT x.channel, x.message_id, CASE WHEN pairs IS NULL THEN text ELSE list_reduce(list_prepend(text, pairs),
+    lambda acc, p: replace(acc, split_part(p, '=>', 1), split_part(p, '=>', 2))) END AS said,
+    coalesce(user_real_name, 'Unknown User') AS who
+  FROM messages x LEFT JOIN swaps w ON w.channel = x.channel AND w.message_id = x.message_id
+)"""
+_NOTE = """'[summary: ' || summary || ' | status: ' || status || ' | assignee: ' || assignee
+  || ' | priority: ' || priority || ' | issue_type: ' || issue_type || ' | story_points: ' || p_size
+  || ' | created: 2024-01-02T08:00:00.000+0000 | updated: 2024-01-09T08:00:00.000+0000'
+  || CASE WHEN len(blocks) > 0 THEN ' | blocks: [''' || array_to_string(blocks, ''', ''') || ''']' ELSE '' END
+  || CASE WHEN len(blocked_by) > 0 THEN ' | blocked_by: [''' || array_to_string(blocked_by, ''', ''') || ''']' ELSE '' END
+  || CASE WHEN len(related) > 0 THEN ' | related: [''' || array_to_string(related, ''', ''') || ''']' ELSE '' END
+  || ' | components: [''' || p_type || '''] | labels: [''' || lower(p_type) || ''']'
+  || CASE WHEN p_size > 0 THEN ' | progress: 50%' ELSE '' END
+  || ' | project: PROJ | comments: ' || (p_partkey % 4 + 1)
+  || ' | sprints: Sprint ' || (p_partkey % 3) || '(active)]'"""
+_DIGEST_HEAD = "who || ' at ' || strftime(ts, '%Y-%m-%d %H:%M') || ' (' || rel || '):'"
+
+
+@query(
+    "V8 H17",
+    _SPOKEN
+    + f""", noted AS (SELECT ticket_id, {_NOTE} AS note FROM latest),
+dig AS (
+  SELECT m.*, p.who, {SHORT} AS rel,
+    coalesce(regexp_replace(p.said, '(PROJ-\\d+)', '\\1 ' || note), p.said)
+      || CASE WHEN has_files THEN chr(10) || '    📎 Files: ' || files[1].name || ' (' || files[1].mimetype || ')' ELSE '' END
+      || CASE WHEN has_reactions THEN chr(10) || '    😊 Reactions: '
+        || array_to_string(list_transform(reactions, lambda r: r.emoji || '(' || r.count || ')'), ', ') ELSE '' END AS body
+  FROM (SELECT *, CAST(floor((epoch_us({_T}) - us) / 1000000.0) AS BIGINT) AS s FROM messages) m
+  JOIN spoken p ON p.channel = m.channel AND p.message_id = m.message_id
+  LEFT JOIN noted n ON n.ticket_id = list_filter(m.jira_tickets, lambda t: t LIKE 'PROJ-%')[1]
+), win AS (SELECT * FROM dig WHERE ts BETWEEN TIMESTAMP '2024-01-21 00:00:00' AND TIMESTAMP '2024-01-31 00:00:00'),
+root AS (
+  SELECT *, channel AS view_id, row_number() OVER (PARTITION BY channel ORDER BY ts, message_id) AS no
+  FROM win WHERE NOT is_thread_reply
+), below AS (
+  SELECT d.*, d.channel AS view_id, r.no,
+    row_number() OVER (PARTITION BY d.channel, d.thread_ts ORDER BY d.ts, d.message_id) AS rno
+  FROM dig d JOIN root r ON r.channel = d.channel AND r.message_id = d.thread_ts WHERE d.is_thread_reply
+), tot AS (
+  SELECT channel AS view_id, count_if(NOT is_thread_reply) AS roots, count_if(is_thread_reply) AS replies,
+    count(DISTINCT CASE WHEN is_thread_reply THEN thread_ts END) AS active FROM win GROUP BY channel
+), late AS (
+  SELECT w.*, w.channel AS view_id, roots,
+    row_number() OVER (PARTITION BY w.channel ORDER BY w.ts, w.message_id) AS late_no
+  FROM win w JOIN tot ON tot.view_id = w.channel LEFT JOIN root r ON r.channel = w.channel AND r.message_id = w.thread_ts
+  WHERE w.is_thread_reply AND r.no IS NULL
+), opened AS (SELECT DISTINCT channel, thread_ts FROM below)"""
+    + _OUT.format(blocks=" UNION ALL ".join([
+        _plain(0, "0", 0, "0", """[repeat('=', 80), '📱 SLACK CHANNEL: ' || view_id,
+  '⏰ TIME WINDOW: 10d 0h ago to now', repeat('=', 80), '']""", "tot"),
+        _plain(1, "no", 0, "0", f"""['💬 MESSAGE #' || no, '👤 ' || {_DIGEST_HEAD}, '   ' || body,
+  CASE WHEN o.channel IS NOT NULL THEN '' END, CASE WHEN o.channel IS NOT NULL THEN '  🧵 THREAD REPLIES:' END]""",
+               "root LEFT JOIN opened o ON o.channel = root.channel AND o.thread_ts = root.message_id"),
+        _plain(1, "no", 1, "rno", f"""['    ↳ REPLY #' || rno || ':     👤 ' || {_DIGEST_HEAD}, '       ' || body]""", "below"),
+        _plain(1, "no", 2, "0", "['', repeat('-', 60), '']", "root"),
+        f"""SELECT view_id, 1, '', 2, '', 1, roots + late_no, 3, 0,
+  [CASE WHEN late_no = 1 THEN '🔗 ORPHANED THREAD REPLIES (parent messages outside time window):' END,
+   CASE WHEN late_no = 1 THEN '' END, '💬 MESSAGE #' || (roots + late_no) || ' (📎 Reply to older thread)',
+   '👤 ' || {_DIGEST_HEAD}, '   ' || body, '', repeat('-', 60), ''] FROM late""",
+        _plain(2, "0", 0, "0", """['📊 CONVERSATION SUMMARY:', '   • Total Messages: ' || roots,
+  '   • Total Thread Replies: ' || replies, '   • Active Threads: ' || active]""", "tot"),
+    ])),
+)
 def window_digests(c: Chat) -> DataFrame:
     """The last ten days of every channel, with whole threads."""
     window = tables.in_window(c.messages, instants.instant("2024-01-31T00:00:00Z"), 10, 0)
@@ -392,18 +460,7 @@ def window_digests(c: Chat) -> DataFrame:
 
 @query(
     "H17",
-    """, notes AS (
-  SELECT ticket_id, '[summary: ' || summary || ' | status: ' || status || ' | assignee: ' || assignee
-  || ' | priority: ' || priority || ' | issue_type: ' || issue_type || ' | story_points: ' || p_size
-  || ' | created: 2024-01-02T08:00:00.000+0000 | updated: 2024-01-09T08:00:00.000+0000'
-  || CASE WHEN len(blocks) > 0 THEN ' | blocks: [''' || array_to_string(blocks, ''', ''') || ''']' ELSE '' END
-  || CASE WHEN len(blocked_by) > 0 THEN ' | blocked_by: [''' || array_to_string(blocked_by, ''', ''') || ''']' ELSE '' END
-  || CASE WHEN len(related) > 0 THEN ' | related: [''' || array_to_string(related, ''', ''') || ''']' ELSE '' END
-  || ' | components: [''' || p_type || '''] | labels: [''' || lower(p_type) || ''']'
-  || CASE WHEN p_size > 0 THEN ' | progress: 50%' ELSE '' END
-  || ' | project: PROJ | comments: ' || (p_partkey % 4 + 1)
-  || ' | sprints: Sprint ' || (p_partkey % 3) || '(active)]' AS note FROM latest
-)
+    f""", notes AS (SELECT ticket_id, {_NOTE} AS note FROM latest)
 SELECT m.channel, m.message_id,
   coalesce(regexp_replace(text, '(PROJ-\\d+)', '\\1 ' || note), text) AS annotated_text
 FROM messages m LEFT JOIN notes n ON n.ticket_id = list_filter(m.jira_tickets, lambda t: t LIKE 'PROJ-%')[1]""",
@@ -412,12 +469,79 @@ def annotated_messages(c: Chat) -> DataFrame:
     return tickets.annotate(c.messages, c.tickets).select("channel", "message_id", "annotated_text")
 
 
-@query("V9 J11")
+@query(
+    "V9 J11",
+    _SPOKEN
+    + f""", rr AS (
+  SELECT channel, message_id, unnest(reactions) AS r, generate_subscripts(reactions, 1) AS r_no FROM messages
+), ru AS (
+  SELECT channel, message_id, r_no, r.emoji AS emoji, r.count AS n, unnest(r.users) AS user_id,
+    generate_subscripts(r.users, 1) AS u_no FROM rr
+), rline AS (
+  SELECT channel, message_id, r_no, emoji || ' (' || n || ') by '
+    || string_agg(coalesce(u.user_real_name, 'Unknown User'), ', ' ORDER BY u_no) AS line
+  FROM ru LEFT JOIN users u ON u.user_id = ru.user_id GROUP BY channel, message_id, r_no, emoji, n
+), rtext AS (
+  SELECT channel, message_id, chr(10) || 'Reactions: ' || string_agg(line, chr(10) ORDER BY r_no) AS reacted
+  FROM rline GROUP BY channel, message_id
+), base AS (
+  SELECT m.*, p.said, p.who, coalesce(reacted, '') AS reacted, t.reply_count AS opened,
+    strftime(m.ts, '%Y-%m-%d %H:%M:%S') || ' - ' || p.who || ': ' || p.said || coalesce(reacted, '') AS spoken_line,
+    CAST(floor((epoch_us({_T}) - epoch_us(date_trunc('minute', m.ts))) / 1000000.0) AS BIGINT) AS s
+  FROM messages m JOIN spoken p ON p.channel = m.channel AND p.message_id = m.message_id
+  LEFT JOIN rtext r ON r.channel = m.channel AND r.message_id = m.message_id
+  LEFT JOIN threads t ON t.channel = m.channel AND t.thread_id = m.message_id
+), rep AS (
+  SELECT b.*, t.reply_count AS present,
+    row_number() OVER (PARTITION BY b.channel, b.thread_ts ORDER BY b.ts, b.message_id) AS no
+  FROM base b JOIN threads t ON t.channel = b.channel AND t.thread_id = b.thread_ts WHERE b.is_thread_reply
+)"""
+    + _OUT.format(blocks=" UNION ALL ".join([
+        _plain(1, "0", 0, "0", f"""['MESS_START:' || strftime(ts, '%Y-%m-%d %H:%M') || ':' || ({SHORT}) || ' - ' || who
+  || ': ' || said || CASE WHEN has_files THEN chr(10) || 'File URLs:' || chr(10) || files[1].url ELSE '' END || reacted
+  || CASE WHEN opened IS NULL THEN ' MESS_END' ELSE ' >> REPLIES_START : ' || chr(10) || spoken_line
+    || CASE WHEN opened = 0 THEN ' << REPLIES_END MESS_END' ELSE '' END END]""",
+               "(SELECT *, channel || '/' || message_id AS view_id FROM base)"),
+        _plain(1, "0", 1, "no", """[spoken_line || CASE WHEN no = present THEN ' << REPLIES_END MESS_END' ELSE '' END]""",
+               "(SELECT *, channel || '/' || thread_ts AS view_id FROM rep)"),
+    ])),
+)
 def delimited_messages(c: Chat) -> DataFrame:
     return reports.message_texts(c.messages, c.users, _names(c), _as_of()).select(*LINE)
 
 
-@query("V10 H18 H19")
+def _prompt_sql(own: str, extra: str = "", instructions: str = "") -> str:
+    return (
+        _view_sql("SELECT *, channel AS view_id FROM messages", _CHANNEL_VW).replace(
+            "\nSELECT view_id, section", ", out AS (SELECT view_id, section", 1
+        )
+        + f"""), prompt AS (
+  SELECT * REPLACE (section + 2 AS section) FROM out
+  UNION ALL SELECT view_id, 0, '', 1, '', 1, 0, 0, 0, unnest([0, 1]),
+    unnest(['Below is the conversation of the channel ' || title || ' for ' || window_text || '.', '']) FROM vw
+  UNION ALL SELECT view_id, 5, '', 1, '', 1, 0, 0, 0, unnest([0, 1]), unnest(['', '{instructions}']) FROM vw
+  {extra}) {own}"""
+    )
+
+
+_CONTEXT = f"""UNION ALL SELECT view_id, 1, '', 1, '', 1, 0, 0, 0, 0, 'Organization: {ORG}' FROM vw
+  UNION ALL SELECT view_id, 1, '', 1, '', 1, 0, 1, 0, unnest([0, 1]),
+    unnest(['', 'Key Stakeholders (for attention ranking):']) FROM vw
+  UNION ALL SELECT view_id, 1, '', 2, name, 1, 0, 2, 0, 0, '  • ' || name || ' (' || role || ') - '
+    || CASE WHEN weight >= 9 THEN 'CEO/Executive' ELSE 'Leadership' END || ' level' FROM vw, stakeholders WHERE weight >= 7
+  UNION ALL SELECT view_id, 1, '', 3, '', 1, 0, 3, 0, unnest([0, 1]), unnest(['', 'Channel Context:']) FROM vw
+  UNION ALL SELECT view_id, 1, '', 3, '', 1, 0, 4, 0, 0, '  • #' || name || ' (' || CASE signal_type
+    WHEN 'critical' THEN '🔴 CRITICAL' WHEN 'high' THEN '🟠 HIGH' WHEN 'low' THEN '⚪ LOW' ELSE '🟡 MEDIUM' END
+    || '): ' || description FROM vw JOIN channels ON name = view_id"""
+
+
+@query(
+    "V10 H18 H19",
+    _prompt_sql(
+        "SELECT * FROM prompt", _CONTEXT,
+        "Sum up the main subjects, decisions, open questions and tickets.",
+    ),
+)
 def prompt_corpus(c: Chat) -> DataFrame:
     """One prompt per channel over the whole range, as lines."""
     shown, body = _whole_channel_lines(c)
@@ -425,7 +549,14 @@ def prompt_corpus(c: Chat) -> DataFrame:
     return prompts.prompt_lines(shown, body, "single_channel", None, context).select(*LINE)
 
 
-@query("V10 H18")
+@query(
+    "V10 H18",
+    _prompt_sql(
+        """SELECT view_id, count(*) AS lines, CAST(sum(length(line)) + count(*) - 1 AS BIGINT) AS characters,
+  CAST((sum(length(line)) + count(*) - 1) // 4 AS BIGINT) AS tokens FROM prompt GROUP BY view_id""",
+        instructions="List the open questions.",
+    ),
+)
 def prompt_sizes(c: Chat) -> DataFrame:
     shown, body = _whole_channel_lines(c)
     made = prompts.prompt_lines(shown, body, "single_channel", "List the open questions.")
