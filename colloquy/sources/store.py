@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +20,7 @@ from .tables import messages_path, read_typed, tickets_path, users_path
 
 DAY_PATTERN = r"^\d{4}-\d{2}-\d{2}$"
 ROWS_PER_FILE = 1_000_000
+DAYS_LISTED = 4_000
 
 
 def check_day(day: str) -> str:
@@ -102,8 +104,13 @@ def _upsert_partitions(
     shared_folder(spark)
     batch = batch.withColumn("dt", checked_day(F.col("dt"))).checkpoint()
     new = _sizes(batch, by)
-    stored = read_typed(spark, path, schema).join(new.select(*by), by, "left_semi")
-    stored = stored.select(*schema.fieldNames())
+    stored = read_typed(spark, path, schema)
+    # The batch's days as a plain partition filter keep all other days from being listed
+    # and read; the semi join then leaves just the touched partitions.
+    days = [row.dt for row in new.select("dt").distinct().limit(DAYS_LISTED + 1).collect()]
+    if len(days) <= DAYS_LISTED:
+        stored = stored.filter(F.col("dt").isin(days))
+    stored = stored.join(new.select(*by), by, "left_semi").select(*schema.fieldNames())
     sizes = new.unionByName(_sizes(stored, by)).groupBy(*by).agg(F.sum("_rows").alias("_rows"))
     merged = merge_rows(stored, batch, [*by, key], sequence)
     # Dynamic overwrite stages all output and swaps partitions at job commit, after
@@ -185,15 +192,15 @@ def overwrite_messages(
 def inventory(spark: SparkSession, root: str) -> DataFrame:
     """Rows, files and bytes per partition, and one total row with null keys."""
     df = read_typed(spark, messages_path(root), schemas.MESSAGES_STORED)
-    if "_metadata" in df.columns or not df.inputFiles():
-        files = df.select("dt", "channel", F.lit("").alias("path"), F.lit(0).alias("bytes"))
-    else:
+    try:
         files = df.select(
             "dt",
             "channel",
             F.col("_metadata.file_path").alias("path"),
             F.col("_metadata.file_size").alias("bytes"),
         )
+    except AnalysisException:  # an absent table has no files
+        files = df.select("dt", "channel", F.lit("").alias("path"), F.lit(0).alias("bytes"))
     per_file = files.groupBy("dt", "channel", "path", "bytes").agg(F.count("*").alias("n"))
     per_partition = per_file.groupBy("dt", "channel").agg(
         F.sum("n").alias("rows"),

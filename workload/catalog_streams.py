@@ -121,9 +121,9 @@ def nearest_vectors(c: Chat) -> DataFrame:
     return related.nearest_to(c.vectors, 0).withColumn("score", F.round("score", 6))
 
 
-@query("G3", _SCORES + " SELECT vec_id, label, score FROM near WHERE score > 0.85 AND vec_id <> 0")
+@query("G3", _SCORES + " SELECT vec_id, label, score FROM near WHERE score > 0.25 AND vec_id <> 0")
 def near_duplicate_vectors(c: Chat) -> DataFrame:
-    return related.near_duplicates(c.vectors, 0).withColumn("score", F.round("score", 6))
+    return related.near_duplicates(c.vectors, 0, above=0.25).withColumn("score", F.round("score", 6))
 
 
 def similar_messages(c: Chat) -> DataFrame:
