@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from colloquy.session import fresh_folder
 
@@ -42,3 +43,67 @@ def written(df: DataFrame, purpose: str) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+#: The lines between two removed ones as one slice each, so that the work is linear.
+_REST = (
+    "array_join(flatten(transform(sequence(0, size(_gone)), k -> slice(_lines, "
+    "if(k = 0, 0, _gone[k - 1] + 1) + 1, "
+    "if(k = size(_gone), size(_lines), _gone[k]) - if(k = 0, 0, _gone[k - 1] + 1)))), '\\n')"
+)
+
+
+def without_lines(rows: DataFrame, schema: StructType, text: str, chars: str) -> DataFrame:
+    """Documents ``_doc`` without the lines ``_gone``, with the columns of ``schema``.
+
+    ``_gone`` lists 0-based numbers of ``\\n``-split lines, ascending (null: none). In changed
+    rows a column named ``chars`` is set to the new length.
+    """
+    changed = F.col("_gone").isNotNull()
+    rows = rows.select(
+        "_doc", "_gone", F.when(changed, F.split(f"_doc.{text}", "\n")).alias("_lines")
+    )
+    rows = rows.select("_doc", F.when(changed, F.expr(_REST)).alias("_new"))
+    new = {text: F.col("_new"), chars: F.length("_new")}
+    return rows.select(
+        *[
+            F.when(F.col("_new").isNotNull(), new[f.name].cast(f.dataType))
+            .otherwise(F.col(f"_doc.`{f.name}`"))
+            .alias(f.name)
+            if f.name in new
+            else F.col(f"_doc.`{f.name}`").alias(f.name)
+            for f in schema
+        ]
+    )
+
+
+#: Bits of a filter of keys: 128 KiB, whatever the number of keys.
+FILTER_BITS = 1 << 20
+
+
+def likely_in(keys: DataFrame, column: str, probe: Column) -> Column:
+    """True for every key that ``keys`` holds, false for most others.
+
+    A bitmap of fixed size, so that rows which a semi-join would drop needn't be shuffled;
+    the join itself still has to follow.
+    """
+    bit = F.pmod(F.xxhash64(column), F.lit(FILTER_BITS))
+    words = (
+        keys.select(F.shiftright(bit, 6).alias("w"), F.expr("cast(1 AS bigint)").alias("one"),
+                    F.pmod(bit, F.lit(64)).cast("int").alias("b"))
+        .groupBy("w")
+        .agg(F.bit_or(F.expr("shiftleft(one, b)")).alias("bits"))
+    )
+    spark = keys.sparkSession
+    whole = spark.range(FILTER_BITS // 64).withColumnRenamed("id", "w").join(words, "w", "left")
+    bitmap = (
+        whole.agg(
+            F.sort_array(F.collect_list(F.struct("w", F.coalesce("bits", F.lit(0)).alias("bits"))))
+            .alias("m")
+        )
+        .select("m.bits")
+        .scalar()
+    )
+    place = F.pmod(F.xxhash64(probe), F.lit(FILTER_BITS))
+    word = F.get(bitmap, F.shiftright(place, 6).cast("int"))
+    return F.getbit(word, F.pmod(place, F.lit(64)).cast("int")) == 1

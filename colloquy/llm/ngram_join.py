@@ -9,7 +9,9 @@ one class, and only classes are joined. For a pair at or above the threshold,
   index holds these. A shingle that only one class has needs no entry, and a passage that very
   many documents share is passed over for rarer ones;
 * the prefixes under two more orders (other mixes of the hash) have one in common too: both
-  filters must agree before two sets are compared.
+  filters must agree before two sets are compared;
+* parity sketches (a bit for each bucket of hashes, set where the set has an odd number there)
+  differ in no more bits than the two sets may differ in shingles.
 
 Lists of the index longer than ``LONG_LIST`` are those of large groups of near copies. There
 every class is first held against the list's smallest class; the links found give components,
@@ -31,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import likely_in, written
 from .components import components
 
 #: Words in a shingle, and least Jaccard similarity in per cent.
@@ -90,6 +92,20 @@ def _order(found: np.ndarray, seed: int, size: int) -> np.ndarray:
     return np.sort(np.partition(other, size - 1)[:size] if size < len(other) else other)
 
 
+def _odd(found: np.ndarray) -> np.ndarray:
+    """The parity sketch of a set, of at least four bits a shingle; sizes are powers of two."""
+    bits = max(64, 1 << (4 * len(found) - 1).bit_length())
+    at = (_mixed(found.view(np.uint64)) & np.uint64(bits - 1)).astype(np.int64)
+    odd = (np.bincount(at, minlength=bits) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").view(np.int64)
+
+
+def _folded(sketch: np.ndarray) -> np.ndarray:
+    """The sketch of half the size."""
+    half = len(sketch) // 2
+    return sketch[:half] ^ sketch[half:] if half else sketch
+
+
 def _lists(arrays: list[np.ndarray]) -> pa.Array:
     ends = np.cumsum([0, *map(len, arrays)], dtype=np.int64)
     values = np.concatenate(arrays) if arrays else np.empty(0, np.int64)
@@ -132,7 +148,7 @@ def _heads(width: int, percent: int):
 
 
 def _wholes(width: int, percent: int):
-    """Id, prefixes under the second and third order, and the whole set."""
+    """Id, prefixes under the second and third order, sketches, and the whole set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, sets in _batches(batches, width):
@@ -142,9 +158,11 @@ def _wholes(width: int, percent: int):
                     ids,
                     _lists([_order(s, 2, p) for s, p in zip(sets, sizes, strict=True)]),
                     _lists([_order(s, 3, p) for s, p in zip(sets, sizes, strict=True)]),
+                    _lists(odd := [_odd(s) for s in sets]),
+                    _lists([_folded(x) for x in odd]),
                     _lists(sets),
                 ],
-                names=["id", "p2", "p3", "set"],
+                names=["id", "p2", "p3", "odd", "folded", "set"],
             )
 
     return run
@@ -152,30 +170,48 @@ def _wholes(width: int, percent: int):
 
 def similar(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """Those of the candidate pairs ``(a, b)`` that reach the threshold."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
     sets = written(
-        docs.join(ids, "id", "left_semi").mapInArrow(
+        docs.filter(likely_in(ids, "id", F.col("id")))
+        .join(ids, "id", "left_semi")
+        .mapInArrow(
             _wholes(width, percent),
-            "id long, p2 array<long>, p3 array<long>, set array<long>",
+            "id long, p2 array<long>, p3 array<long>, odd array<long>, folded array<long>, "
+            "set array<long>",
         ),
         "sets",
     )
-    prefixes = [
-        sets.select(F.col("id").alias(s), F.col("p2").alias(f"{s}2"), F.col("p3").alias(f"{s}3"))
-        for s in "ab"
+
+    def with_both(pairs: DataFrame, *columns: str) -> DataFrame:
+        for s in "ab":
+            own = sets.select(
+                F.col("id").alias(s),
+                F.size("set").alias(f"n{s}"),
+                *[F.col(c).alias(f"{c}_{s}") for c in columns],
+            )
+            pairs = pairs.drop(f"n{s}").join(own, s)
+        return pairs
+
+    passed = with_both(pairs, "p2").filter(F.arrays_overlap("p2_a", "p2_b"))
+    passed = with_both(passed.select("a", "b"), "p3", "odd", "folded").filter(
+        F.arrays_overlap("p3_a", "p3_b")
+    )
+    x, y = [
+        F.when(F.size(f"odd_{s}") > F.size(f"odd_{o}"), F.col(f"folded_{s}")).otherwise(
+            F.col(f"odd_{s}")
+        )
+        for s, o in ("ab", "ba")
     ]
-    passed = (
-        pairs.join(prefixes[0], "a")
-        .join(prefixes[1], "b")
-        .filter(F.arrays_overlap("a2", "b2") & F.arrays_overlap("a3", "b3"))
-        .select("a", "b")
+    differ = F.aggregate(
+        F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda n, v: n + v
     )
-    whole = [sets.select(F.col("id").alias(s), F.col("set").alias(f"{s}s")) for s in "ab"]
-    common = F.size(F.array_intersect("as", "bs"))
+    passed = passed.filter(
+        (100 + percent) * differ <= (100 - percent) * (F.col("na") + F.col("nb"))
+    ).select("a", "b")
+    common = F.size(F.array_intersect("set_a", "set_b")).alias("c")
     return (
-        passed.join(whole[0], "a")
-        .join(whole[1], "b")
-        .select("a", "b", common.alias("c"), (F.size("as") + F.size("bs")).alias("both"))
+        with_both(passed, "set")
+        .select("a", "b", common, (F.col("na") + F.col("nb")).alias("both"))
         .filter(100 * F.col("c") >= percent * (F.col("both") - F.col("c")))
         .select("a", "b")
     )

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_az, row_key, text_of, words_of
+from .common import lower_az, row_key, text_of, without_lines, words_of
 
 #: A line is boilerplate where more than this share of a host's documents has it ...
 MAX_SHARE = 0.10
@@ -219,14 +219,6 @@ def judged(
     )
 
 
-#: The lines between two removed ones as one slice each, so that the work is linear.
-_REST = (
-    "array_join(flatten(transform(sequence(0, size(_gone)), k -> slice(_lines, "
-    "if(k = 0, 0, _gone[k - 1] + 1) + 1, "
-    "if(k = size(_gone), size(_lines), _gone[k]) - if(k = 0, 0, _gone[k - 1] + 1)))), '\n')"
-)
-
-
 def cleaned(
     documents: DataFrame, *, text: str = "text", chars: str = "n_chars", **options
 ) -> DataFrame:
@@ -235,19 +227,4 @@ def cleaned(
     In changed rows a column named ``chars`` is set to the new length.
     """
     rows = judged(documents, text=text, **options).filter("_kept")
-    changed = F.col("_gone").isNotNull()
-    rows = rows.select(
-        "_doc", "_gone", F.when(changed, F.split(f"_doc.{text}", "\n")).alias("_lines")
-    )
-    rows = rows.select("_doc", F.when(changed, F.expr(_REST)).alias("_new"))
-    new = {text: F.col("_new"), chars: F.length("_new")}
-    return rows.select(
-        *[
-            F.when(F.col("_new").isNotNull(), new[f.name].cast(f.dataType))
-            .otherwise(F.col(f"_doc.`{f.name}`"))
-            .alias(f.name)
-            if f.name in new
-            else F.col(f"_doc.`{f.name}`").alias(f.name)
-            for f in documents.schema
-        ]
-    )
+    return without_lines(rows, documents.schema, text, chars)
