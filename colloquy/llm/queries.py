@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ngram_join, quality_rules
+from . import line_dedup, ngram_join, quality_rules
 from .common import table
 
 QUERIES = {}
@@ -85,6 +85,48 @@ def op2_line_frequency_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_OP3_SQL = r"""
+WITH lines AS (
+  SELECT doc_id, generate_subscripts(l, 1) AS pos, unnest(l) AS line FROM (
+    SELECT doc_id, string_split(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+           'abcdefghijklmnopqrstuvwxyz'), chr(10)) AS l FROM documents)),
+sets AS (
+  SELECT * FROM (SELECT doc_id, pos, length(line) AS chars,
+    list_sort(list_distinct(regexp_extract_all(line, '[^\x20\x09-\x0D]+'))) AS s FROM lines)
+  WHERE len(s) >= 3),
+classes AS (SELECT s, len(s) AS n, min((doc_id, pos)) AS at FROM sets GROUP BY s),
+near AS (
+  SELECT DISTINCT b.s FROM classes a JOIN classes b
+  ON a.at < b.at AND 80 * a.n <= 100 * b.n AND 80 * b.n <= 100 * a.n
+  WHERE 180 * len(list_intersect(a.s, b.s)) >= 80 * (a.n + b.n)),
+marked AS (
+  SELECT x.doc_id, x.chars, (n.s IS NOT NULL OR (x.doc_id, x.pos) <> c.at) AS removed
+  FROM sets x JOIN classes c USING (s) LEFT JOIN near n USING (s))
+SELECT d.doc_id, count(chars)::BIGINT AS n_lines,
+       count(*) FILTER (WHERE removed)::BIGINT AS n_removed,
+       coalesce(sum(chars) FILTER (WHERE removed), 0)::BIGINT AS removed_chars
+FROM documents d LEFT JOIN marked USING (doc_id) GROUP BY d.doc_id
+"""
+
+
+@query(_OP3_SQL)
+def op3_line_similarity_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its lines of three words or more, and those removed as later ones."""
+    documents = table(spark, sf_dir, "documents")
+    found = line_dedup.later_matches(documents)
+    gone = F.col("removed")
+    sums = found.groupBy("key").agg(
+        F.count("*").alias("n_lines"),
+        F.count_if(gone).alias("n_removed"),
+        F.sum(F.when(gone, F.col("chars")).otherwise(0)).cast("long").alias("removed_chars"),
+    )
+    rows = documents.select("doc_id").join(sums, F.col("doc_id").eqNullSafe(F.col("key")), "left")
+    return rows.select(
+        "doc_id",
+        *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_lines", "n_removed", "removed_chars")],
+    )
+
+
 _OP10_SQL = r"""
 WITH RECURSIVE d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
