@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, ngram_join, quality_rules
+from . import line_dedup, mixing, ngram_join, quality_rules
 from .common import table
 
 QUERIES = {}
@@ -127,6 +127,45 @@ def op3_line_similarity_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_OP7_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, '7|' || doc_id || '|' || md5(coalesce(text, '')) AS name FROM documents),
+counts AS (SELECT source, count(*) AS n, 1.0::DOUBLE AS w FROM d GROUP BY source),
+means AS (
+  SELECT source, (SELECT sum(n)::DOUBLE FROM counts) * w / (SELECT sum(w) FROM counts) / n AS mean
+  FROM counts),
+rates AS (
+  SELECT source, greatest(1, ceil(mean / 16))::BIGINT AS parts,
+         mean / greatest(1, ceil(mean / 16)) AS rate FROM means),
+cdf AS (
+  SELECT source, rate, 0 AS k, exp(-rate) AS p, exp(-rate) AS s FROM rates
+  UNION ALL
+  SELECT source, rate, k + 1, p * rate / (k + 1), s + p * rate / (k + 1) FROM cdf WHERE k < 80),
+draws AS (
+  SELECT doc_id, d.source, name, part,
+         ('0x' || substr(md5(name || '|' || part), 1, 13))::BIGINT / 4503599627370496.0 AS u
+  FROM (SELECT d.*, unnest(range(1, parts + 1)) AS part
+        FROM d JOIN rates r ON d.source IS NOT DISTINCT FROM r.source) d),
+times AS (
+  SELECT doc_id, name, part, count(*) AS n FROM draws x JOIN cdf c
+  ON x.source IS NOT DISTINCT FROM c.source AND c.s <= x.u GROUP BY 1, 2, 3),
+copies AS (
+  SELECT doc_id, name, (part - 1) * 81 + unnest(range(0, n)) AS copy FROM times)
+SELECT doc_id, copy::BIGINT AS copy,
+       ('0x' || substr(md5(name || '|copy|' || copy), 1, 13))::BIGINT AS shuffle_order
+FROM copies
+"""
+
+
+@query(_OP7_SQL)
+def op7_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every copy that an even mix of the sources takes, with its place in the shuffle."""
+    rows = mixing.replicated(table(spark, sf_dir, "documents"), carry=["doc_id"])
+    return rows.select(
+        "_doc.doc_id", F.col("_copy").alias("copy"), F.col("_order").alias("shuffle_order")
+    )
+
+
 _OP10_SQL = r"""
 WITH RECURSIVE d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
