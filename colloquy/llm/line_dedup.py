@@ -206,7 +206,8 @@ def later_matches(
     pairs = (
         left.join(right, "t")
         .filter(
-            ~F.col("settled2")
+            # a condition on both sides, so that both can read one and the same exchange
+            (~F.col("settled2") | (F.col("c1") == F.col("c2")))
             & _first("1", "2")
             & F.when(F.col("n1") <= F.col("n2"), short[0]).otherwise(short[1])
             & _close(percent)

@@ -147,8 +147,8 @@ def _heads(width: int, percent: int):
     return run
 
 
-def _wholes(width: int, percent: int):
-    """Id, prefixes under the second and third order, sketches, and the whole set."""
+def _sketches(width: int, percent: int):
+    """Id, set size, prefixes under the second and third order, and parity sketches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, sets in _batches(batches, width):
@@ -156,45 +156,58 @@ def _wholes(width: int, percent: int):
             yield pa.RecordBatch.from_arrays(
                 [
                     ids,
+                    pa.array([len(s) for s in sets], pa.int64()),
                     _lists([_order(s, 2, p) for s, p in zip(sets, sizes, strict=True)]),
                     _lists([_order(s, 3, p) for s, p in zip(sets, sizes, strict=True)]),
                     _lists(odd := [_odd(s) for s in sets]),
                     _lists([_folded(x) for x in odd]),
-                    _lists(sets),
                 ],
-                names=["id", "p2", "p3", "odd", "folded", "set"],
+                names=["id", "n", "p2", "p3", "odd", "folded"],
             )
 
     return run
 
 
-def similar(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Those of the candidate pairs ``(a, b)`` that reach the threshold."""
-    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
-    sets = written(
-        docs.filter(likely_in(ids, "id", F.col("id")))
-        .join(ids, "id", "left_semi")
-        .mapInArrow(
-            _wholes(width, percent),
-            "id long, p2 array<long>, p3 array<long>, odd array<long>, folded array<long>, "
-            "set array<long>",
-        ),
-        "sets",
-    )
+def _wholes(width: int):
+    """Id, set size and the whole set."""
 
-    def with_both(pairs: DataFrame, *columns: str) -> DataFrame:
-        for s in "ab":
-            own = sets.select(
-                F.col("id").alias(s),
-                F.size("set").alias(f"n{s}"),
-                *[F.col(c).alias(f"{c}_{s}") for c in columns],
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, sets in _batches(batches, width):
+            yield pa.RecordBatch.from_arrays(
+                [ids, pa.array([len(s) for s in sets], pa.int64()), _lists(sets)],
+                names=["id", "n", "set"],
             )
-            pairs = pairs.drop(f"n{s}").join(own, s)
-        return pairs
 
-    passed = with_both(pairs, "p2").filter(F.arrays_overlap("p2_a", "p2_b"))
-    passed = with_both(passed.select("a", "b"), "p3", "odd", "folded").filter(
-        F.arrays_overlap("p3_a", "p3_b")
+    return run
+
+
+def _read_again(pairs: DataFrame, docs: DataFrame, run, columns: str) -> DataFrame:
+    """What ``run`` makes of the documents of the pairs, written."""
+    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
+    rows = docs.filter(likely_in(ids, "id", F.col("id"))).join(ids, "id", "left_semi")
+    return written(rows.mapInArrow(run, f"id long, n long, {columns}"), "sets")
+
+
+def _with_both(pairs: DataFrame, found: DataFrame, *columns: str) -> DataFrame:
+    """The pairs with these columns of ``a`` and of ``b``."""
+    pairs = pairs.select("a", "b")
+    for s in "ab":
+        own = [F.col(c).alias(f"{c}_{s}") for c in ("n", *columns)]
+        pairs = pairs.join(found.select(F.col("id").alias(s), *own), s)
+    return pairs
+
+
+def similar(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Those of the candidate pairs ``(a, b)`` that reach the threshold.
+
+    Filters see short columns of the pairs' documents; whole sets are made only for the
+    documents of pairs that pass them.
+    """
+    sketches = _read_again(
+        pairs,
+        docs,
+        _sketches(width, percent),
+        "p2 array<long>, p3 array<long>, odd array<long>, folded array<long>",
     )
     x, y = [
         F.when(F.size(f"odd_{s}") > F.size(f"odd_{o}"), F.col(f"folded_{s}")).otherwise(
@@ -205,13 +218,18 @@ def similar(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Data
     differ = F.aggregate(
         F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda n, v: n + v
     )
-    passed = passed.filter(
-        (100 + percent) * differ <= (100 - percent) * (F.col("na") + F.col("nb"))
-    ).select("a", "b")
+    passed = _with_both(pairs, sketches, "odd", "folded").filter(
+        (100 + percent) * differ <= (100 - percent) * (F.col("n_a") + F.col("n_b"))
+    )
+    passed = _with_both(passed, sketches, "p2", "p3").filter(
+        F.arrays_overlap("p2_a", "p2_b") & F.arrays_overlap("p3_a", "p3_b")
+    )
+    passed = written(passed.select("a", "b"), "pairs")
+    sets = _read_again(passed, docs, _wholes(width), "set array<long>")
     common = F.size(F.array_intersect("set_a", "set_b")).alias("c")
     return (
-        with_both(passed, "set")
-        .select("a", "b", common, (F.col("na") + F.col("nb")).alias("both"))
+        _with_both(passed, sets, "set")
+        .select("a", "b", common, (F.col("n_a") + F.col("n_b")).alias("both"))
         .filter(100 * F.col("c") >= percent * (F.col("both") - F.col("c")))
         .select("a", "b")
     )

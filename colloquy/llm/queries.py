@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, mixing, ngram_join, quality_rules
+from . import line_dedup, mixing, ngram_join, quality_rules, simple8b
 from .common import table
+from .tokens import public_path
 
 QUERIES = {}
 ORACLES = {}
@@ -127,6 +128,13 @@ def op3_line_similarity_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query()
+def op5_simple8b_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place and checksum, read back from the coded files."""
+    documents = table(spark, sf_dir, "documents")
+    return simple8b.coded(documents, public_path("byte_bpe_50k.json"))
+
+
 _OP7_SQL = r"""
 WITH RECURSIVE d AS (
   SELECT doc_id, source, '7|' || doc_id || '|' || md5(coalesce(text, '')) AS name FROM documents),
