@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, mixing, ngram_join, quality_rules, simple8b
+from . import line_dedup, mixing, ngram_join, packing, quality_rules, simple8b
 from .common import table
 from .tokens import public_path
 
@@ -135,6 +135,12 @@ def op5_simple8b_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simple8b.coded(documents, public_path("byte_bpe_50k.json"))
 
 
+@query()
+def op6_shortest_pack_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document with its place in a sequence of up to 1024 ids."""
+    return packing.packed(table(spark, sf_dir, "documents"), public_path("byte_bpe_50k.json"))
+
+
 _OP7_SQL = r"""
 WITH RECURSIVE d AS (
   SELECT doc_id, source, '7|' || doc_id || '|' || md5(coalesce(text, '')) AS name FROM documents),
