@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, mixing, ngram_join, packing, quality_rules, simple8b
+from . import html_text, line_dedup, mixing, ngram_join, packing, quality_rules, simple8b
 from .common import table
 from .tokens import public_path
 
@@ -205,6 +205,19 @@ FROM d LEFT JOIN sizes USING (doc_id)
 """
 
 
+@query()
+def op8_text_to_tag_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page with its main text."""
+    found = html_text.main_texts(table(spark, sf_dir, "pages"))
+    return found.select(
+        F.col("key").alias("page_id"),
+        "url",
+        "text",
+        F.length("text").cast("long").alias("n_chars"),
+        "n_blocks",
+    )
+
+
 @query(_OP10_SQL)
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the size of its set of 3-word shingles and its component."""
