@@ -5,7 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, line_dedup, mixing, ngram_join, packing, quality_rules, simple8b
+from . import (
+    html_text,
+    line_dedup,
+    mixing,
+    ngram_join,
+    packing,
+    quality_rules,
+    rp_forest,
+    simple8b,
+)
 from .common import table
 from .tokens import public_path
 
@@ -128,6 +137,12 @@ def op3_line_similarity_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query()
+def op4_rp_forest_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors found for every 20th one."""
+    return rp_forest.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 @query()
 def op5_simple8b_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's place and checksum, read back from the coded files."""
