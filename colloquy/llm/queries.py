@@ -14,6 +14,7 @@ from . import (
     quality_rules,
     rp_forest,
     simple8b,
+    toxicity,
 )
 from .common import table
 from .tokens import public_path
@@ -32,6 +33,18 @@ def query(sql: str | None = None):
     return register
 
 
+@query()
+def op1_kneser_ney_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's score, learned from labels of three in four ids."""
+    rest = F.pmod(F.crc32(F.col("id").cast("string")), F.lit(4))
+    found = toxicity.scored(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), rest != 2
+    )
+    return found.select(
+        F.col("id").alias("doc_id"), F.coalesce(rest == 2, F.lit(False)).alias("held_out"), "score", "predicted"
+    )
+
+
 _OP2_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, coalesce(text, '') AS t,
