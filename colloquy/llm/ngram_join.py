@@ -14,9 +14,10 @@ one class, and only classes are joined. For a pair at or above the threshold,
   differ in no more bits than the two sets may differ in shingles.
 
 Lists of the index longer than ``LONG_LIST`` are those of large groups of near copies. There
-every class is first held against the list's smallest class; the links found give components,
+every class is first held against ``HUBS`` classes of the list; the links found give components,
 and then only pairs of different components are tested. No link between components is lost,
-and no group emits all its pairs.
+and a group of linked classes doesn't emit all its pairs. Entries of long lists carry a short
+parity sketch, so that pairs too far apart aren't made at all.
 
 Defined cases: null or wordless texts have empty sets and link with nothing; a row with a
 null id links with nothing and has a null component; rows of one id are one document;
@@ -30,7 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import likely_in, written
@@ -43,6 +44,10 @@ PERCENT = 80
 SHARED = 16
 #: Longer lists are joined by component, not pair by pair.
 LONG_LIST = 16
+#: Classes of a long list that all others are held against first.
+HUBS = 8
+#: Longs of the short parity sketch.
+SHORT_SKETCH = 8
 #: Word hashes a worker remembers; then it begins anew. No effect on results.
 REMEMBERED = 400_000
 
@@ -92,9 +97,10 @@ def _order(found: np.ndarray, seed: int, size: int) -> np.ndarray:
     return np.sort(np.partition(other, size - 1)[:size] if size < len(other) else other)
 
 
-def _odd(found: np.ndarray) -> np.ndarray:
-    """The parity sketch of a set, of at least four bits a shingle; sizes are powers of two."""
-    bits = max(64, 1 << (4 * len(found) - 1).bit_length())
+def _odd(found: np.ndarray, longs: int | None = None) -> np.ndarray:
+    """The parity sketch of a set: of so many longs, or of at least four bits a shingle (sizes
+    are powers of two)."""
+    bits = 64 * longs if longs else max(64, 1 << (4 * len(found) - 1).bit_length())
     at = (_mixed(found.view(np.uint64)) & np.uint64(bits - 1)).astype(np.int64)
     odd = (np.bincount(at, minlength=bits) & 1).astype(np.uint8)
     return np.packbits(odd, bitorder="little").view(np.int64)
@@ -140,8 +146,9 @@ def _heads(width: int, percent: int):
                     pa.array([m[0] for m in marks], pa.int64()),
                     pa.array([m[1] for m in marks], pa.int64()),
                     _lists(firsts),
+                    _lists([_odd(s, SHORT_SKETCH) for s in sets]),
                 ],
-                names=["id", "n", "s1", "s2", "firsts"],
+                names=["id", "n", "s1", "s2", "firsts", "sketch"],
             )
 
     return run
@@ -161,8 +168,9 @@ def _sketches(width: int, percent: int):
                     _lists([_order(s, 3, p) for s, p in zip(sets, sizes, strict=True)]),
                     _lists(odd := [_odd(s) for s in sets]),
                     _lists([_folded(x) for x in odd]),
+                    _lists([_odd(s, SHORT_SKETCH) for s in sets]),
                 ],
-                names=["id", "n", "p2", "p3", "odd", "folded"],
+                names=["id", "n", "p2", "p3", "odd", "folded", "short"],
             )
 
     return run
@@ -197,6 +205,13 @@ def _with_both(pairs: DataFrame, found: DataFrame, *columns: str) -> DataFrame:
     return pairs
 
 
+def _differing(a: str, b: str) -> Column:
+    """Bits in which two short sketches differ."""
+    return sum(
+        F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))) for i in range(SHORT_SKETCH)
+    )
+
+
 def similar(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """Those of the candidate pairs ``(a, b)`` that reach the threshold.
 
@@ -207,7 +222,12 @@ def similar(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Data
         pairs,
         docs,
         _sketches(width, percent),
-        "p2 array<long>, p3 array<long>, odd array<long>, folded array<long>",
+        "p2 array<long>, p3 array<long>, odd array<long>, folded array<long>, short array<long>",
+    )
+    sizes = F.col("n_a") + F.col("n_b")
+    differ = _differing("short_a", "short_b")
+    pairs = _with_both(pairs, sketches, "short").filter(
+        (100 + percent) * differ <= (100 - percent) * sizes
     )
     x, y = [
         F.when(F.size(f"odd_{s}") > F.size(f"odd_{o}"), F.col(f"folded_{s}")).otherwise(
@@ -219,7 +239,7 @@ def similar(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Data
         F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda n, v: n + v
     )
     passed = _with_both(pairs, sketches, "odd", "folded").filter(
-        (100 + percent) * differ <= (100 - percent) * (F.col("n_a") + F.col("n_b"))
+        (100 + percent) * differ <= (100 - percent) * sizes
     )
     passed = _with_both(passed, sketches, "p2", "p3").filter(
         F.arrays_overlap("p2_a", "p2_b") & F.arrays_overlap("p3_a", "p3_b")
@@ -247,7 +267,8 @@ def groups(
     docs = documents.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     heads = written(
         docs.mapInArrow(
-            _heads(width, percent), "id long, n long, s1 long, s2 long, firsts array<long>"
+            _heads(width, percent),
+            "id long, n long, s1 long, s2 long, firsts array<long>, sketch array<long>",
         ),
         "heads",
     )
@@ -277,47 +298,60 @@ def groups(
         F.count("*").alias("length"), F.min(F.struct("node", "n")).alias("hub")
     )
     index = written(index.join(lists.filter("length > 1"), "t"), "index")
-    short, long = index.filter(F.col("length") <= LONG_LIST), index.filter(
-        F.col("length") > LONG_LIST
-    )
+    short = index.filter(F.col("length") <= LONG_LIST)
     left, right = [
         short.select("t", F.col("node").alias(s), F.col("n").alias(f"n{s}")) for s in "ab"
     ]
     fits = percent * F.greatest("na", "nb") <= 100 * F.least("na", "nb")
     within = left.join(right, "t").filter((F.col("a") < F.col("b")) & fits).select("a", "b")
+
+    # long lists: every class against the hubs
+    sketches = heads.filter(linked).groupBy("n", "s1", "s2").agg(
+        F.min("id").alias("node"), F.first("sketch").alias("sketch")
+    )
+    long = index.filter(F.col("length") > LONG_LIST).select("t", "node", "n")
+    long = written(long.join(sketches.select("node", "sketch"), "node"), "index")
+    close = fits & (
+        (100 + percent) * _differing("ska", "skb")
+        <= (100 - percent) * (F.col("na") + F.col("nb"))
+    )
+    pair = (F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+    def side(rows: DataFrame, node: str, s: str, *more: str) -> DataFrame:
+        renamed = (F.col(c).alias(to) for c, to in (("node", node), ("n", f"n{s}"), ("sketch", f"sk{s}")))
+        return rows.select("t", *renamed, *more)
+
+    hubs = long.groupBy("t").agg(
+        F.array(
+            *[
+                F.min(F.struct(F.xxhash64("node", F.lit(i)).alias("h"), "node", "n", "sketch"))
+                for i in range(HUBS)
+            ]
+        ).alias("hubs")
+    )
+    hubs = hubs.select("t", F.explode(F.array_distinct(F.transform("hubs", lambda h: h.dropFields("h")))).alias("h"))
     around = (
-        long.select(
-            F.col("hub.node").alias("a"),
-            F.col("hub.n").alias("na"),
-            F.col("node").alias("b"),
-            F.col("n").alias("nb"),
-        )
-        .filter((F.col("a") < F.col("b")) & fits)
-        .select("a", "b")
+        side(long, "x", "a")
+        .join(side(hubs.select("t", "h.*"), "y", "b"), "t")
+        .filter((F.col("x") != F.col("y")) & close)
+        .select(*pair)
     )
     pairs = written(within.unionByName(around).distinct(), "pairs")
     links = written(similar(pairs, docs, width, percent), "found")
     found = components(links)
 
     # in long lists, pairs of different components are left
-    long = long.select("t", "node", "n").join(found, "node", "left").select(
-        "t", "node", "n", F.coalesce("component", "node").alias("part")
-    )
+    long = long.join(found, "node", "left").withColumn("part", F.coalesce("component", "node"))
     parts = long.groupBy("t", "part").agg(F.count("*").alias("size"))
     main = parts.groupBy("t").agg(
         F.max_by("part", F.struct("size", "part")).alias("main"), F.count("*").alias("parts")
     )
     long = long.join(main.filter("parts > 1"), "t")
-    minor = long.filter(F.col("part") != F.col("main")).select(
-        "t", F.col("node").alias("x"), F.col("n").alias("na"), F.col("part").alias("px")
-    )
-    every = long.select(
-        "t", F.col("node").alias("y"), F.col("n").alias("nb"), F.col("part").alias("py")
-    )
+    minor = side(long.filter(F.col("part") != F.col("main")), "x", "a", F.col("part").alias("px"))
     across = written(
-        minor.join(every, "t")
-        .filter((F.col("px") != F.col("py")) & fits)
-        .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+        minor.join(side(long, "y", "b", F.col("part").alias("py")), "t")
+        .filter((F.col("px") != F.col("py")) & close)
+        .select(*pair)
         .distinct()
         .join(pairs, ["a", "b"], "left_anti"),
         "pairs",
