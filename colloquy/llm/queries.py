@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
+    gru_lm,
     html_text,
     line_dedup,
     mixing,
@@ -246,6 +247,22 @@ def op8_text_to_tag_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query()
+def op9_gru_log_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's log-probability, learned from four in five ids."""
+    rest = F.pmod(F.crc32(F.col("id").cast("string")), F.lit(5))
+    found = gru_lm.scored(table(spark, sf_dir, "documents"), rest != 1)
+    return found.select(
+        F.col("id").alias("doc_id"),
+        F.coalesce(rest == 1, F.lit(False)).alias("held_out"),
+        "n_tokens",
+        "n_known",
+        "train_tokens",
+        "base_score",
+        "score",
+    )
+
+
 @query(_OP10_SQL)
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the size of its set of 3-word shingles and its component."""
