@@ -45,12 +45,17 @@ SELECTORS = (
 _COUNTS = np.array([c for c, _ in SELECTORS], np.int64)
 
 
+#: Bits of every number of up to 16 bits.
+_SMALL = np.frexp(np.arange(1 << 16, dtype=np.float64))[1].astype(np.uint8)
+
+
 def _widths(ids: np.ndarray) -> np.ndarray:
     """Bits of each id."""
+    if not ids.size or ids.max() < len(_SMALL):
+        return _SMALL[ids.astype(np.uint16)]
     high = (ids >> np.uint64(32)).astype(np.uint32)
-    return np.where(
-        high > 0, np.frexp(high.astype(np.float64))[1] + 32, np.frexp(ids.astype(np.float64))[1]
-    ).astype(np.uint8)
+    low = np.frexp((ids & np.uint64(0xFFFFFFFF)).astype(np.float64))[1]
+    return np.where(high > 0, np.frexp(high.astype(np.float64))[1] + 32, low).astype(np.uint8)
 
 
 def _choices(widths: np.ndarray) -> np.ndarray:
@@ -66,7 +71,7 @@ def _choices(widths: np.ndarray) -> np.ndarray:
             grown = widest.copy()
             np.maximum(widest[:, :-step], widest[:, step:], out=grown[:, :-step])
             widest, size = grown, size + step
-        chosen[widest <= bits] = k
+        np.copyto(chosen, np.uint8(k), where=widest <= bits)
     return chosen[:, :n]
 
 
@@ -80,29 +85,31 @@ def encode(ids: np.ndarray, block: int = BLOCK) -> bytes:
     if blocks:
         ends[-1] = len(ids) - (blocks - 1) * block
     chosen = _choices(_widths(table)) if blocks else np.zeros((0, block), np.uint8)
-    jumps = _COUNTS[chosen]
-    at, live, starts, rows = np.zeros(blocks, np.int64), np.arange(blocks), [], []
-    while len(live):
-        rows.append(live)
-        starts.append(at[live])
-        at[live] += jumps[live, at[live]]
-        live = live[at[live] < ends[live]]
-    row = np.concatenate(rows) if rows else np.empty(0, np.int64)
-    start = np.concatenate(starts) if starts else np.empty(0, np.int64)
-    order = np.lexsort((start, row))
-    row, start = row[order], start[order]
-    selector = chosen[row, start]
+    flat, base = chosen.ravel(), np.arange(blocks) * block
+    at, steps = np.zeros(blocks, np.int64), []
+    while (at < ends).any():
+        steps.append(at)
+        at = at + _COUNTS[flat[base + np.minimum(at, block - 1)]]
+    # a row for each block: the places where its words begin
+    starts = np.array(steps, np.int64).reshape(len(steps), blocks).T
+    row, step = np.nonzero(starts < ends[:, None])
+    start = starts[row, step]
+    selector = flat[base[row] + start] if blocks else np.empty(0, np.uint8)
+    first, values = row * (block + 128) + start, table.ravel()
     words = selector.astype(np.uint64) << np.uint64(60)
     for k in range(2, len(SELECTORS)):
         count, bits = SELECTORS[k]
         own = np.flatnonzero(selector == k)
-        for j in range(count if len(own) else 0):
-            words[own] |= table[row[own], start[own] + j] << np.uint64(bits * j)
+        if len(own):
+            word, place = words[own], first[own]
+            for j in range(count):
+                word |= values[place + j] << np.uint64(bits * j)
+            words[own] = word
     escaped = np.flatnonzero(selector == 0)
     words[escaped] = np.arange(len(escaped), dtype=np.uint64)
     offsets = np.searchsorted(row, np.arange(blocks + 1)).astype("<u8")
     head = _HEAD.pack(MAGIC, block, len(ids), len(words), len(escaped))
-    escapes = table[row[escaped], start[escaped]]
+    escapes = values[first[escaped]]
     return b"".join(
         (head, offsets.tobytes(), words.astype("<u8").tobytes(), escapes.astype("<u8").tobytes())
     )
