@@ -107,3 +107,15 @@ def likely_in(keys: DataFrame, column: str, probe: Column) -> Column:
     place = F.pmod(F.xxhash64(probe), F.lit(FILTER_BITS))
     word = F.get(bitmap, F.shiftright(place, 6).cast("int"))
     return F.getbit(word, F.pmod(place, F.lit(64)).cast("int")) == 1
+
+
+def greatest(rows: DataFrame, by: Column, most: int) -> DataFrame:
+    """The rows with the greatest ``by``, ``most`` at most: those above a quantile, found by an
+    aggregate, so that no task and no driver sorts more than it returns. Ties at the quantile
+    are left out, and so may a few rows in ten thousand be."""
+    rows = rows.withColumn("_by", by.cast("double"))
+    n = rows.count()
+    if n > most:
+        cut = rows.agg(F.percentile_approx("_by", 1.0 - 0.999 * most / n, 10_000)).first()[0]
+        rows = rows.filter(F.col("_by") > cut)
+    return rows.drop("_by")
