@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import greatest, written
 
 WORDS = 1023
 PER_CLASS = 32
@@ -393,8 +393,9 @@ def scored(
     )
     counts = written(counts.mapInArrow(_hashed, "word string, c long, h long, s int"), "words")
     total, kinds = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    top = counts.orderBy(F.desc("c"), "word").limit(COUNTED).select("word", "c").collect()
-    known = {r["word"]: r["c"] for r in top}
+    top = greatest(counts, F.col("c"), COUNTED).select("word", "c").toPandas()
+    top = top.sort_values(["c", "word"], ascending=[False, True])
+    known = dict(zip(top["word"], map(int, top["c"]), strict=True))
     frequent = [w for w in known if w != END][:WORDS] + [END]
     # the sums of the spelling classes, without the frequent words
     sums = {r["s"]: r for r in counts.groupBy("s").agg(F.sum("c").alias("c"), F.count("*").alias("n")).collect()}
