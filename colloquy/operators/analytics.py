@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import list_size, mention_ids
-from .keys import LIST_LIMIT, bounded_lists
+from .keys import listed
 from .threads import THREAD_KEY
 from .tickets import mentioned
 
@@ -169,7 +169,13 @@ def mentions_in_scope(messages: DataFrame) -> DataFrame:
     return messages.select(F.explode(mention_ids(F.col("text"))).alias("user_id")).distinct()
 
 
-def user_rollup(messages: DataFrame, limit: int = LIST_LIMIT) -> DataFrame:
+def _with_user(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Left join by user, the group without a user included."""
+    named = right.withColumnRenamed("user_id", "_user")
+    return left.join(named, F.col("user_id").eqNullSafe(F.col("_user")), "left").drop("_user")
+
+
+def user_rollup(messages: DataFrame) -> DataFrame:
     """Per user: messages, threads started, daily mean, channels and tickets."""
     fine = messages.groupBy("user_id", "channel", "dt").agg(
         F.count("*").alias("n"), F.count_if("is_thread_parent").alias("threads")
@@ -183,23 +189,20 @@ def user_rollup(messages: DataFrame, limit: int = LIST_LIMIT) -> DataFrame:
         F.sum("threads").alias("thread_count"),
         F.min_by("channel", F.struct(-F.col("n"), "channel")).alias("most_active_channel"),
     )
-    channels = bounded_lists(
+    channels = listed(
         per_channel.select("user_id", "channel"),
         ["user_id"],
         "channel",
         "channel_count",
         "channels_active",
-        limit,
     )
     pairs = mentioned(messages, "user_id").select("user_id", "ticket_id").distinct()
-    tickets = bounded_lists(
-        pairs, ["user_id"], "ticket_id", "ticket_count", "jira_tickets_mentioned", limit
+    tickets = listed(
+        pairs, ["user_id"], "ticket_id", "ticket_count", "jira_tickets_mentioned"
     )
     none = F.array().cast("array<string>")
     return (
-        totals.join(days, "user_id")
-        .join(channels, "user_id")
-        .join(tickets, "user_id", "left")
+        _with_user(_with_user(_with_user(totals, days), channels), tickets)
         .select(
             "user_id",
             "message_count",

@@ -25,12 +25,17 @@ def time_buckets(messages: DataFrame, bucket: str = "hour") -> DataFrame:
             F.min("event_ts").alias("first"),
             F.max("event_ts").alias("last"),
         )
-        whole = W.partitionBy(F.lit(0))
-        per_channel = per_channel.select(
-            F.min("first").over(whole).alias("bucket_start"),
-            F.max("last").over(whole).alias("bucket_end"),
+        sums = per_channel.agg(
+            F.min("first"), F.max("last"), F.sum("messages"), F.count("*")
+        ).toDF("first", "last", "messages", "channels")
+        start, end, total, channels = (sums.select(c).scalar() for c in sums.columns)
+        return per_channel.select(
+            start.alias("bucket_start"),
+            end.alias("bucket_end"),
             "channel",
             "messages",
+            total.alias("bucket_messages"),
+            channels.alias("bucket_channels"),
         )
     else:
         per_channel = (

@@ -9,8 +9,6 @@ from pyspark.sql import functions as F
 
 # Rows of one key a single task should handle; keys above it are split.
 ROWS_PER_TASK = 2_000_000
-# Longest list put into one row; longer ones stay in their long form.
-LIST_LIMIT = 10_000
 _NULL_KEY_SLICES = 256
 
 
@@ -83,25 +81,16 @@ def lookup(
     return joined.select(*left.columns, *extra)
 
 
-def bounded_lists(
-    pairs: DataFrame,
-    keys: Sequence[str],
-    value: str,
-    counted_as: str,
-    listed_as: str,
-    limit: int = LIST_LIMIT,
+def listed(
+    pairs: DataFrame, keys: Sequence[str], value: str, counted_as: str, listed_as: str
 ) -> DataFrame:
-    """Exact count and sorted list of the distinct values of each key.
+    """Exact count and complete sorted list of the distinct values of each key.
 
-    ``pairs`` holds distinct (key, value) rows. A list longer than ``limit`` is null
-    instead, because one row cannot hold it; all its values stay in ``pairs``.
+    ``pairs`` holds distinct (key, value) rows, so a list is as long as a key has different
+    users, channels or tickets, however many messages stand behind them.
     """
-    keys = list(keys)
-    counts = pairs.groupBy(*keys).agg(F.count(value).alias(counted_as))
-    heavy = heavy_keys(pairs, keys, limit).select(*keys)
-    lists = (
-        pairs.join(F.broadcast(heavy), keys, "left_anti")
-        .groupBy(*keys)
+    return (
+        pairs.groupBy(*keys)
         .agg(F.sort_array(F.collect_list(value)).alias(listed_as))
+        .select(*keys, F.size(listed_as).cast("bigint").alias(counted_as), listed_as)
     )
-    return counts.join(lists, keys, "left")

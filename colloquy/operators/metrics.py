@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .keys import LIST_LIMIT, bounded_lists
+from .keys import listed
 from .people import author_name, leaders
 from .tickets import mentioned
 
@@ -61,7 +61,7 @@ def view_footer(rebuilt: DataFrame, view: list[str]) -> DataFrame:
     )
 
 
-def channel_analytics(messages: DataFrame, limit: int = LIST_LIMIT) -> DataFrame:
+def channel_analytics(messages: DataFrame) -> DataFrame:
     """Per channel: messages, active users and distinct tickets, with their lists."""
     per_name = messages.groupBy("channel", "user_id", "user_name").agg(F.count("*").alias("n"))
     totals = per_name.groupBy("channel").agg(F.sum("n").alias("messages_count"))
@@ -70,17 +70,16 @@ def channel_analytics(messages: DataFrame, limit: int = LIST_LIMIT) -> DataFrame
         .groupBy("channel", "user_id")
         .agg(F.coalesce(F.max("user_name"), F.lit("")).alias("u"))
     )
-    users = bounded_lists(
+    users = listed(
         per_user.select("channel", "u"),
         ["channel"],
         "u",
         "active_users_count",
         "users",
-        limit,
     )
     pairs = mentioned(messages).select("channel", "ticket_id").distinct()
-    tickets = bounded_lists(
-        pairs, ["channel"], "ticket_id", "jira_tickets_count", "jira_items", limit
+    tickets = listed(
+        pairs, ["channel"], "ticket_id", "jira_tickets_count", "jira_items"
     )
     none = F.array().cast("array<string>")
     return (

@@ -38,6 +38,12 @@ def number_rows(
     )
     inside = W.partitionBy(*group, "_slice").orderBy(ts, *ties)
     numbered = cut.withColumn("_inside", F.row_number().over(inside))
-    return numbered.join(bases, [*group, "_slice"]).select(
+    same = F.col("_slice") == F.col("_of_slice")
+    for g in group:
+        same = same & F.col(g).eqNullSafe(F.col(f"_of_{g}"))
+    bases = bases.select(
+        "_base", F.col("_slice").alias("_of_slice"), *[F.col(g).alias(f"_of_{g}") for g in group]
+    )
+    return numbered.join(bases, same).select(
         *df.columns, (F.col("_base") + F.col("_inside")).cast("bigint").alias(name)
     )

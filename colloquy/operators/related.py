@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import mention_ids
 from ..session import shared_folder
-from .keys import LIST_LIMIT, ROWS_PER_TASK, bounded_lists, lookup
+from .keys import ROWS_PER_TASK, listed, lookup
 from .tickets import mentioned
 
 # Days of the current, comparison and persistence windows.
@@ -162,7 +162,7 @@ def _small_star(state: DataFrame, rows_per_task: int) -> DataFrame:
     return linked.unionByName(own).filter(F.col("u") != F.col("v")).distinct()
 
 
-def topics(rows: DataFrame, limit: int = LIST_LIMIT) -> DataFrame:
+def topics(rows: DataFrame) -> DataFrame:
     """Per topic of (topic_id, channel, message_id): messages and channels, for topics with
     several messages; topic -1 means none."""
     fine = (
@@ -171,13 +171,12 @@ def topics(rows: DataFrame, limit: int = LIST_LIMIT) -> DataFrame:
         .agg(F.count("message_id").alias("n"))
     )
     totals = fine.groupBy("topic_id").agg(F.sum("n").alias("messages"))
-    lists = bounded_lists(
+    lists = listed(
         fine.select("topic_id", "channel"),
         ["topic_id"],
         "channel",
         "channel_count",
         "channels",
-        limit,
     )
     return totals.filter(F.col("messages") > 1).join(lists, "topic_id")
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.instants import bucket_start
 from ..functions.text import blank_to_null, display_name
 from ..session import shared_folder
-from .keys import LIST_LIMIT, ROWS_PER_TASK, bounded_lists, lookup
+from .keys import ROWS_PER_TASK, listed, lookup
 from .numbering import HOUR, number_rows
 
 THREAD_KEY = ["channel", "thread_ts"]
@@ -216,24 +216,22 @@ def thread_members(messages: DataFrame, value: Column, name: str) -> DataFrame:
     )
 
 
-def thread_table(messages: DataFrame, limit: int = LIST_LIMIT) -> DataFrame:
+def thread_table(messages: DataFrame) -> DataFrame:
     """One row per thread with a parent: size, participants, tickets, duration in minutes."""
     facts = thread_facts(messages).filter(F.col("parent").isNotNull())
-    people = bounded_lists(
+    people = listed(
         thread_members(messages, participant(), "participant"),
         THREAD_KEY,
         "participant",
         "participant_count",
         "participants",
-        limit,
     )
-    tickets = bounded_lists(
+    tickets = listed(
         thread_members(messages, F.explode("jira_tickets"), "ticket"),
         THREAD_KEY,
         "ticket",
         "ticket_count",
         "jira_tickets",
-        limit,
     )
     minutes = (F.unix_micros("last_reply_ts") - F.unix_micros("parent.event_ts")) / 60_000_000
     none = F.array().cast("array<string>")
@@ -312,7 +310,7 @@ def summary_line(threads: DataFrame) -> DataFrame:
 def active_threads(messages: DataFrame, more_than: int = 3) -> DataFrame:
     """Threads with over ``more_than`` replies next to their parent message."""
     threads = thread_table(messages).filter(F.col("reply_count") > more_than)
-    parents = messages.select(
+    parents = messages.filter("is_thread_parent").select(
         "channel", F.col("message_id").alias("thread_id"), F.col("text").alias("parent_message")
     )
     return threads.join(parents, ["channel", "thread_id"])

@@ -9,7 +9,7 @@ from .. import schemas
 from ..functions.fields import ticket_details
 from ..functions.text import annotate_tickets, list_size
 from ..sources.tables import latest_tickets
-from .keys import LIST_LIMIT, bounded_lists, lookup
+from .keys import listed, lookup
 
 MESSAGE_KEY = ["channel", "message_id"]
 META_FIELDS = ["ticket_id", "summary", "status", "priority", "assignee"]
@@ -81,22 +81,21 @@ def mentions_by_status(messages: DataFrame, tickets: DataFrame) -> DataFrame:
     )
 
 
-def cross_channel(messages: DataFrame, limit: int = LIST_LIMIT) -> DataFrame:
+def cross_channel(messages: DataFrame) -> DataFrame:
     """Tickets mentioned in more than one channel: mentions, channels and their names."""
     per_channel = mentioned(messages).groupBy("ticket_id", "channel").agg(F.count("*").alias("n"))
     totals = per_channel.groupBy("ticket_id").agg(F.sum("n").alias("mention_count"))
-    lists = bounded_lists(
+    lists = listed(
         per_channel.select("ticket_id", "channel"),
         ["ticket_id"],
         "channel",
         "channel_count",
         "channels",
-        limit,
     )
     return totals.join(lists.filter(F.col("channel_count") > 1), "ticket_id")
 
 
-def ticket_rollup(messages: DataFrame, limit: int = LIST_LIMIT) -> DataFrame:
+def ticket_rollup(messages: DataFrame) -> DataFrame:
     """Per ticket: channels, messages, mentions and the first mention."""
     per_channel = (
         mentioned(messages, "event_ts")
@@ -106,13 +105,12 @@ def ticket_rollup(messages: DataFrame, limit: int = LIST_LIMIT) -> DataFrame:
     totals = per_channel.groupBy("ticket_id").agg(
         F.sum("n").alias("mention_count"), F.min("first").alias("first_mentioned")
     )
-    lists = bounded_lists(
+    lists = listed(
         per_channel.select("ticket_id", "channel"),
         ["ticket_id"],
         "channel",
         "channel_count",
         "channels",
-        limit,
     )
     return totals.join(lists, "ticket_id")
 

@@ -31,6 +31,8 @@ from ..session import shared_folder
 from .lines import emit, emit_parts, some, stack
 
 THICK, THIN, MEDIUM = "=" * 80, "-" * 60, "-" * 50
+# Longest ticket summary shown whole, and what is left of a longer one.
+SUMMARY_WIDTH, SUMMARY_CUT = 50, 47
 TICKETS_LABEL, REACTIONS_LABEL, FILES_LABEL = "🎫 JIRA", "😊 Reactions: ", "📎 Files: "
 
 
@@ -72,7 +74,7 @@ def ticket_lines(tickets: Column, metadata: Column, indent: Column | str) -> Col
             indent, "   • ", ticket, " [", field("priority", "Unknown"), "] ",
             field("status", "Unknown"),
         )
-        second = text_of(indent, '     "', shorten(field("summary", "No summary"), 50, 47), '"')
+        second = text_of(indent, '     "', shorten(field("summary", "No summary"), SUMMARY_WIDTH, SUMMARY_CUT), '"')
         third = text_of(indent, "     Assignee: ", field("assignee", "Unassigned"))
         alone = text_of(indent, "   • ", ticket)
         return F.when(meta.isNull(), F.array(alone)).otherwise(F.array(first, second, third))

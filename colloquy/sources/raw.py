@@ -155,7 +155,7 @@ def ticket_columns(record: Column) -> list[Column]:
     )
     return [
         record["key"].alias("ticket_id"),
-        F.substring(f["summary"], 1, 40).alias("summary"),
+        f["summary"].alias("summary"),
         f["priority"]["name"].alias("priority"),
         f["issuetype"]["name"].alias("issue_type"),
         f["status"]["name"].alias("status"),

@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import schemas
 from ..operators.keys import latest_per_key
@@ -20,7 +21,10 @@ from .tables import messages_path, read_typed, tickets_path, users_path
 
 DAY_PATTERN = r"^\d{4}-\d{2}-\d{2}$"
 ROWS_PER_FILE = 1_000_000
-DAYS_LISTED = 4_000
+USER_BUCKETS = 64
+
+
+USERS_STORED = T.StructType([*schemas.USERS.fields, T.StructField("bucket", T.IntegerType())])
 
 
 def check_day(day: str) -> str:
@@ -40,13 +44,14 @@ def merge_rows(
 ) -> DataFrame:
     """Upsert result: new rows beat stored ones, the last of a batch beats earlier ones.
 
-    ``sequence`` names the batch's order column; without it the row order of the
-    batch's files counts.
+    ``sequence`` names the batch's order column, of any type that orders; without it the
+    row order of the batch's partitions counts.
     """
     order = F.col(sequence) if sequence else F.monotonically_increasing_id()
     columns = stored.columns
     new = batch.select(*columns, order.alias("_seq")).withColumn("_new", F.lit(1))
-    old = stored.withColumn("_seq", F.lit(0).cast("bigint")).withColumn("_new", F.lit(0))
+    kind = new.schema["_seq"].dataType
+    old = stored.withColumn("_seq", F.lit(None).cast(kind)).withColumn("_new", F.lit(0))
     both = old.select(*columns, "_seq", "_new").unionByName(new)
     return latest_per_key(both, keys, [F.col("_new"), F.col("_seq")]).select(*columns)
 
@@ -105,11 +110,12 @@ def _upsert_partitions(
     batch = batch.withColumn("dt", checked_day(F.col("dt"))).checkpoint()
     new = _sizes(batch, by)
     stored = read_typed(spark, path, schema)
-    # The batch's days as a plain partition filter keep all other days from being listed
-    # and read; the semi join then leaves just the touched partitions.
-    days = [row.dt for row in new.select("dt").distinct().limit(DAYS_LISTED + 1).collect()]
-    if len(days) <= DAYS_LISTED:
-        stored = stored.filter(F.col("dt").isin(days))
+    # The batch's first and last day as a partition filter keep days outside from being
+    # listed and read; the semi join then leaves just the touched partitions.
+    first, last = new.agg(F.min("dt"), F.max("dt")).first()
+    if first is None:
+        return
+    stored = stored.filter(F.col("dt").between(first, last))
     stored = stored.join(new.select(*by), by, "left_semi").select(*schema.fieldNames())
     sizes = new.unionByName(_sizes(stored, by)).groupBy(*by).agg(F.sum("_rows").alias("_rows"))
     merged = merge_rows(stored, batch, [*by, key], sequence)
@@ -166,14 +172,29 @@ def upsert_tickets(
 def upsert_users(
     spark: SparkSession, batch: DataFrame, root: str, sequence: str | None = None
 ) -> None:
-    """Merge a batch into the global user table by ``user_id``."""
+    """Merge a batch into the global user table by ``user_id``.
+
+    Users lie in buckets by a hash of their id. Only touched buckets are read and swapped, by
+    dynamic overwrite at job commit, so a failure leaves the old users in place.
+    """
     shared_folder(spark)
-    stored = read_typed(spark, users_path(root), schemas.USERS)
-    merged = merge_rows(stored, batch, ["user_id"], sequence)
-    # The table has no partitions to swap, so the merge is made durable before the
-    # overwrite starts.
-    durable = merged.checkpoint()
-    durable.write.mode("overwrite").option("compression", "snappy").parquet(users_path(root))
+    bucket = F.pmod(F.xxhash64("user_id"), F.lit(USER_BUCKETS)).cast("int")
+    batch = batch.withColumn("bucket", bucket).checkpoint()
+    touched = [r.bucket for r in batch.select("bucket").distinct().collect()]
+    if not touched:
+        return
+    stored = read_typed(spark, users_path(root), USERS_STORED)
+    stored = stored.filter(F.col("bucket").isin(touched))
+    merged = merge_rows(stored, batch, ["bucket", "user_id"], sequence)
+    (
+        merged.repartition("bucket")
+        .sortWithinPartitions("bucket", "user_id")
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .option("compression", "snappy")
+        .partitionBy("bucket")
+        .parquet(users_path(root))
+    )
 
 
 def overwrite_messages(

@@ -40,21 +40,26 @@ def users_path(root: str) -> str:
     return f"{root.rstrip('/')}/users"
 
 
-def read_typed(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Parquet under a declared schema: absent columns are null, an absent path or
-    unreadable files give no rows."""
-    reader = spark.read.schema(schema).option("ignoreCorruptFiles", "true")
+def read_typed(
+    spark: SparkSession, path: str, schema: T.StructType, skip_corrupt: bool = False
+) -> DataFrame:
+    """Parquet under a declared schema: absent columns are null, an absent path gives no rows.
+
+    An unreadable file fails the job. Only a reader that asks for it skips such files; what
+    feeds an overwrite never does.
+    """
+    reader = spark.read.schema(schema).option("ignoreCorruptFiles", str(skip_corrupt).lower())
     try:
-        return reader.parquet(path)
+        return reader.parquet(path).select(*schema.fieldNames())
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], schema)
 
 
-def read_messages(spark: SparkSession, root: str) -> DataFrame:
+def read_messages(spark: SparkSession, root: str, skip_corrupt: bool = False) -> DataFrame:
     """All messages plus ``event_ts``, the instant to order and compare by."""
-    df = read_typed(spark, messages_path(root), schemas.MESSAGES_STORED)
+    df = read_typed(spark, messages_path(root), schemas.MESSAGES_STORED, skip_corrupt)
     filled = {
         c: F.coalesce(F.col(c), F.array().cast(kind)) for c, kind in _EMPTY_LISTS.items()
     }
@@ -135,9 +140,9 @@ def latest_tickets(tickets: DataFrame) -> DataFrame:
     return latest_per_key(tickets, ["ticket_id"], [F.col("cached_at"), F.col("dt")])
 
 
-def read_users(spark: SparkSession, root: str) -> DataFrame:
+def read_users(spark: SparkSession, root: str, skip_corrupt: bool = False) -> DataFrame:
     """One profile per user, the last cached one; a missing bot flag means human."""
-    users = read_typed(spark, users_path(root), schemas.USERS)
+    users = read_typed(spark, users_path(root), schemas.USERS, skip_corrupt)
     users = users.withColumn("is_bot", F.coalesce("is_bot", F.lit(False)))
     return latest_per_key(users, ["user_id"], [F.col("cached_at")])
 

@@ -1,106 +1,168 @@
-"""Structured Streaming jobs over landed message files."""
+"""Structured Streaming jobs over landed message files.
+
+Messages may land in any order, weeks late too, and none is dropped: instead of a watermark that
+forgets old state, each micro-batch leaves its part of the result in a folder of its own (a
+replayed batch rewrites it), and the parts merge into the same result however the files were
+dealt to batches. Watermarks only decide which sessions count as closed.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from .. import schemas
 from ..functions.instants import from_iso
-from ..operators.keys import latest_per_key
 from ..sources.store import upsert_messages
 
 LATE = "1 day"
+MESSAGE_KEY = ["channel", "message_id"]
+_SESSION = "channel string, session_start timestamp, session_end timestamp, messages bigint"
 
 
 def message_stream(spark: SparkSession, landing: str, files_per_batch: int = 1_000) -> DataFrame:
-    """Stored-schema message rows as they land, with ``event_ts``."""
+    """Stored-schema message rows as they land, with ``event_ts`` and ``arrival``.
+
+    ``arrival`` orders rows by their file's time, then its path and the row's place in it.
+    """
     stream = (
         spark.readStream.schema(schemas.MESSAGES_STORED)
         .option("maxFilesPerTrigger", files_per_batch)
         .option("partitionColumnTypeInference", "false")
         .parquet(landing)
     )
-    return stream.withColumn("event_ts", from_iso(F.col("timestamp")))
-
-
-def upsert_stream(stream: DataFrame, root: str, checkpoint: str) -> StreamingQuery:
-    """Merge every micro-batch into the stored messages; a replayed batch changes nothing."""
+    arrival = F.struct(
+        "_metadata.file_modification_time", "_metadata.file_path", "_metadata.row_index"
+    )
+    return stream.select("*", arrival.alias("arrival")).withColumn(
+        "event_ts", from_iso(F.col("timestamp"))
+    )
 
-    def merge(batch: DataFrame, _: int) -> None:
-        upsert_messages(batch.sparkSession, batch.drop("event_ts"), root)
 
+def _each_batch(stream: DataFrame, checkpoint: str, work) -> StreamingQuery:
     return (
-        stream.writeStream.foreachBatch(merge)
+        stream.writeStream.foreachBatch(work)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
 
 
-def without_repeats(stream: DataFrame, late: str = LATE) -> DataFrame:
-    """Each (channel, message_id) once, also when repeats come up to ``late`` apart."""
-    return stream.withWatermark("event_ts", late).dropDuplicatesWithinWatermark(
-        ["channel", "message_id"]
-    )
+def _parts(spark: SparkSession, path: str, schema: str, number: int | None = None) -> DataFrame:
+    """The parts that batches other than ``number`` have left."""
+    try:
+        rows = spark.read.schema(f"{schema}, batch bigint").parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        rows = spark.createDataFrame([], f"{schema}, batch bigint")
+    return rows if number is None else rows.filter(F.col("batch") != number)
 
 
-def windowed_counts(stream: DataFrame, width: str = "1 hour", late: str = LATE) -> DataFrame:
-    """Messages per tumbling window and channel."""
-    return (
-        stream.withWatermark("event_ts", late)
-        .groupBy(F.window("event_ts", width).alias("w"), "channel")
-        .agg(F.count("*").alias("messages"))
-        .select(F.col("w.start").alias("bucket_start"), "channel", "messages")
-    )
+def _save(rows: DataFrame, path: str, number: int) -> None:
+    rows.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
 
-def conversation_sessions(stream: DataFrame, gap: str = "30 minutes", late: str = LATE) -> DataFrame:
-    """Runs of a channel's messages with no pause longer than ``gap``."""
-    return (
-        stream.withWatermark("event_ts", late)
-        .groupBy(F.session_window("event_ts", gap).alias("w"), "channel")
-        .agg(F.count("*").alias("messages"))
-        .select(
-            F.col("w.start").alias("session_start"),
-            F.col("w.end").alias("session_end"),
-            "channel",
-            "messages",
-        )
-    )
+def upsert_stream(stream: DataFrame, root: str, checkpoint: str) -> StreamingQuery:
+    """Merge every micro-batch into the stored messages, the last to arrive wins; a replayed
+    batch changes nothing."""
 
+    def merge(batch: DataFrame, _: int) -> None:
+        rows = batch.drop("event_ts")
+        upsert_messages(batch.sparkSession, rows, root, sequence="arrival")
 
-def append_rows(result: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Write the final rows of a streaming result to files, exactly once."""
-    return (
-        result.writeStream.format("parquet")
-        .outputMode("append")
-        .option("path", path)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+    return _each_batch(stream, checkpoint, merge)
 
 
-def changed_rows(result: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Write every changed row with its batch number, for results still open at the end.
+def without_repeats(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Each (channel, message_id) once, however far apart repeats come.
 
-    A replayed batch rewrites its own folder.
+    A batch keeps the keys that no other batch has kept; only parts of the batch's days are
+    compared.
     """
+    kind = "channel string, message_id string, day string"
+
+    def keep(batch: DataFrame, number: int) -> None:
+        day = F.date_format("event_ts", "yyyy-MM-dd").alias("day")
+        keys = batch.groupBy(*MESSAGE_KEY).agg(F.min(day).alias("day"))
+        seen = _parts(batch.sparkSession, path, kind, number).select(*MESSAGE_KEY)
+        _save(keys.join(seen, MESSAGE_KEY, "left_anti"), path, number)
+
+    return _each_batch(stream, checkpoint, keep)
 
-    def save(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
+def kept_keys(spark: SparkSession, path: str) -> DataFrame:
+    return _parts(spark, path, "channel string, message_id string").drop("batch")
+
+
+def windowed_counts(
+    stream: DataFrame, path: str, checkpoint: str, width: str = "1 hour"
+) -> StreamingQuery:
+    """Messages per tumbling window and channel, as partial counts of each batch."""
+
+    def count(batch: DataFrame, number: int) -> None:
+        rows = batch.groupBy(F.window("event_ts", width).alias("w"), "channel").agg(
+            F.count("*").alias("messages")
+        )
+        _save(rows.select(F.col("w.start").alias("bucket_start"), "channel", "messages"), path, number)
+
+    return _each_batch(stream, checkpoint, count)
+
+
+def summed_counts(spark: SparkSession, path: str) -> DataFrame:
+    """The counts of all batches together."""
+    rows = _parts(spark, path, "bucket_start timestamp, channel string, messages bigint")
+    return rows.groupBy("bucket_start", "channel").agg(F.sum("messages").alias("messages"))
+
+
+def _merged_sessions(rows: DataFrame, messages: Column) -> DataFrame:
+    """Rows (channel, start, end) that overlap become one session.
+
+    Bounds are aggregates, not the window's own: a filter on the window would be pushed below
+    the merge and take away rows that join sessions.
+    """
+    length = F.concat(
+        (F.unix_micros("end") - F.unix_micros("start")).cast("string"), F.lit(" microseconds")
+    )
     return (
-        result.writeStream.foreachBatch(save)
-        .outputMode("update")
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
+        rows.groupBy("channel", F.session_window("start", length).alias("w"))
+        .agg(
+            F.min("start").alias("session_start"),
+            F.max("end").alias("session_end"),
+            F.sum(messages).alias("messages"),
+        )
+        .drop("w")
     )
 
 
-def latest_changes(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
-    """The last state of each key from a folder of changed rows."""
-    return latest_per_key(spark.read.parquet(path), keys, [F.col("batch")]).drop("batch")
+def conversation_sessions(
+    stream: DataFrame, path: str, checkpoint: str, gap: str = "30 minutes"
+) -> StreamingQuery:
+    """Runs of a channel's messages with no pause longer than ``gap``, within each batch."""
+
+    def split(batch: DataFrame, number: int) -> None:
+        end = F.expr(f"event_ts + INTERVAL '{gap}'").alias("end")
+        rows = batch.select("channel", F.col("event_ts").alias("start"), end)
+        _save(_merged_sessions(rows, F.lit(1)), path, number)
+
+    return _each_batch(stream, checkpoint, split)
+
+
+def joined_sessions(
+    spark: SparkSession, path: str, gap: str = "30 minutes", late: str | None = LATE
+) -> DataFrame:
+    """The sessions of all batches, those that overlap as one.
+
+    With ``late``, only those that ended that long before the newest message.
+    """
+    parts = _parts(spark, path, _SESSION)
+    rows = parts.withColumnsRenamed({"session_start": "start", "session_end": "end"})
+    sessions = _merged_sessions(rows, F.col("messages"))
+    if late is None:
+        return sessions
+    newest = parts.agg(F.max("session_end").alias("m")).select(
+        F.expr(f"m - INTERVAL '{gap}' - INTERVAL '{late}'")
+    )
+    return sessions.filter(F.col("session_end") <= newest.scalar())

@@ -526,7 +526,7 @@ LEFT JOIN (SELECT channel, count(DISTINCT ticket_id) AS n,
   ON t.channel = m.channel""",
 )
 def channel_analytics(c: Chat) -> DataFrame:
-    rows = metrics.channel_analytics(c.messages, limit=1_000_000)
+    rows = metrics.channel_analytics(c.messages)
     return rows.withColumn("users", joined("users")).withColumn("jira_items", joined("jira_items"))
 
 

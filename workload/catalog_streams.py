@@ -19,30 +19,33 @@ from .registry import query
 
 
 def _landed(c: Chat, copies: int = 1) -> str:
-    """A landing folder with every stored message ``copies`` times."""
+    """A landing folder with every stored message ``copies`` times, in files that mix all days;
+    later copies are edits."""
     folder = fresh_folder(c.spark, "landing")
     rows = c.messages.select(*schemas.MESSAGES_STORED.fieldNames())
-    for _ in range(copies):
-        rows.write.mode("append").parquet(folder)
+    for k in range(copies):
+        text = F.concat("text", F.lit(f" (edit {k})")) if k else F.col("text")
+        rows.withColumn("text", text).repartition(4, F.xxhash64("message_id", F.lit(k))).write.mode(
+            "append"
+        ).parquet(folder)
     return folder
 
 
-@query("X1 K1", "SELECT dt, channel, message_id, text FROM messages")
+@query("X1 K1", "SELECT dt, channel, message_id, text || ' (edit 1)' AS text FROM messages")
 def streamed_upsert(c: Chat) -> DataFrame:
-    """Two copies of every message arrive in micro-batches and are stored once."""
+    """Every message and then an edit of it arrive in micro-batches; the edit is stored."""
     root = fresh_folder(c.spark, "streamed-store")
-    stream = jobs.message_stream(c.spark, _landed(c, 2))
+    stream = jobs.message_stream(c.spark, _landed(c, 2), files_per_batch=3)
     jobs.upsert_stream(stream, root, fresh_folder(c.spark, "progress")).awaitTermination()
     return tables.read_messages(c.spark, root).select("dt", "channel", "message_id", "text")
 
 
 @query("X2", "SELECT channel, message_id FROM messages")
 def streamed_without_repeats(c: Chat) -> DataFrame:
-    stream = jobs.message_stream(c.spark, _landed(c, 2))
-    unique = jobs.without_repeats(stream).select("channel", "message_id")
+    stream = jobs.message_stream(c.spark, _landed(c, 2), files_per_batch=3)
     path = fresh_folder(c.spark, "unique")
-    jobs.append_rows(unique, path, fresh_folder(c.spark, "progress")).awaitTermination()
-    return c.spark.read.schema("channel string, message_id string").parquet(path)
+    jobs.without_repeats(stream, path, fresh_folder(c.spark, "progress")).awaitTermination()
+    return jobs.kept_keys(c.spark, path)
 
 
 @query(
@@ -51,10 +54,10 @@ def streamed_without_repeats(c: Chat) -> DataFrame:
   count(*) AS messages FROM messages GROUP BY ALL""",
 )
 def streamed_hour_counts(c: Chat) -> DataFrame:
-    counts = jobs.windowed_counts(jobs.message_stream(c.spark, _landed(c)))
+    stream = jobs.message_stream(c.spark, _landed(c), files_per_batch=2)
     path = fresh_folder(c.spark, "counts")
-    jobs.changed_rows(counts, path, fresh_folder(c.spark, "progress")).awaitTermination()
-    rows = jobs.latest_changes(c.spark, path, ["bucket_start", "channel"])
+    jobs.windowed_counts(stream, path, fresh_folder(c.spark, "progress")).awaitTermination()
+    rows = jobs.summed_counts(c.spark, path)
     return rows.withColumn("bucket_start", F.date_format("bucket_start", "yyyy-MM-dd HH:mm:ss"))
 
 
@@ -72,13 +75,11 @@ FROM numbered GROUP BY channel, no
 HAVING max(ts) + INTERVAL 30 MINUTE <= (SELECT max(ts) - INTERVAL 1 DAY FROM messages)""",
 )
 def streamed_sessions(c: Chat) -> DataFrame:
-    """Sessions that no late message can reopen any more."""
-    sessions = jobs.conversation_sessions(jobs.message_stream(c.spark, _landed(c)))
+    """Sessions that ended a day before the newest message."""
+    stream = jobs.message_stream(c.spark, _landed(c), files_per_batch=2)
     path = fresh_folder(c.spark, "sessions")
-    jobs.append_rows(sessions, path, fresh_folder(c.spark, "progress")).awaitTermination()
-    rows = c.spark.read.schema(
-        "session_start timestamp, session_end timestamp, channel string, messages bigint"
-    ).parquet(path)
+    jobs.conversation_sessions(stream, path, fresh_folder(c.spark, "progress")).awaitTermination()
+    rows = jobs.joined_sessions(c.spark, path)
     form = "yyyy-MM-dd HH:mm:ss.SSSSSS"
     return rows.withColumn("session_start", F.date_format("session_start", form)).withColumn(
         "session_end", F.date_format("session_end", form)

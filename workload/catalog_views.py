@@ -31,7 +31,8 @@ _SAID = f""", found AS (
 ), tl AS (
   SELECT m.channel, m.message_id, list_concat(['🎫 JIRA Tickets:'], flatten(list([
     '   • ' || m.ticket_id || ' [' || coalesce(l.priority, 'Unknown') || '] ' || coalesce(l.status, 'Unknown'),
-    '     "' || coalesce(l.summary, 'No summary') || '"',
+    '     "' || CASE WHEN length(l.summary) > 50 THEN left(l.summary, 47) || '...'
+        ELSE coalesce(l.summary, 'No summary') END || '"',
     '     Assignee: ' || coalesce(l.assignee, 'Unassigned')] ORDER BY m.pos))) AS tlines
   FROM mtp m LEFT JOIN latest l ON l.ticket_id = m.ticket_id GROUP BY m.channel, m.message_id
 ), said AS (

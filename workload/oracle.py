@@ -60,8 +60,7 @@ WITH ev AS (
 ), snapshots AS (
   SELECT *, CASE day_no WHEN 1 THEN '2024-01-10' ELSE '2024-01-20' END AS dt,
     'PROJ-' || p_partkey AS ticket_id,
-    left(p_name || CASE WHEN p_partkey % 4 = 0 THEN ' - ' || repeat(p_type || ' ', 9) ELSE '' END, 40)
-      AS summary,
+    p_name || CASE WHEN p_partkey % 4 = 0 THEN ' - ' || repeat(p_type || ' ', 9) ELSE '' END AS summary,
     p_brand AS priority, p_type AS issue_type,
     CASE (p_size + day_no - 1) % 3 WHEN 0 THEN 'Open' WHEN 1 THEN 'In Progress' ELSE 'Done' END
       AS status,
