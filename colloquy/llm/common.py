@@ -27,6 +27,18 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.translate(text, SPACES[1:], " " * 5), " "), "")
 
 
+_LOWER_BYTES = bytes.maketrans(
+    f"{UPPER}{SPACES}".encode(), f"{UPPER.lower()}{' ' * len(SPACES)}".encode()
+)
+
+
+def lower_words(text: str | None) -> list[str]:
+    """The words of a lower-cased (A-Z) text, in Python. No byte of a longer character is one
+    of those replaced."""
+    spaced = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER_BYTES)
+    return [w for w in spaced.decode("utf-8", "surrogatepass").split(" ") if w]
+
+
 def row_key(*columns: str) -> Column:
     """A key by content: equal for repeated rows, else different."""
     return F.xxhash64(*[F.col(c) for c in columns])

@@ -34,31 +34,26 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import greatest, written
+from .common import greatest, lower_words, written
 
 WORDS = 1023
 PER_CLASS = 32
 SPELLED = 32
-HIDDEN = 24
+HIDDEN = 16
 COUNTED = 100_000
 #: Training: rounds, tokens of a stretch, tokens of a window, texts side by side, step size.
 ROUNDS = 2
 STRETCH = 64
 WINDOW = 16
-SIDE_BY_SIDE = 128
+SIDE_BY_SIDE = 256
 STEP = 0.01
 #: Scoring: texts side by side, and tokens of a window.
-SLOTS = 256
+SLOTS = 512
 SPAN = 64
 
 #: The end of a text; no word holds white space.
 END = "\n"
 _CLASSES = (WORDS + 1) // PER_CLASS
-_TABLE = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ\t\n\x0b\x0c\r", "abcdefghijklmnopqrstuvwxyz     ")
-
-
-def words(text: str | None) -> list[str]:
-    return [w for w in (text or "").translate(_TABLE).split(" ") if w]
 
 
 def spelled(word: str) -> int:
@@ -85,6 +80,18 @@ class Vocabulary(dict):
         return found
 
 
+class Known(dict):
+    """Places of the words whose counts are at hand; others give -1 and are noted."""
+
+    def __init__(self, found: list[str]):
+        super().__init__({w: i for i, w in enumerate(found)})
+        self.rest: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self.rest.append(word)
+        return -1
+
+
 def start(frequent: np.ndarray, others: np.ndarray) -> dict[str, np.ndarray]:
     """Weights that give the counts' distribution whatever the state."""
     rng = np.random.default_rng(3)
@@ -133,6 +140,14 @@ def _log_softmax(x: np.ndarray) -> np.ndarray:
     return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
 
 
+def _log_share(x: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """The log-softmax of one entry of each row."""
+    x -= x.max(axis=1, keepdims=True)
+    one = x[np.arange(len(x)), chosen].astype(float)
+    np.exp(x, out=x)
+    return one - np.log(x.sum(axis=1))
+
+
 def _class_of(ids: np.ndarray) -> np.ndarray:
     return np.where(ids <= WORDS, ids // PER_CLASS, ids - WORDS - 1 + _CLASSES)
 
@@ -141,14 +156,13 @@ def log_likelihoods(p: dict, states: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """Natural log-probabilities of tokens given their states; of a word that isn't frequent,
     its class's."""
     classes = _class_of(ids)
-    out = _log_softmax(states @ p["wc"] + p["bc"])[np.arange(len(ids)), classes].astype(float)
+    out = _log_share(states @ p["wc"] + p["bc"], classes)
     order = np.argsort(classes, kind="stable")
     ends = np.searchsorted(classes[order], np.arange(_CLASSES + 1))
     for c in range(_CLASSES):
         own = order[ends[c] : ends[c + 1]]
         if len(own):
-            inner = _log_softmax(states[own] @ p["wf"][c] + p["bf"][c])
-            out[own] += inner[np.arange(len(own)), ids[own] % PER_CLASS]
+            out[own] += _log_share(states[own] @ p["wf"][c] + p["bf"][c], ids[own] % PER_CLASS)
     return out
 
 
@@ -265,7 +279,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sums: Counter[str] = Counter()
         for text in batch.column("text"):
-            sums.update(words(text.as_py()))
+            sums.update(lower_words(text.as_py()))
             sums[END] += 1
         yield pa.RecordBatch.from_arrays(
             [pa.array(sums.keys(), pa.string()), pa.array(sums.values(), pa.int64())],
@@ -293,7 +307,7 @@ def _stretched(frequent: list[str]):
         for batch in batches:
             out = []
             for text in batch.column("text"):
-                tokens = [*words(text.as_py()), END]
+                tokens = [*lower_words(text.as_py()), END]
                 places = max(0, len(tokens) - STRETCH) + 1
                 at = zlib.crc32(f"{tokens[0]} {len(tokens)}".encode("utf-8", "surrogatepass")) % places
                 out.append([vocabulary[w] for w in tokens[at : at + STRETCH]])
@@ -347,21 +361,24 @@ def _scored(shared):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p, frequent, counts, others, part = *shared.value, TaskContext.get().partitionId()
-        vocabulary, row = Vocabulary(frequent), part << 40
-        count_logs = {w: math.log10(c + 0.5) for w, c in counts.items()}
+        vocabulary, row, known = Vocabulary(frequent), part << 40, Known([*counts])
+        # by place, with a row for the words that aren't at hand behind them
+        logs = np.array([*(math.log10(c + 0.5) for c in counts.values()), 0.0])
+        inputs = np.array([*(vocabulary[w] for w in counts), 0], np.int32)
         for batch in batches:
             texts, firsts = [], []
             for text in batch.column("text"):
-                tokens = [*words(text.as_py()), END]
-                logs = list(map(count_logs.get, tokens))
-                rest = Counter([w for w, x in zip(tokens, logs, strict=True) if x is None])
-                ids = np.fromiter(map(vocabulary.__getitem__, tokens), np.int32, len(tokens))
-                known = np.array([x or 0.0 for x in logs])
+                tokens = [*lower_words(text.as_py()), END]
+                known.rest = []
+                places = np.fromiter(map(known.__getitem__, tokens), np.int64, len(tokens))
+                ids = inputs[places]
+                ids[places < 0] = [vocabulary[w] for w in known.rest]
                 inside = ids > WORDS
+                found = logs[places]
                 # words by spelling: their counts' logs at hand, less their classes'
-                own = known[inside].sum() - others[ids[inside] - WORDS - 1].sum()
+                own = found[inside].sum() - others[ids[inside] - WORDS - 1].sum()
                 texts.append(ids)
-                firsts.append((len(tokens), known.sum(), own, rest))
+                firsts.append((len(tokens), found.sum(), own, Counter(known.rest)))
             found = texts_log_likelihood(p, texts) / math.log(10)
             columns = {
                 "row": pa.array(range(row, row + len(texts)), pa.int64()),
