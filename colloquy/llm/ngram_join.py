@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import likely_in, written
+from .common import likely_in, lower_words, written
 from .components import components
 
 #: Words in a shingle, and least Jaccard similarity in per cent.
@@ -54,9 +54,6 @@ REMEMBERED = 400_000
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _SEEDS = {2: np.uint64(0x2545F4914F6CDD1D), 3: np.uint64(0xD1342543DE82EF95)}
-_LOWER = str.maketrans(
-    "ABCDEFGHIJKLMNOPQRSTUVWXYZ\t\n\x0b\x0c\r", "abcdefghijklmnopqrstuvwxyz     "
-)
 
 
 class _WordHashes(dict):
@@ -75,7 +72,7 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 def shingle_set(text: str | None, width: int, hashes: dict) -> np.ndarray:
     """The sorted distinct shingle hashes of a text; shorter texts are one shingle."""
-    words = [w for w in (text or "").translate(_LOWER).split(" ") if w]
+    words = lower_words(text)
     if not words:
         return np.empty(0, np.int64)
     h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
@@ -197,12 +194,17 @@ def _read_again(pairs: DataFrame, docs: DataFrame, run, columns: str) -> DataFra
 
 
 def _with_both(pairs: DataFrame, found: DataFrame, *columns: str) -> DataFrame:
-    """The pairs with these columns of ``a`` and of ``b``."""
-    pairs = pairs.select("a", "b")
+    """The pairs with these columns of ``a`` and of ``b``.
+
+    Rows of ``found`` that no pair needs stay out of the shuffle. Pairs grow with the input, so
+    they are merged by a shuffle at every size.
+    """
+    out = pairs = pairs.select("a", "b")
     for s in "ab":
         own = [F.col(c).alias(f"{c}_{s}") for c in ("n", *columns)]
-        pairs = pairs.join(found.select(F.col("id").alias(s), *own), s)
-    return pairs
+        wanted = found.filter(likely_in(pairs, s, F.col("id")))
+        out = out.hint("merge").join(wanted.select(F.col("id").alias(s), *own), s)
+    return out
 
 
 def _differing(a: str, b: str) -> Column:
@@ -229,6 +231,7 @@ def similar(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Data
     pairs = _with_both(pairs, sketches, "short").filter(
         (100 + percent) * differ <= (100 - percent) * sizes
     )
+    pairs = written(pairs.select("a", "b"), "pairs")
     x, y = [
         F.when(F.size(f"odd_{s}") > F.size(f"odd_{o}"), F.col(f"folded_{s}")).otherwise(
             F.col(f"odd_{s}")
@@ -241,6 +244,7 @@ def similar(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Data
     passed = _with_both(pairs, sketches, "odd", "folded").filter(
         (100 + percent) * differ <= (100 - percent) * sizes
     )
+    passed = written(passed.select("a", "b"), "pairs")
     passed = _with_both(passed, sketches, "p2", "p3").filter(
         F.arrays_overlap("p2_a", "p2_b") & F.arrays_overlap("p3_a", "p3_b")
     )
