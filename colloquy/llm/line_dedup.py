@@ -249,4 +249,7 @@ def deduplicated(
         F.struct("*").alias("_doc"), F.col(key).alias("_key"), row_key(key, text).alias("_row")
     ).join(found, (F.col("_row") == F.col("_r")) & F.col("_key").eqNullSafe(F.col("_k")), "left")
     out = without_lines(rows, documents.schema, text, chars)
-    return out.filter(F.length(F.translate(text_of(text), " \t\n\x0b\x0c\r", "")) > 0)
+    # behind a generator, so that the filter isn't pushed into the making of the texts
+    out = out.select(F.explode(F.array_repeat(F.struct("*"), 1)).alias("_doc"))
+    wordless = F.translate(text_of(f"_doc.{text}"), " \t\n\x0b\x0c\r", "") == ""
+    return out.filter(~wordless).select("_doc.*")

@@ -210,12 +210,15 @@ def judged(
     )
     gone = F.coalesce("_gone_chars", F.lit(0))
     depleted = gone > F.col("_m.word_chars") * F.lit(max_removed)
+    # one sum over both sides of the join: a filter on a plain conjunction would be pushed into
+    # the measures, and their inner steps computed anew for each word
+    faults = F.col("_m.base_failed").cast("int") + depleted.cast("int")
     return out.select(
         "_doc",
         "_m",
         "_gone",
         gone.alias("_gone_chars"),
-        (~F.col("_m.base_failed") & ~depleted).alias("_kept"),
+        (faults == 0).alias("_kept"),
     )
 
 
