@@ -159,8 +159,9 @@ def with_columns_of(rows: DataFrame, *sides: DataFrame) -> DataFrame:
     All joins share one key, so the rows are shuffled once.
     """
     for side in sides:
-        extra = [c for c in side.columns if c in MESSAGE_KEY or c not in rows.columns]
-        rows = rows.join(side.select(*extra), MESSAGE_KEY, "left")
+        own = [c for c in ("view_id", *MESSAGE_KEY) if c in side.columns and c in rows.columns]
+        extra = [c for c in side.columns if c in own or c not in rows.columns]
+        rows = rows.join(side.select(*extra), own, "left")
     return rows
 
 
@@ -172,7 +173,9 @@ def nested(messages: DataFrame, page: int = 1_000) -> DataFrame:
     """
     rows = with_columns_of(structure(messages, ["channel"]), messages)
     tops = rows.filter(F.col("depth") == 0).drop("reply_no")
-    reply = F.struct("reply_no", "message_id", "event_ts", "user_id", "user_real_name", "text")
+    # a reply's number leads, for the order; the rest is the whole message
+    of_root = {"reply_no", "channel", "root_id", "depth", "present_replies"}
+    reply = F.struct("reply_no", *[c for c in rows.columns if c not in of_root])
     pages = (
         rows.filter(F.col("depth") == 1)
         .withColumn("page_no", F.floor((F.col("reply_no") - 1) / page).cast("bigint"))

@@ -75,10 +75,13 @@ def mentions_by_status(messages: DataFrame, tickets: DataFrame) -> DataFrame:
     newest = latest_tickets(tickets.select("ticket_id", "status", "priority", "cached_at", "dt"))
     known = newest.select("ticket_id", "status", "priority", F.col("ticket_id").alias("known_id"))
     pairs = lookup(mentioned(messages), known, ["ticket_id"], spread=MESSAGE_KEY)
-    return pairs.groupBy("status", "priority").agg(
-        F.count_distinct("channel", "message_id").alias("messages_mentioning"),
-        F.count_distinct("known_id").alias("unique_tickets"),
-    )
+    by = ["status", "priority"]
+    said = pairs.select(*by, *MESSAGE_KEY).distinct().groupBy(*by)
+    named = pairs.select(*by, "known_id").distinct().groupBy(*by)
+    said = said.agg(F.count("*").alias("messages_mentioning"))
+    named = named.agg(F.count("known_id").alias("unique_tickets")).toDF("_s", "_p", "unique_tickets")
+    same = F.col("status").eqNullSafe(F.col("_s")) & F.col("priority").eqNullSafe(F.col("_p"))
+    return said.join(named, same).drop("_s", "_p")
 
 
 def cross_channel(messages: DataFrame) -> DataFrame:

@@ -123,16 +123,18 @@ def view_rows(
 ) -> tuple[DataFrame, DataFrame]:
     """The views' thread structure, and the same rows with everything a line shows.
 
-    ``messages`` carry the ``view_id`` they belong to, one view per message. Mentions stay
-    unresolved when ``names`` is None.
+    ``messages`` carry the ``view_id`` they belong to; a message that several views show comes
+    once for each. Mentions stay unresolved when ``names`` is None.
     """
     layout = structure(messages, ["view_id"], ["view_id"], bucket)
     shown = messages.select(
-        *MESSAGE_KEY, "text", "timestamp", "reactions", "files", "jira_tickets"
+        "view_id", *MESSAGE_KEY, "text", "timestamp", "reactions", "files", "jira_tickets"
     )
-    sides = [shown, ticket_metadata(messages, tickets)]
+    # what is known of a message by its key alone is made once, however many views show it
+    once = messages.drop("view_id").dropDuplicates(MESSAGE_KEY)
+    sides = [shown, ticket_metadata(once, tickets)]
     if names is not None:
-        sides.append(mention_names(messages, names))
+        sides.append(mention_names(once, names))
     rows = with_columns_of(layout, *sides)
     text = F.col("text") if names is None else with_names(F.col("text"))
     return layout, rows.withColumns(

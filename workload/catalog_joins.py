@@ -192,7 +192,9 @@ def rebuilt_threads(c: Chat) -> DataFrame:
 @query(
     "T1",
     """, pg AS (
-  SELECT channel, root_id, (no - 1) // 1000 AS page_no, string_agg(message_id, ',' ORDER BY no) AS replies
+  SELECT channel, root_id, (no - 1) // 1000 AS page_no, string_agg(message_id || ' ' || text || ' '
+    || len(reactions) || ' ' || len(files) || ' ' || array_to_string(jira_tickets, '+') || ' '
+    || has_reactions::VARCHAR, ',' ORDER BY no) AS replies
   FROM (SELECT *, row_number() OVER (PARTITION BY channel, root_id ORDER BY ts, message_id) AS no
         FROM flat WHERE depth = 1) GROUP BY ALL
 )
@@ -202,7 +204,17 @@ FROM flat f LEFT JOIN pg ON pg.channel = f.channel AND pg.root_id = f.message_id
 def nested_threads(c: Chat) -> DataFrame:
     return threads.nested(c.messages).select(
         "channel", F.col("root_id").alias("message_id"), "page_no",
-        F.array_join(F.transform("replies", lambda r: r["message_id"]), ",").alias("replies"),
+        F.array_join(
+            F.transform(
+                "replies",
+                lambda r: F.concat_ws(
+                    " ", r["message_id"], r["text"], F.size(r["reactions"]).cast("string"),
+                    F.size(r["files"]).cast("string"), F.array_join(r["jira_tickets"], "+"),
+                    r["has_reactions"].cast("string"),
+                ),
+            ),
+            ",",
+        ).alias("replies"),
     )
 
 

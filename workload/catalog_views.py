@@ -236,6 +236,40 @@ def whole_channel_views(c: Chat) -> DataFrame:
     return _whole_channel_lines(c)[1].select(*LINE)
 
 
+_OVERLAPPING = [("2024-01-01", "2024-01-07"), ("2024-01-04", "2024-01-10"), ("2024-01-08", "2024-01-14")]
+_WEEKS = "VALUES " + ", ".join(f"('{a}', '{z}')" for a, z in _OVERLAPPING)
+_ROLLING_VM = f"""SELECT m.*, m.channel || '/' || a AS view_id FROM messages m JOIN ({_WEEKS}) w(a, z)
+  ON m.dt BETWEEN a AND z"""
+_ROLLING_VW = f"""SELECT channel || '/' || a AS view_id, channel AS title, a || ' to ' || z AS window_text,
+  '📱 SLACK CHANNEL: ' || channel AS title_line, {_PURPOSE} AS described
+FROM (SELECT DISTINCT channel FROM messages) d, ({_WEEKS}) w(a, z)"""
+
+
+@query("V1", _view_sql(_ROLLING_VM, _ROLLING_VW))
+def rolling_window_views(c: Chat) -> DataFrame:
+    """Views of seven days each that overlap, for every channel, in one job."""
+    weeks = F.array(
+        *[F.struct(F.lit(a).alias("a"), F.lit(z).alias("z")) for a, z in _OVERLAPPING]
+    )
+    shown = (
+        c.messages.select("channel")
+        .distinct()
+        .select("*", F.explode(weeks).alias("w"))
+        .select("channel", "w.*")
+        .select(
+            F.concat_ws("/", "channel", "a").alias("view_id"),
+            F.col("channel").alias("title"),
+            F.array("channel").alias("channels"),
+            F.concat_ws(" to ", "a", "z").alias("window_text"),
+        )
+    )
+    shown_in = F.filter(weeks, lambda w: F.col("dt").between(w["a"], w["z"]))
+    rows = c.messages.select("*", F.explode(shown_in).alias("w")).select(
+        *c.messages.columns, F.concat_ws("/", "channel", "w.a").alias("view_id")
+    )
+    return views.channel_view(shown, rows, c.tickets, _names(c), _as_of(), _org(c)).select(*LINE)
+
+
 @query(
     "V1 K7",
     _view_sql("SELECT *, channel AS view_id FROM messages", _CHANNEL_VW).replace(
