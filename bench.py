@@ -4,7 +4,7 @@
 
 Every query runs twice in one session and all its rows are computed (no limit, no
 collect). ``queries`` holds the second run, ``first`` the first one; ``ingest`` is the
-building of the stored tables from raw JSON.
+building of the stored tables from raw JSON. ``value`` sums the second runs of ``HEADLINE``.
 """
 
 from __future__ import annotations
@@ -43,6 +43,16 @@ HEADLINE = [
     "upsert_messages",
 ]
 
+# Timed too, but not part of the sum, which stays comparable with earlier rounds.
+MORE = [
+    "channel_day_views",
+    "rolling_window_views",
+    "bucketed_day_views",
+    "window_digests",
+    "delimited_messages",
+    "prompt_corpus",
+]
+
 
 def main() -> None:
     from workload import CATALOG
@@ -70,7 +80,7 @@ def main() -> None:
     tables = chat(spark, sf_dir)
     ingest = timed(lambda: tables.root)
     first, second = {}, {}
-    for name in sys.argv[1:] or HEADLINE:
+    for name in sys.argv[1:] or [*HEADLINE, *MORE]:
         def run(query=CATALOG[name]) -> None:
             query.run(spark, sf_dir).write.format("noop").mode("overwrite").save()
 
@@ -79,7 +89,7 @@ def main() -> None:
         json.dumps(
             {
                 "metric": "headline_queries_second_run",
-                "value": round(sum(second.values()), 3),
+                "value": round(sum(t for n, t in second.items() if n not in MORE), 3),
                 "unit": "sec",
                 "queries": second,
                 "first": first,
