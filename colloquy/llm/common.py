@@ -89,17 +89,17 @@ def without_lines(rows: DataFrame, schema: StructType, text: str, chars: str) ->
     )
 
 
-#: Bits of a filter of keys: 128 KiB, whatever the number of keys.
-FILTER_BITS = 1 << 20
+#: Bits of a filter of keys: 128 KiB, whatever the number of keys; and of one for finer keys.
+FILTER_BITS, FINE_BITS = 1 << 20, 1 << 23
 
 
-def likely_in(keys: DataFrame, column: str, probe: Column) -> Column:
+def likely_in(keys: DataFrame, column: str, probe: Column, bits: int = FILTER_BITS) -> Column:
     """True for every key that ``keys`` holds, false for most others.
 
     A bitmap of fixed size, so that rows which a semi-join would drop needn't be shuffled;
     the join itself still has to follow.
     """
-    bit = F.pmod(F.xxhash64(column), F.lit(FILTER_BITS))
+    bit = F.pmod(F.xxhash64(column), F.lit(bits))
     words = (
         keys.select(F.shiftright(bit, 6).alias("w"), F.expr("cast(1 AS bigint)").alias("one"),
                     F.pmod(bit, F.lit(64)).cast("int").alias("b"))
@@ -107,7 +107,7 @@ def likely_in(keys: DataFrame, column: str, probe: Column) -> Column:
         .agg(F.bit_or(F.expr("shiftleft(one, b)")).alias("bits"))
     )
     spark = keys.sparkSession
-    whole = spark.range(FILTER_BITS // 64).withColumnRenamed("id", "w").join(words, "w", "left")
+    whole = spark.range(bits // 64).withColumnRenamed("id", "w").join(words, "w", "left")
     bitmap = (
         whole.agg(
             F.sort_array(F.collect_list(F.struct("w", F.coalesce("bits", F.lit(0)).alias("bits"))))
@@ -116,7 +116,7 @@ def likely_in(keys: DataFrame, column: str, probe: Column) -> Column:
         .select("m.bits")
         .scalar()
     )
-    place = F.pmod(F.xxhash64(probe), F.lit(FILTER_BITS))
+    place = F.pmod(F.xxhash64(probe), F.lit(bits))
     word = F.get(bitmap, F.shiftright(place, 6).cast("int"))
     return F.getbit(word, F.pmod(place, F.lit(64)).cast("int")) == 1
 
