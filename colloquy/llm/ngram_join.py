@@ -325,18 +325,21 @@ def groups(
         renamed = (F.col(c).alias(to) for c, to in (("node", node), ("n", f"n{s}"), ("sketch", f"sk{s}")))
         return rows.select("t", *renamed, *more)
 
+    # hubs are picked by hashes of their ids alone; their sketches are looked up behind that
     hubs = long.groupBy("t").agg(
         F.array(
             *[
-                F.min(F.struct(F.xxhash64("node", F.lit(i)).alias("h"), "node", "n", "sketch"))
+                F.min(F.struct(F.xxhash64("node", F.lit(i)).alias("h"), "node"))
                 for i in range(HUBS)
             ]
         ).alias("hubs")
     )
-    hubs = hubs.select("t", F.explode(F.array_distinct(F.transform("hubs", lambda h: h.dropFields("h")))).alias("h"))
+    hubs = hubs.select(
+        "t", F.explode(F.array_distinct(F.transform("hubs", lambda h: h["node"]))).alias("node")
+    )
     around = (
         side(long, "x", "a")
-        .join(side(hubs.select("t", "h.*"), "y", "b"), "t")
+        .join(side(long.join(hubs, ["t", "node"], "left_semi"), "y", "b"), "t")
         .filter((F.col("x") != F.col("y")) & close)
         .select(*pair)
     )
