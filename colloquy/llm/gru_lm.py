@@ -8,9 +8,10 @@ class: a softmax over the hidden state for frequent words, and (count + 0.5) / (
 
 All counts are Spark aggregates over all training texts. The weights are numpy arrays of fixed
 size: they start at the counts' distribution, and each of ``ROUNDS`` rounds trains a copy of them
-in every task, by backpropagation truncated to windows of ``WINDOW`` tokens, on a stretch of each
-training text (at a place given by a hash); the mean of the copies goes on. Scoring reads whole
-texts; the state is carried from window to window, from a text's first token to its end.
+in every task; the mean of the copies, by tokens, goes on. The rounds share out the training texts
+by a hash, and together are one pass over every token of every training text, by backpropagation
+truncated to windows of ``WINDOW`` tokens. In training as in scoring the state is carried from
+window to window, from a text's first token to its end.
 
 Tasks hold the counts of the ``COUNTED`` most frequent words. Counts of other words meet the texts
 in a join, so no table of all words is sent around.
@@ -39,13 +40,13 @@ from .common import greatest, lower_words, written
 WORDS = 1023
 PER_CLASS = 32
 SPELLED = 32
-HIDDEN = 16
+HIDDEN = 24
 COUNTED = 100_000
-#: Training: rounds, tokens of a stretch, tokens of a window, texts side by side, step size.
+#: Training: rounds, tokens of a window, texts side by side, fewest tokens of a step, step size.
 ROUNDS = 2
-STRETCH = 64
 WINDOW = 16
 SIDE_BY_SIDE = 256
+FEWEST = 512
 STEP = 0.01
 #: Scoring: texts side by side, and tokens of a window.
 SLOTS = 512
@@ -166,10 +167,15 @@ def log_likelihoods(p: dict, states: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return out
 
 
-def gradients(p: dict, h: np.ndarray, ids: np.ndarray, real: np.ndarray):
-    """Gradients of the mean negative log-likelihood of a window, truncated at its start."""
+def gradients(
+    p: dict, h: np.ndarray, ids: np.ndarray, real: np.ndarray, fresh: np.ndarray | None = None
+):
+    """Gradients of the mean negative log-likelihood of a window, truncated at its start and
+    where a text begins (``fresh``)."""
     keep: list = []
-    states, last = _run(p, h, ids, np.zeros(ids.shape, bool), keep)
+    if fresh is None:
+        fresh = np.zeros(ids.shape, bool)
+    states, last = _run(p, h, ids, fresh, keep)
     n, g = HIDDEN, {k: np.zeros_like(v) for k, v in p.items()}
     flat, tokens, weight = states.reshape(-1, n), ids.ravel(), real.ravel() / max(1, real.sum())
     classes = _class_of(tokens)
@@ -200,7 +206,11 @@ def gradients(p: dict, h: np.ndarray, ids: np.ndarray, real: np.ndarray):
         through = np.concatenate([dz, dr, dc * r], axis=1)
         g["u"] += h0.T @ through
         dh = dh * z + through @ p["u"].T + back[t]
-    np.add.at(g["x"], tokens, into.reshape(-1, 3 * n))
+        if fresh[t].any():
+            dh = dh * ~fresh[t][:, None]
+    order = np.argsort(tokens, kind="stable")
+    starts = np.flatnonzero(np.diff(tokens[order], prepend=-1))
+    g["x"][tokens[order][starts]] = np.add.reduceat(into.reshape(-1, 3 * n)[order], starts, axis=0)
     return g, last
 
 
@@ -219,26 +229,56 @@ class _Adam:
             p[k] -= STEP * m / (np.sqrt(v) + 1e-6)
 
 
+def windows(texts: Iterator[np.ndarray]) -> Iterator[tuple[np.ndarray, ...]]:
+    """All tokens of the texts, which run side by side in slots, one behind the other: the slots
+    in use and, as (time, slot), the next tokens, which of them are real and which begin a text."""
+    left = [np.zeros(0, np.int32)] * SIDE_BY_SIDE
+    while True:
+        ids = np.zeros((SIDE_BY_SIDE, WINDOW), np.int64)
+        real, fresh = np.zeros(ids.shape, bool), np.zeros(ids.shape, bool)
+        for s in range(SIDE_BY_SIDE):
+            at, rest = 0, left[s]
+            while at < WINDOW:
+                if not len(rest):
+                    rest = next(texts, None)
+                    if rest is None:
+                        rest = left[s][:0]
+                        break
+                    fresh[s, at] = True
+                n = min(WINDOW - at, len(rest))
+                ids[s, at : at + n], real[s, at : at + n] = rest[:n], True
+                at, rest = at + n, rest[n:]
+            left[s] = rest
+        used = np.flatnonzero(real[:, 0])
+        if not len(used):
+            return
+        yield used, ids[used].T, real[used].T, fresh[used].T
+
+
 def _trained(shared):
-    """Trains a copy of the weights on a partition's stretches; a row of all weights."""
+    """Trains a copy of the weights on a partition's texts, once; a row of all weights."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = {k: v.copy() for k, v in shared.value.items()}
         adam, seen = _Adam(p), 0
-        for batch in batches:
-            rows = [np.array(x.as_py(), np.int64) for x in batch.column("ids")]
-            for at in range(0, len(rows), SIDE_BY_SIDE):
-                part = rows[at : at + SIDE_BY_SIDE]
-                longest = max(map(len, part))
-                ids = np.zeros((longest, len(part)), np.int64)
-                real = np.zeros(ids.shape, bool)
-                for i, x in enumerate(part):
-                    ids[: len(x), i], real[: len(x), i] = x, True
-                h = np.zeros((len(part), HIDDEN), np.float32)
-                for t in range(0, longest, WINDOW):
-                    g, h = gradients(p, h, ids[t : t + WINDOW], real[t : t + WINDOW])
-                    adam.update(p, g)
-                seen += len(part)
+        state = np.zeros((SIDE_BY_SIDE, HIDDEN), np.float32)
+        texts = (x.values.to_numpy() for batch in batches for x in batch.column("ids"))
+        held, tokens = None, 0
+        for used, ids, real, fresh in windows(texts):
+            g, state[used] = gradients(p, state[used], ids, real, fresh)
+            n = int(real.sum())
+            seen += n
+            # near the end few texts are left: their windows make a step together
+            if held is None and n >= FEWEST:
+                adam.update(p, g)
+                continue
+            held = {k: n * v + (held[k] if held else 0) for k, v in g.items()}
+            tokens += n
+            if tokens >= FEWEST:
+                adam.update(p, {k: v / np.float32(tokens) for k, v in held.items()})
+                held, tokens = None, 0
+        if tokens:
+            adam.update(p, {k: v / np.float32(tokens) for k, v in held.items()})
         if seen:
             flat = np.concatenate([v.ravel() for v in p.values()]).astype(float)
             for at in range(0, len(flat), 4096):
@@ -255,11 +295,11 @@ def _trained(shared):
     return run
 
 
-def _averaged(stretches: DataFrame, p: dict) -> dict[str, np.ndarray]:
-    """One round: the mean of the tasks' weights, by texts seen. A row for each weight."""
-    shared = stretches.sparkSession.sparkContext.broadcast(p)
+def _averaged(texts: DataFrame, p: dict) -> dict[str, np.ndarray]:
+    """One round: the mean of the tasks' weights, by tokens seen. A row for each weight."""
+    shared = texts.sparkSession.sparkContext.broadcast(p)
     rows = (
-        stretches.mapInArrow(_trained(shared), "place long, value double, seen long")
+        texts.mapInArrow(_trained(shared), "place long, value double, seen long")
         .groupBy("place")
         .agg((F.sum("value") / F.sum("seen")).alias("value"))
         .toPandas()
@@ -301,17 +341,19 @@ def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _stretched(frequent: list[str]):
+def _coded(frequent: list[str]):
+    """The input ids of all tokens of each text."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = Vocabulary(frequent)
         for batch in batches:
-            out = []
-            for text in batch.column("text"):
-                tokens = [*lower_words(text.as_py()), END]
-                places = max(0, len(tokens) - STRETCH) + 1
-                at = zlib.crc32(f"{tokens[0]} {len(tokens)}".encode("utf-8", "surrogatepass")) % places
-                out.append([vocabulary[w] for w in tokens[at : at + STRETCH]])
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.int32()))], names=["ids"])
+            out = [
+                [vocabulary[w] for w in (*lower_words(text.as_py()), END)]
+                for text in batch.column("text")
+            ]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("round"), pa.array(out, pa.list_(pa.int32()))], names=["round", "ids"]
+            )
 
     return run
 
@@ -428,9 +470,10 @@ def scored(
     own = np.zeros(WORDS + 1)
     own[: len(frequent) - 1], own[-1] = frequent_counts[:-1], frequent_counts[-1]
     weights = start(own, tokens)
-    stretches = written(training.mapInArrow(_stretched(padded), "ids array<int>"), "stretches")
-    for _ in range(ROUNDS):
-        weights = _averaged(stretches, weights)
+    dealt = training.select(F.pmod(F.xxhash64("text"), F.lit(ROUNDS)).cast("int").alias("round"), "text")
+    coded = written(dealt.mapInArrow(_coded(padded), "round int, ids array<int>"), "coded")
+    for k in range(ROUNDS):
+        weights = _averaged(coded.filter(F.col("round") == k).select("ids"), weights)
     others = np.log10(tokens + 0.5 * (types + 1))
     shared = spark.sparkContext.broadcast((weights, padded, known, others))
     found = written(
