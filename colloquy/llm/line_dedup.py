@@ -5,7 +5,8 @@ order of (document id, line number), is similar to it: intersection over union a
 threshold. Only DataFrame functions are used.
 
 1. Words are ordered by rarity: counts over all documents, in a table of fixed size.
-2. Lines with equal sets form one class; all but its first line are later matches.
+2. Lines with equal sets form one class; all but its first line are later matches. Sets so
+   small that they match only when equal take no part in the steps below.
 3. Each class puts the rarest words of its set, its prefix, in an index. Two sets can only be
    similar if they share a prefix word (of the smaller set the first
    ``n - ceil(2t/(1+t) n) + 1`` do, of the larger one ``n - ceil(t n) + 1``), their sizes are
@@ -172,13 +173,16 @@ def later_matches(
         .select("c", "at.*", "of.*"),
         "classes",
     )
+    # smaller sets are similar only if equal (of n words, at best n of n + 1 are shared), and
+    # equal ones are one class already
+    joined = classes.filter(100 * F.col("n") >= percent * (F.col("n") + 1))
 
     def side(df: DataFrame, s: str, *more: str) -> DataFrame:
         return df.select(*[F.col(x).alias(f"{x}{s}") for x in ("c", "key", "pos", "n", "bits")], *more)
 
     # each class against the earliest one with an equal minimum hash of the prefix
     seeds = F.array(*[F.array_min(F.transform("prefix", lambda x, k=k: F.xxhash64(x, F.lit(k)))) for k in (1, 2)])
-    keyed = classes.select("c", "key", "pos", "n", "bits", F.explode(seeds).alias("h"))
+    keyed = joined.select("c", "key", "pos", "n", "bits", F.explode(seeds).alias("h"))
     hubs = keyed.groupBy("h").agg(F.min(F.struct("key", "pos", "c", "n", "bits")).alias("hub"), F.count("*").alias("m")).filter("m > 1")
     around = (
         side(keyed, "2", "h")
@@ -192,7 +196,7 @@ def later_matches(
 
     # those not settled against all earlier ones of the index
     index = (
-        classes.join(settled.withColumn("settled", F.lit(True)), "c", "left")
+        joined.join(settled.withColumn("settled", F.lit(True)), "c", "left")
         .select("*", F.posexplode("prefix").alias("i", "t"))
         .select(
             "t", "c", "key", "pos", "n", "bits", "i", F.col("settled").isNotNull().alias("settled")

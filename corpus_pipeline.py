@@ -22,8 +22,9 @@ def follow_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def remove_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines similar to an earlier line; those left without words go."""
-    return line_dedup.deduplicated(docs)
+    """Documents without lines similar to an earlier line, down to lines of one word; those left
+    without words go."""
+    return line_dedup.deduplicated(docs, min_words=1)
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
