@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
+    conversation_repair,
     gru_lm,
     html_text,
+    language_id,
     line_dedup,
     mixing,
     ngram_join,
@@ -16,6 +18,7 @@ from . import (
     rp_forest,
     simple8b,
     toxicity,
+    whitening,
 )
 from .common import table
 from .tokens import public_path
@@ -270,3 +273,27 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id")
     )
+
+
+@query()
+def op11_ftrl_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's language, learned from three in four ids."""
+    rest = F.pmod(F.crc32(F.col("id").cast("string")), F.lit(4))
+    found = language_id.identified(table(spark, sf_dir, "documents"), rest != 2)
+    held_out = F.coalesce(rest == 2, F.lit(False))
+    return found.select(F.col("id").alias("doc_id"), held_out.alias("held_out"), "lang_pred", "score")
+
+
+@query()
+def op12_run_length_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, damaged by a checksum of its rows, with its cheapest repair."""
+    rows = conversation_repair.damaged(
+        table(spark, sf_dir, "conversations"), "conv_id", "turn", "role", "text"
+    )
+    return conversation_repair.repaired(rows)
+
+
+@query()
+def op13_chebyshev_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's whitened components, up to 16."""
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
