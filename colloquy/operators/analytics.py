@@ -175,11 +175,21 @@ def _with_user(left: DataFrame, right: DataFrame) -> DataFrame:
     return left.join(named, F.col("user_id").eqNullSafe(F.col("_user")), "left").drop("_user")
 
 
-def user_rollup(messages: DataFrame) -> DataFrame:
-    """Per user: messages, threads started, daily mean, channels and tickets."""
-    fine = messages.groupBy("user_id", "channel", "dt").agg(
+def user_partials(messages: DataFrame) -> DataFrame:
+    """Per user, channel and day: messages and threads started."""
+    return messages.groupBy("user_id", "channel", "dt").agg(
         F.count("*").alias("n"), F.count_if("is_thread_parent").alias("threads")
     )
+
+
+def user_rollup(messages: DataFrame) -> DataFrame:
+    """Per user: messages, threads started, daily mean, channels and tickets."""
+    pairs = mentioned(messages, "user_id").select("user_id", "ticket_id").distinct()
+    return rolled_up_users(user_partials(messages), pairs)
+
+
+def rolled_up_users(fine: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The roll-up from :func:`user_partials` and distinct pairs of user and ticket."""
     per_channel = fine.groupBy("user_id", "channel").agg(
         F.sum("n").alias("n"), F.sum("threads").alias("threads")
     )
@@ -196,7 +206,6 @@ def user_rollup(messages: DataFrame) -> DataFrame:
         "channel_count",
         "channels_active",
     )
-    pairs = mentioned(messages, "user_id").select("user_id", "ticket_id").distinct()
     tickets = listed(
         pairs, ["user_id"], "ticket_id", "ticket_count", "jira_tickets_mentioned"
     )

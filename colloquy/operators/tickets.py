@@ -98,6 +98,15 @@ def cross_channel(messages: DataFrame) -> DataFrame:
     return totals.join(lists.filter(F.col("channel_count") > 1), "ticket_id")
 
 
+def ticket_partials(messages: DataFrame) -> DataFrame:
+    """Per ticket, author, channel and day: mentions and the first one."""
+    return (
+        mentioned(messages, "event_ts", "user_id", "dt")
+        .groupBy("ticket_id", "user_id", "channel", "dt")
+        .agg(F.count("*").alias("n"), F.min("event_ts").alias("first"))
+    )
+
+
 def ticket_rollup(messages: DataFrame) -> DataFrame:
     """Per ticket: channels, messages, mentions and the first mention."""
     per_channel = (
@@ -105,6 +114,18 @@ def ticket_rollup(messages: DataFrame) -> DataFrame:
         .groupBy("ticket_id", "channel")
         .agg(F.count("*").alias("n"), F.min("event_ts").alias("first"))
     )
+    return _rolled_up(per_channel)
+
+
+def rolled_up_tickets(parts: DataFrame) -> DataFrame:
+    """The roll-up from :func:`ticket_partials`."""
+    per_channel = parts.groupBy("ticket_id", "channel").agg(
+        F.sum("n").alias("n"), F.min("first").alias("first")
+    )
+    return _rolled_up(per_channel)
+
+
+def _rolled_up(per_channel: DataFrame) -> DataFrame:
     totals = per_channel.groupBy("ticket_id").agg(
         F.sum("n").alias("mention_count"), F.min("first").alias("first_mentioned")
     )

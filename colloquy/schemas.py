@@ -129,4 +129,8 @@ RAW_ISSUE = struct(
 
 # Partition columns are strings and come after the data columns.
 MESSAGES_STORED = T.StructType(MESSAGES.fields + struct(dt=STRING, channel=STRING).fields)
+#: As files hold messages: with the instant of ``timestamp``, absent in files of older writers.
+MESSAGES_FILE = T.StructType(
+    MESSAGES.fields + struct(event_ts=INSTANT).fields + struct(dt=STRING, channel=STRING).fields
+)
 TICKETS_STORED = T.StructType(TICKETS.fields + struct(dt=STRING).fields)

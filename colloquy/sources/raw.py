@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -85,15 +87,17 @@ def message_columns(raw: Column) -> list[Column]:
     ]
 
 
-def normalise_messages(lines: DataFrame, run_day: str) -> tuple[DataFrame, DataFrame]:
+def normalise_messages(
+    lines: DataFrame, run_day: str, carry: Sequence[str] = ()
+) -> tuple[DataFrame, DataFrame]:
     """JSON lines (``value``, ``channel``) to stored message rows, and the rejects.
 
     Each message goes to the day of its own time, or to ``run_day`` when that time
-    cannot be read.
+    cannot be read. Columns named in ``carry`` go along with the rows.
     """
     parsed = parse_json(lines, schemas.RAW_MESSAGE)
     good, rejects = split_rejects(parsed, F.col("record")["ts"].isNotNull())
-    rows = good.select(*message_columns(F.col("record")), "channel")
+    rows = good.select(*message_columns(F.col("record")), "channel", *carry)
     return route_by_day(rows, run_day), rejects
 
 

@@ -1,21 +1,23 @@
 """Sinks of the stored tables: idempotent upserts, overwrites, inventory, exports.
 
 There must be one writer per table at a time. An upsert reads only the partitions
-its batch touches and replaces only those.
+its batch touches and replaces only those. A batch is evaluated twice, once for its partition
+columns alone and once for the write, so it must give the same rows each time.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Mapping, Sequence
+from contextlib import contextmanager
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schemas
-from ..operators.keys import latest_per_key
+from ..functions.instants import from_iso
 from ..session import fresh_folder, shared_folder
 from .tables import messages_path, read_typed, tickets_path, users_path
 
@@ -39,10 +41,8 @@ def checked_day(day: Column) -> Column:
     return F.when(day.rlike(DAY_PATTERN), day).otherwise(F.raise_error(bad))
 
 
-def merge_rows(
-    stored: DataFrame, batch: DataFrame, keys: Sequence[str], sequence: str | None = None
-) -> DataFrame:
-    """Upsert result: new rows beat stored ones, the last of a batch beats earlier ones.
+def stacked(stored: DataFrame, batch: DataFrame, sequence: str | None = None) -> DataFrame:
+    """Stored rows and those of a batch, with their order in ``_new`` and ``_seq``.
 
     ``sequence`` names the batch's order column, of any type that orders; without it the
     row order of the batch's partitions counts.
@@ -52,18 +52,45 @@ def merge_rows(
     new = batch.select(*columns, order.alias("_seq")).withColumn("_new", F.lit(1))
     kind = new.schema["_seq"].dataType
     old = stored.withColumn("_seq", F.lit(None).cast(kind)).withColumn("_new", F.lit(0))
-    both = old.select(*columns, "_seq", "_new").unionByName(new)
-    return latest_per_key(both, keys, [F.col("_new"), F.col("_seq")]).select(*columns)
+    return old.select(*columns, "_seq", "_new").unionByName(new)
+
+
+def newest(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Of stacked rows those that count: new ones beat stored ones, the last of a batch beats
+    earlier ones. Rows that are already dealt out by some of the keys stay where they are."""
+    first = Window.partitionBy(*keys).orderBy(F.desc("_new"), F.desc("_seq"))
+    numbered = rows.withColumn("_nth", F.row_number().over(first))
+    return numbered.filter("_nth = 1").drop("_nth", "_new", "_seq")
+
+
+@contextmanager
+def _instants_with_statistics(spark: SparkSession) -> Iterator[None]:
+    """Writes instants as whole microseconds, for which Parquet keeps minima and maxima."""
+    name = "spark.sql.parquet.outputTimestampType"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "TIMESTAMP_MICROS")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def _write_partitions(
-    df: DataFrame, sizes: DataFrame, path: str, by: list[str], key: str, rows_per_file: int
+    df: DataFrame,
+    sizes: DataFrame,
+    path: str,
+    by: list[str],
+    key: str,
+    rows_per_file: int,
+    merge: bool = False,
 ) -> int:
     """Swap in the partitions of ``df``; gives the number of files planned.
 
     ``sizes`` bounds the rows of each partition. A partition over ``rows_per_file`` is cut
-    into slices, and each (partition, slice) is sorted and written by one task as one file,
-    so a busy channel day neither stays in one task nor breaks into many small files.
+    into slices, and each (partition, slice) is sorted by key and written by one task as one
+    file, so a busy channel day neither stays in one task nor breaks into many small files.
+    With ``merge`` rows are stacked ones: equal keys meet in that same task, so that rows are
+    shuffled once. ``key`` gets a Bloom filter in each file.
     """
     needed = F.ceil(F.col("_rows") / rows_per_file).cast("int")
     total = sizes.agg(
@@ -71,22 +98,29 @@ def _write_partitions(
     ).first()
     if total.files == 0:
         return 0
-    spread = max(df.sparkSession.sparkContext.defaultParallelism, -(-total.n // rows_per_file))
+    spark = df.sparkSession
+    spread = max(spark.sparkContext.defaultParallelism, -(-total.n // rows_per_file))
     # At most rows / rows_per_file partitions are heavy, which bounds the broadcast.
     heavy = sizes.filter(F.col("_rows") > rows_per_file).select(*by, needed.alias("_slices"))
     sliced = df.join(F.broadcast(heavy), by, "left").withColumn(
         "_slice", F.pmod(F.xxhash64(key), F.coalesce("_slices", F.lit(1)))
     )
-    (
-        sliced.repartition(min(total.files, spread), *by, "_slice")
-        .sortWithinPartitions(*by, key)
-        .drop("_slices", "_slice")
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .option("compression", "snappy")
-        .partitionBy(*by)
-        .parquet(path)
-    )
+    dealt = sliced.drop("_slices").repartition(min(total.files, spread), *by, "_slice")
+    if merge:
+        dealt = newest(dealt, [*by, "_slice", key])  # which sorts them too
+    else:
+        dealt = dealt.sortWithinPartitions(*by, key)
+    with _instants_with_statistics(spark):
+        (
+            dealt.drop("_slice")
+            .write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic")
+            .option("compression", "snappy")
+            .option(f"parquet.bloom.filter.enabled#{key}", "true")
+            .option("parquet.bloom.filter.adaptive.enabled", "true")
+            .partitionBy(*by)
+            .parquet(path)
+        )
     return total.files
 
 
@@ -98,30 +132,35 @@ def _upsert_partitions(
     spark: SparkSession,
     batch: DataFrame,
     path: str,
-    schema,
+    schema: T.StructType,
     by: list[str],
     key: str,
     sequence: str | None,
     rows_per_file: int,
+    derived: Mapping[str, Column] | None = None,
 ) -> None:
-    # The batch is cut off from its source first: it is read several times below, and a
-    # batch derived from the stored table must not see the table change.
+    """Merge a batch into the partitions it touches, in one shuffle.
+
+    ``derived`` gives columns that files hold and batches, or older files, may lack.
+    """
     shared_folder(spark)
-    batch = batch.withColumn("dt", checked_day(F.col("dt"))).checkpoint()
-    new = _sizes(batch, by)
-    stored = read_typed(spark, path, schema)
-    # The batch's first and last day as a partition filter keep days outside from being
-    # listed and read; the semi join then leaves just the touched partitions.
+    batch = batch.withColumn("dt", checked_day(F.col("dt")))
+    new = _sizes(batch, by).checkpoint()  # a row for each partition touched
     first, last = new.agg(F.min("dt"), F.max("dt")).first()
     if first is None:
         return
-    stored = stored.filter(F.col("dt").between(first, last))
+    # The batch's first and last day as a partition filter keep days outside from being
+    # listed and read; the semi join then leaves just the touched partitions.
+    stored = read_typed(spark, path, schema).filter(F.col("dt").between(first, last))
     stored = stored.join(new.select(*by), by, "left_semi").select(*schema.fieldNames())
+    for name, value in (derived or {}).items():
+        stored = stored.withColumn(name, F.coalesce(name, value))
+        batch = batch.withColumn(name, value)
     sizes = new.unionByName(_sizes(stored, by)).groupBy(*by).agg(F.sum("_rows").alias("_rows"))
-    merged = merge_rows(stored, batch, [*by, key], sequence)
     # Dynamic overwrite stages all output and swaps partitions at job commit, after
     # the last read of the old ones.
-    _write_partitions(merged, sizes, path, by, key, rows_per_file)
+    rows = stacked(stored, batch, sequence)
+    _write_partitions(rows, sizes, path, by, key, rows_per_file, merge=True)
 
 
 def upsert_messages(
@@ -136,11 +175,12 @@ def upsert_messages(
         spark,
         batch,
         messages_path(root),
-        schemas.MESSAGES_STORED,
+        schemas.MESSAGES_FILE,
         ["dt", "channel"],
         "message_id",
         sequence,
         rows_per_file,
+        {"event_ts": from_iso(F.col("timestamp"))},
     )
 
 
@@ -185,7 +225,7 @@ def upsert_users(
         return
     stored = read_typed(spark, users_path(root), USERS_STORED)
     stored = stored.filter(F.col("bucket").isin(touched))
-    merged = merge_rows(stored, batch, ["bucket", "user_id"], sequence)
+    merged = newest(stacked(stored, batch, sequence), ["bucket", "user_id"])
     (
         merged.repartition("bucket")
         .sortWithinPartitions("bucket", "user_id")
@@ -203,10 +243,11 @@ def overwrite_messages(
     """Replace the partitions of a batch without merging; an empty batch is an error."""
     shared_folder(batch.sparkSession)
     by = ["dt", "channel"]
-    rows = batch.select(*schemas.MESSAGES_STORED.fieldNames())
-    rows = rows.withColumn("dt", checked_day(F.col("dt"))).checkpoint()
-    path = messages_path(root)
-    if not _write_partitions(rows, _sizes(rows, by), path, by, "message_id", rows_per_file):
+    rows = batch.withColumn("dt", checked_day(F.col("dt")))
+    sizes = _sizes(rows, by).checkpoint()
+    rows = rows.withColumn("event_ts", from_iso(F.col("timestamp")))
+    rows = rows.select(*schemas.MESSAGES_FILE.fieldNames())
+    if not _write_partitions(rows, sizes, messages_path(root), by, "message_id", rows_per_file):
         raise ValueError("no messages to save")
 
 

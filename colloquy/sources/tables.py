@@ -57,13 +57,31 @@ def read_typed(
         return spark.createDataFrame([], schema)
 
 
-def read_messages(spark: SparkSession, root: str, skip_corrupt: bool = False) -> DataFrame:
-    """All messages plus ``event_ts``, the instant to order and compare by."""
-    df = read_typed(spark, messages_path(root), schemas.MESSAGES_STORED, skip_corrupt)
+def _completed(stored: DataFrame) -> DataFrame:
+    """Stored messages with what older files lack: lists, and ``event_ts`` as last column."""
     filled = {
         c: F.coalesce(F.col(c), F.array().cast(kind)) for c, kind in _EMPTY_LISTS.items()
     }
-    return df.withColumns(filled).withColumn("event_ts", from_iso(F.col("timestamp")))
+    at = F.coalesce("event_ts", from_iso(F.col("timestamp"))).alias("event_ts")
+    return stored.withColumns(filled).select(*schemas.MESSAGES_STORED.fieldNames(), at)
+
+
+def read_messages(spark: SparkSession, root: str, skip_corrupt: bool = False) -> DataFrame:
+    """All messages plus ``event_ts``, the instant to order and compare by."""
+    return _completed(read_typed(spark, messages_path(root), schemas.MESSAGES_FILE, skip_corrupt))
+
+
+def read_instants(
+    spark: SparkSession, root: str, start: Column, end: Column, skip_corrupt: bool = False
+) -> DataFrame:
+    """The messages of an inclusive range of instants.
+
+    Days become a partition filter, and the stored instant is compared in the Parquet scan, which
+    passes over row groups and pages outside the range. Files without it are read whole.
+    """
+    stored = read_typed(spark, messages_path(root), schemas.MESSAGES_FILE, skip_corrupt)
+    skipped = F.col("event_ts").between(start, end) | F.col("event_ts").isNull()
+    return in_instants(_completed(stored.filter(skipped)), start, end)
 
 
 def equals_all(filters: Mapping[str, Any] | None) -> Column:

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from colloquy import schemas
 from colloquy.functions import instants
 from colloquy.operators import analytics, buckets, channels, metrics, people, threads, tickets, timeline
 from colloquy.plans.sql import run_sql
-from colloquy.sources import tables
+from colloquy.session import fresh_folder
+from colloquy.sources import rollups, tables
 
 from .adapter import Chat
 from .catalog_scans import BUSY, START
@@ -588,6 +590,68 @@ def ticket_rollup(c: Chat) -> DataFrame:
     )
 
 
+def _edited(c: Chat) -> str:
+    """A store of its own with roll-ups, in which an edit of one day's messages takes the tickets
+    away from every third one and gives others a new one."""
+    root = fresh_folder(c.spark, "rolled-up")
+    rows = c.messages.select(*schemas.MESSAGES_STORED.fieldNames())
+    rollups.upsert_and_refresh(c.spark, rows, root)
+    n = F.pmod(F.expr("cast(right(message_id, 2) AS int)"), F.lit(3))
+    edit = rows.filter("dt = '2024-01-10'").withColumn(
+        "jira_tickets", F.when(n == 0, F.array().cast("array<string>")).when(n == 1, F.array(F.lit("NEW-1"))).otherwise(F.col("jira_tickets"))
+    )
+    rollups.upsert_and_refresh(c.spark, edit, root)
+    return root
+
+
+_EDITED = """, edited AS (
+  SELECT * REPLACE (CASE WHEN dt <> '2024-01-10' THEN jira_tickets
+    WHEN right(message_id, 2)::INT % 3 = 0 THEN [] WHEN right(message_id, 2)::INT % 3 = 1 THEN ['NEW-1']
+    ELSE jira_tickets END AS jira_tickets) FROM messages
+), et AS (SELECT channel, message_id, user_id, ts, dt, unnest(list_distinct(jira_tickets)) AS ticket_id FROM edited)
+"""
+
+
+@query(
+    "A21 A8",
+    _EDITED
+    + f"""SELECT ticket_id, count(*) AS mention_count, {instant("min(ts)")} AS first_mentioned,
+  count(DISTINCT channel) AS channel_count, string_agg(DISTINCT channel, '|' ORDER BY channel) AS channels
+FROM et GROUP BY ticket_id""",
+)
+def kept_ticket_rollup(c: Chat) -> DataFrame:
+    """The tickets' roll-up after an edit, from partials of which only touched ones were recounted."""
+    rows = rollups.ticket_rollup(c.spark, _edited(c))
+    return rows.withColumn("channels", joined("channels")).withColumn(
+        "first_mentioned", instant_text("first_mentioned")
+    )
+
+
+@query(
+    "A20",
+    _EDITED
+    + """SELECT m.user_id, m.message_count, m.thread_count, m.days, coalesce(t.ticket_count, 0) AS ticket_count
+FROM (SELECT user_id, count(*) AS message_count, count_if(is_thread_parent) AS thread_count,
+        round(count(*) / count(DISTINCT dt), 6) AS days FROM messages GROUP BY user_id) m
+LEFT JOIN (SELECT user_id, count(DISTINCT ticket_id) AS ticket_count FROM et GROUP BY user_id) t USING (user_id)""",
+)
+def kept_user_rollup(c: Chat) -> DataFrame:
+    """The users' roll-up after the same edit."""
+    rows = rollups.user_rollup(c.spark, _edited(c))
+    return rows.select(
+        "user_id", "message_count", "thread_count", F.round("avg_messages_per_day", 6).alias("days"), "ticket_count"
+    )
+
+
+@query(
+    "F7 A8",
+    _EDITED + "SELECT DISTINCT channel, message_id, dt FROM et WHERE ticket_id IN ('NEW-1')",
+)
+def indexed_ticket_messages(c: Chat) -> DataFrame:
+    """Messages of all days about one ticket, by way of the index."""
+    return rollups.about_ticket(c.spark, _edited(c), "NEW-1").select("channel", "message_id", "dt")
+
+
 @query(
     "A22",
     f"""SELECT thread_ts, {instant("min(ts)")} AS thread_start, count(*) AS messages FROM messages

@@ -317,8 +317,8 @@ def instant_window(c: Chat) -> DataFrame:
 WHERE ts >= TIMESTAMP '2024-01-08 00:00:00' AND ts <= TIMESTAMP '2024-01-15 23:59:59' GROUP BY ALL""",
 )
 def instant_range(c: Chat) -> DataFrame:
-    rows = tables.in_instants(
-        c.messages, instants.instant("2024-01-08T00:00:00Z"), instants.instant("2024-01-15T23:59:59Z")
+    rows = tables.read_instants(
+        c.spark, c.root, instants.instant("2024-01-08T00:00:00Z"), instants.instant("2024-01-15T23:59:59Z")
     )
     return rows.groupBy("user_real_name").agg(F.count("*").alias("messages"))
 

@@ -8,14 +8,15 @@ from pyspark.sql import functions as F
 
 from colloquy import schemas
 from colloquy.functions import instants
-from colloquy.operators import related
+from colloquy.operators import related, similar
 from colloquy.operators.tickets import mentioned
 from colloquy.session import fresh_folder
 from colloquy.sources import tables
 from colloquy.streaming import jobs
 
+from . import adapter
 from .adapter import Chat
-from .registry import query
+from .registry import instant_text, query
 
 
 def _landed(c: Chat, copies: int = 1) -> str:
@@ -44,10 +45,75 @@ def streamed_upsert(c: Chat) -> DataFrame:
 def streamed_without_repeats(c: Chat) -> DataFrame:
     stream = jobs.message_stream(c.spark, _landed(c, 2), files_per_batch=3)
     path = fresh_folder(c.spark, "unique")
-    jobs.without_repeats(stream, path, fresh_folder(c.spark, "progress")).awaitTermination()
+    jobs.without_repeats(stream, path, fresh_folder(c.spark, "progress"), buckets=2).awaitTermination()
     return jobs.kept_keys(c.spark, path)
 
 
+def _landed_lines(c: Chat) -> str:
+    """Raw JSON lines by channel: every message, then an edit of it, and lines that can't be read."""
+    folder = fresh_folder(c.spark, "landing-raw")
+    lines = adapter.raw_messages(c.spark, c.sf_dir)
+    for k in range(2):
+        text = F.concat(F.col("record.text"), F.lit(f" (edit {k})")) if k else F.col("record.text")
+        record = F.col("record").withField("text", text)
+        rows = lines.select(F.to_json(record).alias("value"), "channel", F.col("record.ts").alias("ts"))
+        bad = rows.filter(F.col("ts").endswith(str(k))).select(F.expr("left(value, 20)").alias("value"), "channel", "ts")
+        if k:
+            bad = bad.withColumn("value", F.lit('{"text": "no time"}'))
+        rows.unionByName(bad).repartition(4, "ts").drop("ts").write.mode("append").partitionBy(
+            "channel"
+        ).text(folder)
+    return folder
+
+
+def _ingested(c: Chat) -> tuple[str, str]:
+    root, rejects = fresh_folder(c.spark, "ingested"), fresh_folder(c.spark, "rejects")
+    stream = jobs.raw_stream(c.spark, _landed_lines(c), files_per_batch=12)
+    jobs.ingest_raw(stream, root, rejects, fresh_folder(c.spark, "progress"), adapter.RUN_DAY).awaitTermination()
+    return root, rejects
+
+
+@query("X1 S7 S10", "SELECT dt, channel, message_id, text || ' (edit 1)' AS text, user_id FROM messages")
+def streamed_raw_messages(c: Chat) -> DataFrame:
+    """Raw records and edits of them land by channel; each message is stored once, on its day."""
+    root, _ = _ingested(c)
+    return tables.read_messages(c.spark, root).select("dt", "channel", "message_id", "text", "user_id")
+
+
+@query(
+    "X1 S7",
+    """SELECT channel, count(*) AS rejects, count(*) FILTER (WHERE message_id LIKE '%1') AS without_time
+FROM messages WHERE message_id LIKE '%0' OR message_id LIKE '%1' GROUP BY channel""",
+)
+def streamed_rejects(c: Chat) -> DataFrame:
+    """What the same stream sets aside: lines cut off, and records without a time."""
+    _, rejects = _ingested(c)
+    return (
+        jobs.rejected(c.spark, rejects)
+        .groupBy("channel")
+        .agg(F.count("*").alias("rejects"), F.count_if(F.col("value").contains("no time")).alias("without_time"))
+    )
+
+
+@query(
+    "X3 B1",
+    """SELECT strftime(date_trunc('hour', ts) - to_hours(j), '%Y-%m-%d %H:%M:%S') AS window_start, channel,
+  count(*) AS messages, count_if(is_thread_reply) AS replies, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS first,
+  strftime(max(ts), '%Y-%m-%d %H:%M:%S.%f') AS last
+FROM messages, (SELECT unnest(range(0, 6)) AS j) GROUP BY ALL""",
+)
+def streamed_sliding_counts(c: Chat) -> DataFrame:
+    """Windows of six hours that slide by one; files arrive with all days mixed."""
+    path = fresh_folder(c.spark, "panes")
+    stream = jobs.message_stream(c.spark, _landed(c), files_per_batch=2)
+    jobs.sliding_panes(stream, path, fresh_folder(c.spark, "progress")).awaitTermination()
+    rows = jobs.sliding_counts(c.spark, path)
+    return rows.select(
+        F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "channel", "messages",
+        "replies", instant_text("first").alias("first"), instant_text("last").alias("last"),
+    )
+
+
 @query(
     "X3 B1",
     """SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS bucket_start, channel,
@@ -127,6 +193,66 @@ def near_duplicate_vectors(c: Chat) -> DataFrame:
     return related.near_duplicates(c.vectors, 0, above=0.25).withColumn("score", F.round("score", 6))
 
 
+def near_copies(c: Chat) -> DataFrame:
+    """Every vector, a copy of it that is changed more or less by its id, and of every 50th one
+    exact copies in other channels."""
+    w = F.element_at(F.array(*[F.lit(x) for x in (0.0, 0.1, 0.25, 0.4, 0.6)]), (F.col("vec_id") % 5 + 1).cast("int"))
+    changed = F.transform(
+        F.col("embedding").cast("array<double>"),
+        lambda x, i: x * (1.0 + F.col("w") * (F.pmod(i * 7 + F.col("vec_id"), F.lit(5)) - 2)),
+    )
+    rows = c.vectors.select("vec_id", "embedding", w.alias("w"))
+    copies = F.explode(F.sequence(F.lit(0), F.when(F.col("vec_id") % 50 == 0, 5).otherwise(1))).alias("k")
+    rows = rows.select("vec_id", "w", "embedding", changed.alias("changed"), copies)
+    moved = (F.col("k") == 1) & (F.col("vec_id") % 50 != 0)
+    return rows.select(
+        (F.col("vec_id") * 10 + F.col("k")).alias("vec_id"),
+        F.when(moved, F.col("changed")).otherwise(F.col("embedding").cast("array<double>")).alias("embedding"),
+        F.concat(F.lit("ch"), (F.col("vec_id") + F.col("k") * 3) % 7).alias("channel"),
+    )
+
+
+_NEAR_COPIES = """, vecs AS (
+  SELECT vec_id * 10 + k AS id, 'ch' || ((vec_id + k * 3) % 7) AS channel,
+    CASE WHEN k = 1 AND vec_id % 50 <> 0 THEN
+      list_transform(range(0, len(embedding)), lambda i: embedding[i + 1]::DOUBLE * (1.0::DOUBLE
+        + ([0.0, 0.1, 0.25, 0.4, 0.6]::DOUBLE[])[vec_id % 5 + 1] * ((i * 7 + vec_id) % 5 - 2)))
+      ELSE embedding::DOUBLE[] END AS v
+  FROM (SELECT vec_id, embedding, unnest(range(0, CASE WHEN vec_id % 50 = 0 THEN 6 ELSE 2 END)) AS k FROM embeddings)
+), classes AS (
+  SELECT v, min(id) AS id, count(*) AS members, count(DISTINCT channel) AS channels, min(channel) AS channel
+  FROM vecs GROUP BY v
+), near_pairs AS (
+  SELECT x.id AS a, y.id AS b, list_cosine_similarity(x.v, y.v) AS score, x.members AS a_members, y.members AS b_members
+  FROM classes x JOIN classes y ON x.id < y.id
+  WHERE list_cosine_similarity(x.v, y.v) > 0.85 AND (x.channels > 1 OR y.channels > 1 OR x.channel <> y.channel)
+  UNION ALL SELECT id, id, 1.0, members, members FROM classes WHERE channels > 1
+)
+"""
+
+
+@query("G3", _NEAR_COPIES + "SELECT a, b, round(score, 6) AS score, a_members, b_members FROM near_pairs")
+def near_duplicate_pairs(c: Chat) -> DataFrame:
+    """All pairs over 0.85 across channels, equal vectors as one class."""
+    rows = similar.duplicates_across_channels(near_copies(c), "channel", recall=0.999)
+    return rows.withColumn("score", F.round("score", 6))
+
+
+@query(
+    "G3 G4",
+    _NEAR_COPIES
+    + """, both_ways AS (SELECT a, b FROM near_pairs UNION SELECT b, a FROM near_pairs), grouped AS (
+  SELECT node, min(seen) AS group_id FROM (
+    WITH RECURSIVE reach(node, seen) AS (
+      SELECT a, a FROM both_ways UNION SELECT r.node, e.b FROM reach r JOIN both_ways e ON e.a = r.seen
+    ) SELECT * FROM reach) GROUP BY node)
+SELECT group_id, count(*) AS classes, sum(members)::BIGINT AS members FROM grouped JOIN classes ON node = id GROUP BY group_id""",
+)
+def near_duplicate_groups(c: Chat) -> DataFrame:
+    """Groups that those pairs join, with their classes and members."""
+    return similar.duplicate_groups(near_copies(c), "channel", recall=0.999)
+
+
 def similar_messages(c: Chat) -> DataFrame:
     """Edges between a message and the one before it in the same hour on the same ticket,
     scored by how close in time they are."""
