@@ -12,8 +12,12 @@ the one over the whole text go through a logistic curve fitted on labelled texts
 don't hold.
 
 All counts are Spark aggregates over the labelled training rows, of which up to ``LABELLED`` (by a
-hash of the id) are used. The driver and the tasks hold ``TABLE`` n-grams at most, those with most
-to say. Scoring reads whole texts of all rows.
+hash of the id) are used; that bound alone bounds the model. Every n-gram that a class has seen more
+often than the discount has a row in it. Any other n-gram has no count of its own left in either
+class: both models give it their context's share of the backoff, so its ratio is that of the two
+shares, and a context without such an n-gram gives all to the backoff and says nothing. The model
+is held as sorted 64-bit hashes with their values, 12 bytes a row. Scoring reads whole texts of all
+rows.
 
 Defined cases: null and empty texts have no words and score what the curve gives for that; labels
 other than 0 and 1, and null ids, don't teach; several labels of an id teach the largest; without
@@ -32,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import greatest, likely_in, written
+from .common import likely_in, written
 
 #: Characters in an n-gram; what each seen n-gram gives to the backoff, in the classes' counts
 #: and in the continuation counts.
@@ -41,12 +45,13 @@ DISCOUNT = 2.0
 LOWER_DISCOUNT = 0.75
 #: Share of toxic words in toxic texts.
 RATE = 0.003
-#: Bounds of the labelled rows, a quarter of which is for the curve, and of the table of n-grams.
+#: Bound of the labelled rows, a quarter of which is for the curve.
 LABELLED = 100_000
-TABLE = 100_000
 THRESHOLD = 0.3
 #: Longest words that a worker remembers, and how many.
 LONGEST, REMEMBERED = 40, 500_000
+#: Texts whose words are looked up together.
+TOGETHER = 64
 
 START, END = "\x02", "\x03"
 
@@ -56,6 +61,33 @@ def grams(word: str, order: int = ORDER) -> list[str]:
     return [padded[i : i + order] for i in range(len(word) + 1)]
 
 
+_STEP, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
+
+
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+
+
+def _rolled(columns) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of n-grams given by their characters' columns, and of all but their last ones."""
+    h = context = np.uint64(0)
+    for points in columns:
+        context = h
+        h = (h + points) * _STEP
+        h = h ^ (h >> np.uint64(29))
+    return (h * _MIX).view(np.int64), (context * _MIX).view(np.int64)
+
+
+def hashes(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of all n-grams of the words, in order: their hashes, those of their contexts (all but the
+    last character), and where each word's begin."""
+    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
+    points = _points("".join([START * (ORDER - 1) + w + END for w in words]))
+    # a word's first n-gram begins where its padding does
+    at = np.arange(int(sizes.sum())) + np.repeat(np.arange(len(words)) * (ORDER - 1), sizes)
+    return *_rolled(points[at + k] for k in range(ORDER)), np.cumsum(sizes) - sizes
+
+
 def _words(text: str | None) -> list[str]:
     return (text or "").lower().split()
 
@@ -124,9 +156,18 @@ def backoff(top: DataFrame) -> DataFrame:
     return found
 
 
-def learned(texts: DataFrame) -> tuple[dict[str, float], dict[str, float]]:
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows' n-grams and their contexts as hashes."""
+    for batch in batches:
+        g, h = _rolled(_points("".join(batch.column("g").to_pylist())).reshape(-1, ORDER).T)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(g), pa.array(h), batch.column("v"), batch.column("w")], names=["g", "h", "v", "w"]
+        )
+
+
+def learned(texts: DataFrame) -> Scorer:
     """From labelled texts ``(text, label)``: the log ratio of the classes' probabilities for each
-    n-gram worth a row, and for other characters behind a known context."""
+    n-gram with a count of its own, and for other characters behind a known context."""
     counts = written(
         texts.select("text", F.col("label").cast("int"))
         .mapInArrow(_counted, "g string, label int, n long")
@@ -164,47 +205,70 @@ def learned(texts: DataFrame) -> tuple[dict[str, float], dict[str, float]]:
             "h",
             F.log((own[1] + share[1] * F.col("p")) / (own[0] + share[0] * F.col("p"))).alias("v"),
             F.log(share[1] / share[0]).alias("w"),
-            (F.col("n0") + F.col("n1")).alias("n"),
         )
     )
-    likely = written(likely, "ratios")
-    rows = greatest(likely, F.abs("v") * F.log1p("n"), TABLE).select("g", "h", "v", "w").toArrow()
-    g, h, v, w = (c.to_pylist() for c in rows.columns)
-    return dict(zip(g, v, strict=True)), dict(zip(h, w, strict=True))
+    rows = likely.mapInArrow(_hashed, "g long, h long, v double, w double").toArrow()
+    g, h, v, w = (c.to_numpy() for c in rows.columns)
+    return Scorer(*_sorted(g, v), *_sorted(h, w))
+
+
+def _sorted(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    found, first = np.unique(keys, return_index=True)
+    return found, values[first].astype(np.float32)
 
 
 class Scorer:
     """Per word the log ratio of a toxic text's probability to an ordinary one's."""
 
-    def __init__(self, table: dict[str, float], contexts: dict[str, float]):
-        self.table, self.contexts, self.known = table, contexts, {}
-
-    def ratio(self, word: str) -> float:
-        value = self.known.get(word)
-        if value is None:
-            sum_ = 0.0
-            for g in grams(word):
-                v = self.table.get(g)
-                sum_ += self.contexts.get(g[:-1], 0.0) if v is None else v
-            value = math.log1p(RATE * math.expm1(min(sum_, 50.0)))
-            if len(word) <= LONGEST:
-                if len(self.known) >= REMEMBERED:
-                    self.known.clear()
-                self.known[word] = value
-        return value
-
-    def features(self, text: str | None) -> tuple[float, float]:
-        """The difference of the log-likelihoods per word, and that of the whole text."""
-        words = _words(text)
-        whole = sum(map(self.ratio, words))
-        return whole / max(1, len(words)), whole
+    def __init__(
+        self, grams: np.ndarray, ratios: np.ndarray, contexts: np.ndarray, weights: np.ndarray
+    ):
+        self.grams, self.ratios, self.contexts, self.weights = grams, ratios, contexts, weights
+        self.known: dict[str, float] = {}
+
+    def of_words(self, words: list[str]) -> np.ndarray:
+        """The ratios of words, all at once."""
+        own, context, starts = hashes(words)
+        sums = np.zeros(len(own))
+        for keys, table, values in (
+            (context, self.contexts, self.weights),
+            (own, self.grams, self.ratios),  # which count where there are any
+        ):
+            if len(table):
+                place = np.minimum(np.searchsorted(table, keys), len(table) - 1)
+                hit = table[place] == keys
+                sums[hit] = values[place[hit]]
+        whole = np.add.reduceat(sums, starts) if len(starts) else sums
+        return np.log1p(RATE * np.expm1(np.minimum(whole, 50.0)))
+
+    def learn(self, words: set[str]) -> dict[str, float]:
+        """The ratios of a batch's words; short ones are remembered for later batches."""
+        new = [w for w in words if w not in self.known]
+        found = dict(zip(new, self.of_words(new).tolist(), strict=True))
+        if len(self.known) + len(found) > REMEMBERED:
+            self.known = {}
+        self.known.update((w, v) for w, v in found.items() if len(w) <= LONGEST)
+        return found
+
+    def features(self, texts: list[str | None]) -> list[tuple[float, float]]:
+        """For each text the difference of the log-likelihoods per word, and that of the whole."""
+        split = [_words(t) for t in texts]
+        before = self.known
+        found = self.learn(set().union(*split))
+        out = []
+        for words in split:
+            whole = sum(v if (v := found.get(w)) is not None else before[w] for w in words)
+            out.append((whole / max(1, len(words)), whole))
+        return out
 
 
 def _features(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(*model.value)
+        scorer = model.value
         for batch in batches:
-            found = [scorer.features(t.as_py()) for t in batch.column("text")]
+            found = []
+            for at in range(0, batch.num_rows, TOGETHER):
+                found += scorer.features(batch.column("text").slice(at, TOGETHER).to_pylist())
             others = [n for n in batch.schema.names if n != "text"]
             yield pa.RecordBatch.from_arrays(
                 [
