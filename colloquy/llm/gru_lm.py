@@ -373,28 +373,35 @@ def _slots(lengths: np.ndarray) -> list[list[int]]:
 
 def texts_log_likelihood(p: dict, texts: list[np.ndarray]) -> np.ndarray:
     """The sum of each text's tokens' log-likelihoods; texts run side by side in slots, one
-    behind the other, each from a state of zeros."""
-    lengths = np.array([len(x) for x in texts])
-    dealt = _slots(lengths)
-    size = max((int(lengths[d].sum()) for d in dealt), default=0)
-    ids = np.zeros((size, len(dealt)), np.int32)
-    of = np.full(ids.shape, len(texts), np.int32)
-    fresh = np.zeros(ids.shape, bool)
-    for s, d in enumerate(dealt):
-        at = 0
-        for i in d:
-            ids[at : at + len(texts[i]), s] = texts[i]
-            of[at : at + len(texts[i]), s] = i
-            fresh[at, s] = True
-            at += len(texts[i])
+    behind the other, each from a state of zeros.
+
+    The fullest slots come first, and a span of time runs only those that still have tokens. So
+    work and memory follow the tokens, however long one text is beside the others.
+    """
+    lengths = np.array([len(x) for x in texts], np.int64)
+    dealt = sorted(_slots(lengths), key=lambda d: -int(lengths[d].sum()))
+    lines = [np.concatenate([texts[i] for i in d]) for d in dealt]
+    sizes = np.array([len(x) for x in lines], np.int64)
+    # where each slot's texts begin; which of them the next token belongs to is counted up
+    starts = [np.cumsum(lengths[[0, *d[:-1]]]) - lengths[0] for d in dealt]
     sums = np.zeros(len(texts) + 1)
     h = np.zeros((len(dealt), HIDDEN), np.float32)
-    for t in range(0, size, SPAN):
-        part = ids[t : t + SPAN]
-        states, h = _run(p, h, part, fresh[t : t + SPAN])
-        owners = of[t : t + SPAN].ravel()
-        found = log_likelihoods(p, states.reshape(-1, HIDDEN), part.ravel())
-        sums += np.bincount(owners, found, len(sums))
+    for t in range(0, int(sizes.max(initial=0)), SPAN):
+        live = int(np.searchsorted(-sizes, -t))
+        part = np.zeros((SPAN, live), np.int32)
+        of = np.full(part.shape, len(texts), np.int32)
+        fresh = np.zeros(part.shape, bool)
+        for s in range(live):
+            line = lines[s][t : t + SPAN]
+            part[: len(line), s] = line
+            first, last = np.searchsorted(starts[s], [t, t + len(line)])
+            fresh[starts[s][first:last] - t, s] = True
+            own = np.searchsorted(starts[s], np.arange(t, t + len(line)), side="right") - 1
+            of[: len(line), s] = np.asarray(dealt[s])[own]
+        used = min(SPAN, int(sizes[0]) - t)
+        states, h = _run(p, h[:live], part[:used], fresh[:used])
+        found = log_likelihoods(p, states.reshape(-1, HIDDEN), part[:used].ravel())
+        sums += np.bincount(of[:used].ravel(), found, len(sums))
     return sums[:-1]
 
 
