@@ -89,24 +89,30 @@ def without_lines(rows: DataFrame, schema: StructType, text: str, chars: str) ->
     )
 
 
-#: Bits of a filter of keys: 128 KiB, whatever the number of keys; and of one for finer keys.
-FILTER_BITS, FINE_BITS = 1 << 20, 1 << 23
+#: Bits of a filter for each key, of which two are set, and bounds of its size.
+BITS_PER_KEY, FEWEST_BITS, MOST_BITS = 16, 1 << 16, 1 << 28
 
 
-def likely_in(keys: DataFrame, column: str, probe: Column, bits: int = FILTER_BITS) -> Column:
-    """True for every key that ``keys`` holds, false for most others.
+def likely_in(keys: DataFrame, column: str, probe: Column) -> Column:
+    """True for every key that ``keys`` holds, false for almost all others.
 
-    A bitmap of fixed size, so that rows which a semi-join would drop needn't be shuffled;
-    the join itself still has to follow.
+    A bitmap sized by the number of keys (up to ``MOST_BITS``, 32 MB; with more than 2 ** 25 keys
+    it lets more rows pass), so that rows which a semi-join would drop needn't be shuffled; the
+    join itself still has to follow. ``keys`` should be a written table, as it is counted first.
     """
-    bit = F.pmod(F.xxhash64(column), F.lit(bits))
+    spark = keys.sparkSession
+    bits = max(FEWEST_BITS, min(MOST_BITS, 1 << (BITS_PER_KEY * keys.count()).bit_length()))
+
+    def places(key: Column) -> list[Column]:
+        return [F.pmod(F.xxhash64(key, F.lit(k)), F.lit(bits)) for k in (1, 2)]
+
     words = (
-        keys.select(F.shiftright(bit, 6).alias("w"), F.expr("cast(1 AS bigint)").alias("one"),
-                    F.pmod(bit, F.lit(64)).cast("int").alias("b"))
+        keys.select(F.explode(F.array(*places(F.col(column)))).alias("bit"))
+        .select(F.shiftright("bit", 6).alias("w"), F.expr("cast(1 AS bigint)").alias("one"),
+                F.pmod("bit", F.lit(64)).cast("int").alias("b"))
         .groupBy("w")
         .agg(F.bit_or(F.expr("shiftleft(one, b)")).alias("bits"))
     )
-    spark = keys.sparkSession
     whole = spark.range(bits // 64).withColumnRenamed("id", "w").join(words, "w", "left")
     bitmap = (
         whole.agg(
@@ -116,9 +122,11 @@ def likely_in(keys: DataFrame, column: str, probe: Column, bits: int = FILTER_BI
         .select("m.bits")
         .scalar()
     )
-    place = F.pmod(F.xxhash64(probe), F.lit(bits))
-    word = F.get(bitmap, F.shiftright(place, 6).cast("int"))
-    return F.getbit(word, F.pmod(place, F.lit(64)).cast("int")) == 1
+    found = F.lit(True)
+    for place in places(probe):
+        word = F.get(bitmap, F.shiftright(place, 6).cast("int"))
+        found = found & (F.getbit(word, F.pmod(place, F.lit(64)).cast("int")) == 1)
+    return found
 
 
 def greatest(rows: DataFrame, by: Column, most: int) -> DataFrame:

@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import FINE_BITS, likely_in, lower_az, row_key, text_of, without_lines, words_of, written
+from .common import likely_in, lower_az, row_key, text_of, without_lines, words_of, written
 
 #: Least Jaccard similarity in per cent, and fewest different words of a line.
 PERCENT = 80
@@ -109,7 +109,7 @@ def _verified(
     places = places.select("c", "row", "pos", F.xxhash64("row", "pos").alias("at"))
     lines = _lines(docs.filter(likely_in(places, "row", F.col("row"))))
     at = F.xxhash64("row", "pos")
-    lines = lines.filter(likely_in(places, "at", at, FINE_BITS)).join(
+    lines = lines.filter(likely_in(places, "at", at)).join(
         places.drop("at"), ["row", "pos"]
     )
     lines = written(
