@@ -210,3 +210,51 @@ def find_user(users: DataFrame, username: str) -> DataFrame:
         .filter(F.col("_rank").isNotNull())
         .agg(F.min_by("user_id", F.struct("_rank", "user_id")).alias("user_id"))
     )
+
+
+GRAM = 3
+
+
+def _grams(text: Column, length: Column) -> Column:
+    """The different pieces of ``length`` characters of a text."""
+    last = F.length(text) - length + 1
+    pieces = F.transform(F.sequence(F.lit(1), last), lambda i: F.substring(text, i, length))
+    return F.when(last > 0, F.array_distinct(pieces)).otherwise(F.array().cast("array<string>"))
+
+
+def find_users(users: DataFrame, names: DataFrame, column: str = "name") -> DataFrame:
+    """The best match of each different name of a table, as :func:`find_user` finds it:
+    ``(name, user_id)``, null where no user matches.
+
+    Exact names are an equi-join. The others are looked up in an index of pieces of three
+    characters (shorter names: of their own length) by their rarest piece, so that a name is held
+    only against users who have that piece, and what is found is verified. Names are never held
+    against all users; the empty name, which is a part of every name, gets the first user.
+    """
+    wanted = names.select(F.col(column).alias("name"), F.lower(column).alias("w")).distinct()
+    people = users.select("user_id", F.lower("user_name").alias("n"), F.lower("user_real_name").alias("r"))
+    exact = people.groupBy(F.col("n").alias("w")).agg(F.min("user_id").alias("user_id"))
+    rest = wanted.join(exact, "w", "left_anti")
+    named = people.select("user_id", F.lit(2).alias("rank"), F.col("n").alias("text")).unionByName(
+        people.select("user_id", F.lit(3).alias("rank"), F.col("r").alias("text"))
+    )
+    lengths = F.array(*[F.lit(k) for k in range(1, GRAM + 1)])
+    pieces = F.array_distinct(F.flatten(F.transform(lengths, lambda k: _grams(F.col("text"), k))))
+    index = named.filter(F.col("text").isNotNull()).select("*", F.explode(pieces).alias("piece"))
+    counts = index.groupBy("piece").agg(F.count("*").alias("n"))
+    own = rest.filter(F.col("w") != "").select(
+        "w", F.explode(_grams(F.col("w"), F.least(F.length("w"), F.lit(GRAM)))).alias("piece")
+    )
+    # a piece that no user has rules its name out
+    rarest = own.join(counts, "piece", "left").groupBy("w").agg(
+        F.min_by("piece", F.struct(F.coalesce("n", F.lit(0)), "piece")).alias("piece")
+    )
+    matched = rarest.join(index, "piece").filter(F.contains("text", "w"))
+    by_part = matched.groupBy("w").agg(F.min(F.struct("rank", "user_id")).alias("m")).select(
+        "w", F.col("m.user_id").alias("user_id")
+    )
+    first = named.filter(F.col("text").isNotNull()).agg(F.min(F.struct("rank", "user_id")).alias("m"))
+    empty = rest.filter(F.col("w") == "").select("w").distinct()
+    whole = empty.withColumn("user_id", first.select("m.user_id").scalar())
+    found = exact.unionByName(by_part).unionByName(whole)
+    return wanted.join(found, "w", "left").select("name", "user_id")

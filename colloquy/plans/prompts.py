@@ -58,15 +58,15 @@ def organisation_lines(
     """Context lines: organisation, stakeholders of leadership weight, channel notes."""
     tables = []
     if name:
-        tables.append(emit(views, [F.lit(f"Organization: {name}")], part=F.lit(0), section=F.lit(0)))
+        tables.append(emit(views, [F.lit(f"All this was said at {name}.")], part=F.lit(0), section=F.lit(0)))
     if stakeholders is not None:
         level = attention_level(F.col("weight"))
-        head = [F.lit(""), F.lit("Key Stakeholders (for attention ranking):")]
+        head = [F.lit(""), F.lit("People whose words weigh most:")]
         tables.append(emit(views, head, part=F.lit(1), section=F.lit(0)))
         roster = stakeholders.filter(level.isNotNull()).select(
             F.pmod(F.xxhash64("name"), F.lit(_ROSTER_SLICES)).cast("int").alias("_slice"),
             "name",
-            text_of("  • ", F.col("name"), " (", or_empty(F.col("role")), ") - ", level, " level").alias(
+            text_of("- ", F.col("name"), ", ", or_empty(F.col("role")), ": ", level).alias(
                 "leader"
             ),
         )
@@ -92,14 +92,14 @@ def organisation_lines(
         tables.append(
             emit(
                 views,
-                [F.lit(""), F.lit("Channel Context:")],
+                [F.lit(""), F.lit("What the channels are for:")],
                 part=F.lit(3),
                 section=F.lit(0),
                 bucket_part=F.lit(3),
             )
         )
         note = text_of(
-            "  • #", F.col("name"), " (", signal_mark(F.col("signal_type")), "): ", F.col("description")
+            "- #", F.col("name"), " [", signal_mark(F.col("signal_type")), "] ", F.col("description")
         )
         tables.append(
             emit(

@@ -455,3 +455,17 @@ def bucketed_view(
         emit(per_bucket, [F.lit(THICK), F.lit("")], bucket=at, bucket_part=F.lit(2)),
     )
     return _framed(views, layout, body, org)
+
+
+def bucketed_user_view(
+    views: DataFrame,
+    timeline: DataFrame,
+    tickets: DataFrame,
+    names: DataFrame | None,
+    as_of: Column,
+    bucket: str = "hour",
+    org: Organisation = Organisation(),
+) -> DataFrame:
+    """A user's timeline in hour or day buckets, by channel inside a bucket."""
+    shared_folder(timeline.sparkSession)
+    return bucketed_view(views, timeline.checkpoint(), tickets, names, as_of, bucket, org)

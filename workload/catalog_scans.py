@@ -10,7 +10,7 @@ from colloquy.functions import fields, instants, text
 from colloquy.operators.channels import split_by_id
 from colloquy.operators.keys import latest_per_key
 from colloquy.operators.numbering import number_rows
-from colloquy.operators.people import first_stakeholders, find_user, starter_roster
+from colloquy.operators.people import first_stakeholders, find_user, find_users, starter_roster
 from colloquy.operators.analytics import written_by
 from colloquy.session import fresh_folder
 from colloquy.sources import raw, store, tables
@@ -440,6 +440,36 @@ def best_name_match(c: Chat) -> DataFrame:
     return find_user(c.users, "User11")
 
 
+@query(
+    "W7",
+    """, wanted AS (
+  SELECT DISTINCT CASE c_custkey % 5 WHEN 0 THEN 'USER' || c_custkey WHEN 1 THEN 'ser' || c_custkey
+    WHEN 2 THEN right(c_name, 5) WHEN 3 THEN 'er#' || right(c_name, 2) ELSE 'nobody' || c_custkey END AS name FROM customer
+), ranked AS (
+  SELECT w.name, u.user_id, CASE WHEN lower(u.user_name) = lower(w.name) THEN 1
+    WHEN contains(lower(u.user_name), lower(w.name)) THEN 2 WHEN contains(lower(u.user_real_name), lower(w.name)) THEN 3 END AS rank
+  FROM wanted w, users u
+)
+SELECT w.name, min(user_id) FILTER (WHERE r.rank = best) AS user_id
+FROM wanted w LEFT JOIN (SELECT *, min(rank) OVER (PARTITION BY name) AS best FROM ranked WHERE rank IS NOT NULL) r USING (name)
+GROUP BY w.name""",
+)
+def names_resolved(c: Chat) -> DataFrame:
+    """Names, parts of names and unknown names of a table, all resolved in one job."""
+    customers = c.spark.read.parquet(f"{c.sf_dir}/customer.parquet")
+    key = F.col("c_custkey")
+    number = key.cast("string")
+    wanted = customers.select(
+        F.when(key % 5 == 0, F.concat(F.lit("USER"), number))
+        .when(key % 5 == 1, F.concat(F.lit("ser"), number))
+        .when(key % 5 == 2, F.right("c_name", F.lit(5)))
+        .when(key % 5 == 3, F.concat(F.lit("er#"), F.right("c_name", F.lit(2))))
+        .otherwise(F.concat(F.lit("nobody"), number))
+        .alias("name")
+    )
+    return find_users(c.users, wanted)
+
+
 @query(
     "U3 A18",
     """SELECT 'ticket' AS kind, ticket_id AS id FROM mt GROUP BY ALL

@@ -291,7 +291,7 @@ _MULTI_VW = """SELECT dt AS view_id, dt AS title, dt AS window_text,
 FROM (SELECT DISTINCT dt, channel FROM messages) d LEFT JOIN channels k ON k.name = d.channel GROUP BY dt"""
 
 
-def _multi_sql() -> str:
+def _multi_sql(vm: str, vw: str) -> str:
     at = "strftime(b, '%Y-%m-%dT%H:%M:%S')"
 
     def row(source: str, bucket_part: int, group: str, channel_part: int, item: str, part: int, reply: str, ls: str) -> str:
@@ -321,23 +321,28 @@ def _multi_sql() -> str:
     extra = """, pc AS (SELECT view_id, date_trunc('hour', ts) AS b, channel, count(*) AS n FROM tops GROUP BY ALL),
 pb AS (SELECT view_id, b, CAST(sum(n) AS BIGINT) AS n, count(*) AS nc FROM pc GROUP BY ALL)"""
     return (
-        _SAID + ", vm AS (SELECT *, dt AS view_id FROM messages)"
+        _SAID + f", vm AS ({vm})"
         + _LAYOUT.format(group="(view_id, date_trunc('hour', ts), channel)")
-        + _METRICS + f", vw AS ({_MULTI_VW})" + extra + _OUT.format(blocks=blocks)
+        + _METRICS + f", vw AS ({vw})" + extra + _OUT.format(blocks=blocks)
     )
 
 
-@query("V2 B1", _multi_sql())
-def bucketed_day_views(c: Chat) -> DataFrame:
-    """All channels of each day, in hour buckets."""
+_DAY_VM = "SELECT *, dt AS view_id FROM messages"
+
+
+def _bucketed_day_lines(c: Chat) -> tuple[DataFrame, DataFrame]:
     days = c.messages.select("dt", "channel").distinct()
     shown = days.groupBy("dt").agg(F.sort_array(F.collect_list("channel")).alias("channels")).select(
         F.col("dt").alias("view_id"), F.col("dt").alias("title"), "channels", F.col("dt").alias("window_text")
     )
     rows = c.messages.withColumn("view_id", F.col("dt"))
-    return views.bucketed_view(
-        shown, rows, c.tickets, _names(c), _as_of(), "hour", _org(c)
-    ).select(*LINE)
+    return shown, views.bucketed_view(shown, rows, c.tickets, _names(c), _as_of(), "hour", _org(c))
+
+
+@query("V2 B1", _multi_sql(_DAY_VM, _MULTI_VW))
+def bucketed_day_views(c: Chat) -> DataFrame:
+    """All channels of each day, in hour buckets."""
+    return _bucketed_day_lines(c)[1].select(*LINE)
 
 
 _USER_VM = """SELECT x.*, 'user7' AS view_id FROM messages x WHERE x.user_name = 'user7' AND x.thread_ts IS NULL
@@ -350,8 +355,8 @@ _USER_VW = """SELECT 'user7' AS view_id, 'user7' AS title, '2024-01-01 to 2024-0
    WHERE k.name IN (SELECT channel FROM messages)) AS described"""
 
 
-@query("V3 J7", _view_sql(_USER_VM, _USER_VW, True))
-def user_timeline_view(c: Chat) -> DataFrame:
+def _of_user(c: Chat) -> tuple[DataFrame, DataFrame]:
+    """The view of one user, and the messages of their timeline."""
     shown = c.messages.select("channel").distinct().agg(
         F.sort_array(F.collect_list("channel")).alias("channels")
     ).select(
@@ -361,7 +366,26 @@ def user_timeline_view(c: Chat) -> DataFrame:
         F.lit("2024-01-01 to 2024-01-30").alias("window_text"),
     )
     rows = timeline.user_timeline(c.messages, "user7").withColumn("view_id", F.lit("user7"))
-    return views.user_view(shown, rows, c.tickets, _names(c), _as_of(), _org(c)).select(*LINE)
+    return shown, rows
+
+
+def _user_lines(c: Chat) -> tuple[DataFrame, DataFrame]:
+    shown, rows = _of_user(c)
+    return shown, views.user_view(shown, rows, c.tickets, _names(c), _as_of(), _org(c))
+
+
+@query("V3 J7", _view_sql(_USER_VM, _USER_VW, True))
+def user_timeline_view(c: Chat) -> DataFrame:
+    return _user_lines(c)[1].select(*LINE)
+
+
+@query("V3 J7 B1", _multi_sql(_USER_VM, _USER_VW))
+def bucketed_user_timeline(c: Chat) -> DataFrame:
+    """The same timeline in hour buckets, by channel inside a bucket."""
+    shown, rows = _of_user(c)
+    return views.bucketed_user_view(
+        shown, rows, c.tickets, _names(c), _as_of(), "hour", _org(c)
+    ).select(*LINE)
 
 
 @query(
@@ -545,29 +569,40 @@ def delimited_messages(c: Chat) -> DataFrame:
     return reports.message_texts(c.messages, c.users, _names(c), _as_of()).select(*LINE)
 
 
-def _prompt_sql(own: str, extra: str = "", instructions: str = "") -> str:
+_CHANNEL_SQL = _view_sql("SELECT *, channel AS view_id FROM messages", _CHANNEL_VW)
+_OPENED = "'Below is the conversation of the channel ' || title || ' for ' || window_text || '.'"
+
+
+def _prompt_sql(
+    own: str, extra: str = "", instructions: str = "", base: str = _CHANNEL_SQL, opened: str = _OPENED
+) -> str:
     return (
-        _view_sql("SELECT *, channel AS view_id FROM messages", _CHANNEL_VW).replace(
-            "\nSELECT view_id, section", ", out AS (SELECT view_id, section", 1
-        )
+        base.replace("\nSELECT view_id, section", ", out AS (SELECT view_id, section", 1)
         + f"""), prompt AS (
   SELECT * REPLACE (section + 2 AS section) FROM out
-  UNION ALL SELECT view_id, 0, '', 1, '', 1, 0, 0, 0, unnest([0, 1]),
-    unnest(['Below is the conversation of the channel ' || title || ' for ' || window_text || '.', '']) FROM vw
+  UNION ALL SELECT view_id, 0, '', 1, '', 1, 0, 0, 0, unnest([0, 1]), unnest([{opened}, '']) FROM vw
   UNION ALL SELECT view_id, 5, '', 1, '', 1, 0, 0, 0, unnest([0, 1]), unnest(['', '{instructions}']) FROM vw
   {extra}) {own}"""
     )
 
 
-_CONTEXT = f"""UNION ALL SELECT view_id, 1, '', 1, '', 1, 0, 0, 0, 0, 'Organization: {ORG}' FROM vw
+_PEOPLE = f"""UNION ALL SELECT view_id, 1, '', 1, '', 1, 0, 0, 0, 0, 'All this was said at {ORG}.' FROM vw
   UNION ALL SELECT view_id, 1, '', 1, '', 1, 0, 1, 0, unnest([0, 1]),
-    unnest(['', 'Key Stakeholders (for attention ranking):']) FROM vw
-  UNION ALL SELECT view_id, 1, '', 2, name, 1, 0, 2, 0, 0, '  • ' || name || ' (' || role || ') - '
-    || CASE WHEN weight >= 9 THEN 'CEO/Executive' ELSE 'Leadership' END || ' level' FROM vw, stakeholders WHERE weight >= 7
-  UNION ALL SELECT view_id, 1, '', 3, '', 1, 0, 3, 0, unnest([0, 1]), unnest(['', 'Channel Context:']) FROM vw
-  UNION ALL SELECT view_id, 1, '', 3, '', 1, 0, 4, 0, 0, '  • #' || name || ' (' || CASE signal_type
+    unnest(['', 'People whose words weigh most:']) FROM vw
+  UNION ALL SELECT view_id, 1, '', 2, name, 1, 0, 2, 0, 0, '- ' || name || ', ' || role || ': '
+    || CASE WHEN weight >= 9 THEN 'CEO/Executive' ELSE 'Leadership' END FROM vw, stakeholders WHERE weight >= 7"""
+
+
+def _context_sql(channels: str) -> str:
+    """``channels`` gives (view_id, pos, channel)."""
+    return _PEOPLE + f"""
+  UNION ALL SELECT view_id, 1, '', 3, '', 1, 0, 3, 0, unnest([0, 1]), unnest(['', 'What the channels are for:']) FROM vw
+  UNION ALL SELECT view_id, 1, '', 3, '', 1, 0, 4, pos, 0, '- #' || name || ' [' || CASE signal_type
     WHEN 'critical' THEN '🔴 CRITICAL' WHEN 'high' THEN '🟠 HIGH' WHEN 'low' THEN '⚪ LOW' ELSE '🟡 MEDIUM' END
-    || '): ' || description FROM vw JOIN channels ON name = view_id"""
+    || '] ' || description FROM ({channels}) JOIN channels ON name = channel"""
+
+
+_CONTEXT = _context_sql("SELECT view_id, 0 AS pos, view_id AS channel FROM vw")
 
 
 @query(
@@ -596,3 +631,41 @@ def prompt_sizes(c: Chat) -> DataFrame:
     shown, body = _whole_channel_lines(c)
     made = prompts.prompt_lines(shown, body, "single_channel", "List the open questions.")
     return prompts.prompt_sizes(made)
+
+
+_DAY_CHANNELS = """SELECT dt AS view_id, row_number() OVER (PARTITION BY dt ORDER BY channel) - 1 AS pos, channel
+FROM (SELECT DISTINCT dt, channel FROM messages)"""
+
+
+@query(
+    "V10 V2 H18",
+    _prompt_sql(
+        "SELECT * FROM prompt", _context_sql(_DAY_CHANNELS),
+        "Compare the channels: shared subjects, decisions, blockers and tickets.",
+        _multi_sql(_DAY_VM, _MULTI_VW),
+        f"""'Below are the conversations of the channels ' || (SELECT string_agg(channel, ', ' ORDER BY pos)
+    FROM ({_DAY_CHANNELS}) d WHERE d.view_id = vw.view_id) || ' for ' || window_text || '.'""",
+    ),
+)
+def multi_channel_prompts(c: Chat) -> DataFrame:
+    """One prompt per day over all its channels, in hour buckets."""
+    shown, body = _bucketed_day_lines(c)
+    context = prompts.organisation_lines(shown, "multi_channel", ORG, c.stakeholders, c.channels)
+    return prompts.prompt_lines(shown, body, "multi_channel", None, context).select(*LINE)
+
+
+@query(
+    "V10 V3 H18",
+    _prompt_sql(
+        "SELECT * FROM prompt", _PEOPLE,
+        "Sum up this person''s work, commitments, open questions and tickets.",
+        _view_sql(_USER_VM, _USER_VW, True),
+        """'Below is what ' || title || ' wrote in ' || (SELECT string_agg(DISTINCT channel, ', ' ORDER BY channel)
+    FROM messages) || ' for ' || window_text || ', with whole threads.'""",
+    ),
+)
+def user_timeline_prompt(c: Chat) -> DataFrame:
+    """The prompt for one user's timeline."""
+    shown, body = _user_lines(c)
+    context = prompts.organisation_lines(shown, "user_timeline", ORG, c.stakeholders, c.channels)
+    return prompts.prompt_lines(shown, body, "user_timeline", None, context).select(*LINE)
