@@ -12,9 +12,11 @@ threshold. Only DataFrame functions are used.
    ``n - ceil(2t/(1+t) n) + 1`` do, of the larger one ``n - ceil(t n) + 1``), their sizes are
    close, the places of that word leave room for the overlap, and bit patterns of the sets
    differ in no more bits than the sets may differ in words. What passes is verified.
-4. First each class is held only against the earliest class with an equal minimum hash of
-   the prefix; those that match are settled. Then the classes not yet settled are held against
-   all earlier ones in the index. So large groups of near copies don't emit all their pairs.
+4. A class needs one earlier match only, so the index is searched in rounds: each class that
+   isn't settled is held against the next few earliest classes of its words' lists, matches are
+   verified and settle it, and the next round takes the following ones, ``GROWTH`` times as
+   many, until no such class has earlier ones left. Nothing is passed over, and a large group of
+   near copies, which the first rounds settle, doesn't emit its pairs.
 
 Defined cases: null texts have no lines; lines of fewer than ``min_words`` different words are
 left alone and match nothing; a null id comes first; repeated rows (same id and text) are one
@@ -24,14 +26,16 @@ an empty result; further columns pass through, whatever their names.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import likely_in, lower_az, row_key, text_of, without_lines, words_of, written
 
 #: Least Jaccard similarity in per cent, and fewest different words of a line.
 PERCENT = 80
-MIN_WORDS = 3
+MIN_WORDS = 1
+#: Earlier classes of a word's list that the first round takes, and by what later rounds take more.
+FIRST, GROWTH = 4, 8
 #: Entries of the table of word counts. Words that meet in an entry have one rarity; the order
 #: stays one and the same for all lines, so results don't depend on this.
 RARITY_BUCKETS = 1 << 20
@@ -82,11 +86,6 @@ def _lines(docs: DataFrame) -> DataFrame:
     return docs.select("key", "row", F.posexplode(F.split("_t", "\n")).alias("pos", "line"))
 
 
-def _first(a: str, b: str) -> Column:
-    """Whether the class with suffix ``a`` comes before that with ``b``."""
-    return F.struct(f"key{a}", f"pos{a}", f"c{a}") < F.struct(f"key{b}", f"pos{b}", f"c{b}")
-
-
 def _close(percent: int) -> Column:
     """Length filter and bit patterns of two classes with suffixes 1 and 2."""
     differ = F.bit_count(F.col("bits1").bitwiseXOR(F.col("bits2")))
@@ -95,28 +94,19 @@ def _close(percent: int) -> Column:
     )
 
 
-def _verified(
-    pairs: DataFrame, classes: DataFrame, docs: DataFrame, rarities: Column, percent: int
-) -> DataFrame:
-    """``c`` of the pairs' later classes ``c2`` that are similar to their ``c1``.
-
-    The lines are read again, those of the pairs alone, and the whole sets are compared.
-    """
-    wanted = pairs.select(F.explode(F.array("c1", "c2")).alias("c")).distinct()
-    places = written(
-        classes.join(wanted, "c", "left_semi").select("c", "key", "pos", "row"), "places"
-    )
-    places = places.select("c", "row", "pos", F.xxhash64("row", "pos").alias("at"))
+def _whole_sets(classes: DataFrame, docs: DataFrame, rarities: Column) -> DataFrame:
+    """``(c, set)`` of the classes ``(c, row, pos)``: their lines are read again, those alone."""
+    places = classes.select("c", "row", "pos", F.xxhash64("row", "pos").alias("at"))
     lines = _lines(docs.filter(likely_in(places, "row", F.col("row"))))
     at = F.xxhash64("row", "pos")
-    lines = lines.filter(likely_in(places, "at", at)).join(
-        places.drop("at"), ["row", "pos"]
-    )
-    lines = written(
-        _with_sets(lines.dropDuplicates(["c"]), rarities).select("c", "set"), "sets"
-    )
+    lines = lines.filter(likely_in(places, "at", at)).join(places.drop("at"), ["row", "pos"])
+    return _with_sets(lines.dropDuplicates(["c"]), rarities).select("c", "set")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``c`` of the pairs' later classes ``c2`` that are similar to their ``c1``."""
     for s in "12":
-        pairs = pairs.join(lines.select(F.col("c").alias(f"c{s}"), F.col("set").alias(f"s{s}")), f"c{s}")
+        pairs = pairs.join(sets.select(F.col("c").alias(f"c{s}"), F.col("set").alias(f"s{s}")), f"c{s}")
     return (
         pairs.select(
             F.col("c2").alias("c"),
@@ -129,6 +119,45 @@ def _verified(
     )
 
 
+def _settled(index: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The classes of the index that an earlier one is similar to.
+
+    ``index`` has ``t, c, n, bits, i, rank``: for each word the classes whose prefix has it, in
+    place ``i``, ranked from 1 by their order.
+    """
+    left, right = [
+        index.select("t", *[F.col(x).alias(f"{x}{s}") for x in index.columns[1:]]) for s in "12"
+    ]
+    # whether the word is in the shorter prefix, and the words the two may share from there on
+    short = [
+        F.col(f"i{s}") <= F.col(f"n{s}") - _least_overlap(f"n{s}", f"n{s}", percent) for s in "12"
+    ]
+    room = F.least(F.col("n1") - F.col("i1"), F.col("n2") - F.col("i2"))
+    settled = index.sparkSession.createDataFrame([], "c long")
+    done, width = 0, FIRST
+    longest = index.agg(F.max("rank")).first()[0] or 0
+    while done + 1 < longest:
+        still = right.filter(F.col("rank2") > done + 1).join(
+            settled.select(F.col("c").alias("c2")), "c2", "left_anti"
+        )
+        pairs = (
+            left.filter(F.col("rank1").between(done + 1, done + width))
+            .join(still, "t")
+            .filter(
+                (F.col("rank1") < F.col("rank2"))
+                & (F.col("c1") != F.col("c2"))  # two words of a set may have one short form
+                & F.when(F.col("n1") <= F.col("n2"), short[0]).otherwise(short[1])
+                & _close(percent)
+                & (room >= _least_overlap("n1", "n2", percent))
+            )
+            .select("c1", "c2")
+            .distinct()
+        )
+        settled = written(settled.unionByName(_verified(pairs, sets, percent)), "settled")
+        done, width = done + width, width * GROWTH
+    return settled
+
+
 def later_matches(
     documents: DataFrame,
     *,
@@ -177,54 +206,18 @@ def later_matches(
     # equal ones are one class already
     joined = classes.filter(100 * F.col("n") >= percent * (F.col("n") + 1))
 
-    def side(df: DataFrame, s: str, *more: str) -> DataFrame:
-        return df.select(*[F.col(x).alias(f"{x}{s}") for x in ("c", "key", "pos", "n", "bits")], *more)
-
-    # each class against the earliest one with an equal minimum hash of the prefix
-    seeds = F.array(*[F.array_min(F.transform("prefix", lambda x, k=k: F.xxhash64(x, F.lit(k)))) for k in (1, 2)])
-    keyed = joined.select("c", "key", "pos", "n", "bits", F.explode(seeds).alias("h"))
-    hubs = keyed.groupBy("h").agg(F.min(F.struct("key", "pos", "c", "n", "bits")).alias("hub"), F.count("*").alias("m")).filter("m > 1")
-    around = (
-        side(keyed, "2", "h")
-        .join(hubs.select("h", *[F.col(f"hub.{x}").alias(f"{x}1") for x in ("c", "key", "pos", "n", "bits")]), "h")
-        .filter((F.col("c1") != F.col("c2")) & _close(percent))
-        .select("c1", "c2")
-        .distinct()
-    )
-    around = written(around, "pairs")
-    settled = written(_verified(around, classes, docs, rarities, percent), "settled")
-
-    # those not settled against all earlier ones of the index
-    index = (
-        joined.join(settled.withColumn("settled", F.lit(True)), "c", "left")
-        .select("*", F.posexplode("prefix").alias("i", "t"))
-        .select(
-            "t", "c", "key", "pos", "n", "bits", "i", F.col("settled").isNotNull().alias("settled")
-        )
+    entries = joined.select("c", "key", "pos", "n", "bits", F.posexplode("prefix").alias("i", "t"))
+    shared = entries.groupBy("t").agg(F.count("*").alias("m")).filter("m > 1").select("t")
+    order = Window.partitionBy("t").orderBy("key", "pos", "c", "i")
+    index = written(
+        entries.join(shared, "t").select("t", "c", "n", "bits", "i", F.row_number().over(order).alias("rank")),
+        "index",
     )
-    left, right = [
-        index.select("t", *[F.col(x).alias(f"{x}{s}") for x in index.columns[1:]]) for s in "12"
-    ]
-    # whether the word is in the shorter prefix, and the words the two may share from there on
-    short = [
-        F.col(f"i{s}") <= F.col(f"n{s}") - _least_overlap(f"n{s}", f"n{s}", percent) for s in "12"
-    ]
-    room = F.least(F.col("n1") - F.col("i1"), F.col("n2") - F.col("i2"))
-    pairs = (
-        left.join(right, "t")
-        .filter(
-            # a condition on both sides, so that both can read one and the same exchange
-            (~F.col("settled2") | (F.col("c1") == F.col("c2")))
-            & _first("1", "2")
-            & F.when(F.col("n1") <= F.col("n2"), short[0]).otherwise(short[1])
-            & _close(percent)
-            & (room >= _least_overlap("n1", "n2", percent))
-        )
-        .select("c1", "c2")
-        .distinct()
+    candidates = written(
+        classes.join(index.select("c").distinct(), "c", "left_semi").select("c", "row", "pos"), "places"
     )
-    pairs = written(pairs.join(around, ["c1", "c2"], "left_anti"), "pairs")
-    near = settled.unionByName(_verified(pairs, classes, docs, rarities, percent))
+    sets = written(_whole_sets(candidates, docs, rarities), "sets")
+    near = _settled(index, sets, percent)
     first = classes.select("c", F.struct("key", "pos", "row").alias("at")).join(
         near.withColumn("near", F.lit(True)), "c", "left"
     )

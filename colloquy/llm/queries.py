@@ -120,7 +120,7 @@ WITH lines AS (
 sets AS (
   SELECT * FROM (SELECT doc_id, pos, length(line) AS chars,
     list_sort(list_distinct(regexp_extract_all(line, '[^\x20\x09-\x0D]+'))) AS s FROM lines)
-  WHERE len(s) >= 3),
+  WHERE len(s) >= 1),
 classes AS (SELECT s, len(s) AS n, min((doc_id, pos)) AS at FROM sets GROUP BY s),
 near AS (
   SELECT DISTINCT b.s FROM classes a JOIN classes b
@@ -138,7 +138,7 @@ FROM documents d LEFT JOIN marked USING (doc_id) GROUP BY d.doc_id
 
 @query(_OP3_SQL)
 def op3_line_similarity_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document with its lines of three words or more, and those removed as later ones."""
+    """Every document with its lines that have words, and those removed as later ones."""
     documents = table(spark, sf_dir, "documents")
     found = line_dedup.later_matches(documents)
     gone = F.col("removed")
