@@ -233,21 +233,33 @@ def later_matches(
 
 
 def deduplicated(
-    documents: DataFrame, *, text: str = "text", key: str = "doc_id", chars: str = "n_chars", **options
+    documents: DataFrame,
+    *,
+    text: str = "text",
+    key: str = "doc_id",
+    chars: str = "n_chars",
+    most_removed: float = 1.0,
+    **options,
 ) -> DataFrame:
-    """The documents without their removed lines, same columns; those left wordless go."""
+    """The documents without their removed lines, same columns; those left wordless go.
+
+    So do those that lose more than ``most_removed`` of their characters, line ends not counted:
+    of a near copy of an earlier document little is left but the places where it was changed.
+    """
     found = (
         later_matches(documents, text=text, key=key, **options)
         .filter("removed")
-        .select("key", "row", "pos")
+        .select("key", "row", "pos", "chars")
         .distinct()
         .groupBy("key", "row")
-        .agg(F.sort_array(F.collect_list("pos")).alias("_gone"))
-        .select(F.col("key").alias("_k"), F.col("row").alias("_r"), "_gone")
+        .agg(F.sort_array(F.collect_list("pos")).alias("_gone"), F.sum("chars").alias("_lost"))
+        .select(F.col("key").alias("_k"), F.col("row").alias("_r"), "_gone", "_lost")
     )
     rows = documents.select(
         F.struct("*").alias("_doc"), F.col(key).alias("_key"), row_key(key, text).alias("_row")
     ).join(found, (F.col("_row") == F.col("_r")) & F.col("_key").eqNullSafe(F.col("_k")), "left")
+    whole = F.length(F.translate(text_of(f"_doc.{text}"), "\n", ""))
+    rows = rows.filter(F.coalesce(F.col("_lost") <= F.lit(most_removed) * whole, F.lit(True)))
     out = without_lines(rows, documents.schema, text, chars)
     # behind a generator, so that the filter isn't pushed into the making of the texts
     out = out.select(F.explode(F.array_repeat(F.struct("*"), 1)).alias("_doc"))
