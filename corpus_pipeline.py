@@ -2,6 +2,13 @@
 
 Every stage works on all rows its predecessor kept, and all but the last return the columns of
 ``documents``. ``run`` writes each stage's result to the shared folder and reads it back.
+
+Defined cases: documents with a null, empty or wordless text fail the quality rules and go;
+repeated rows become one document at the line dedup's or the n-gram join's stage; rows with a null
+id are documents like others, of which the n-gram join removes none; a null source is a source of
+its own, to which the mixing gives the same weight as to the others; very long texts pass whole
+through every stage; further columns go along untouched, whatever their names, up to the packing,
+which returns its own; an empty table gives an empty result at every stage.
 """
 
 from __future__ import annotations
@@ -23,8 +30,9 @@ def follow_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def remove_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines similar to an earlier line, down to lines of one word; those left
-    without words go."""
-    return line_dedup.deduplicated(docs, min_words=1)
+    without words go, and so do those that lose over four fifths of their characters: near
+    copies, of which only the changed lines would be left as documents of their own."""
+    return line_dedup.deduplicated(docs, most_removed=0.8)
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
