@@ -4,10 +4,15 @@ The standard library's parser streams through a page. Block tags cut its text in
 line's text-to-tag ratio is its characters over the tags met since the line before. Menus,
 headers, footers, sidebars, notices, adverts, forms, comments, scripts and styles are left out
 by their tags, roles and class names. The ratios are smoothed with a Gaussian, and two-means
-clustering splits them at a threshold; lines above it are content. The region is the article or
-main element with most content, whose lines are all kept, short ones too. Without such an
-element it is the smallest container of the content, from its first to its last content line,
-less lines that are mostly links.
+clustering splits them at a threshold; lines above it are content. What the ratios select:
+
+* of the article and main elements those that hold content, all of them, in page order;
+* without such an element, the smallest container with most of the content, from its first to
+  its last content line;
+* in either, lines that are mostly links stay only where their own ratio is above the threshold:
+  a long sentence in a link is kept, a block of links isn't.
+
+Short lines between or beside content (headings, one-line paragraphs) fill the gaps and stay.
 
 Defined cases: null and empty pages give an empty text; unclosed and stray tags are read as
 browsers do, roughly; repeated rows each get their row; an empty table gives an empty result;
@@ -60,6 +65,8 @@ MARKS = frozenset(
     "footer header masthead comment comments commentlist reply replies respond disqus share "
     "sharing social related recommended recommendations widget toolbar pagination pager".split()
 )
+#: Marks that inside an article name parts of it: its own heading, and text to be shared.
+OWN_MARKS = frozenset("header masthead share sharing banner".split())
 ARTICLE = frozenset(("article", "main"))
 CONTAINERS = frozenset("html body div section article main td".split())
 #: A start tag of the left closes an open element of the right.
@@ -72,11 +79,14 @@ _FENCES = frozenset("html body div section article main table ul ol dl td th blo
 _PART = re.compile(r"[^a-z0-9]+")
 
 
-def _marked(names: str | None) -> bool:
+def _marked(names: str | None, inside: bool) -> bool:
+    """Whether a class or id marks what isn't text; ``inside`` an article some marks don't."""
     for name in (names or "").lower().split():
         parts = [p for p in _PART.split(name) if p]
-        if parts and parts[0] not in ("has", "with", "no", "is") and not MARKS.isdisjoint(parts):
-            return True
+        if parts and parts[0] not in ("has", "with", "no", "is"):
+            found = MARKS.intersection(parts)
+            if found and not (inside and found <= OWN_MARKS):
+                return True
     return False
 
 
@@ -131,8 +141,8 @@ class Page(HTMLParser):
                 or given.get("aria-hidden") == "true"
                 or (given.get("role") or "").lower() in ROLES
                 or "display:none" in (given.get("style") or "").replace(" ", "").lower()
-                or _marked(given.get("class"))
-                or _marked(given.get("id"))
+                or _marked(given.get("class"), top.article is not None)
+                or _marked(given.get("id"), top.article is not None)
             )
         path, article = top.path, top.article
         if tag in CONTAINERS:
@@ -163,25 +173,41 @@ class Page(HTMLParser):
                 self.linked += len(data)
 
 
-def content_lines(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
-    """Which lines are content: smoothed ratios above the threshold of two-means clustering."""
-    if len(ratios) < FEWEST:
-        return np.ones(len(ratios), bool)
+def smoothed(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     reach = max(1, round(3 * sigma))
     kernel = np.exp(-0.5 * (np.arange(-reach, reach + 1) / sigma) ** 2)
     around = np.convolve(np.ones(len(ratios)), kernel, "full")[reach:-reach]
-    smooth = np.convolve(ratios, kernel, "full")[reach:-reach] / around
+    return np.convolve(ratios, kernel, "full")[reach:-reach] / around
+
+
+def threshold(smooth: np.ndarray) -> float | None:
+    """Where two-means clustering splits the smoothed ratios; None if it doesn't."""
+    if len(smooth) < FEWEST:
+        return None
     low, high = smooth.min(), smooth.max()
     for _ in range(50):
         cut = (low + high) / 2
         above = smooth > cut
         if above.all() or not above.any():
-            return np.ones(len(ratios), bool)
+            return None
         means = smooth[~above].mean(), smooth[above].mean()
         if means == (low, high):
             break
         low, high = means
-    return smooth > (low + high) / 2
+    return float((low + high) / 2)
+
+
+def content_lines(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
+    """Which lines are content: smoothed ratios above the threshold; without one, all."""
+    smooth = smoothed(ratios, sigma) if len(ratios) else ratios
+    cut = threshold(smooth)
+    return np.ones(len(ratios), bool) if cut is None else smooth > cut
+
+
+def strong_lines(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
+    """Which lines are above the threshold by themselves, whatever stands around them."""
+    cut = threshold(smoothed(ratios, sigma)) if len(ratios) else None
+    return np.zeros(len(ratios), bool) if cut is None else ratios > cut
 
 
 def main_lines(html: str | None) -> list[str]:
@@ -196,14 +222,22 @@ def main_lines(html: str | None) -> list[str]:
     if not lines:
         return []
     sizes = np.array([len(x[0]) for x in lines])
-    content = content_lines(sizes / np.array([max(1, x[1]) for x in lines]))
-    share: Counter[int] = Counter()
-    for x, size, good in zip(lines, sizes, content, strict=True):
-        if x[4] is not None:
-            share[x[4]] += int(size) * (1 if good else 0) + 1
-    if share:
-        best = max(share, key=lambda a: (share[a], -a))
-        return [x[0] for x in lines if x[4] == best]
+    ratios = sizes / np.array([max(1, x[1]) for x in lines])
+    content, strong = content_lines(ratios), strong_lines(ratios)
+    few_links = np.array([x[2] < LINKED * len(x[0]) for x in lines])
+    holding = {x[4] for x, good in zip(lines, content & few_links, strict=True) if good} - {None}
+    if holding or any(x[4] is not None for x in lines):
+        # no article above the threshold: then the one with most text
+        if not holding:
+            share: Counter[int] = Counter()
+            for x, size in zip(lines, sizes, strict=True):
+                if x[4] is not None:
+                    share[x[4]] += int(size)
+            holding = {max(share, key=lambda a: (share[a], -a))}
+        return [
+            x[0] for x, good, plain in zip(lines, strong, few_links, strict=True)
+            if x[4] in holding and (good or plain)
+        ]
     # no article: the smallest container with most of the content, and with its headings
     inside: Counter[int] = Counter()
     for x, size, good in zip(lines, sizes, content, strict=True):
@@ -218,11 +252,8 @@ def main_lines(html: str | None) -> list[str]:
     own = np.flatnonzero(within & (content | np.array([x[5] for x in lines])))
     if not len(own):
         own = np.flatnonzero(within)
-    return [
-        x[0]
-        for i, x in enumerate(lines)
-        if within[i] and own[0] <= i <= own[-1] and x[2] < LINKED * len(x[0])
-    ]
+    stay = few_links | strong
+    return [x[0] for i, x in enumerate(lines) if within[i] and own[0] <= i <= own[-1] and stay[i]]
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
