@@ -46,8 +46,9 @@ SHARED = 16
 LONG_LIST = 16
 #: Classes of a long list that all others are held against first.
 HUBS = 8
-#: Longs of the short parity sketch.
-SHORT_SKETCH = 8
+#: Longs of the short parity sketch, and of the one for pairs that it can't tell apart: it is
+#: full for sets of some hundred shingles, the other one for sets of some thousand.
+SHORT_SKETCH, MEDIUM_SKETCH = 8, 64
 #: Word hashes a worker remembers; then it begins anew. No effect on results.
 REMEMBERED = 400_000
 
@@ -166,8 +167,9 @@ def _sketches(width: int, percent: int):
                     _lists(odd := [_odd(s) for s in sets]),
                     _lists([_folded(x) for x in odd]),
                     _lists([_odd(s, SHORT_SKETCH) for s in sets]),
+                    _lists([_odd(s, MEDIUM_SKETCH) for s in sets]),
                 ],
-                names=["id", "n", "p2", "p3", "odd", "folded", "short"],
+                names=["id", "n", "p2", "p3", "odd", "folded", "short", "medium"],
             )
 
     return run
@@ -224,7 +226,7 @@ def similar(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Data
         pairs,
         docs,
         _sketches(width, percent),
-        "p2 array<long>, p3 array<long>, odd array<long>, folded array<long>, short array<long>",
+        "p2 array<long>, p3 array<long>, odd array<long>, folded array<long>, short array<long>, medium array<long>",
     )
     sizes = F.col("n_a") + F.col("n_b")
     differ = _differing("short_a", "short_b")
@@ -238,14 +240,21 @@ def similar(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Data
         )
         for s, o in ("ab", "ba")
     ]
-    differ = F.aggregate(
-        F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda n, v: n + v
-    )
-    passed = _with_both(pairs, sketches, "odd", "folded").filter(
-        (100 + percent) * differ <= (100 - percent) * sizes
-    )
-    passed = written(passed.select("a", "b"), "pairs")
-    passed = _with_both(passed, sketches, "p2", "p3").filter(
+
+    def apart(x: Column, y: Column) -> Column:
+        bits = F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q)))
+        return F.aggregate(bits, F.lit(0), lambda n, v: n + v)
+
+    # whole sketches of long sets are long, so few pairs should carry them
+    for columns, differ in (
+        (["medium"], apart(F.col("medium_a"), F.col("medium_b"))),
+        (["odd", "folded"], apart(x, y)),
+    ):
+        passed = _with_both(pairs, sketches, *columns).filter(
+            (100 + percent) * differ <= (100 - percent) * sizes
+        )
+        pairs = written(passed.select("a", "b"), "pairs")
+    passed = _with_both(pairs, sketches, "p2", "p3").filter(
         F.arrays_overlap("p2_a", "p2_b") & F.arrays_overlap("p3_a", "p3_b")
     )
     passed = written(passed.select("a", "b"), "pairs")
