@@ -86,11 +86,22 @@ def _lines(docs: DataFrame) -> DataFrame:
     return docs.select("key", "row", F.posexplode(F.split("_t", "\n")).alias("pos", "line"))
 
 
-def _close(percent: int) -> Column:
-    """Length filter and bit patterns of two classes with suffixes 1 and 2."""
-    differ = F.bit_count(F.col("bits1").bitwiseXOR(F.col("bits2")))
-    return (percent * F.greatest("n1", "n2") <= 100 * F.least("n1", "n2")) & (
-        differ <= F.col("n1") + F.col("n2") - 2 * _least_overlap("n1", "n2", percent)
+def _may_match(a: str, b: str, percent: int) -> Column:
+    """Filters for two classes, given as structs ``a`` and ``b``, that share a word."""
+    na, nb = f"{a}.n", f"{b}.n"
+    need = _least_overlap(na, nb, percent)
+    # whether the word is in the shorter prefix, and the words the two may share from there on
+    short = [
+        F.col(f"{s}.i") <= F.col(f"{s}.n") - _least_overlap(f"{s}.n", f"{s}.n", percent) for s in (a, b)
+    ]
+    room = F.least(F.col(na) - F.col(f"{a}.i"), F.col(nb) - F.col(f"{b}.i"))
+    differ = F.bit_count(F.col(f"{a}.bits").bitwiseXOR(F.col(f"{b}.bits")))
+    return (
+        (F.col(f"{a}.c") != F.col(f"{b}.c"))  # two words of a set may have one short form
+        & (percent * F.greatest(na, nb) <= 100 * F.least(na, nb))
+        & (differ <= F.col(na) + F.col(nb) - 2 * need)
+        & F.when(F.col(na) <= F.col(nb), short[0]).otherwise(short[1])
+        & (room >= need)
     )
 
 
@@ -103,8 +114,14 @@ def _whole_sets(classes: DataFrame, docs: DataFrame, rarities: Column) -> DataFr
     return _with_sets(lines.dropDuplicates(["c"]), rarities).select("c", "set")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """``c`` of the pairs' later classes ``c2`` that are similar to their ``c1``."""
+def _verified(
+    pairs: DataFrame, classes: DataFrame, docs: DataFrame, rarities: Column, percent: int
+) -> DataFrame:
+    """``c`` of the pairs' later classes ``c2`` that are similar to their ``c1``. Only the lines of
+    the pairs' classes are read again."""
+    wanted = pairs.select(F.explode(F.array("c1", "c2")).alias("c")).distinct()
+    places = written(classes.join(wanted, "c", "left_semi").select("c", "row", "pos"), "places")
+    sets = written(_whole_sets(places, docs, rarities), "sets")
     for s in "12":
         pairs = pairs.join(sets.select(F.col("c").alias(f"c{s}"), F.col("set").alias(f"s{s}")), f"c{s}")
     return (
@@ -119,41 +136,52 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def _settled(index: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The classes of the index that an earlier one is similar to.
-
-    ``index`` has ``t, c, n, bits, i, rank``: for each word the classes whose prefix has it, in
-    place ``i``, ranked from 1 by their order.
+def _index(entries: DataFrame, percent: int) -> DataFrame:
+    """For each word ``t`` the classes whose prefix has it, as structs ``of`` (c, n, bits, and the
+    place i of the word), ranked from 1 by their order. ``first`` lists, of the first ``FIRST``
+    classes of the word, earlier ones that may match: the first round's pairs, without a join.
     """
-    left, right = [
-        index.select("t", *[F.col(x).alias(f"{x}{s}") for x in index.columns[1:]]) for s in "12"
-    ]
-    # whether the word is in the shorter prefix, and the words the two may share from there on
-    short = [
-        F.col(f"i{s}") <= F.col(f"n{s}") - _least_overlap(f"n{s}", f"n{s}", percent) for s in "12"
+    order = Window.partitionBy("t").orderBy("key", "pos", "c", "i")
+    so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    own = F.struct("c", "n", "bits", "i")
+    rows = entries.select(
+        "t",
+        own.alias("of"),
+        F.row_number().over(order).alias("rank"),
+        F.lead("c").over(order).alias("_next"),
+        *[F.nth_value(own, k).over(so_far).alias(f"_h{k}") for k in range(1, FIRST + 1)],
+    ).filter((F.col("rank") > 1) | F.col("_next").isNotNull())
+    found = [
+        F.when((F.col("rank") > k) & _may_match(f"_h{k}", "of", percent), F.col(f"_h{k}.c"))
+        for k in range(1, FIRST + 1)
     ]
-    room = F.least(F.col("n1") - F.col("i1"), F.col("n2") - F.col("i2"))
-    settled = index.sparkSession.createDataFrame([], "c long")
-    done, width = 0, FIRST
+    return rows.select("t", "of", "rank", F.array_compact(F.array(*found)).alias("first"))
+
+
+def _settled(index: DataFrame, percent: int, verified) -> DataFrame:
+    """The classes of the index that an earlier one is similar to, as ``verified`` finds out for
+    pairs ``(c1, c2)`` of an earlier and a later class."""
+    pairs = index.select(F.explode("first").alias("c1"), F.col("of.c").alias("c2")).distinct()
+    settled = written(verified(written(pairs, "pairs")), "settled")
+    done, width = FIRST, FIRST * GROWTH
     longest = index.agg(F.max("rank")).first()[0] or 0
     while done + 1 < longest:
-        still = right.filter(F.col("rank2") > done + 1).join(
-            settled.select(F.col("c").alias("c2")), "c2", "left_anti"
+        still = index.filter(F.col("rank") > done + 1).select(
+            "t", F.col("rank").alias("rank2"), F.col("of").alias("b"), F.col("of.c").alias("c")
+        )
+        still = still.join(settled, "c", "left_anti")
+        earlier = index.filter(F.col("rank").between(done + 1, done + width)).select(
+            "t", F.col("rank").alias("rank1"), F.col("of").alias("a")
         )
         pairs = (
-            left.filter(F.col("rank1").between(done + 1, done + width))
-            .join(still, "t")
-            .filter(
-                (F.col("rank1") < F.col("rank2"))
-                & (F.col("c1") != F.col("c2"))  # two words of a set may have one short form
-                & F.when(F.col("n1") <= F.col("n2"), short[0]).otherwise(short[1])
-                & _close(percent)
-                & (room >= _least_overlap("n1", "n2", percent))
-            )
-            .select("c1", "c2")
+            earlier.join(still, "t")
+            .filter((F.col("rank1") < F.col("rank2")) & _may_match("a", "b", percent))
+            .select(F.col("a.c").alias("c1"), F.col("b.c").alias("c2"))
             .distinct()
         )
-        settled = written(settled.unionByName(_verified(pairs, sets, percent)), "settled")
+        pairs = written(pairs, "pairs")
+        if not pairs.isEmpty():
+            settled = written(settled.unionByName(verified(pairs)), "settled")
         done, width = done + width, width * GROWTH
     return settled
 
@@ -207,17 +235,8 @@ def later_matches(
     joined = classes.filter(100 * F.col("n") >= percent * (F.col("n") + 1))
 
     entries = joined.select("c", "key", "pos", "n", "bits", F.posexplode("prefix").alias("i", "t"))
-    shared = entries.groupBy("t").agg(F.count("*").alias("m")).filter("m > 1").select("t")
-    order = Window.partitionBy("t").orderBy("key", "pos", "c", "i")
-    index = written(
-        entries.join(shared, "t").select("t", "c", "n", "bits", "i", F.row_number().over(order).alias("rank")),
-        "index",
-    )
-    candidates = written(
-        classes.join(index.select("c").distinct(), "c", "left_semi").select("c", "row", "pos"), "places"
-    )
-    sets = written(_whole_sets(candidates, docs, rarities), "sets")
-    near = _settled(index, sets, percent)
+    index = written(_index(entries, percent), "index")
+    near = _settled(index, percent, lambda pairs: _verified(pairs, classes, docs, rarities, percent))
     first = classes.select("c", F.struct("key", "pos", "row").alias("at")).join(
         near.withColumn("near", F.lit(True)), "c", "left"
     )
