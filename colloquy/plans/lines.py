@@ -11,10 +11,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import shared_folder
+from ..operators.numbering import number_sorted
 
 # section: 0 header, 1 body, 2 footer. bucket_part and channel_part: 0 before, 1 inside,
 # 2 after. part: 0 message, 1 replies, 2 after the replies.
@@ -86,27 +85,8 @@ def stack(*tables: DataFrame) -> DataFrame:
 
 
 def in_sequence(lines: DataFrame) -> DataFrame:
-    """Adds ``seq``: 1, 2, 3 … per view in ORDER.
-
-    The lines are range-sorted and made durable, so that positions are stable; a line's
-    number is its position in its partition plus what earlier partitions hold of the view.
-    """
-    shared_folder(lines.sparkSession)
-    place = F.monotonically_increasing_id()
-    laid = lines.orderBy("view_id", *ORDER).withColumn("_place", place).checkpoint()
-    laid = laid.withColumn("_part", F.shiftright("_place", 33))
-    extents = laid.groupBy("view_id", "_part").agg(
-        F.count("*").alias("_n"), F.min("_place").alias("_first")
-    )
-    earlier = W.partitionBy("view_id").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
-    bases = extents.select(
-        "view_id",
-        "_part",
-        (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first") + 1).alias("_base"),
-    )
-    return laid.join(bases, ["view_id", "_part"]).select(
-        "view_id", (F.col("_place") + F.col("_base")).alias("seq"), "line"
-    )
+    """Adds ``seq``: 1, 2, 3 … per view in ORDER."""
+    return number_sorted(lines, ["view_id"], ORDER, "seq").select("view_id", "seq", "line")
 
 
 def pages(lines: DataFrame, page_lines: int = 5_000) -> DataFrame:

@@ -40,11 +40,20 @@ from .views import text_of, who
 RULE = "=" * 60
 
 
+def _with_parents(messages: DataFrame) -> DataFrame:
+    """The threads that have a parent, with their extent: a narrow table that several lookups
+    read, made durable so that messages are scanned for it once."""
+    shared_folder(messages.sparkSession)
+    facts = thread_facts(messages).filter(F.col("parent").isNotNull())
+    return facts.select(*THREAD_KEY, "present", "thread_rows").checkpoint()
+
+
 def _numbered_replies(messages: DataFrame) -> DataFrame:
     """Keys of all flagged replies with their number ``no`` within the thread."""
     replies = messages.filter(in_thread() & F.col("is_thread_reply"))
     return number_rows(
-        replies.select(*THREAD_KEY, "message_id", "event_ts"),
+        # read twice below
+        replies.select(*THREAD_KEY, "message_id", "event_ts").checkpoint(),
         THREAD_KEY,
         "event_ts",
         ["message_id"],
@@ -82,8 +91,7 @@ def thread_reports(messages: DataFrame, tickets: DataFrame) -> DataFrame:
         *some(F.col("reply_count") > 0, F.lit("REPLIES:")),
     ]
     listing = some(F.col("ticket_count") > 0, F.lit(""), F.lit("JIRA TICKETS MENTIONED:"))
-    known = thread_facts(messages).filter(F.col("parent").isNotNull())
-    known = known.select(*THREAD_KEY, "thread_rows")
+    known = _with_parents(messages).select(*THREAD_KEY, "thread_rows")
     replies = lookup(
         _numbered_replies(messages),
         known,
@@ -203,6 +211,9 @@ def window_digests(
     totals = counts.join(active, "view_id", "left").withColumn(
         "active", F.coalesce("active", F.lit(0))
     )
+    # late replies are numbered on from the roots; only they look those up
+    bases = counts.select(F.col("view_id").alias("channel"), F.col("roots").alias("_roots"))
+    orphans = orphans.join(bases, "channel")
     placed = stack(
         with_columns_of(roots, threaded).withColumn("kind", F.lit("root")),
         nested.withColumn("kind", F.lit("reply")),
@@ -212,9 +223,7 @@ def window_digests(
     rows = with_columns_of(
         placed, shown, mention_names(messages, names), ticket_notes(messages, tickets)
     )
-    rows = rows.select("*", view).join(
-        counts.select("view_id", F.col("roots").alias("_roots")), "view_id"
-    )
+    rows = rows.select("*", view)
     rows = rows.withColumn("annotated_text", annotated(_plain_names(F.col("text"))))
     kind = F.col("kind")
     late_number = F.col("_roots") + F.col("late_no")
@@ -280,8 +289,7 @@ def message_texts(
 
     A thread's replies stand once, under its root, not again under every reply.
     """
-    facts = thread_facts(messages).filter(F.col("parent").isNotNull())
-    facts = facts.select(*THREAD_KEY, "present", "thread_rows")
+    facts = _with_parents(messages)
     opened = facts.select(
         "channel", F.col("thread_ts").alias("message_id"), F.col("present").alias("replies")
     )

@@ -120,18 +120,21 @@ def view_rows(
     names: DataFrame | None,
     as_of: Column,
     bucket: str | None = None,
+    once: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """The views' thread structure, and the same rows with everything a line shows.
 
     ``messages`` carry the ``view_id`` they belong to; a message that several views show comes
-    once for each. Mentions stay unresolved when ``names`` is None.
+    once for each. ``once`` gives the messages as they are stored, where they are at hand; else
+    their copies are merged again. Mentions stay unresolved when ``names`` is None.
     """
     layout = structure(messages, ["view_id"], ["view_id"], bucket)
     shown = messages.select(
         "view_id", *MESSAGE_KEY, "text", "timestamp", "reactions", "files", "jira_tickets"
     )
     # what is known of a message by its key alone is made once, however many views show it
-    once = messages.drop("view_id").dropDuplicates(MESSAGE_KEY)
+    if once is None:
+        once = messages.drop("view_id").dropDuplicates(MESSAGE_KEY)
     sides = [shown, ticket_metadata(once, tickets)]
     if names is not None:
         sides.append(mention_names(once, names))
@@ -382,9 +385,10 @@ def channel_view(
     names: DataFrame | None,
     as_of: Column,
     org: Organisation = Organisation(),
+    once: DataFrame | None = None,
 ) -> DataFrame:
     """Single-channel views of messages that carry their ``view_id``."""
-    layout, rows = view_rows(messages, tickets, names, as_of)
+    layout, rows = view_rows(messages, tickets, names, as_of, once=once)
     return _framed(views, layout, message_blocks(rows), org)
 
 
@@ -402,7 +406,8 @@ def user_view(
     several times.
     """
     shared_folder(timeline.sparkSession)
-    layout, rows = view_rows(timeline.checkpoint(), tickets, names, as_of)
+    timeline = timeline.checkpoint()
+    layout, rows = view_rows(timeline, tickets, names, as_of, once=timeline.drop("view_id"))
     return _framed(views, layout, message_blocks(rows, True), org)
 
 
@@ -414,9 +419,10 @@ def bucketed_view(
     as_of: Column,
     bucket: str = "hour",
     org: Organisation = Organisation(),
+    once: DataFrame | None = None,
 ) -> DataFrame:
     """Multi-channel views in hour or day buckets, by channel inside a bucket."""
-    layout, rows = view_rows(messages, tickets, names, as_of, bucket)
+    layout, rows = view_rows(messages, tickets, names, as_of, bucket, once)
     at = F.date_format("bucket", "yyyy-MM-dd'T'HH:mm:ss")
     top = F.col("depth") == 0
     threaded = F.col("present_replies") > 0
@@ -468,4 +474,6 @@ def bucketed_user_view(
 ) -> DataFrame:
     """A user's timeline in hour or day buckets, by channel inside a bucket."""
     shared_folder(timeline.sparkSession)
-    return bucketed_view(views, timeline.checkpoint(), tickets, names, as_of, bucket, org)
+    timeline = timeline.checkpoint()
+    once = timeline.drop("view_id")
+    return bucketed_view(views, timeline, tickets, names, as_of, bucket, org, once)

@@ -9,7 +9,7 @@ from colloquy import schemas
 from colloquy.functions import fields, instants, text
 from colloquy.operators.channels import split_by_id
 from colloquy.operators.keys import latest_per_key
-from colloquy.operators.numbering import number_rows
+from colloquy.operators.numbering import number_rows, number_sorted
 from colloquy.operators.people import first_stakeholders, find_user, find_users, starter_roster
 from colloquy.operators.analytics import written_by
 from colloquy.session import fresh_folder
@@ -412,6 +412,18 @@ def message_numbers(c: Chat) -> DataFrame:
     return number_rows(rows, ["channel"], "event_ts", ["message_id"], "message_no").drop("event_ts")
 
 
+@query(
+    "W2",
+    """SELECT channel, message_id, row_number() OVER (PARTITION BY channel
+  ORDER BY CASE WHEN NOT is_thread_reply THEN ts END NULLS FIRST, message_id) AS message_no FROM messages""",
+)
+def message_numbers_without_times(c: Chat) -> DataFrame:
+    """The same where replies have no time: all of a channel's are one slice, which is sorted whole."""
+    at = F.when(~F.col("is_thread_reply"), F.col("event_ts")).alias("at")
+    rows = c.messages.select("channel", "message_id", at)
+    return number_sorted(rows, ["channel"], ["at", "message_id"], "message_no").drop("at")
+
+
 @query("W3 U1", f"{MESSAGE_SQL} WHERE dt BETWEEN '{START}' AND '{END}'")
 def chronological_order(c: Chat) -> DataFrame:
     return tables.in_order(tables.pruned(c.messages, START, END)).select(*MESSAGE)

@@ -193,7 +193,7 @@ def _day_messages(c: Chat) -> DataFrame:
 
 def _channel_day_lines(c: Chat) -> DataFrame:
     return views.channel_view(
-        _day_views(c), _day_messages(c), c.tickets, _names(c), _as_of(), _org(c)
+        _day_views(c), _day_messages(c), c.tickets, _names(c), _as_of(), _org(c), c.messages
     )
 
 
@@ -228,7 +228,7 @@ def _whole_channel_lines(c: Chat) -> tuple[DataFrame, DataFrame]:
         F.lit("2024-01-01 to 2024-01-30").alias("window_text"),
     )
     rows = c.messages.withColumn("view_id", F.col("channel"))
-    return shown, views.channel_view(shown, rows, c.tickets, _names(c), _as_of(), _org(c))
+    return shown, views.channel_view(shown, rows, c.tickets, _names(c), _as_of(), _org(c), c.messages)
 
 
 @query("V1", _view_sql("SELECT *, channel AS view_id FROM messages", _CHANNEL_VW))
@@ -267,7 +267,8 @@ def rolling_window_views(c: Chat) -> DataFrame:
     rows = c.messages.select("*", F.explode(shown_in).alias("w")).select(
         *c.messages.columns, F.concat_ws("/", "channel", "w.a").alias("view_id")
     )
-    return views.channel_view(shown, rows, c.tickets, _names(c), _as_of(), _org(c)).select(*LINE)
+    made = views.channel_view(shown, rows, c.tickets, _names(c), _as_of(), _org(c), c.messages)
+    return made.select(*LINE)
 
 
 @query(
@@ -327,7 +328,7 @@ pb AS (SELECT view_id, b, CAST(sum(n) AS BIGINT) AS n, count(*) AS nc FROM pc GR
     )
 
 
-_DAY_VM = "SELECT *, dt AS view_id FROM messages"
+_WHOLE_DAY_VM = "SELECT *, dt AS view_id FROM messages"
 
 
 def _bucketed_day_lines(c: Chat) -> tuple[DataFrame, DataFrame]:
@@ -336,10 +337,12 @@ def _bucketed_day_lines(c: Chat) -> tuple[DataFrame, DataFrame]:
         F.col("dt").alias("view_id"), F.col("dt").alias("title"), "channels", F.col("dt").alias("window_text")
     )
     rows = c.messages.withColumn("view_id", F.col("dt"))
-    return shown, views.bucketed_view(shown, rows, c.tickets, _names(c), _as_of(), "hour", _org(c))
+    return shown, views.bucketed_view(
+        shown, rows, c.tickets, _names(c), _as_of(), "hour", _org(c), c.messages
+    )
 
 
-@query("V2 B1", _multi_sql(_DAY_VM, _MULTI_VW))
+@query("V2 B1", _multi_sql(_WHOLE_DAY_VM, _MULTI_VW))
 def bucketed_day_views(c: Chat) -> DataFrame:
     """All channels of each day, in hour buckets."""
     return _bucketed_day_lines(c)[1].select(*LINE)
@@ -642,7 +645,7 @@ FROM (SELECT DISTINCT dt, channel FROM messages)"""
     _prompt_sql(
         "SELECT * FROM prompt", _context_sql(_DAY_CHANNELS),
         "Compare the channels: shared subjects, decisions, blockers and tickets.",
-        _multi_sql(_DAY_VM, _MULTI_VW),
+        _multi_sql(_WHOLE_DAY_VM, _MULTI_VW),
         f"""'Below are the conversations of the channels ' || (SELECT string_agg(channel, ', ' ORDER BY pos)
     FROM ({_DAY_CHANNELS}) d WHERE d.view_id = vw.view_id) || ' for ' || window_text || '.'""",
     ),
