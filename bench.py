@@ -51,6 +51,12 @@ MORE = [
     "window_digests",
     "delimited_messages",
     "prompt_corpus",
+    "near_duplicate_pairs",
+    "names_resolved",
+    "message_numbers_without_times",
+    "kept_ticket_rollup",
+    "streamed_without_repeats",
+    "streamed_sliding_counts",
 ]
 
 
