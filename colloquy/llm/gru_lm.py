@@ -10,7 +10,7 @@ All counts are Spark aggregates over all training texts. The weights are numpy a
 size: they start at the counts' distribution, and each of ``ROUNDS`` rounds trains a copy of them
 in every task; the mean of the copies, by tokens, goes on. The rounds share out the training texts
 by a hash, and together are one pass over every token of every training text, by backpropagation
-truncated to windows of ``WINDOW`` tokens. In training as in scoring the state is carried from
+truncated to windows of ``WINDOW`` tokens (of more, where few texts are left). In training as in scoring the state is carried from
 window to window, from a text's first token to its end.
 
 Tasks hold the counts of the ``COUNTED`` most frequent words. Counts of other words meet the texts
@@ -113,57 +113,104 @@ def start(frequent: np.ndarray, others: np.ndarray) -> dict[str, np.ndarray]:
     }
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * np.tanh(0.5 * x) + 0.5
-
-
-def _run(p: dict, h: np.ndarray, ids: np.ndarray, fresh: np.ndarray, keep: list | None = None):
+def _run(p: dict, h: np.ndarray, ids: np.ndarray, fresh: np.ndarray, keep: dict | None = None):
     """States before each token of ``ids`` (time, slot), and the last one. ``fresh`` marks tokens
-    that begin a text: their state is zero."""
-    n, out = HIDDEN, np.empty((*ids.shape, HIDDEN), np.float32)
-    inputs = p["x"][ids]
+    that begin a text: their state is zero.
+
+    Arrays inside are (time, unit, slot), so that a step works on long rows of slots; ``keep``
+    takes those that the gradients need.
+    """
+    n, kind = HIDDEN, p["u"].dtype
+    inputs, across = np.ascontiguousarray(p["x"].T), np.ascontiguousarray(p["u"].T)
+    h, begins = np.ascontiguousarray(h.T, kind), fresh.any(axis=1)
+    out = np.empty((len(ids), n, ids.shape[1]), kind)
+    if keep is not None:
+        keep.update({k: np.empty_like(out) for k in ("z", "r", "c", "passed")}, states=out)
     for t in range(len(ids)):
-        if fresh[t].any():
-            h = h * ~fresh[t][:, None]
+        if begins[t]:
+            h = h * ~fresh[t]
         out[t] = h
-        a, b = inputs[t], h @ p["u"]
-        zr = _sigmoid(a[:, : 2 * n] + b[:, : 2 * n])
-        z, r = zr[:, :n], zr[:, n:]
-        c = np.tanh(a[:, 2 * n :] + r * b[:, 2 * n :])
+        a, b = np.take(inputs, ids[t], axis=1), across @ h
+        zr, c = a[: 2 * n], a[2 * n :]
+        zr += b[: 2 * n]
+        zr *= 0.5
+        np.tanh(zr, out=zr)
+        zr *= 0.5
+        zr += 0.5
+        if keep is not None:
+            keep["z"][t], keep["r"][t], keep["passed"][t] = zr[:n], zr[n:], b[2 * n :]
+        c += zr[n:] * b[2 * n :]
+        np.tanh(c, out=c)
         if keep is not None:
-            keep.append((h, z, r, c, b[:, 2 * n :]))
-        h = c + z * (h - c)
-    return out, h
+            keep["c"][t] = c
+        h = h - c
+        h *= zr[:n]
+        h += c
+    return out.transpose(0, 2, 1), h.T
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+def _by_unit(steps: np.ndarray) -> np.ndarray:
+    """An array (time, unit, slot) as (unit, token)."""
+    return np.ascontiguousarray(steps.transpose(1, 0, 2)).reshape(steps.shape[1], -1)
 
 
 def _log_share(x: np.ndarray, chosen: np.ndarray) -> np.ndarray:
-    """The log-softmax of one entry of each row."""
-    x -= x.max(axis=1, keepdims=True)
-    one = x[np.arange(len(x)), chosen].astype(float)
+    """The log-softmax of one entry of each column."""
+    x -= x.max(axis=0)
+    one = x[chosen, np.arange(x.shape[1])].astype(float)
     np.exp(x, out=x)
-    return one - np.log(x.sum(axis=1))
+    return one - np.log(x.sum(axis=0))
+
+
+def _error(x: np.ndarray, chosen: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Weighted gradients of the columns' logits: their softmax less the entry to be found."""
+    x -= x.max(axis=0)
+    np.exp(x, out=x)
+    x *= weight / x.sum(axis=0)
+    x[chosen, np.arange(x.shape[1])] -= weight
+    return x
 
 
 def _class_of(ids: np.ndarray) -> np.ndarray:
-    return np.where(ids <= WORDS, ids // PER_CLASS, ids - WORDS - 1 + _CLASSES)
+    return np.where(ids <= WORDS, ids // PER_CLASS, ids - WORDS - 1 + _CLASSES).astype(np.int16)
+
+
+def _by_class(classes: np.ndarray) -> tuple[np.ndarray, list[tuple[int, slice]]]:
+    """Places of the frequent words' tokens, class by class, and each class's range of them."""
+    order = np.argsort(classes, kind="stable")
+    ends = np.searchsorted(classes[order], np.arange(_CLASSES + 1))
+    spans = [(c, slice(ends[c], ends[c + 1])) for c in range(_CLASSES) if ends[c] < ends[c + 1]]
+    return order[: ends[-1]], spans
+
+
+def _classes(p: dict, states: np.ndarray) -> np.ndarray:
+    """Logits of the classes, a column for each token."""
+    x = p["wc"].T @ states
+    x += p["bc"][:, None]
+    return x
+
+
+def _within(p: dict, states: np.ndarray, spans: list[tuple[int, slice]]) -> np.ndarray:
+    """Logits of the words within their classes, a column for each token."""
+    x = np.empty((PER_CLASS, states.shape[1]), states.dtype)
+    for c, span in spans:
+        x[:, span] = p["wf"][c].T @ states[:, span] + p["bf"][c][:, None]
+    return x
 
 
 def log_likelihoods(p: dict, states: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """Natural log-probabilities of tokens given their states; of a word that isn't frequent,
     its class's."""
+    return _logs(p, np.ascontiguousarray(states.T), ids)
+
+
+def _logs(p: dict, states: np.ndarray, ids: np.ndarray) -> np.ndarray:
     classes = _class_of(ids)
-    out = _log_share(states @ p["wc"] + p["bc"], classes)
-    order = np.argsort(classes, kind="stable")
-    ends = np.searchsorted(classes[order], np.arange(_CLASSES + 1))
-    for c in range(_CLASSES):
-        own = order[ends[c] : ends[c + 1]]
-        if len(own):
-            out[own] += _log_share(states[own] @ p["wf"][c] + p["bf"][c], ids[own] % PER_CLASS)
+    out = _log_share(_classes(p, states), classes)
+    inside, spans = _by_class(classes)
+    if len(inside):
+        logits = _within(p, np.take(states, inside, axis=1), spans)
+        out[inside] += _log_share(logits, ids[inside] % PER_CLASS)
     return out
 
 
@@ -172,115 +219,146 @@ def gradients(
 ):
     """Gradients of the mean negative log-likelihood of a window, truncated at its start and
     where a text begins (``fresh``)."""
-    keep: list = []
+    keep: dict = {}
     if fresh is None:
         fresh = np.zeros(ids.shape, bool)
-    states, last = _run(p, h, ids, fresh, keep)
-    n, g = HIDDEN, {k: np.zeros_like(v) for k, v in p.items()}
-    flat, tokens, weight = states.reshape(-1, n), ids.ravel(), real.ravel() / max(1, real.sum())
+    _, last = _run(p, h, ids, fresh, keep)
+    n, kind, g = HIDDEN, p["u"].dtype, {k: np.zeros_like(p[k]) for k in ("x", "wf", "bf")}
+    flat, tokens = _by_unit(keep["states"]), ids.ravel()
+    weight = (real.ravel() / max(1, real.sum())).astype(kind)
     classes = _class_of(tokens)
-    d = np.exp(_log_softmax(flat @ p["wc"] + p["bc"]))
-    d[np.arange(len(tokens)), classes] -= 1
-    d *= weight[:, None].astype(np.float32)
-    g["wc"], g["bc"] = flat.T @ d, d.sum(axis=0)
-    back = d @ p["wc"].T
-    order = np.argsort(classes, kind="stable")
-    ends = np.searchsorted(classes[order], np.arange(_CLASSES + 1))
-    for c in range(_CLASSES):
-        own = order[ends[c] : ends[c + 1]]
-        if len(own):
-            d = np.exp(_log_softmax(flat[own] @ p["wf"][c] + p["bf"][c]))
-            d[np.arange(len(own)), tokens[own] % PER_CLASS] -= 1
-            d *= weight[own][:, None].astype(np.float32)
-            g["wf"][c], g["bf"][c] = flat[own].T @ d, d.sum(axis=0)
-            back[own] += d @ p["wf"][c].T
-    back = back.reshape(states.shape)
-    into = np.zeros((*ids.shape, 3 * n), np.float32)
-    dh = np.zeros_like(h)
+    d = _error(_classes(p, flat), classes, weight)
+    g["wc"], g["bc"] = flat @ d.T, d.sum(axis=1)
+    back = p["wc"] @ d
+    inside, spans = _by_class(classes)
+    if len(inside):
+        own = np.take(flat, inside, axis=1)
+        d = _error(_within(p, own, spans), tokens[inside] % PER_CLASS, weight[inside])
+        into = np.empty_like(own)
+        for c, span in spans:
+            g["wf"][c], g["bf"][c] = own[:, span] @ d[:, span].T, d[:, span].sum(axis=1)
+            into[:, span] = p["wf"][c] @ d[:, span]
+        back[:, inside] += into
+    back = back.reshape(n, *ids.shape)
+    # what the steps' gradients are multiplied by on their way back, for all steps at once
+    z, r, c = keep["z"], keep["r"], keep["c"]
+    by_z = (keep["states"] - c) * z * (1 - z)
+    by_c = (1 - z) * (1 - c * c)
+    by_r = keep["passed"] * r * (1 - r)
+    into = np.empty((len(ids), 3 * n, ids.shape[1]), kind)
+    through = np.empty_like(into)
+    begins, dh = fresh.any(axis=1), np.zeros((n, ids.shape[1]), kind)
     for t in range(len(ids) - 1, -1, -1):
-        h0, z, r, c, bn = keep[t]
-        dc = dh * (1 - z) * (1 - c * c)
-        dz = dh * (h0 - c) * z * (1 - z)
-        dr = dc * bn * r * (1 - r)
-        into[t, :, :n], into[t, :, n : 2 * n], into[t, :, 2 * n :] = dz, dr, dc
-        through = np.concatenate([dz, dr, dc * r], axis=1)
-        g["u"] += h0.T @ through
-        dh = dh * z + through @ p["u"].T + back[t]
-        if fresh[t].any():
-            dh = dh * ~fresh[t][:, None]
-    order = np.argsort(tokens, kind="stable")
+        dc = into[t, 2 * n :]
+        np.multiply(dh, by_c[t], out=dc)
+        np.multiply(dh, by_z[t], out=into[t, :n])
+        np.multiply(dc, by_r[t], out=into[t, n : 2 * n])
+        through[t, : 2 * n] = into[t, : 2 * n]
+        np.multiply(dc, r[t], out=through[t, 2 * n :])
+        dh *= z[t]
+        dh += p["u"] @ through[t]
+        dh += back[:, t]
+        if begins[t]:
+            dh *= ~fresh[t]
+    g["u"] = flat @ _by_unit(through).T
+    order = np.argsort(tokens.astype(np.int16), kind="stable")
     starts = np.flatnonzero(np.diff(tokens[order], prepend=-1))
-    g["x"][tokens[order][starts]] = np.add.reduceat(into.reshape(-1, 3 * n)[order], starts, axis=0)
-    return g, last
+    rows = into.transpose(0, 2, 1).reshape(-1, 3 * n)[order]
+    g["x"][tokens[order][starts]] = np.add.reduceat(rows, starts, axis=0)
+    return {k: g[k] for k in p}, last
+
+
+def _flat(arrays: dict) -> np.ndarray:
+    return np.concatenate([v.ravel() for v in arrays.values()])
+
+
+def _views(flat: np.ndarray, like: dict) -> dict[str, np.ndarray]:
+    """Parts of ``flat`` with the names and shapes of ``like``."""
+    out, at = {}, 0
+    for k, v in like.items():
+        out[k] = flat[at : at + v.size].reshape(v.shape)
+        at += v.size
+    return out
 
 
 class _Adam:
-    def __init__(self, p: dict):
-        self.m = {k: np.zeros_like(v) for k, v in p.items()}
-        self.v = {k: np.zeros_like(v) for k, v in p.items()}
-        self.n = 0
+    """Steps of all weights, which lie in one vector."""
+
+    def __init__(self, flat: np.ndarray):
+        self.flat, self.m, self.v, self.n = flat, np.zeros_like(flat), np.zeros_like(flat), 0
 
-    def update(self, p: dict, g: dict) -> None:
+    def update(self, g: np.ndarray) -> None:
         self.n += 1
-        for k in p:
-            self.m[k] += 0.1 * (g[k] - self.m[k])
-            self.v[k] += 0.01 * (g[k] * g[k] - self.v[k])
-            m, v = self.m[k] / (1 - 0.9**self.n), self.v[k] / (1 - 0.99**self.n)
-            p[k] -= STEP * m / (np.sqrt(v) + 1e-6)
+        self.m *= 0.9
+        self.m += 0.1 * g
+        self.v *= 0.99
+        step = g * g
+        step *= 0.01
+        self.v += step
+        np.sqrt(self.v, out=step)
+        step *= 1 / math.sqrt(1 - 0.99**self.n)
+        step += 1e-6
+        np.divide(self.m, step, out=step)
+        step *= STEP / (1 - 0.9**self.n)
+        self.flat -= step
 
 
 def windows(texts: Iterator[np.ndarray]) -> Iterator[tuple[np.ndarray, ...]]:
     """All tokens of the texts, which run side by side in slots, one behind the other: the slots
-    in use and, as (time, slot), the next tokens, which of them are real and which begin a text."""
+    in use and, as (time, slot), the next tokens, which of them are real and which begin a text.
+    When no more texts come, windows get longer as slots get fewer, so as to hold ``FEWEST``."""
     left = [np.zeros(0, np.int32)] * SIDE_BY_SIDE
-    while True:
-        ids = np.zeros((SIDE_BY_SIDE, WINDOW), np.int64)
+    live, span = list(range(SIDE_BY_SIDE)), WINDOW
+    while live:
+        ids = np.zeros((len(live), span), np.int64)
         real, fresh = np.zeros(ids.shape, bool), np.zeros(ids.shape, bool)
-        for s in range(SIDE_BY_SIDE):
+        ended = False
+        for i, s in enumerate(live):
             at, rest = 0, left[s]
-            while at < WINDOW:
+            while at < span:
                 if not len(rest):
-                    rest = next(texts, None)
+                    rest = None if ended else next(texts, None)
                     if rest is None:
-                        rest = left[s][:0]
+                        rest, ended = left[s][:0], True
                         break
-                    fresh[s, at] = True
-                n = min(WINDOW - at, len(rest))
-                ids[s, at : at + n], real[s, at : at + n] = rest[:n], True
+                    fresh[i, at] = True
+                n = min(span - at, len(rest))
+                ids[i, at : at + n], real[i, at : at + n] = rest[:n], True
                 at, rest = at + n, rest[n:]
             left[s] = rest
         used = np.flatnonzero(real[:, 0])
-        if not len(used):
-            return
-        yield used, ids[used].T, real[used].T, fresh[used].T
+        if len(used):
+            yield np.array(live)[used], ids[used].T, real[used].T, fresh[used].T
+        if ended:
+            live = [s for s in live if len(left[s])]
+            span = max(WINDOW, -(-FEWEST // max(1, len(live))))
 
 
 def _trained(shared):
     """Trains a copy of the weights on a partition's texts, once; a row of all weights."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = {k: v.copy() for k, v in shared.value.items()}
-        adam, seen = _Adam(p), 0
+        flat = _flat(shared.value)
+        p, adam, seen = _views(flat, shared.value), _Adam(flat), 0
         state = np.zeros((SIDE_BY_SIDE, HIDDEN), np.float32)
         texts = (x.values.to_numpy() for batch in batches for x in batch.column("ids"))
         held, tokens = None, 0
         for used, ids, real, fresh in windows(texts):
             g, state[used] = gradients(p, state[used], ids, real, fresh)
-            n = int(real.sum())
+            g, n = _flat(g), int(real.sum())
             seen += n
-            # near the end few texts are left: their windows make a step together
+            # near the end windows may hold few tokens: they make a step together
             if held is None and n >= FEWEST:
-                adam.update(p, g)
+                adam.update(g)
                 continue
-            held = {k: n * v + (held[k] if held else 0) for k, v in g.items()}
-            tokens += n
+            held, tokens = n * g + (0 if held is None else held), tokens + n
             if tokens >= FEWEST:
-                adam.update(p, {k: v / np.float32(tokens) for k, v in held.items()})
+                adam.update(held / np.float32(tokens))
                 held, tokens = None, 0
         if tokens:
-            adam.update(p, {k: v / np.float32(tokens) for k, v in held.items()})
+            adam.update(held / np.float32(tokens))
         if seen:
-            flat = np.concatenate([v.ravel() for v in p.values()]).astype(float)
+            flat = flat.astype(float)
             for at in range(0, len(flat), 4096):
                 values = flat[at : at + 4096]
                 yield pa.RecordBatch.from_arrays(
@@ -307,11 +385,7 @@ def _averaged(texts: DataFrame, p: dict) -> dict[str, np.ndarray]:
     )
     if not len(rows):
         return p
-    flat, out, at = rows["value"].to_numpy(np.float32), {}, 0
-    for k, v in p.items():
-        out[k] = flat[at : at + v.size].reshape(v.shape)
-        at += v.size
-    return out
+    return _views(rows["value"].to_numpy(np.float32), p)
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -347,12 +421,16 @@ def _coded(frequent: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = Vocabulary(frequent)
         for batch in batches:
-            out = [
-                [vocabulary[w] for w in (*lower_words(text.as_py()), END)]
-                for text in batch.column("text")
-            ]
+            texts = []
+            for text in batch.column("text"):
+                found = lower_words(text.as_py())
+                found.append(END)
+                texts.append(np.fromiter(map(vocabulary.__getitem__, found), np.int32, len(found)))
+            ends = np.cumsum([0, *map(len, texts)])
+            flat = np.concatenate(texts) if texts else np.zeros(0, np.int32)
+            ids = pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), pa.array(flat))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("round"), pa.array(out, pa.list_(pa.int32()))], names=["round", "ids"]
+                [batch.column("round"), ids.cast(pa.list_(pa.int32()))], names=["round", "ids"]
             )
 
     return run
@@ -381,27 +459,27 @@ def texts_log_likelihood(p: dict, texts: list[np.ndarray]) -> np.ndarray:
     lengths = np.array([len(x) for x in texts], np.int64)
     dealt = sorted(_slots(lengths), key=lambda d: -int(lengths[d].sum()))
     lines = [np.concatenate([texts[i] for i in d]) for d in dealt]
+    # which text each of a slot's tokens belongs to, and which of them begin one
+    owners = [np.repeat(np.array(d, np.int32), lengths[d]) for d in dealt]
+    begins = [np.diff(own, prepend=-1) != 0 for own in owners]
     sizes = np.array([len(x) for x in lines], np.int64)
-    # where each slot's texts begin; which of them the next token belongs to is counted up
-    starts = [np.cumsum(lengths[[0, *d[:-1]]]) - lengths[0] for d in dealt]
     sums = np.zeros(len(texts) + 1)
     h = np.zeros((len(dealt), HIDDEN), np.float32)
     for t in range(0, int(sizes.max(initial=0)), SPAN):
         live = int(np.searchsorted(-sizes, -t))
-        part = np.zeros((SPAN, live), np.int32)
+        part = np.zeros((live, SPAN), np.int32)
         of = np.full(part.shape, len(texts), np.int32)
         fresh = np.zeros(part.shape, bool)
         for s in range(live):
-            line = lines[s][t : t + SPAN]
-            part[: len(line), s] = line
-            first, last = np.searchsorted(starts[s], [t, t + len(line)])
-            fresh[starts[s][first:last] - t, s] = True
-            own = np.searchsorted(starts[s], np.arange(t, t + len(line)), side="right") - 1
-            of[: len(line), s] = np.asarray(dealt[s])[own]
+            n = min(SPAN, int(sizes[s]) - t)
+            part[s, :n] = lines[s][t : t + n]
+            of[s, :n] = owners[s][t : t + n]
+            fresh[s, :n] = begins[s][t : t + n]
         used = min(SPAN, int(sizes[0]) - t)
-        states, h = _run(p, h[:live], part[:used], fresh[:used])
-        found = log_likelihoods(p, states.reshape(-1, HIDDEN), part[:used].ravel())
-        sums += np.bincount(of[:used].ravel(), found, len(sums))
+        part, of, fresh = part.T[:used], of.T[:used], fresh.T[:used]
+        states, h = _run(p, h[:live], part, fresh)
+        found = _logs(p, _by_unit(states.transpose(0, 2, 1)), part.ravel())
+        sums += np.bincount(of.ravel(), found, len(sums))
     return sums[:-1]
 
 
@@ -417,7 +495,8 @@ def _scored(shared):
         for batch in batches:
             texts, firsts = [], []
             for text in batch.column("text"):
-                tokens = [*lower_words(text.as_py()), END]
+                tokens = lower_words(text.as_py())
+                tokens.append(END)
                 known.rest = []
                 places = np.fromiter(map(known.__getitem__, tokens), np.int64, len(tokens))
                 ids = inputs[places]
