@@ -48,14 +48,17 @@ def has_mention(text: Column) -> Column:
 
 
 def mention_names(messages: DataFrame, names: DataFrame, text: str = "text") -> DataFrame:
-    """(channel, message_id, mention_names): known mentioned ids of a message with their names."""
+    """(channel, message_id, mention_names): known mentioned ids of a message with their names.
+
+    Rows that share a message id share their names.
+    """
     some = messages.filter(has_mention(F.col(text)))
     ids = some.select(
         *MESSAGE_KEY, F.explode(F.array_distinct(mention_ids(F.col(text)))).alias("user_id")
     )
     found = lookup(ids, names.select("user_id", "name"), ["user_id"], "inner", spread=MESSAGE_KEY)
     return found.groupBy(*MESSAGE_KEY).agg(
-        F.map_from_entries(F.collect_list(F.struct("user_id", "name"))).alias("mention_names")
+        F.map_from_entries(F.collect_set(F.struct("user_id", "name"))).alias("mention_names")
     )
 
 

@@ -140,14 +140,17 @@ def _rolled_up(per_channel: DataFrame) -> DataFrame:
 
 
 def ticket_notes(messages: DataFrame, tickets: DataFrame) -> DataFrame:
-    """(channel, message_id, ticket_notes): known ticket ids of a message with their details."""
+    """(channel, message_id, ticket_notes): known ticket ids of a message with their details.
+
+    Rows that share a message id share their notes.
+    """
     newest = latest_tickets(tickets)
     details = newest.select(
         "ticket_id", ticket_details(F.struct(*[F.col(c) for c in newest.columns])).alias("details")
     )
     found = lookup(mentioned(messages), details, ["ticket_id"], "inner", spread=MESSAGE_KEY)
     return found.groupBy(*MESSAGE_KEY).agg(
-        F.map_from_entries(F.collect_list(F.struct("ticket_id", "details"))).alias("ticket_notes")
+        F.map_from_entries(F.collect_set(F.struct("ticket_id", "details"))).alias("ticket_notes")
     )
 
 

@@ -62,10 +62,10 @@ def ticket_lines(tickets: Column, metadata: Column, indent: Column | str) -> Col
     Without any metadata the ids share one line.
     """
     indent = F.lit(indent) if isinstance(indent, str) else indent
-    by_id = F.map_from_entries(F.transform(metadata, lambda m: F.struct(m["ticket_id"], m)))
 
     def block(ticket: Column) -> Column:
-        meta = F.try_element_at(by_id, ticket)
+        # the first entry of a ticket: where a message id comes twice, so do its entries
+        meta = F.get(F.filter(metadata, lambda m: m["ticket_id"] == ticket), F.lit(0))
 
         def field(name: str, default: str) -> Column:
             return display_name(meta[name], F.lit(None).cast("string"), F.lit(default))
