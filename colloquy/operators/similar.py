@@ -2,12 +2,14 @@
 
 Equal vectors are one class with its members counted. Each class is signed by the sides of random
 hyperplanes it lies on; ``bits`` sides make a band's key, and two classes are compared where they
-share a band. The sides also serve as a sketch: pairs whose sketches differ by more than a
-threshold's worth aren't looked at further. What is left is checked by its exact cosine.
+share a band. The first sides also serve as a sketch of bounded size, which every band's entry
+carries: pairs whose sketches differ by more than a threshold's worth aren't looked at further.
+What is left is checked by its exact cosine.
 
 ``bits`` follows the number of classes, so that a usual bucket holds few of them, and the number
 of bands follows from ``bits`` and the recall asked for at the threshold itself (closer pairs are
-found more surely). Buckets over ``BLOCK`` classes are cut into blocks, and each pair of blocks is
+found more surely). Vectors are signed a few at a time, so that a task holds ``ENTRIES`` entries at
+once however many bands there are. Buckets over ``BLOCK`` classes are cut into blocks, and each pair of blocks is
 one task's work; nothing is left out, and a task holds two blocks at most.
 """
 
@@ -28,7 +30,9 @@ from .related import DUPLICATE_SCORE, clusters, cosine
 BLOCK = 2_048
 RECALL = 0.98
 #: Sketches may differ by this many standard deviations more than expected at the threshold.
-SLACK = 3.5
+SLACK = 4.0
+#: Sides in a sketch, and entries of bands that are made at once.
+SKETCH, ENTRIES = 512, 1 << 16
 FEWEST_BITS, MOST_BITS = 8, 20
 SEED = 5
 
@@ -71,38 +75,47 @@ class Plan:
         shared = (1 - self.side) ** self.bits
         self.bands = max(1, math.ceil(math.log(1 - recall) / math.log1p(-min(shared, 1 - 1e-9))))
         self.planes = self.bits * self.bands
-        spread = math.sqrt(self.planes * self.side * (1 - self.side))
-        self.differ = min(self.planes, math.ceil(self.planes * self.side + SLACK * spread))
+        self.sketch = min(self.planes, SKETCH)
+        spread = math.sqrt(self.sketch * self.side * (1 - self.side))
+        self.differ = min(self.sketch, math.ceil(self.sketch * self.side + SLACK * spread))
 
     def normals(self, d: int) -> np.ndarray:
         return np.random.default_rng(SEED).normal(size=(d, self.planes))
 
 
-def _signed(plan: Plan):
+def _signed(plan: Plan, whole: bool = True):
+    """An entry for each vector and band; without ``whole`` its bucket alone."""
+    at_once = max(1, ENTRIES // plan.bands)
+    weights = np.int64(1) << np.arange(plan.bits, dtype=np.int64)
+
+    def entries(x: np.ndarray, ids: pa.Array, planes: np.ndarray) -> pa.RecordBatch:
+        sides = x @ planes > 0
+        keys = sides.reshape(len(x), plan.bands, plan.bits) @ weights
+        columns = {
+            "band": pa.array(np.tile(np.arange(plan.bands, dtype=np.int32), len(x))),
+            "key": pa.array((keys << np.int64(16) | np.int64(x.shape[1])).ravel()),
+        }
+        if whole:
+            sketch = np.repeat(np.packbits(sides[:, : plan.sketch], axis=1), plan.bands, axis=0)
+            ends = np.arange(len(sketch) + 1, dtype=np.int32) * np.int32(sketch.shape[1])
+            parts = [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(sketch))]
+            columns["id"] = ids.take(pa.array(np.repeat(np.arange(len(x)), plan.bands)))
+            columns["sketch"] = pa.Array.from_buffers(pa.binary(), len(sketch), parts)
+        return pa.RecordBatch.from_pydict(columns)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes: dict[int, np.ndarray] = {}
         for batch in batches:
             ids, column = batch.column(0), batch.column(1)
             sizes = np.diff(column.offsets.to_numpy())
             for d in np.unique(sizes):  # vectors of another length are a space of their own
-                at = np.flatnonzero(sizes == d)
-                x = column.take(pa.array(at)).flatten().to_numpy().reshape(-1, d)
                 if d not in planes:
                     planes[d] = plan.normals(d)
-                sides = x @ planes[d] > 0
-                sketch = np.packbits(sides, axis=1)
-                weights = np.int64(1) << np.arange(plan.bits, dtype=np.int64)
-                keys = sides.reshape(len(x), plan.bands, plan.bits) @ weights
-                own = ids.take(pa.array(np.repeat(at, plan.bands)))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.tile(np.arange(plan.bands, dtype=np.int32), len(x))),
-                        pa.array((keys << np.int64(16) | np.int64(d)).ravel()),
-                        own,
-                        pa.array([s.tobytes() for s in sketch for _ in range(plan.bands)], pa.binary()),
-                    ],
-                    names=["band", "key", "id", "sketch"],
-                )
+                of_size = np.flatnonzero(sizes == d)
+                for k in range(0, len(of_size), at_once):
+                    at = pa.array(of_size[k : k + at_once])
+                    x = column.take(at).flatten().to_numpy().reshape(-1, d)
+                    yield entries(x, ids.take(at), planes[d])
 
     return run
 
@@ -137,10 +150,12 @@ def _compared(differ: int):
             change = np.zeros(rows.num_rows, bool)
             for p in parts:
                 change[1:] |= p[1:] != p[:-1]
-            sketch = columns[6]
-            width = len(sketch[0].as_py())
-            padded = np.zeros((rows.num_rows, -(-width // 8) * 8), np.uint8)
-            padded[:, :width] = np.frombuffer(b"".join(sketch.to_pylist()), np.uint8).reshape(-1, width)
+            sketch = columns[6].cast(pa.binary())
+            _, ends, data = sketch.buffers()
+            ends = np.frombuffer(ends, np.int32)[sketch.offset :][: rows.num_rows + 1]
+            sides = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]].reshape(rows.num_rows, -1)
+            padded = np.zeros((rows.num_rows, -(-sides.shape[1] // 8) * 8), np.uint8)
+            padded[:, : sides.shape[1]] = sides
             a, b = pairs(
                 np.cumsum(change), columns[4].to_numpy(), parts[2] != parts[3],
                 columns[5].to_numpy(), padded.view(np.uint64),
@@ -169,13 +184,15 @@ def near_pairs(
 ) -> DataFrame:
     """``(a, b, score)``: pairs ``a < b`` of classes with a cosine over ``above``."""
     plan = Plan(classes.count(), above, recall)
-    signed = classes.select("class_id", "vector").mapInArrow(
-        _signed(plan), "band int, key long, id long, sketch binary"
+    vectors, bucket = classes.select("class_id", "vector"), ["band", "key"]
+    # buckets of several blocks are few: entries / block at most, which bounds the broadcast
+    counted = vectors.mapInArrow(_signed(plan, False), "band int, key long").groupBy(*bucket)
+    large = counted.agg(F.count("*").alias("n")).filter(F.col("n") > block)
+    large = large.select(*bucket, F.ceil(F.col("n") / block).cast("int").alias("_blocks"))
+    entries = vectors.mapInArrow(_signed(plan), "band int, key long, id long, sketch binary")
+    entries = entries.join(F.broadcast(large), bucket, "left").withColumn(
+        "blocks", F.coalesce("_blocks", F.lit(1))
     )
-    bucket = ["band", "key"]
-    sizes = signed.groupBy(*bucket).agg(F.count("*").alias("n")).filter("n > 1")
-    blocks = F.ceil(F.col("n") / block).cast("int")
-    entries = signed.join(sizes, bucket).withColumn("blocks", blocks)
     entries = entries.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     dealt = entries.select("*", other).select(
