@@ -23,7 +23,11 @@ _CORRUPT = "_corrupt_record"
 
 
 def parse_json(lines: DataFrame, schema: T.StructType, column: str = "value") -> DataFrame:
-    """Adds ``record`` (null when the JSON is malformed); unknown fields are dropped."""
+    """Adds ``record`` (null when the JSON is malformed); unknown fields are dropped.
+
+    A row's JSON is parsed once: as a generated column it isn't repeated in the filters on it,
+    nor carried below a shuffle with them.
+    """
     wide = T.StructType(schema.fields + [T.StructField(_CORRUPT, T.StringType())])
     parsed = F.from_json(
         F.col(column), wide, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT}
@@ -31,7 +35,7 @@ def parse_json(lines: DataFrame, schema: T.StructType, column: str = "value") ->
     good = F.struct(*[F.col("_parsed")[f.name].alias(f.name) for f in schema.fields])
     broken = F.col("_parsed").isNull() | F.col("_parsed")[_CORRUPT].isNotNull()
     return (
-        lines.withColumn("_parsed", parsed)
+        lines.select("*", F.explode(F.array(parsed)).alias("_parsed"))
         .withColumn("record", F.when(~broken, good))
         .drop("_parsed")
     )
@@ -188,11 +192,16 @@ def ticket_columns(record: Column) -> list[Column]:
     ]
 
 
-def normalise_tickets(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """JSON lines (``value``) to ticket rows without ``cached_at``, and the rejects."""
+def normalise_tickets(
+    lines: DataFrame, carry: Sequence[str] = ()
+) -> tuple[DataFrame, DataFrame]:
+    """JSON lines (``value``) to ticket rows without ``cached_at``, and the rejects.
+
+    Columns named in ``carry`` go along with the rows.
+    """
     parsed = parse_json(lines, schemas.RAW_ISSUE)
     good, rejects = split_rejects(parsed, F.col("record")["key"].isNotNull())
-    return good.select(*ticket_columns(F.col("record"))), rejects
+    return good.select(*ticket_columns(F.col("record")), *carry), rejects
 
 
 def normalise_users(lines: DataFrame, cached_at: str) -> tuple[DataFrame, DataFrame]:

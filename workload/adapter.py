@@ -129,11 +129,13 @@ def message_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ticket_lines(spark: SparkSession, sf_dir: str, moved: bool = False) -> DataFrame:
     """Issue JSON of every part; ``moved`` gives only those that changed by the later
-    snapshot, with their status one step on."""
+    snapshot, with their status one step on. ``at`` keeps the order of the table's rows."""
     p = spark.read.parquet(f"{sf_dir}/part.parquet")
     key, size = F.col("p_partkey"), F.col("p_size").cast("bigint")
     if moved:
         p = p.filter(F.col("p_partkey") % 2 == 0)
+    # a compressed file of a few MB is one task, and a row's JSON costs far more than its bytes
+    p = p.withColumn("at", F.monotonically_increasing_id()).repartition("p_partkey", "at")
     step = size + (1 if moved else 0)
     status = F.when(step % 3 == 0, "Open").when(step % 3 == 1, "In Progress").otherwise("Done")
 
@@ -181,7 +183,7 @@ def ticket_lines(spark: SparkSession, sf_dir: str, moved: bool = False) -> DataF
         F.struct(authors.alias("comments")).alias("comment"),
     )
     record = F.struct(_text("PROJ-", key).alias("key"), fields.alias("fields"))
-    return p.select(F.to_json(record).alias("value"))
+    return p.select(F.to_json(record).alias("value"), "at")
 
 
 def user_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -263,12 +265,25 @@ def requested_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def once(rows: DataFrame, purpose: str) -> DataFrame:
+    """Rows worked out once and kept, since sinks read their batch more than once."""
+    path = fresh_folder(rows.sparkSession, purpose)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.parquet(path)
+
+
+def ticket_batch(spark: SparkSession, sf_dir: str, day: str) -> DataFrame:
+    """A snapshot's normalised tickets, in the order ``at``."""
+    lines = ticket_lines(spark, sf_dir, day != "2024-01-10")
+    return once(raw.normalise_tickets(lines, carry=["at"])[0], "ticket-batch")
+
+
 def build_store(spark: SparkSession, sf_dir: str, root: str) -> None:
     messages, _ = raw.normalise_messages(message_lines(spark, sf_dir), RUN_DAY)
-    store.overwrite_messages(messages, root)
+    store.overwrite_messages(once(messages, "message-batch"), root)
     for day, stamp in SNAPSHOTS.items():
-        tickets, _ = raw.normalise_tickets(ticket_lines(spark, sf_dir, day != "2024-01-10"))
-        store.upsert_tickets(spark, tickets, root, day, instant(stamp))
+        tickets = ticket_batch(spark, sf_dir, day)
+        store.upsert_tickets(spark, tickets, root, day, instant(stamp), "at")
     users, _ = raw.normalise_users(user_lines(spark, sf_dir), USERS_CACHED_AT)
     store.upsert_users(spark, users, root)
 

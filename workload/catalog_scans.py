@@ -218,11 +218,10 @@ def upsert_messages(c: Chat) -> DataFrame:
 def upsert_tickets(c: Chat) -> DataFrame:
     root = fresh_folder(c.spark, "upsert-tickets")
     for day, stamp in adapter.SNAPSHOTS.items():
-        lines = adapter.ticket_lines(c.spark, c.sf_dir, day != "2024-01-10")
-        rows, _ = raw.normalise_tickets(lines)
+        rows = adapter.ticket_batch(c.spark, c.sf_dir, day)
         for status in (F.lit("Draft"), F.col("status")):
             store.upsert_tickets(
-                c.spark, rows.withColumn("status", status), root, day, instants.instant(stamp)
+                c.spark, rows.withColumn("status", status), root, day, instants.instant(stamp), "at"
             )
     return tables.read_tickets(c.spark, root).select("ticket_id", "dt", "status")
 
