@@ -42,13 +42,16 @@ def lookup(
     rows_per_task: int = ROWS_PER_TASK,
     spread: Sequence[str] | None = None,
     rows: str | None = None,
+    large: bool = False,
 ) -> DataFrame:
     """Join ``left`` with ``right``, which has at most one row per key.
 
     Keys with more than ``rows_per_task`` rows on the left are split into slices,
     and their single right row is copied once per slice. Rows with a null key are
     spread too; they match nothing. Catalyst still picks a broadcast join by itself
-    when the right side is small enough.
+    when the right side is small enough. ``large`` rules that out, for right sides that it
+    takes for small: texts from compressed files, or made of many columns, are many times
+    larger in memory than estimated.
 
     The heavy keys come from a count of the left keys, or, when the right side already
     knows how many rows each key has, from its column ``rows``.
@@ -75,7 +78,10 @@ def lookup(
     copied = copied.withColumn(
         "_slice", F.explode(F.sequence(F.lit(0), F.coalesce("_slices", one) - 1))
     )
-    joined = sliced.drop("_slices").join(copied.drop("_slices"), [*keys, "_slice"], how)
+    copied = copied.drop("_slices")
+    if large:
+        copied = copied.hint("merge")
+    joined = sliced.drop("_slices").join(copied, [*keys, "_slice"], how)
     semi = how in ("left_semi", "left_anti")
     extra = [] if semi else [c for c in right.columns if c not in keys]
     return joined.select(*left.columns, *extra)

@@ -56,7 +56,9 @@ def mention_names(messages: DataFrame, names: DataFrame, text: str = "text") ->
     ids = some.select(
         *MESSAGE_KEY, F.explode(F.array_distinct(mention_ids(F.col(text)))).alias("user_id")
     )
-    found = lookup(ids, names.select("user_id", "name"), ["user_id"], "inner", spread=MESSAGE_KEY)
+    found = lookup(
+        ids, names.select("user_id", "name"), ["user_id"], "inner", spread=MESSAGE_KEY, large=True
+    )
     return found.groupBy(*MESSAGE_KEY).agg(
         F.map_from_entries(F.collect_set(F.struct("user_id", "name"))).alias("mention_names")
     )

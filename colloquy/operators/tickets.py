@@ -31,7 +31,7 @@ def ticket_metadata(messages: DataFrame, tickets: DataFrame) -> DataFrame:
     """(channel, message_id, jira_metadata) of messages that mention tickets: one entry per
     ticket in mention order, unknown tickets with null fields."""
     newest = latest_tickets(tickets.select(*META_FIELDS, "cached_at", "dt")).select(*META_FIELDS)
-    entries = lookup(mentioned(messages), newest, ["ticket_id"], spread=MESSAGE_KEY)
+    entries = lookup(mentioned(messages), newest, ["ticket_id"], spread=MESSAGE_KEY, large=True)
     entry = F.struct("pos", F.struct(*META_FIELDS).alias("meta"))
     lists = entries.groupBy(*MESSAGE_KEY).agg(F.sort_array(F.collect_list(entry)).alias("_meta"))
     metas = F.transform("_meta", lambda e: e["meta"]).cast(schemas.array(schemas.TICKET_META))
@@ -56,7 +56,7 @@ def message_tickets(messages: DataFrame, tickets: DataFrame, how: str = "left")
         tickets.select(*META_FIELDS, "blocked_by", "cached_at", "dt")
     ).drop("cached_at", "dt")
     pairs = mentioned(messages, "user_id", "user_real_name", "text", "event_ts")
-    return lookup(pairs, newest, ["ticket_id"], how, spread=MESSAGE_KEY)
+    return lookup(pairs, newest, ["ticket_id"], how, spread=MESSAGE_KEY, large=True)
 
 
 def by_status(messages: DataFrame, tickets: DataFrame, status: str) -> DataFrame:
@@ -74,7 +74,7 @@ def mentions_by_status(messages: DataFrame, tickets: DataFrame) -> DataFrame:
     """Distinct messages and tickets per status and priority; unknown tickets are null."""
     newest = latest_tickets(tickets.select("ticket_id", "status", "priority", "cached_at", "dt"))
     known = newest.select("ticket_id", "status", "priority", F.col("ticket_id").alias("known_id"))
-    pairs = lookup(mentioned(messages), known, ["ticket_id"], spread=MESSAGE_KEY)
+    pairs = lookup(mentioned(messages), known, ["ticket_id"], spread=MESSAGE_KEY, large=True)
     by = ["status", "priority"]
     said = pairs.select(*by, *MESSAGE_KEY).distinct().groupBy(*by)
     named = pairs.select(*by, "known_id").distinct().groupBy(*by)
@@ -148,7 +148,9 @@ def ticket_notes(messages: DataFrame, tickets: DataFrame) -> DataFrame:
     details = newest.select(
         "ticket_id", ticket_details(F.struct(*[F.col(c) for c in newest.columns])).alias("details")
     )
-    found = lookup(mentioned(messages), details, ["ticket_id"], "inner", spread=MESSAGE_KEY)
+    found = lookup(
+        mentioned(messages), details, ["ticket_id"], "inner", spread=MESSAGE_KEY, large=True
+    )
     return found.groupBy(*MESSAGE_KEY).agg(
         F.map_from_entries(F.collect_set(F.struct("ticket_id", "details"))).alias("ticket_notes")
     )
