@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import written
-from .tokens import Encoder
+from .tokens import kept_encoder
 
 SIZE = 1024
 #: Pieces numbered in one task, about.
@@ -77,7 +77,7 @@ def places(patterns: list[tuple[int, Pattern]]) -> dict[int, np.ndarray]:
 
 def _cut(tokenizer: str, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer)
+        encoder = kept_encoder(tokenizer)
         for batch in batches:
             out: list[tuple] = []
             for doc, same, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):

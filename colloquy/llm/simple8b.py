@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import fresh_folder
-from .tokens import Encoder
+from .tokens import kept_encoder
 
 BLOCK = 4096
 SHARD_IDS = 1 << 20
@@ -149,7 +149,7 @@ _SHARDS = (
 
 def _write_shards(tokenizer: str, shard_ids: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, shard = Encoder(tokenizer), TaskContext.get().partitionId(), 0
+        encoder, part, shard = kept_encoder(tokenizer), TaskContext.get().partitionId(), 0
         docs: list[int | None] = []
         ids: list[np.ndarray] = []
         size = 0

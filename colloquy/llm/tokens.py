@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 from array import array
+from functools import lru_cache
 
 import numpy as np
 
@@ -97,6 +98,13 @@ class Encoder:
         return np.frombuffer(b"".join(parts), np.uint32)
 
 
+@lru_cache(maxsize=1)
+def kept_encoder(path: str) -> Encoder:
+    """The encoder of a file, kept by its Python worker: Spark runs tasks one after another in
+    the same worker, and each finds the words remembered that earlier ones met."""
+    return Encoder(path)
+
+
 def public_path(name: str) -> str:
     """The file of a public tokenizer by its name, where that package is installed."""
     import public_tokenizers
