@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -44,15 +47,37 @@ def row_key(*columns: str) -> Column:
     return F.xxhash64(*[F.col(c) for c in columns])
 
 
+@contextmanager
+def _shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Queries run inside leave no shuffle files behind, else they stay until the driver happens
+    to collect its garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def written(df: DataFrame, purpose: str) -> DataFrame:
     """The frame written once as Parquet below the shared folder and read back, so that its
     lineage ends there and its readers take only their columns."""
     spark = df.sparkSession
     path = fresh_folder(spark, purpose)
-    df.write.parquet(path)
+    with _shuffles_removed(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def deleted(*tables: DataFrame) -> None:
+    """Empties written tables, which no frame may read any more."""
+    for rows in tables:
+        if files := rows.inputFiles():
+            none = rows.sparkSession.createDataFrame([], rows.schema)
+            none.write.mode("overwrite").parquet(files[0].rpartition("/")[0])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 

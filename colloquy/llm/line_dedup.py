@@ -17,6 +17,8 @@ threshold. Only DataFrame functions are used.
    verified and settle it, and the next round takes the following ones, ``GROWTH`` times as
    many, until no such class has earlier ones left. Nothing is passed over, and a large group of
    near copies, which the first rounds settle, doesn't emit its pairs.
+5. Words are dealt into ``PARTS`` parts. The index is sorted and searched part by part, so that
+   the disk holds one part's shuffle at a time; a round's pairs are verified together.
 
 Defined cases: null texts have no lines; lines of fewer than ``min_words`` different words are
 left alone and match nothing; a null id comes first; repeated rows (same id and text) are one
@@ -29,13 +31,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import likely_in, lower_az, row_key, text_of, without_lines, words_of, written
+from .common import deleted, likely_in, lower_az, row_key, text_of, without_lines, words_of, written
 
 #: Least Jaccard similarity in per cent, and fewest different words of a line.
 PERCENT = 80
 MIN_WORDS = 1
 #: Earlier classes of a word's list that the first round takes, and by what later rounds take more.
 FIRST, GROWTH = 4, 8
+#: Parts of the index, and the fewest of its entries that are dealt into so many.
+PARTS, FEWEST_ENTRIES = 4, 500_000
 #: Entries of the table of word counts. Words that meet in an entry have one rarity; the order
 #: stays one and the same for all lines, so results don't depend on this.
 RARITY_BUCKETS = 1 << 20
@@ -124,7 +128,7 @@ def _verified(
     sets = written(_whole_sets(places, docs, rarities), "sets")
     for s in "12":
         pairs = pairs.join(sets.select(F.col("c").alias(f"c{s}"), F.col("set").alias(f"s{s}")), f"c{s}")
-    return (
+    similar = (
         pairs.select(
             F.col("c2").alias("c"),
             F.size(F.array_intersect("s1", "s2")).alias("both"),
@@ -134,6 +138,9 @@ def _verified(
         .select("c")
         .distinct()
     )
+    similar = written(similar, "similar")
+    deleted(places, sets)
+    return similar
 
 
 def _index(entries: DataFrame, percent: int) -> DataFrame:
@@ -158,31 +165,73 @@ def _index(entries: DataFrame, percent: int) -> DataFrame:
     return rows.select("t", "of", "rank", F.array_compact(F.array(*found)).alias("first"))
 
 
-def _settled(index: DataFrame, percent: int, verified) -> DataFrame:
+def _in_parts(entries: DataFrame, classes: DataFrame, percent: int) -> list[DataFrame]:
+    """The index of the entries, one table for each part of the words."""
+    total = classes.agg(F.sum(F.size("prefix"))).first()[0] or 0
+    n = PARTS if total >= FEWEST_ENTRIES else 1
+    parts = [entries.filter(F.pmod("t", F.lit(n)) == k) for k in range(n)]
+    return [written(_index(part, percent), "index") for part in parts]
+
+
+def _unsettled(rows: DataFrame, settled: DataFrame) -> DataFrame:
+    """The rows whose class ``c`` isn't settled. Most are told by a bitmap and stay where they are;
+    only the others are shuffled for the join."""
+    likely = likely_in(settled, "c", F.col("c"))
+    return rows.filter(~likely).unionByName(rows.filter(likely).join(settled, "c", "left_anti"))
+
+
+def _round(index: DataFrame, settled: DataFrame, done: int, width: int, percent: int) -> DataFrame:
+    """Pairs ``(c1, c2)`` that may match of a class that isn't settled and one of the ``width``
+    classes behind the first ``done`` of a word's list."""
+    still = index.filter(F.col("rank") > done + 1).select(
+        F.col("of.c").alias("c"), "t", F.col("rank").alias("rank2"), F.col("of").alias("b")
+    )
+    still = _unsettled(still, settled).drop("c")
+    earlier = index.filter(F.col("rank").between(done + 1, done + width)).select(
+        "t", F.col("rank").alias("rank1"), F.col("of").alias("a")
+    )
+    return (
+        earlier.join(still, "t")
+        .filter((F.col("rank1") < F.col("rank2")) & _may_match("a", "b", percent))
+        .select(F.col("a.c").alias("c1"), F.col("b.c").alias("c2"))
+        .distinct()
+    )
+
+
+def _together(tables: list[DataFrame]) -> DataFrame:
+    """The distinct pairs of all parts as one table; the parts' own go."""
+    if len(tables) == 1:
+        return tables[0]
+    whole = tables[0]
+    for table in tables[1:]:
+        whole = whole.unionByName(table)
+    whole = written(whole.distinct(), "pairs")
+    deleted(*tables)
+    return whole
+
+
+def _settled(parts: list[DataFrame], percent: int, verified) -> DataFrame:
     """The classes of the index that an earlier one is similar to, as ``verified`` finds out for
-    pairs ``(c1, c2)`` of an earlier and a later class."""
-    pairs = index.select(F.explode("first").alias("c1"), F.col("of.c").alias("c2")).distinct()
-    settled = written(verified(written(pairs, "pairs")), "settled")
+    pairs ``(c1, c2)`` of an earlier and a later class. The index goes."""
+    pairs = [
+        written(x.select(F.explode("first").alias("c1"), F.col("of.c").alias("c2")).distinct(), "pairs")
+        for x in parts
+    ]
+    pairs = _together(pairs)
+    settled = verified(pairs)
+    deleted(pairs)
     done, width = FIRST, FIRST * GROWTH
-    longest = index.agg(F.max("rank")).first()[0] or 0
-    while done + 1 < longest:
-        still = index.filter(F.col("rank") > done + 1).select(
-            "t", F.col("rank").alias("rank2"), F.col("of").alias("b"), F.col("of.c").alias("c")
-        )
-        still = still.join(settled, "c", "left_anti")
-        earlier = index.filter(F.col("rank").between(done + 1, done + width)).select(
-            "t", F.col("rank").alias("rank1"), F.col("of").alias("a")
-        )
-        pairs = (
-            earlier.join(still, "t")
-            .filter((F.col("rank1") < F.col("rank2")) & _may_match("a", "b", percent))
-            .select(F.col("a.c").alias("c1"), F.col("b.c").alias("c2"))
-            .distinct()
-        )
-        pairs = written(pairs, "pairs")
+    longest = [x.agg(F.max("rank")).first()[0] or 0 for x in parts]
+    while done + 1 < max(longest):
+        left = [x for x, most in zip(parts, longest, strict=True) if done + 1 < most]
+        pairs = _together([written(_round(x, settled, done, width, percent), "pairs") for x in left])
         if not pairs.isEmpty():
-            settled = written(settled.unionByName(verified(pairs)), "settled")
+            similar = verified(pairs)
+            before, settled = settled, written(settled.unionByName(similar), "settled")
+            deleted(before, similar)
+        deleted(pairs)
         done, width = done + width, width * GROWTH
+    deleted(*parts)
     return settled
 
 
@@ -235,7 +284,7 @@ def later_matches(
     joined = classes.filter(100 * F.col("n") >= percent * (F.col("n") + 1))
 
     entries = joined.select("c", "key", "pos", "n", "bits", F.posexplode("prefix").alias("i", "t"))
-    index = written(_index(entries, percent), "index")
+    index = _in_parts(entries, joined, percent)
     near = _settled(index, percent, lambda pairs: _verified(pairs, classes, docs, rarities, percent))
     first = classes.select("c", F.struct("key", "pos", "row").alias("at")).join(
         near.withColumn("near", F.lit(True)), "c", "left"
