@@ -173,20 +173,13 @@ def _in_parts(entries: DataFrame, classes: DataFrame, percent: int) -> list[Data
     return [written(_index(part, percent), "index") for part in parts]
 
 
-def _unsettled(rows: DataFrame, settled: DataFrame) -> DataFrame:
-    """The rows whose class ``c`` isn't settled. Most are told by a bitmap and stay where they are;
-    only the others are shuffled for the join."""
-    likely = likely_in(settled, "c", F.col("c"))
-    return rows.filter(~likely).unionByName(rows.filter(likely).join(settled, "c", "left_anti"))
-
-
 def _round(index: DataFrame, settled: DataFrame, done: int, width: int, percent: int) -> DataFrame:
     """Pairs ``(c1, c2)`` that may match of a class that isn't settled and one of the ``width``
     classes behind the first ``done`` of a word's list."""
     still = index.filter(F.col("rank") > done + 1).select(
         F.col("of.c").alias("c"), "t", F.col("rank").alias("rank2"), F.col("of").alias("b")
     )
-    still = _unsettled(still, settled).drop("c")
+    still = still.join(settled, "c", "left_anti").drop("c")
     earlier = index.filter(F.col("rank").between(done + 1, done + width)).select(
         "t", F.col("rank").alias("rank1"), F.col("of").alias("a")
     )
