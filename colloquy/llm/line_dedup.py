@@ -43,6 +43,9 @@ PARTS, FEWEST_ENTRIES = 4, 500_000
 #: Entries of the table of word counts. Words that meet in an entry have one rarity; the order
 #: stays one and the same for all lines, so results don't depend on this.
 RARITY_BUCKETS = 1 << 20
+#: Sets of so many words have a second bit pattern, of so many longs: with more words than that,
+#: 64 bits fill up and tell few sets apart.
+LONG_SET, WIDE = 64, 4
 #: Low bits of a word's token, which identify it; the bits above hold its rarity.
 _HASH_BITS = 57
 
@@ -51,7 +54,7 @@ def _rarities(texts: DataFrame) -> Column:
     """An array literal: for each bucket of words a rarity class from 0 (rare) to 63."""
     spark = texts.sparkSession
     counts = (
-        texts.select(F.explode(words_of(F.translate("_t", "\n", " "))).alias("w"))
+        texts.select(F.explode(words_of(F.col("_t"))).alias("w"))
         .select(F.pmod(F.xxhash64("w"), F.lit(RARITY_BUCKETS)).alias("b"))
         .groupBy("b")
         .agg(F.count("*").alias("c"))
@@ -109,6 +112,31 @@ def _may_match(a: str, b: str, percent: int) -> Column:
     )
 
 
+def _wide(of: str) -> Column:
+    """The second bit pattern of a set, for long ones."""
+    longs = [
+        F.expr(
+            f"aggregate({of}, 0L, (s, x) -> "
+            f"if((x >> 6) & {WIDE - 1}L = {k}L, s ^ shiftleft(1L, int((x >> 8) & 63L)), s))"
+        )
+        for k in range(WIDE)
+    ]
+    return F.when(F.size(of) >= LONG_SET, F.array(*longs))
+
+
+def _close(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs ``(c1, c2)`` without those of long sets whose second patterns differ in more bits
+    than the sets may differ in words."""
+    long = classes.filter(F.col("wide").isNotNull()).select("c", "n", "wide")
+    for s in "12":
+        own = long.select(F.col("c").alias(f"c{s}"), F.col("n").alias(f"n{s}"), F.col("wide").alias(f"w{s}"))
+        pairs = pairs.join(own.hint("merge"), f"c{s}", "left")
+    bits = F.zip_with("w1", "w2", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    differ = F.aggregate(bits, F.lit(0), lambda n, v: n + v)
+    may = differ <= F.col("n1") + F.col("n2") - 2 * _least_overlap("n1", "n2", percent)
+    return pairs.filter(F.coalesce(may, F.lit(True))).select("c1", "c2")
+
+
 def _whole_sets(classes: DataFrame, docs: DataFrame, rarities: Column) -> DataFrame:
     """``(c, set)`` of the classes ``(c, row, pos)``: their lines are read again, those alone."""
     places = classes.select("c", "row", "pos", F.xxhash64("row", "pos").alias("at"))
@@ -123,6 +151,7 @@ def _verified(
 ) -> DataFrame:
     """``c`` of the pairs' later classes ``c2`` that are similar to their ``c1``. Only the lines of
     the pairs' classes are read again."""
+    near = pairs = written(_close(pairs, classes, percent), "pairs")
     wanted = pairs.select(F.explode(F.array("c1", "c2")).alias("c")).distinct()
     places = written(classes.join(wanted, "c", "left_semi").select("c", "row", "pos"), "places")
     sets = written(_whole_sets(places, docs, rarities), "sets")
@@ -139,7 +168,7 @@ def _verified(
         .distinct()
     )
     similar = written(similar, "similar")
-    deleted(places, sets)
+    deleted(near, places, sets)
     return similar
 
 
@@ -228,16 +257,21 @@ def _settled(parts: list[DataFrame], percent: int, verified) -> DataFrame:
     return settled
 
 
-def later_matches(
+def later_matches(documents: DataFrame, **options) -> DataFrame:
+    """Each line of ``min_words`` different words or more: ``key``, ``row`` (a hash of the
+    document's id and text), ``pos`` (0-based line number), ``chars`` and ``removed``."""
+    return _matches(documents, **options)[0]
+
+
+def _matches(
     documents: DataFrame,
     *,
     text: str = "text",
     key: str = "doc_id",
     percent: int = PERCENT,
     min_words: int = MIN_WORDS,
-) -> DataFrame:
-    """Each line of ``min_words`` different words or more: ``key``, ``row`` (a hash of the
-    document's id and text), ``pos`` (0-based line number), ``chars`` and ``removed``."""
+) -> tuple[DataFrame, list[DataFrame]]:
+    """The lines as ``later_matches`` gives them, and the written tables that they are read from."""
     docs = documents.select(
         F.col(key).alias("key"),
         row_key(key, text).alias("row"),
@@ -257,6 +291,7 @@ def later_matches(
             F.xxhash64("set").alias("c"),
             F.size("set").alias("n"),
             F.expr("aggregate(set, 0L, (s, x) -> s ^ shiftleft(1L, int(x & 63L)))").alias("bits"),
+            _wide("set").alias("wide"),
             F.transform(
                 F.slice("set", F.lit(1), keep), lambda x: x.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")
             ).alias("prefix"),
@@ -267,7 +302,7 @@ def later_matches(
         lines.groupBy("c")
         .agg(
             F.min(F.struct("key", "pos", "row")).alias("at"),
-            F.first(F.struct("n", "bits", "prefix")).alias("of"),
+            F.first(F.struct("n", "bits", "wide", "prefix")).alias("of"),
         )
         .select("c", "at.*", "of.*"),
         "classes",
@@ -282,7 +317,7 @@ def later_matches(
     first = classes.select("c", F.struct("key", "pos", "row").alias("at")).join(
         near.withColumn("near", F.lit(True)), "c", "left"
     )
-    return lines.join(first, "c").select(
+    found = lines.join(first, "c").select(
         "key",
         "row",
         "pos",
@@ -291,6 +326,7 @@ def later_matches(
             F.col("near").isNotNull() | ~F.struct("key", "pos", "row").eqNullSafe(F.col("at"))
         ).alias("removed"),
     )
+    return found, [once, lines, classes, near]
 
 
 def deduplicated(
@@ -307,15 +343,18 @@ def deduplicated(
     So do those that lose more than ``most_removed`` of their characters, line ends not counted:
     of a near copy of an earlier document little is left but the places where it was changed.
     """
+    matches, tables = _matches(documents, text=text, key=key, **options)
     found = (
-        later_matches(documents, text=text, key=key, **options)
-        .filter("removed")
+        matches.filter("removed")
         .select("key", "row", "pos", "chars")
         .distinct()
         .groupBy("key", "row")
         .agg(F.sort_array(F.collect_list("pos")).alias("_gone"), F.sum("chars").alias("_lost"))
         .select(F.col("key").alias("_k"), F.col("row").alias("_r"), "_gone", "_lost")
     )
+    # all that is left of the lines, so that their tables needn't outlive this stage
+    found = written(found, "gone")
+    deleted(*tables)
     rows = documents.select(
         F.struct("*").alias("_doc"), F.col(key).alias("_key"), row_key(key, text).alias("_row")
     ).join(found, (F.col("_row") == F.col("_r")) & F.col("_key").eqNullSafe(F.col("_k")), "left")

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import likely_in, lower_words, written
+from .common import deleted, likely_in, lower_words, written
 from .components import components
 
 #: Words in a shingle, and least Jaccard similarity in per cent.
@@ -192,7 +192,9 @@ def _read_again(pairs: DataFrame, docs: DataFrame, run, columns: str) -> DataFra
     """What ``run`` makes of the documents of the pairs, written."""
     ids = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
     rows = docs.filter(likely_in(ids, "id", F.col("id"))).join(ids, "id", "left_semi")
-    return written(rows.mapInArrow(run, f"id long, n long, {columns}"), "sets")
+    found = written(rows.mapInArrow(run, f"id long, n long, {columns}"), "sets")
+    deleted(ids)
+    return found
 
 
 def _with_both(pairs: DataFrame, found: DataFrame, *columns: str) -> DataFrame:
@@ -217,7 +219,7 @@ def _differing(a: str, b: str) -> Column:
 
 
 def similar(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Those of the candidate pairs ``(a, b)`` that reach the threshold.
+    """Those of the candidate pairs ``(a, b)`` that reach the threshold, written.
 
     Filters see short columns of the pairs' documents; whole sets are made only for the
     documents of pairs that pass them.
@@ -234,6 +236,7 @@ def similar(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Data
         (100 + percent) * differ <= (100 - percent) * sizes
     )
     pairs = written(pairs.select("a", "b"), "pairs")
+    used = [sketches, pairs]
     x, y = [
         F.when(F.size(f"odd_{s}") > F.size(f"odd_{o}"), F.col(f"folded_{s}")).otherwise(
             F.col(f"odd_{s}")
@@ -254,18 +257,23 @@ def similar(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Data
             (100 + percent) * differ <= (100 - percent) * sizes
         )
         pairs = written(passed.select("a", "b"), "pairs")
+        used.append(pairs)
     passed = _with_both(pairs, sketches, "p2", "p3").filter(
         F.arrays_overlap("p2_a", "p2_b") & F.arrays_overlap("p3_a", "p3_b")
     )
     passed = written(passed.select("a", "b"), "pairs")
+    deleted(*used)
     sets = _read_again(passed, docs, _wholes(width), "set array<long>")
     common = F.size(F.array_intersect("set_a", "set_b")).alias("c")
-    return (
+    found = (
         _with_both(passed, sets, "set")
         .select("a", "b", common, (F.col("n_a") + F.col("n_b")).alias("both"))
         .filter(100 * F.col("c") >= percent * (F.col("both") - F.col("c")))
         .select("a", "b")
     )
+    found = written(found, "found")
+    deleted(passed, sets)
+    return found
 
 
 def groups(
@@ -277,6 +285,13 @@ def groups(
     percent: int = PERCENT,
 ) -> DataFrame:
     """``(id, n_shingles, component)`` for each row of the documents."""
+    return _groups(documents, text=text, key=key, width=width, percent=percent)[0]
+
+
+def _groups(
+    documents: DataFrame, *, text: str, key: str, width: int = WIDTH, percent: int = PERCENT
+) -> tuple[DataFrame, list[DataFrame]]:
+    """The rows as ``groups`` gives them, and the written tables that they are read from."""
     docs = documents.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     heads = written(
         docs.mapInArrow(
@@ -310,7 +325,8 @@ def groups(
     lists = index.groupBy("t").agg(
         F.count("*").alias("length"), F.min(F.struct("node", "n")).alias("hub")
     )
-    index = written(index.join(lists.filter("length > 1"), "t"), "index")
+    entries, index = index, written(index.join(lists.filter("length > 1"), "t"), "index")
+    deleted(entries)
     short = index.filter(F.col("length") <= LONG_LIST)
     left, right = [
         short.select("t", F.col("node").alias(s), F.col("n").alias(f"n{s}")) for s in "ab"
@@ -323,7 +339,7 @@ def groups(
         F.min("id").alias("node"), F.first("sketch").alias("sketch")
     )
     long = index.filter(F.col("length") > LONG_LIST).select("t", "node", "n")
-    long = written(long.join(sketches.select("node", "sketch"), "node"), "index")
+    long = long_lists = written(long.join(sketches.select("node", "sketch"), "node"), "index")
     close = fits & (
         (100 + percent) * _differing("ska", "skb")
         <= (100 - percent) * (F.col("na") + F.col("nb"))
@@ -353,8 +369,10 @@ def groups(
         .select(*pair)
     )
     pairs = written(within.unionByName(around).distinct(), "pairs")
-    links = written(similar(pairs, docs, width, percent), "found")
+    deleted(index)
+    links = similar(pairs, docs, width, percent)
     found = components(links)
+    deleted(links)
 
     # in long lists, pairs of different components are left
     long = long.join(found, "node", "left").withColumn("part", F.coalesce("component", "node"))
@@ -372,6 +390,7 @@ def groups(
         .join(pairs, ["a", "b"], "left_anti"),
         "pairs",
     )
+    deleted(long_lists, pairs)
     if not across.isEmpty():
         more = similar(across, docs, width, percent)
         found = components(
@@ -383,19 +402,23 @@ def groups(
     of_class = smallest.join(found, "node", "left").select(
         "n", "s1", "s2", F.coalesce("component", "node").alias("component")
     )
-    return heads.join(of_class, ["n", "s1", "s2"], "left").select(
+    rows = heads.join(of_class, ["n", "s1", "s2"], "left").select(
         "id",
         F.col("n").alias("n_shingles"),
         F.when(linked, F.col("component")).otherwise(F.col("id")).alias("component"),
     )
+    return rows, [heads, found]
 
 
 def one_of_each(
     documents: DataFrame, *, text: str = "text", key: str = "doc_id", **options
 ) -> DataFrame:
     """The document with the smallest id of each group, and those without an id."""
-    found = groups(documents, text=text, key=key, **options)
+    found, tables = _groups(documents, text=text, key=key, **options)
     kept = found.filter(F.col("id") == F.col("component")).select(F.col("id").alias("_id"))
+    # all that is left of the groups, so that their tables needn't outlive this stage
+    kept = written(kept.distinct(), "kept")
+    deleted(*tables)
     rows = documents.select(F.struct("*").alias("_doc"), F.col(key).cast("long").alias("_id"))
-    named = rows.join(kept.distinct(), "_id", "left_semi").dropDuplicates(["_id"])
+    named = rows.join(kept, "_id", "left_semi").dropDuplicates(["_id"])
     return named.unionByName(rows.filter(F.col("_id").isNull())).select("_doc.*")
