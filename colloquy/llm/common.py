@@ -123,37 +123,40 @@ BITS_PER_KEY, FEWEST_BITS, MOST_BITS = 16, 1 << 16, 1 << 28
 def likely_in(keys: DataFrame, column: str, probe: Column) -> Column:
     """True for every key that ``keys`` holds, false for almost all others.
 
-    A bitmap sized by the number of keys (up to ``MOST_BITS``, 32 MB; with more than 2 ** 25 keys
+    A bitmap sized by the number of keys (up to ``MOST_BITS``, 32 MB; with more than 2 ** 24 keys
     it lets more rows pass), so that rows which a semi-join would drop needn't be shuffled; the
     join itself still has to follow. ``keys`` should be a written table, as it is counted first.
+
+    Both bits of a key are in one word, so that the condition names the bitmap once: the driver
+    makes it, and sends it with each stage's tasks, as often as it is named.
     """
     spark = keys.sparkSession
     bits = max(FEWEST_BITS, min(MOST_BITS, 1 << (BITS_PER_KEY * keys.count()).bit_length()))
 
-    def places(key: Column) -> list[Column]:
-        return [F.pmod(F.xxhash64(key, F.lit(k)), F.lit(bits)) for k in (1, 2)]
+    def place(key: Column) -> tuple[Column, Column]:
+        """A key's word, and its bits there."""
+        h = F.xxhash64(key, F.lit(1))
+        first, second = [
+            F.call_function(
+                "shiftleft",
+                F.lit(1).cast("long"),
+                F.shiftrightunsigned(h, n).bitwiseAND(F.lit(63)).cast("int"),
+            )
+            for n in (40, 50)
+        ]
+        return h.bitwiseAND(F.lit(bits // 64 - 1)).cast("int"), first.bitwiseOR(second)
 
+    at, mask = place(F.col(column))
+    every = spark.range(bits // 64).select(F.col("id").cast("int"), F.lit(0).cast("long"))
     words = (
-        keys.select(F.explode(F.array(*places(F.col(column)))).alias("bit"))
-        .select(F.shiftright("bit", 6).alias("w"), F.expr("cast(1 AS bigint)").alias("one"),
-                F.pmod("bit", F.lit(64)).cast("int").alias("b"))
+        keys.select(at.alias("w"), mask.alias("bits"))
+        .unionAll(every)
         .groupBy("w")
-        .agg(F.bit_or(F.expr("shiftleft(one, b)")).alias("bits"))
-    )
-    whole = spark.range(bits // 64).withColumnRenamed("id", "w").join(words, "w", "left")
-    bitmap = (
-        whole.agg(
-            F.sort_array(F.collect_list(F.struct("w", F.coalesce("bits", F.lit(0)).alias("bits"))))
-            .alias("m")
-        )
-        .select("m.bits")
-        .scalar()
+        .agg(F.bit_or("bits").alias("bits"))
     )
-    found = F.lit(True)
-    for place in places(probe):
-        word = F.get(bitmap, F.shiftright(place, 6).cast("int"))
-        found = found & (F.getbit(word, F.pmod(place, F.lit(64)).cast("int")) == 1)
-    return found
+    bitmap = words.agg(F.sort_array(F.collect_list(F.struct("w", "bits"))).alias("m"))
+    at, mask = place(probe)
+    return F.get(bitmap.select("m.bits").scalar(), at).bitwiseAND(mask) == mask
 
 
 def greatest(rows: DataFrame, by: Column, most: int) -> DataFrame:

@@ -200,14 +200,12 @@ def _read_again(pairs: DataFrame, docs: DataFrame, run, columns: str) -> DataFra
 def _with_both(pairs: DataFrame, found: DataFrame, *columns: str) -> DataFrame:
     """The pairs with these columns of ``a`` and of ``b``.
 
-    Rows of ``found`` that no pair needs stay out of the shuffle. Pairs grow with the input, so
-    they are merged by a shuffle at every size.
+    Pairs grow with the input, so they are merged by a shuffle at every size.
     """
-    out = pairs = pairs.select("a", "b")
+    out = pairs.select("a", "b")
     for s in "ab":
         own = [F.col(c).alias(f"{c}_{s}") for c in ("n", *columns)]
-        wanted = found.filter(likely_in(pairs, s, F.col("id")))
-        out = out.hint("merge").join(wanted.select(F.col("id").alias(s), *own), s)
+        out = out.hint("merge").join(found.select(F.col("id").alias(s), *own), s)
     return out
 
 
