@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType, StringType
 
 from ..functions.text import mention_ids
-from ..session import shared_folder
+from ..session import fresh_folder
 from .keys import ROWS_PER_TASK, listed, lookup
 from .tickets import mentioned
 
@@ -16,6 +18,8 @@ from .tickets import mentioned
 CURRENT_DAYS, COMPARISON_DAYS, PERSISTENCE_DAYS = 7, 21, 28
 DUPLICATE_SCORE = 0.85
 CLUSTER_SCORE = 0.7
+# Nodes that a worker joins at once, before clusters are searched across tasks.
+NODES_AT_ONCE = 200_000
 
 
 def _node(kind: str, *parts: Column | str) -> Column:
@@ -116,47 +120,113 @@ def clusters(
 ) -> DataFrame:
     """Connected components of the edges (a, b, score) that score over ``above``.
 
-    Alternates large-star and small-star steps (Kiveris et al., "Connected Components in
-    MapReduce and Beyond", 2014) until the edges no longer change; each node then points
-    to the smallest id of its component. Every round is checkpointed, so a lost executor
-    costs one round at most.
+    Edges that lie together are joined first, a bounded number at a time, so that a chain in
+    one partition is a star before anything is shuffled. Nodes that then have one target and
+    aren't a target themselves wait; they get their target's component in the end. For the others,
+    large-star and small-star steps alternate (Kiveris et al., "Connected Components in MapReduce
+    and Beyond", 2014) until every node points to the smallest id of its component. Every step is
+    written to the shared folder, so a lost executor costs one step at most.
     """
-    shared_folder(edges.sparkSession)
     kept = edges.filter((F.col("score") > above) & (F.col("a") != F.col("b")))
-    state = kept.select(
-        F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")
-    ).distinct().checkpoint()
-    mark = _fingerprint(state)
-    while True:
-        state = _small_star(_large_star(state, rows_per_task), rows_per_task).checkpoint()
-        seen, mark = mark, _fingerprint(state)
-        if seen == mark:
-            break
-    roots = state.select(F.col("v").alias("node"), F.col("v").alias("cluster")).distinct()
-    return state.select(F.col("u").alias("node"), F.col("v").alias("cluster")).unionByName(roots)
-
-
-def _fingerprint(state: DataFrame) -> tuple:
-    hashed = F.xxhash64("u", "v")
-    row = state.agg(
-        F.count("*"), F.coalesce(F.bit_xor(hashed), F.lit(0)), F.sum(F.pmod(hashed, F.lit(1 << 31)))
-    ).first()
-    return tuple(row)
+    state = kept.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    if all(isinstance(f.dataType, (StringType, IntegralType)) for f in state.schema):
+        state = state.mapInArrow(_joined, state.schema)
+    given = _written(state.distinct())
+    waiting = _written(_ends(given))
+    state = _written(lookup(given, waiting.select("u"), ["u"], "left_anti", rows_per_task, ["v"]))
+    _emptied(given)
+    while not _settled(state):
+        for step in (_large_star, _small_star):
+            before, state = state, _written(step(state, rows_per_task))
+            _emptied(before)
+    tops = state.select(F.col("u").alias("v"), F.col("v").alias("m"))
+    waited = lookup(waiting, tops, ["v"], "left", rows_per_task, ["u"])
+    waited = waited.select("u", F.coalesce("m", "v").alias("v"))
+    found = _written(state.unionByName(waited))
+    _emptied(state, waiting)
+    roots = found.select(F.col("v").alias("node"), F.col("v").alias("cluster")).distinct()
+    return found.select(F.col("u").alias("node"), F.col("v").alias("cluster")).unionByName(roots)
+
+
+def _written(rows: DataFrame) -> DataFrame:
+    """The rows, written below the shared folder and read from there."""
+    path = fresh_folder(rows.sparkSession, "links")
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def _emptied(*tables: DataFrame) -> None:
+    """Takes the rows out of written tables that aren't read any more."""
+    for rows in tables:
+        if files := rows.inputFiles():
+            none = rows.sparkSession.createDataFrame([], rows.schema)
+            none.write.mode("overwrite").parquet(files[0].rpartition("/")[0])
+
+
+def _ends(state: DataFrame) -> DataFrame:
+    """The edges of nodes with one edge in all, to a smaller node."""
+    nothing = F.lit(None).cast(state.schema["v"].dataType)
+    sides = state.select("u", F.col("v").alias("m"), F.lit(0).alias("onto")).unionByName(
+        state.select(F.col("v").alias("u"), nothing.alias("m"), F.lit(1).alias("onto"))
+    )
+    seen = sides.groupBy("u").agg(F.min("m").alias("v"), F.max("m").alias("x"), F.max("onto").alias("onto"))
+    return seen.filter("v = x AND onto = 0").select("u", "v")
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges that join the same nodes as those given, each to the smallest node that it reaches
+    within so many batches as hold ``NODES_AT_ONCE`` nodes."""
+    parent: dict = {}
+
+    def root(x):
+        top = x
+        while (up := parent.setdefault(top, top)) != top:
+            top = up
+        while (up := parent[x]) != top:
+            parent[x], x = top, up
+        return top
+
+    def stars(schema: pa.Schema) -> pa.RecordBatch:
+        rows = [(x, top) for x in parent if (top := root(x)) != x]
+        parent.clear()
+        columns = [pa.array([r[i] for r in rows], schema.field(i).type) for i in (0, 1)]
+        return pa.RecordBatch.from_arrays(columns, names=["u", "v"])
+
+    schema = None
+    for batch in batches:
+        schema = batch.schema
+        for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            x, y = root(x), root(y)
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+        if len(parent) >= NODES_AT_ONCE:
+            yield stars(schema)
+    if parent:
+        yield stars(schema)
+
+
+def _settled(state: DataFrame) -> bool:
+    """Whether every node has one target, and no target points on."""
+    targets = state.groupBy("u").agg(F.min("v").alias("m"), F.max("v").alias("x"))
+    if not targets.filter("m < x").isEmpty():
+        return False
+    onward = state.select(F.col("u").alias("v"))
+    return state.select("v").distinct().join(onward, "v", "left_semi").isEmpty()
 
 
 def _large_star(state: DataFrame, rows_per_task: int) -> DataFrame:
-    """Every larger neighbour of a node is linked to the smallest node around it."""
-    both = state.select("u", "v").unionByName(state.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    joined = lookup(both, least, ["u"], "inner", rows_per_task, ["v"])
-    return joined.filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    """Every larger neighbour of a node is linked to the smallest node around it: edges lead from
+    the larger to the smaller node, so that an edge's ``u`` is linked to the least target of its
+    ``v``, or to ``v`` if that has none."""
+    least = state.groupBy(F.col("u").alias("v")).agg(F.min("v").alias("m"))
+    joined = lookup(state, least, ["v"], "left", rows_per_task, ["u"])
+    return joined.select("u", F.coalesce("m", "v").alias("v")).distinct()
 
 
 def _small_star(state: DataFrame, rows_per_task: int) -> DataFrame:
     """Every smaller neighbour of a node, and the node, is linked to the smallest of them."""
-    down = state.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    joined = lookup(down, least, ["u"], "inner", rows_per_task, ["v"])
+    least = state.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    joined = lookup(state, least, ["u"], "inner", rows_per_task, ["v"], "n")
     linked = joined.select(F.col("v").alias("u"), F.col("m").alias("v"))
     own = least.select("u", F.col("m").alias("v"))
     return linked.unionByName(own).filter(F.col("u") != F.col("v")).distinct()
